@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import lines, packing, quality, simhash, substrings, token_counts, token_files
+from larkspan.llm import decontamination, html_text, lines, packing, quality, simhash, substrings, token_counts, token_files, toxicity
 from larkspan.llm.common import table
 
 
@@ -15,6 +15,10 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_texts(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -28,6 +32,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(_texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_texts(spark, sf_dir))
 
@@ -55,13 +68,50 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: White space of words and keys, for trim() and for patterns.
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_main_text": r"""
+        WITH article AS (SELECT page_id, url, split_part(split_part(html, '<article>', 2), '</article>', 1) AS a FROM pages),
+        block AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'),
+            lambda x: trim(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS b FROM article),
+        text AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM block)
+        SELECT page_id, url, text, length(text) AS n_chars, 0::BIGINT AS n_removed FROM text""",
+    "op4_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM i),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM k),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM r, (SELECT unnest(generate_series(0, 34)) AS j) WHERE n > 1),
+        each AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d)),
+        bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM b)),
+        n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+        m AS (SELECT doc_id, item_id, count(*) AS m FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, m::INTEGER AS n_shared, n::INTEGER AS n_shingles, m / n AS containment FROM m JOIN n USING (item_id) WHERE m >= 0.8 * n - 1e-9""",
+    "op8_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents),
+        k AS (SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+        m AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first, max(doc_id) OVER (PARTITION BY k) AS last FROM k),
+        f AS (SELECT *, length(k) >= 10 AND first < last AND doc_id <> first AS dropped FROM m)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT dropped), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+}

@@ -28,7 +28,7 @@ MAGIC = b"LDAC0001"
 #: Bits that one entry of a rank directory covers.
 RANK_BITS = 512
 #: A task closes a file when it has so many tokens (a longer document is whole, alone).
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 
 
 def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:

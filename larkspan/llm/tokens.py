@@ -4,7 +4,7 @@ A byte-level BPE never merges across pre-tokens, and between a character that is
 and one that is there is always a pre-token boundary. So a text falls into chunks `\\s*\\S+`, each
 of which has the same ids alone as in its text. Texts repeat chunks a lot: a worker looks the chunks
 up by a 64-bit hash, encodes those that it doesn't know, and keeps a bounded number, the most used.
-(With 800,000 kept, a chunk takes another's ids by a clash of hashes with a chance of 4e-14.)
+(With 400,000 kept, a chunk takes another's ids by a clash of hashes with a chance of 2e-14.)
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from larkspan.llm.common import SPACE, Words, mixed, slices
 
 #: Chunks of which a worker keeps the ids.
-KEPT = 800_000
+KEPT = 400_000
 #: Words of which it keeps the ids apart from the signs after them.
 HEADS = 60_000
 VOCABULARY = "byte_bpe_50k.json"
