@@ -10,6 +10,8 @@ however long the document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +27,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _each(column: str, value: str) -> Column:
-    """An array with `value` of the words w0 to w4 for each shingle of an array of words."""
-    at = ", ".join(f"{column}[i + {k}]" for k in range(SHINGLE))
-    made = f"transform(sequence(0, size({column}) - {SHINGLE}), i -> {value.format(at)})"
-    return F.expr(f"CASE WHEN size({column}) >= {SHINGLE} THEN {made} END")
+def _each(text: str, value: Callable[[list[Column]], Column]) -> Column:
+    """An array with `value` of the five words of each shingle of a text column; null if it has fewer words.
+
+    The words are bound by a lambda, so they are split once a text and not once a shingle.
+    """
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - SHINGLE)
+        return F.when(F.size(w) >= SHINGLE, F.transform(starts, lambda i: value([F.get(w, i + k) for k in range(SHINGLE)])))
+
+    return F.get(F.transform(F.array(words(F.col(text))), of), F.lit(0))
 
 
-def hashes(column: str) -> Column:
-    return _each(column, "xxhash64({})")
+def hashes(text: str) -> Column:
+    return _each(text, lambda w: F.xxhash64(*w))
 
 
-def shingles(column: str) -> Column:
-    return _each(column, "concat_ws(' ', {})")
+def shingles(text: str) -> Column:
+    return _each(text, lambda w: F.concat_ws(" ", *w))
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -> DataFrame:
@@ -48,24 +56,20 @@ def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -
     shingle: such items are in no document. Rows of one doc_id are told apart by their text; repeated rows
     and null ids give one pair; empty tables give none; other columns are left out.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w"))
-    items = items.select("item_id", F.array_distinct(shingles("w")).alias("item"), F.array_sort(F.array_distinct(hashes("w"))).alias("h")).where("size(item) > 0").distinct()
+    items = benchmark.select("item_id", F.array_distinct(shingles("text")).alias("item"), F.array_sort(F.array_distinct(hashes("text"))).alias("h")).where("size(item) > 0").distinct()
     items = settled(items.withColumn("class", F.floor(F.log2(F.size("item")))), "items")
     # of a class's largest items, of 2 ** (class + 1) - 1 shingles, so many may be missing and one more
     missing = F.floor((F.pow(F.lit(2.0), F.col("class") + 1) - 1) * (1 - share) + 1e-9).cast("int")
-    least = F.ceil(F.pow(F.lit(2.0), F.col("class")) * share - 1e-9)
-    sketches = settled(items.select("item_id", least.alias("least"), F.explode(F.slice("h", 1, F.least(missing + 1, F.size("h")))).alias("hash")), "sketches")
+    sketches = settled(items.select("item_id", F.explode(F.slice("h", 1, F.least(missing + 1, F.size("h")))).alias("hash")), "sketches")
     entries, held = sketches.count(), items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("item", " "))), F.lit(0))).first()[0]
     if entries <= MOST_ENTRIES:
         sketches = F.broadcast(sketches)
-    texts = docs.select("doc_id", "text").withColumn("w", words(F.col("text"))).select("doc_id", "text", hashes("w").alias("hashes"))
-    looked_up = texts.select("doc_id", "text", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
-    found = looked_up.join(sketches, "hash").where("size >= least").select("doc_id", "text", "item_id").distinct()
+    looked_up = docs.select("doc_id", "text", F.explode(hashes("text")).alias("hash"))
+    found = looked_up.join(sketches, "hash").select("doc_id", "text", "item_id").distinct()
     exact = items.select(F.col("item_id").alias("_item_id"), "item")
     if held <= MOST_ITEM_BYTES:
         exact = F.broadcast(exact)
-    split = found.withColumn("w", words(F.col("text"))).select("doc_id", "item_id", shingles("w").alias("doc"))
-    shared = split.join(exact, F.col("item_id").eqNullSafe(F.col("_item_id"))).select("doc_id", "item_id", F.size(F.array_intersect("doc", "item")).alias("n_shared"), F.size("item").alias("n_shingles"))
+    shared = found.join(exact, F.col("item_id").eqNullSafe(F.col("_item_id"))).select("doc_id", "item_id", F.size(F.array_intersect(shingles("text"), "item")).alias("n_shared"), F.size("item").alias("n_shingles"))
     out = shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.col("n_shingles") * share - 1e-9)
     return out.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment")).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
