@@ -1,8 +1,8 @@
 """Toxicity scores (operator 5): averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
 A text is the mean of the vectors of its subwords: each word and its n-grams of 3 to 5 bytes of UTF-8, with
-the spaces around it. So a misspelling shares most of its vectors with the word. Vectors and softmax
-are learned together by Adam. Only the learning sees labels, and no more than `SAMPLE` rows of them.
+the spaces around it; rare subwords weigh more (inverse document frequency). So a misspelling shares
+most of its vectors with the word. Vectors and softmax are learned together by gradient descent. Only the learning sees labels, and no more than `SAMPLE` rows of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ SAMPLE = 6000
 #: Buckets of subwords (a power of two), and the length of their vectors.
 BUCKET_BITS, WIDTH = 16, 8
 GRAMS = (3, 4, 5)
-EPOCHS, BATCH, RATE, DECAY, SCALE = 30, 256, 0.05, 1e-6, 100.0
+EPOCHS, BATCH, RATE, SCALE = 25, 64, 0.5, 100.0
 THRESHOLD = 0.3
 ADDED = ["held_out", "score", "predicted"]
 
@@ -63,25 +63,25 @@ def subwords(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def trained(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """From (buckets, counts) and label of each text: by bucket, what it adds to the log odds of label 1; and the log odds without any.
 
-    The model is softmax(SCALE * mean(vectors) @ weights + bias); as it's linear behind the mean, a
-    bucket's vector times the difference of the weights is all that scoring needs.
+    The model is softmax(SCALE * mean(weight * vector) @ weights + bias); as it's linear behind the mean, a
+    bucket's weighted vector times the difference of the softmax weights is all that scoring needs.
     """
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH))
+    vectors = rng.normal(0, 0.01, (1 << BUCKET_BITS, WIDTH))
     weights = rng.normal(0, 0.5, (WIDTH, 2))
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 1e-3
     bias = np.log(np.array([1 - share, share]))
-    params = [vectors, weights, bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
+    texts_with = np.zeros(len(vectors))
+    for ids, _ in features:
+        texts_with[ids] += 1
+    rarity = SCALE * (np.log((len(features) + 1) / (texts_with + 1)) + 0.1)
     for epoch in range(EPOCHS if len(labels) else 0):
-        order = rng.permutation(len(labels))
+        order, rate = rng.permutation(len(labels)), RATE * (1 - epoch / EPOCHS)
         for a in range(0, len(order), BATCH):
             batch = order[a : a + BATCH]
             ids = np.concatenate([features[i][0] for i in batch])
-            sizes = np.array([len(features[i][0]) for i in batch])
-            shares = np.concatenate([features[i][1] / max(1, features[i][1].sum()) for i in batch]) * SCALE
-            row = np.repeat(np.arange(len(batch)), sizes)
+            row = np.repeat(np.arange(len(batch)), [len(features[i][0]) for i in batch])
+            shares = np.concatenate([features[i][1] / max(1, features[i][1].sum()) for i in batch]) * rarity[ids]
             scores = vectors @ weights
             logits = np.stack([np.bincount(row, shares * scores[ids, c], len(batch)) for c in (0, 1)], axis=1) + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -89,14 +89,11 @@ def trained(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s
             chance[np.arange(len(batch)), labels[batch]] -= 1
             chance /= len(batch)
             by_bucket = np.stack([np.bincount(ids, shares * chance[row, c], len(vectors)) for c in (0, 1)], axis=1)
-            grads = [by_bucket @ weights.T + DECAY * vectors, vectors.T @ by_bucket, chance.sum(axis=0)]
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
-            for p, g, m, v in zip(params, grads, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return SCALE * (vectors @ weights) @ np.array([-1.0, 1.0]), float(bias[1] - bias[0])
+            step = vectors.T @ by_bucket
+            vectors -= rate * (by_bucket @ weights.T)
+            weights -= 0.1 * rate * step
+            bias -= 0.1 * rate * chance.sum(axis=0)
+    return rarity * ((vectors @ weights) @ np.array([-1.0, 1.0])), float(bias[1] - bias[0])
 
 
 def held_out() -> F.Column:
