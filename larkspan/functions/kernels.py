@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE, KEPT = 256, 16
 
@@ -98,7 +99,10 @@ def pixels_of(data: bytes, width: int, height: int, channels: int) -> np.ndarray
     return np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, 2::-1]
 
 
-@F.pandas_udf("struct<words:array<bigint>,crop_x:int,crop_y:int,width:int,height:int>")
+FACTS = T.StructType([T.StructField("words", T.ArrayType(T.LongType())), *[T.StructField(c, T.IntegerType()) for c in ("crop_x", "crop_y", "width", "height")]])
+
+
+@F.pandas_udf(FACTS)
 def picture_facts(images: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All that an import needs to know of a picture (image column of Spark's image source), from one decode."""
     for batch in images:
@@ -111,7 +115,7 @@ def picture_facts(images: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["words", "crop_x", "crop_y", "width", "height"])
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def phash_of_gray(values: pd.Series) -> pd.Series:
     """Hash words of square gray pictures given as flat arrays."""
     return values.map(lambda v: phash(np.asarray(v, float).reshape(int(len(v) ** 0.5), -1)))

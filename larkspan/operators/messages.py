@@ -57,4 +57,4 @@ def marked_read(messages: DataFrame, me: int, partner: int | None = None, messag
         hit &= F.col("id") == message
     if partner is not None:
         hit &= F.col("from_id") == partner
-    return messages.withColumn("is_read", F.col("is_read") | hit)
+    return messages.withColumn("is_read", F.col("is_read") | F.coalesce(hit, F.lit(False)))
