@@ -17,7 +17,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 LEAST_GROUP = 100
 #: How far beyond the quartiles a threshold lies, in distances between them, and the least distance counted, by measure.
 FENCE = 4.0
-MEASURES = {"word_length": 0.25, "symbol_share": 0.01, "dup_lines_per_word": 0.02, "repeat_share": 0.05}
+MEASURES = {"word_length": 0.25, "symbol_share": 0.01, "dup_lines_per_word": 0.02, "repeat_share": 0.12}
 #: Entries of a quantile sketch: its error is one over this, of the group's rows.
 SKETCH = 2000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
