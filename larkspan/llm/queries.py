@@ -84,7 +84,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _quality_sql() -> str:
+    shares = {"word_length": "word_chars / greatest(n_words, 1)", "symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_lines_per_word": "n_dup_lines / greatest(n_words, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)"}
+    quartiles = ", ".join(f"quantile_disc({k}, 0.25) AS a_{k}, quantile_disc({k}, 0.75) AS b_{k}" for k in shares)
+    own = lambda side, k: f"(CASE WHEN g.n >= {quality.LEAST_GROUP} THEN g.{side}_{k} ELSE e.{side}_{k} END)"
+    gap = lambda k: f"greatest({own('b', k)} - {own('a', k)}, {quality.MEASURES[k]}) * {quality.FENCE}"
+    within = " AND ".join(f"m.{k} <= {own('b', k)} + {gap(k)}" for k in shares) + f" AND m.word_length >= {own('a', 'word_length')} - {gap('word_length')}"
+    return rf"""
+        WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
+        covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
+        again AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
+        s AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+            coalesce(again.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN again USING (doc_id) LEFT JOIN covered USING (doc_id)),
+        m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR n_repeat_words * 100 > n_words * {quality.MOST_REPEATED} AS base_failed, {", ".join(f"{v} AS {k}" for k, v in shares.items())} FROM s),
+        g AS (SELECT lang, source, count(*) AS n, {quartiles} FROM m GROUP BY lang, source),
+        e AS (SELECT {quartiles} FROM m)
+        SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, NOT m.base_failed AND {within} AS kept
+        FROM m JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source, e"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": _quality_sql(),
     "op1_main_text": r"""
         WITH article AS (SELECT page_id, url, split_part(split_part(html, '<article>', 2), '</article>', 1) AS a FROM pages),
         block AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'),
