@@ -89,8 +89,8 @@ def thresholds_of(stats: DataFrame) -> DataFrame:
     """
     named = stats.select("lang", "source", *[m.alias(k) for k, m in _measures().items()])
     sketches = ", ".join(f"percentile_approx({k}, array(0.25, 0.75), {SKETCH}) AS {k}" for k in MEASURES)
-    named.createOrReplaceTempView(view := f"quality_{id(named)}")
-    found = stats.sparkSession.sql(f"SELECT lang, source, grouping_id() > 0 AS `all`, count(*) AS n, {sketches} FROM {view} GROUP BY GROUPING SETS ((lang, source), ())")
+    query = f"SELECT lang, source, grouping_id() > 0 AS `all`, count(*) AS n, {sketches} FROM {{named}} GROUP BY GROUPING SETS ((lang, source), ())"
+    found = stats.sparkSession.sql(query, named=named)
     out = [F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("all").alias("_all"), F.col("n").alias("_n")]
     for k, least in MEASURES.items():
         gap = F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(least)) * FENCE
