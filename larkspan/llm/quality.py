@@ -103,13 +103,13 @@ def judged(stats: DataFrame, thresholds: DataFrame) -> DataFrame:
     names = stats.columns
     limits = [f"_{side}_{k}" for k in MEASURES for side in ("low", "high")]
     own = thresholds.where(~F.col("_all") & (F.col("_n") >= LEAST_GROUP)).select("_lang", "_source", *limits)
-    every = thresholds.where("_all").select(*[F.col(c).alias(f"_{c}") for c in limits])
+    every = thresholds.where("_all").select(*limits).first()  # one row; none of an empty table
     if thresholds.count() <= 100_000:  # rows of a few numbers: some MB
         own = F.broadcast(own)
-    joined = stats.join(own, stats["lang"].eqNullSafe(own["_lang"]) & stats["source"].eqNullSafe(own["_source"]), "left").crossJoin(F.broadcast(every))
+    joined = stats.join(own, stats["lang"].eqNullSafe(own["_lang"]) & stats["source"].eqNullSafe(own["_source"]), "left")
     within = F.lit(True)
     for k, m in _measures().items():
-        low, high = (F.coalesce(F.col(f"_{s}_{k}"), F.col(f"__{s}_{k}")) for s in ("low", "high"))
+        low, high = (F.coalesce(F.col(f"_{s}_{k}"), F.lit(every[f"_{s}_{k}"] if every else None).cast("double")) for s in ("low", "high"))
         within &= m <= high
         if k == "word_length":
             within &= m >= low
