@@ -88,7 +88,7 @@ def counter(encode: Encoder):
         if (n := known.get(chunk)) is None:
             if len(known) >= KNOWN:
                 known.clear()
-            n = known[chunk] = len(encode.chunk(chunk))
+            n = known[chunk] = len(encode.chunk(chunk)) >> 2
         return n
 
     return count
@@ -106,7 +106,7 @@ def trees(encode: Encoder, buf: np.ndarray, offsets: np.ndarray, leaf: int = LEA
         if hard[i] or a == b:
             chunks = CHUNK.findall(buf[offsets[i] : offsets[i + 1]].tobytes().decode())
             parts = [chunks[k : k + leaf] for k in range(0, len(chunks), leaf)]
-            out.append(Tree([sum(map(len, p)) for p in parts], [sum(len(encode.chunk(c)) for c in p) for p in parts]))
+            out.append(Tree([sum(map(len, p)) for p in parts], [sum(len(encode.chunk(c)) >> 2 for c in p) for p in parts]))
         else:
             cuts = np.arange(a, b, leaf)
             chars = np.diff(np.append(point[begins[cuts]], point[offsets[i + 1]]))

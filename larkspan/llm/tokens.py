@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from larkspan.llm.common import SPACE, Words, mixed, slices
 #: Chunks of which a worker keeps the ids.
 KEPT = 400_000
 #: Words of which it keeps the ids apart from the signs after them.
-HEADS = 60_000
+HEADS = 150_000
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: White space as the tokenizer's pattern has it.
@@ -31,6 +32,7 @@ PLAIN = re.compile(r"( ?[^\W\d_]+)([^\w\s']*)\Z")
 #: The printable stand-ins that byte-level vocabularies use for bytes.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 STAND_IN = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+SPACE_SHOWN = chr(STAND_IN[0x20])
 LEAD = np.zeros(256, bool)
 LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
@@ -62,28 +64,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.heads: dict[str, list[int]] = {}
+        self.heads: dict[str, bytes] = {}
         self.keys, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.index = pd.Index(self.keys)
 
-    def chunk(self, chunk: str) -> list[int]:
-        """A chunk's ids. One word with signs after it, the usual case, goes to the model without the pre-tokenizer."""
+    def chunk(self, chunk: str) -> bytes:
+        """A chunk's ids as unsigned 32-bit numbers. One word with signs after it, the usual case, goes to the model without the pre-tokenizer."""
         if (plain := PLAIN.match(chunk)) and plain[1].lstrip(" ").isalpha():
             head, tail = plain.groups()
             return self.part(head) + self.part(tail) if tail else self.part(head)
-        return self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+        return array("I", self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes()
 
-    def part(self, token: str) -> list[int]:
+    def part(self, token: str) -> bytes:
         if (ids := self.heads.get(token)) is None:
             if len(self.heads) >= HEADS:
                 self.heads.clear()
-            shown = token.encode().decode("latin-1").translate(STAND_IN)
-            ids = self.heads[token] = [t.id for t in self.model.tokenize(shown)]
+            shown = (SPACE_SHOWN + token[1:] if token[0] == " " else token) if token.isascii() else token.encode().decode("latin-1").translate(STAND_IN)
+            ids = self.heads[token] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
-    def slowly(self, text: str) -> list[int]:
-        return [i for c in CHUNK.findall(text) for i in self.chunk(c)]
+    def slowly(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.chunk, CHUNK.findall(text))), np.uint32)
 
     def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
         if len(self.keys) + len(keys) > KEPT and len(self.keys):
@@ -93,10 +95,10 @@ class Encoder:
             self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[stay] - at, size)]
             self.keys, self.hits, self.at, self.size = self.keys[stay], self.hits[stay] // 2, at, size
         ids = [self.chunk(c) for c in chunks]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
         self.keys, self.hits = np.concatenate([self.keys, keys]), np.concatenate([self.hits, np.zeros(len(keys), np.int64)])
         self.index = pd.Index(self.keys)
 
@@ -139,7 +141,7 @@ class Encoder:
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another (`end` after each if it's given), and where each text's start (one more entry)."""
         hard = self.hard(buf, offsets)
-        apart = {int(i): np.array(self.slowly(buf[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32) for i in np.flatnonzero(hard)}
+        apart = {int(i): self.slowly(buf[offsets[i] : offsets[i + 1]].tobytes().decode()) for i in np.flatnonzero(hard)}
         if apart:
             keep = np.repeat(~hard, np.diff(offsets))
             buf, offsets = buf[keep], np.concatenate([[0], np.cumsum(np.where(hard, 0, np.diff(offsets)))])
