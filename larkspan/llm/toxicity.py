@@ -79,7 +79,7 @@ def trained(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s
         order, rate = rng.permutation(len(labels)), RATE * (1 - epoch / EPOCHS)
         for a in range(0, len(order), BATCH):
             batch = order[a : a + BATCH]
-            ids = np.concatenate([features[i][0] for i in batch])
+            ids = np.concatenate([features[i][0] for i in batch]).astype(np.int64)
             row = np.repeat(np.arange(len(batch)), [len(features[i][0]) for i in batch])
             shares = np.concatenate([features[i][1] / max(1, features[i][1].sum()) for i in batch]) * rarity[ids]
             scores = vectors @ weights
@@ -122,7 +122,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[n
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(count_part, "doc_id long, toxic int, ids binary, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).slice(0, 2 * sample)  # doc_ids may be repeated
-    features = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.float64)) for a, b in zip(rows["ids"].to_pylist(), rows["counts"].to_pylist(), strict=True)]
+    features = [(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")) for a, b in zip(rows["ids"], rows["counts"], strict=True)]
     return trained(features, rows["toxic"].to_numpy().astype(np.int64))
 
 
