@@ -18,8 +18,8 @@ LEAST_GROUP = 100
 #: How far beyond the quartiles a threshold lies, in distances between them, and the least distance counted, by measure.
 FENCE = 4.0
 MEASURES = {"word_length": 0.25, "symbol_share": 0.01, "dup_lines_per_word": 0.02, "repeat_share": 0.12}
-#: Entries of a quantile sketch: its error is one over this, of the group's rows.
-SKETCH = 2000
+#: Size of a quantile sketch (KLL: exact up to so many rows, an error of about 0.1 % of a group's rows beyond), and parts that a group's is made in.
+SKETCH, SALTS = 4096, 64
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = [*STATS, "base_failed", "kept"]
 
@@ -84,17 +84,22 @@ def _measures() -> dict[str, F.Column]:
 def thresholds_of(stats: DataFrame) -> DataFrame:
     """For each lang and source: n and, by measure, low and high: the quartiles of its sketch, FENCE distances out.
 
-    One more row, with all = true, holds for groups of under LEAST_GROUP rows. Sketches are merged from
-    those of all tasks, so a group's size is no matter.
+    One more row, with _all = true, holds for groups of under LEAST_GROUP rows. Sketches are made by group
+    and salt and merged in two steps, so the last merge of a group reads SALTS sketches, however many tasks
+    and rows a hot language or source has.
     """
-    named = stats.select("lang", "source", *[m.alias(k) for k, m in _measures().items()])
-    sketches = ", ".join(f"percentile_approx({k}, array(0.25, 0.75), {SKETCH}) AS {k}" for k in MEASURES)
-    query = f"SELECT lang, source, grouping_id() > 0 AS `all`, count(*) AS n, {sketches} FROM {{named}} GROUP BY GROUPING SETS ((lang, source), ())"
-    found = stats.sparkSession.sql(query, named=named)
+    salted = stats.select("lang", "source", (F.spark_partition_id() % SALTS).alias("salt"), *[m.alias(k) for k, m in _measures().items()])
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in MEASURES]]
+    parts = settled(salted.groupBy("lang", "source", "salt").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(k, SKETCH).alias(k) for k in MEASURES]), "sketches")
+    own = parts.groupBy("lang", "source").agg(*merged).withColumn("all", F.lit(False))
+    some = parts.groupBy(F.pmod(F.xxhash64("lang", "source", "salt"), F.lit(SALTS)).alias("salt")).agg(*merged)
+    every = some.groupBy(F.lit(True).alias("all")).agg(*merged).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), *["n", *MEASURES, "all"])
     out = [F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("all").alias("_all"), F.col("n").alias("_n")]
+    found = own.unionByName(every)
     for k, least in MEASURES.items():
-        gap = F.greatest(F.col(k)[1] - F.col(k)[0], F.lit(least)) * FENCE
-        out += [(F.col(k)[0] - gap).alias(f"_low_{k}"), (F.col(k)[1] + gap).alias(f"_high_{k}")]
+        low, high = (F.kll_sketch_get_quantile_double(k, F.lit(p)) for p in (0.25, 0.75))
+        gap = F.greatest(high - low, F.lit(least)) * FENCE
+        out += [(low - gap).alias(f"_low_{k}"), (high + gap).alias(f"_high_{k}")]
     return found.select(out)
 
 
