@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import snippet
+from larkspan.llm.common import settled
 
 
 def tags_of_posts(post_tags: DataFrame, tags: DataFrame, votes: DataFrame, user: int) -> DataFrame:
@@ -26,22 +27,24 @@ def top_tags(post_tags: DataFrame, n: int = 5) -> DataFrame:
 def comment_tree(comments: DataFrame) -> DataFrame:
     """comments (id, post_id, parent_id) with depth, root_id and path. Comments whose parent is gone are roots; siblings go by id.
 
-    One join for each level: a round adds the children of the level before, until there are none.
+    One join for each level, written to the shared folder: a round adds the children of the level before, until
+    there are none. Neither rows nor depth have a limit; comments in a circle have no root and don't appear.
     """
     nodes = comments.select("id", "post_id", "parent_id")
     parents = nodes.select(F.col("id").alias("_parent"))
     known = nodes.join(parents, nodes["parent_id"] == parents["_parent"], "left")
     step = known.where(F.col("_parent").isNull()).select("id", "post_id", "parent_id", F.lit(0).alias("depth"), F.col("id").alias("root_id"), F.array("id").alias("path"))
     below = known.where(F.col("_parent").isNotNull()).drop("_parent")
-    return comments.sparkSession.sql(
-        """WITH RECURSIVE tree MAX RECURSION LEVEL 1000 AS (
-             SELECT id, post_id, parent_id, depth, root_id, path FROM {roots}
-             UNION ALL
-             SELECT c.id, c.post_id, c.parent_id, t.depth + 1, t.root_id, concat(t.path, array(c.id)) FROM {below} c JOIN tree t ON c.parent_id = t.id)
-           SELECT * FROM tree""",
-        roots=step,
-        below=below,
-    )
+    below = settled(below, "comments-below")
+    level = settled(step, "comment-level")
+    levels = [level]
+    while not level.isEmpty():
+        up = level.select(F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "root_id", "path")
+        level = below.join(up, below["parent_id"] == up["_up"]).select("id", "post_id", "parent_id", "depth", "root_id", F.concat("path", F.array("id")).alias("path"))
+        level = settled(level, "comment-level")
+        levels.append(level)
+    paths = [file for one in levels for file in one.inputFiles()]
+    return comments.sparkSession.read.schema(level.schema).parquet(*paths) if paths else level
 
 
 def reply_notifications(comments: DataFrame) -> DataFrame:

@@ -92,6 +92,20 @@ def test_comment_tree(spark):
     assert got == {1: (0, 1, [1]), 2: (1, 1, [1, 2]), 3: (2, 1, [1, 2, 3]), 4: (0, 4, [4]), 5: (0, 5, [5]), 6: (1, 1, [1, 6])}
 
 
+def test_comment_tree_has_no_row_limit(spark):
+    rows = [(1, 1, None), (2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 1, 3)]
+    c = spark.createDataFrame(rows, "id long, post_id long, parent_id long")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "3")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "2")
+    try:
+        got = {r.id: (r.depth, r.path) for r in discuss.comment_tree(c).collect()}
+        assert discuss.comment_tree(c.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+        spark.conf.unset("spark.sql.cteRecursionLevelLimit")
+    assert got == {1: (0, [1]), 2: (1, [1, 2]), 3: (2, [1, 2, 3]), 4: (3, [1, 2, 3, 4]), 5: (3, [1, 2, 3, 5])}
+
+
 def test_inbox(spark):
     rows = [(1, "private", 1, 2, "a", True, 0), (2, "private", 2, 1, "b", False, 0), (3, "private", 2, 1, "c", False, 0), (4, "system", None, 1, "s", False, 0), (5, "private", 3, 1, "d", True, 1)]
     m = spark.createDataFrame(rows, "id long, kind string, from_id long, to_id long, body string, is_read boolean, t int").withColumn("created_at", F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,t,0)"))
