@@ -36,26 +36,39 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col"
 CLOSE_BY_THEMSELVES = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "status", "note"}
 NAMES = {"nav", "navbar", "navigation", "menu", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "promo", "promotion", "sponsor", "sponsored", "footer", "header", "masthead", "comment", "comments", "disqus", "replies", "respond", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "related", "recommended", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "toolbar", "pagination", "pager", "skip"}
+HEADINGS, CONTAINERS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"div", "section", "aside", "ul"}
 CONTENT = {"article", "content", "post", "entry", "story", "main", "maincontent", "articlebody"}
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!|;|$)")
 _ENDS = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes name boilerplate, and whether they name content."""
+def _named(tag: str, attributes: str, rank: int = 0) -> tuple[bool, bool]:
+    """Whether the attributes name boilerplate, and whether they name content; rank: of what is around the tag.
+
+    In an article or main part, a class or an id names boilerplate only as a whole on a container; a
+    heading's names none in any content.
+    """
     boiler = content = False
+    seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind in seen:
+            continue
+        seen.add(kind)
         parts = set(re.split(r"[^a-z0-9]+", value))
         if kind == "role":
             boiler |= bool(parts & ROLES)
             content |= bool(parts & {"main", "article"})
-        elif kind == "hidden" or kind == "aria-hidden" and value == "true":
+        elif kind == "hidden" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _UNSEEN.search(value):
             boiler = True
-        else:
-            boiler |= bool(parts & NAMES)
+        elif kind in ("class", "id", "itemprop"):
+            if rank < 2 and not (rank and tag in HEADINGS):
+                boiler |= bool(parts & NAMES)
+            elif tag in CONTAINERS or tag == "article":
+                boiler |= bool(set(value.split()) & NAMES)
             content |= bool(parts & CONTENT)
     return boiler, content and not boiler
 
@@ -107,7 +120,7 @@ def blocks_of(page: str) -> list[tuple[int, bool, str]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         _, rank, boiler = stack[-1] if stack else ("", 0, False)
-        named, content = _named(tag, m[3]) if "=" in m[3] or "hidden" in m[3] else (False, False)
+        named, content = _named(tag, m[3], rank) if m[3].strip() else (False, False)
         if tag in BLOCKS or tag in SKIPPED or named and tag in ("span", "a", "td"):
             if tag == "article" or tag == "main" or content and tag in ("div", "section", "article", "main"):
                 rank = max(rank, 3 if tag == "article" else 2 if tag == "main" or "main" in m[3].lower() and "role" in m[3].lower() else 1)

@@ -27,6 +27,19 @@ def test_markup_settles_a_page(html, want):
     assert html_text.read_page(page(html))[0] == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><div style='overflow:hidden'>a</div><p data-id='menu' title='hidden class=menu'>b</p></article>", "a\n\nb"),
+        ("<article><h1 class='entry-header'>t</h1><section id='related-work'><h2 id='how-to-share-files'>h</h2><p class='notice'>p</p></section></article>", "t\n\nh\n\np"),
+        ("<div class='post'><h1 class='entry-header'>t</h1><p>a</p></div>", "t\n\na"),
+        ("<article><p>a</p><div class='x share'>s</div><ul id='menu'><li>m</ul><p hidden>h</p><p style='color: red; display : none'>d</p><p style='visibility:hidden'>v</p><p HIDDEN>u</p></article>", "a"),
+    ],
+)
+def test_only_what_marks_boilerplate_goes(html, want):
+    assert html_text.read_page(page(html))[0] == want
+
+
 def test_suffix_array_finds_repeated_runs():
     rng = np.random.default_rng(0)
     streams = [rng.integers(0, 5, rng.integers(0, 40)) for _ in range(30)]
