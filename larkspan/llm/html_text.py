@@ -1,9 +1,8 @@
 """Main text of web pages (operator 1): markup first, then each host's suffix array.
 
-Markup settles most pages: what an article (or main, or a container named for content) holds is the
-text, without the parts marked as menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles. On the other pages repetition decides: of each host the token streams outside
-articles are put one after another and their suffixes sorted; runs of tokens that occur on two or more distinct pages of the
+Markup settles most pages: what an article (or main) holds is the text, without the parts marked as menus, headers, footers, sidebars, notices, adverts, forms, comments,
+scripts and styles. On the other pages repetition decides, among the blocks of containers named for
+content where there are any: of each host the token streams outside articles are put one after another and their suffixes sorted; runs of tokens that occur on two or more distinct pages of the
 host are boilerplate, and what they cover goes.
 
 A host may have a third of all pages, so no task gets a whole host. Tasks sort the suffixes of their
@@ -137,14 +136,14 @@ def host_of(url: str | None) -> str:
 
 
 def read_page(page: str | None) -> tuple[str | None, list[str], list[str]]:
-    """The text, if markup settles it; the blocks that it leaves open; and the texts outside (the open ones too)."""
+    """The text by markup, if any names it; the blocks that repetition is to judge (none: markup settles the page); and the texts outside articles (the judged ones too)."""
     found = blocks_of(page or "")
     best = max((r for r, boiler, _ in found if not boiler), default=0)
-    outside = [t for r, boiler, t in found if boiler or not r]
+    outside = [t for r, boiler, t in found if boiler or r < 2]
+    held = [t for r, boiler, t in found if r >= best and not boiler]
     if best:
-        return "\n\n".join(t for r, boiler, t in found if r >= best and not boiler), [], outside
-    open_ = [t for _, boiler, t in found if not boiler]
-    return (None, open_, outside) if open_ else ("", [], outside)
+        return "\n\n".join(held), held if best == 1 else [], outside
+    return (None, held, outside) if held else ("", [], outside)
 
 
 def suffix_ranks(tokens: np.ndarray, owner: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +195,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             read = [read_page(p) for p in batch.column("html").to_pylist()]
-            keep = pa.array([r[0] is not None for r in read], pa.bool_())
+            keep = pa.array([not r[1] for r in read], pa.bool_())
             texts = pa.array([r[0] for r in read], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], names=["page_id", "url", "text"]).filter(keep)
 
     def leave_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, u, host_of(u), r[1]) for p, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) if (r := read_page(h))[0] is None]
+            rows = [(p, u, host_of(u), r[1], r[0] is not None) for p, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) if (r := read_page(h))[1]]
             uid = [xxhash.xxh3_64_intdigest(repr(r)) >> 1 for r in rows]
-            yield pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in rows], batch.column("page_id").type), "url": pa.array([r[1] for r in rows], pa.string()), "host": pa.array([r[2] for r in rows], pa.string()), "blocks": pa.array([r[3] for r in rows], pa.list_(pa.string())), "uid": pa.array(uid, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in rows], batch.column("page_id").type), "url": pa.array([r[1] for r in rows], pa.string()), "host": pa.array([r[2] for r in rows], pa.string()), "blocks": pa.array([r[3] for r in rows], pa.list_(pa.string())), "marked": pa.array([r[4] for r in rows], pa.bool_()), "uid": pa.array(uid, pa.int64())})
 
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,11 +230,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for blocks, at in zip(batch.column("blocks").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            for blocks, marked, at in zip(*(batch.column(c).to_pylist() for c in ("blocks", "marked", "at")), strict=True):
                 tokens = stream(blocks)[0]
                 gone = np.zeros(len(tokens), bool)
                 for a in at or []:
                     gone[a : a + RUN] = True
+                if marked and gone.all():  # a page that the host has twice, not boilerplate
+                    gone[:] = False
                 kept, seen = [], 0
                 for b in blocks:
                     words = b.split()
@@ -249,10 +250,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     ids = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
     done = pages.mapInArrow(settle, f"{ids}, text string").withColumn("n_removed", F.lit(0).cast("long"))
-    undecided = settled(pages.mapInArrow(leave_open, f"{ids}, host string, blocks array<string>, uid long"), "open-pages")
+    undecided = settled(pages.mapInArrow(leave_open, f"{ids}, host string, blocks array<string>, marked boolean, uid long"), "open-pages")
     runs = pages.mapInArrow(sort_suffixes, "host string, run long, low long, high long").groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     repeated = runs.where("low < high").select("host", "run")
     distinct = undecided.dropDuplicates(["uid"])
     covered = distinct.mapInArrow(windows, "uid long, host string, run long, at int").join(repeated, ["host", "run"]).groupBy("uid").agg(F.collect_list("at").alias("at"))
-    cleaned = undecided.join(covered, "uid", "left").select("page_id", "url", "blocks", "at").mapInArrow(remove, f"{ids}, text string, n_removed long")
+    cleaned = undecided.join(covered, "uid", "left").select("page_id", "url", "blocks", "marked", "at").mapInArrow(remove, f"{ids}, text string, n_removed long")
     return done.unionByName(cleaned).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed")

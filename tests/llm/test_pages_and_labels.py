@@ -64,6 +64,17 @@ def test_repetition_settles_the_rest(spark):
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
+def test_repetition_judges_containers_named_for_content(spark):
+    shared = "this host says the same nine words on every page"
+    rows = [(i, f"http://h.example/{i}", f"<p>outside {i}</p><div class='content'><p>{shared}</p><p>{i} own text {i} of page {i}</p></div>") for i in range(3)]
+    twice = "one page that this host has under two addresses stays whole"
+    rows += [(i, f"http://h.example/{i}", f"<div id='main'><p>{twice}</p></div>") for i in (7, 8)]
+    rows += [(9, "http://h.example/9", f"<div class='content'><p>{shared}</p><article><p>{shared}</p></article></div>")]
+    got = {r.page_id: (r.text, r.n_removed) for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"{i} own text {i} of page {i}", 10) for i in range(3))
+    assert got[7] == got[8] == (twice, 0) and got[9] == (shared, 0)
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     item = " ".join(f"word{i}" for i in range(20))
