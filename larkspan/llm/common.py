@@ -8,8 +8,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests, one machine) is a temporary folder used.
+    Only where that setting is missing on one machine (tests) is a temporary folder used; on a cluster that raises.
     The session's folder is removed when the driver ends.
     """
     context = spark.sparkContext
     key = id(context)
     if key not in _SCRATCH:
-        root = context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
         _SCRATCH[key] = f"{root.rstrip('/')}/larkspan-{uuid.uuid4().hex}"
         path = context._jvm.org.apache.hadoop.fs.Path(_SCRATCH[key])
         system = path.getFileSystem(context._jsc.hadoopConfiguration())
@@ -51,10 +57,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_SCRATCH[key]}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written to the shared folder and read again: later jobs neither repeat its work nor need its lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,8 +98,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-#: Odd bases of the polynomials over bytes and over words, and a random value for each byte.
-BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Odd bases of the polynomials over bytes and over words (two for these), and a random value for each byte.
+BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+WORD_BASE, OTHER_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 BYTE_VALUE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -119,16 +126,46 @@ class Words:
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, the same for words of the same bytes; and for each number, a word that has it.
+
+        A quick polynomial sorts words into groups; whoever's bytes differ from the first of its group gets a number by its bytes.
+        """
         if not len(self.starts):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lengths = self.ends - self.starts
         inside = np.flatnonzero(~SPACE[self.buf])
-        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        begins = np.cumsum(lengths) - lengths
         place = np.arange(len(inside), dtype=np.int32) - np.repeat(begins.astype(np.int32), lengths)
-        values = BYTE_VALUE[self.buf[inside]] * powers(BYTE_BASE, int(lengths.max()))[place]
-        return mixed(np.add.reduceat(values, begins) + lengths.astype(np.uint64))
+        letters = self.buf[inside]
+        values = BYTE_VALUE[letters] * powers(BYTE_BASE, int(lengths.max()))[place]
+        codes, _ = pd.factorize(mixed(np.add.reduceat(values, begins) + lengths.astype(np.uint64)))
+        first = np.zeros(int(codes.max()) + 1, np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        model = first[codes]
+        same = lengths == lengths[model]
+        at = np.where(np.repeat(same, lengths), np.repeat(self.starts[model], lengths) + place, inside)
+        differs = np.flatnonzero(self.buf[at] != letters)
+        same[np.searchsorted(begins, differs, "right") - 1] = False
+        if not same.all():
+            named: dict[bytes, int] = {}
+            extra = []
+            for i in np.flatnonzero(~same).tolist():
+                word = self.buf[self.starts[i] : self.ends[i]].tobytes()
+                if word not in named:
+                    named[word] = len(first) + len(extra)
+                    extra.append(i)
+                codes[i] = named[word]
+            first = np.concatenate([first, np.array(extra, np.int64)])
+        return codes, first
+
+    def hashes(self, *seeds: int) -> np.ndarray | tuple[np.ndarray, ...]:
+        """XXH3 (64 bits) of each word's bytes, an array for each seed (one array, of seed 0, without any)."""
+        codes, first = self.distinct()
+        raw = self.buf.tobytes()
+        words = [raw[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)]
+        out = [np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))[codes] for seed in seeds or (0,)]
+        return tuple(out) if seeds else out[0]
 
     def windows(self, k: int) -> np.ndarray:
         """The first words of all windows of k consecutive words of one text."""
@@ -148,13 +185,13 @@ class Words:
         return out, at
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
+def rolling(words: np.ndarray, k: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
     """Rabin-Karp: the hash of words[i : i + k] for each i, from prefix sums of a polynomial modulo 2**64."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up = powers(WORD_BASE, len(words))
-    down = powers(np.uint64(pow(int(WORD_BASE), -1, 1 << 64)), n)
+    up = powers(base, len(words))
+    down = powers(np.uint64(pow(int(base), -1, 1 << 64)), n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up)])
     return mixed((sums[k:] - sums[:-k]) * down)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import decontamination, html_text, lines, packing, quality, simhash, substrings, token_counts, token_files, toxicity
-from larkspan.llm.common import table
+from larkspan.llm.common import settled, table
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,19 +52,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality.quality_rules(docs).select("doc_id", *quality.ADDED)
+    return quality.quality_rules(docs, with_text=False).select("doc_id", *quality.ADDED)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document gets a revision of four edits, all made from its own text and length."""
-    n = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("int")
+    """Every document's tree is stored, then gets a revision of four edits, all made from its own text and length."""
+    stored = settled(token_counts.trees(_texts(spark, sf_dir)), "token-trees", "zstd")
+    text = F.array_join("leaves", "")
+    n = F.char_length(text).cast("int")
     edits = F.array(
         F.struct(F.floor(n / 3).cast("int").alias("start"), F.lit(5).alias("removed"), F.lit(" edited").alias("added")),
         F.struct(F.lit(0).alias("start"), F.lit(0).alias("removed"), F.lit("Note: ").alias("added")),
-        F.struct(F.floor(2 * n / 3).cast("int").alias("start"), F.lit(40).alias("removed"), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 30).alias("added")),
+        F.struct(F.floor(2 * n / 3).cast("int").alias("start"), F.lit(40).alias("removed"), F.substring(text, 1, 30).alias("added")),
         F.struct((n + 100).alias("start"), F.lit(0).alias("removed"), F.lit(" The end.").alias("added")),
     )
-    return token_counts.edited_counts(_texts(spark, sf_dir).withColumn("edits", edits))
+    return token_counts.edited(stored.withColumn("edits", edits), with_leaves=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -98,7 +100,7 @@ def _quality_sql() -> str:
         r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
         covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id),
         lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
-        again AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
+        again AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
         s AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
             coalesce(again.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN again USING (doc_id) LEFT JOIN covered USING (doc_id)),
         m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR n_repeat_words * 100 > n_words * {quality.MOST_REPEATED} AS base_failed, {", ".join(f"{v} AS {k}" for k, v in shares.items())} FROM s),

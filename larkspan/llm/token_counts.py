@@ -1,27 +1,30 @@
 """Token counts that follow edits (operator 10).
 
-Each document has a segment tree: its leaves are runs of a few chunks (whole pre-tokens) with their
-code points and tokens, its inner nodes sums of both. An edit finds its leaves by descending the code
-points, re-encodes those leaves and one on either side, deals the new chunks over the same leaves and
-updates the sums above them. Leaves begin where white space follows something else, so what lies
-outside the re-encoded region keeps its ids.
+A document is stored as the leaves of a segment tree: runs of a few chunks (whole pre-tokens), each with its
+text and its tokens; inner nodes, sums of code points and tokens, are made from the leaves' numbers when
+edits come. An edit finds its leaves by descending the code points, re-encodes those leaves and one on
+either side, deals the new chunks over the same leaves (over more, if there are too many) and updates
+the sums above them. Leaves begin where white space follows something else, so what lies outside the
+re-encoded region keeps its ids. The edited leaves are a table again: the next edits read them, and no
+text is encoded twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import utf8, slices
+from larkspan.llm.common import slices, utf8
 from larkspan.llm.tokens import CHUNK, Encoder, encoder, vocabulary
 
-#: Chunks in a leaf at first, and the chunks of which a worker keeps the number of ids for edits.
-LEAF, KNOWN = 8, 200_000
+#: Chunks in a leaf at first (twice as many at most), and the chunks of which a worker keeps the number of ids for edits.
+LEAF, KNOWN = 16, 200_000
 
+LEAVES = "doc_id long, leaves array<string>, tokens array<int>"
 EDITS = "array<struct<start:int,removed:int,added:string>>"
 COUNTS = "doc_id long, n_chars long, n_tokens_before long, n_tokens long, n_edits long, n_leaves long, n_reencoded long"
 
@@ -29,22 +32,31 @@ COUNTS = "doc_id long, n_chars long, n_tokens_before long, n_tokens long, n_edit
 class Tree:
     """Sums of code points and tokens over a document's leaves."""
 
-    def __init__(self, chars: list[int], tokens: list[int]) -> None:
-        self.width = 1 << max(0, len(chars) - 1).bit_length()
-        pad = [0] * (self.width - len(chars))
-        self.chars, self.tokens = [0] * self.width + chars + pad, [0] * self.width + tokens + pad
-        self.leaves = max(1, len(chars))
+    def __init__(self, leaves: list[str], tokens: list[int]) -> None:
+        self.leaves = leaves or [""]
+        self.build(tokens or [0])
+
+    def build(self, tokens: list[int]) -> None:
+        self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
+        pad = [0] * (self.width - len(self.leaves))
+        self.chars, self.tokens = [0] * self.width + [len(x) for x in self.leaves] + pad, [0] * self.width + tokens + pad
         for i in range(self.width - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+            self.add(i)
+
+    def add(self, i: int) -> None:
+        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+
+    def of_leaves(self) -> list[int]:
+        """The tokens of each leaf."""
+        return self.tokens[self.width : self.width + len(self.leaves)]
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds code point `at` (the last one with text, if it's beyond), and the code points before that leaf."""
         if not self.chars[1]:
             return 0, 0
         at = min(at, self.chars[1] - 1)
-        i = 1
-        before = 0
+        i, before = 1, 0
         while i < self.width:
             i *= 2
             if at - before >= self.chars[i]:
@@ -52,35 +64,43 @@ class Tree:
                 i += 1
         return i - self.width, before
 
-    def put(self, leaf: int, chars: int, tokens: int) -> None:
+    def put(self, leaf: int, text: str, tokens: int) -> None:
+        self.leaves[leaf] = text
         i = leaf + self.width
-        self.chars[i], self.tokens[i] = chars, tokens
+        self.chars[i], self.tokens[i] = len(text), tokens
         while i > 1:
             i >>= 1
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+            self.add(i)
 
-    def edit(self, text: str, start: int, removed: int, added: str, count) -> tuple[str, int]:
-        """Applies an edit to `text`, whose tree this is: the new text and the code points that were encoded again."""
-        start = max(0, min(start, len(text)))
-        stop = max(start, min(start + removed, len(text)))
+    def edit(self, start: int, removed: int, added: str, count: Callable[[str], int], leaf: int = LEAF) -> int:
+        """Applies an edit; the code points that were encoded again."""
+        start = max(0, min(start, self.chars[1]))
+        stop = max(start, min(start + removed, self.chars[1]))
         first, before = self.find(start)
         last, _ = self.find(stop)
-        near = next((i for i in range(first - 1, -1, -1) if self.chars[i + self.width]), None)
+        near = next((i for i in range(first - 1, -1, -1) if self.leaves[i]), None)
         if near is not None:
-            first, before = near, before - self.chars[near + self.width]
-        last = next((i for i in range(last + 1, self.leaves) if self.chars[i + self.width]), self.leaves - 1)
-        end = before + sum(self.chars[first + self.width : last + 1 + self.width])
-        region = text[before:start] + added + text[stop:end]
+            first, before = near, before - len(self.leaves[near])
+        last = next((i for i in range(last + 1, len(self.leaves)) if self.leaves[i]), len(self.leaves) - 1)
+        old = "".join(self.leaves[first : last + 1])
+        region = old[: start - before] + added + old[stop - before :]
         chunks = CHUNK.findall(region)
-        share = max(1, -(-len(chunks) // (last - first + 1)))
-        for k, leaf in enumerate(range(first, last + 1)):
-            part = chunks[k * share : (k + 1) * share]
-            self.put(leaf, sum(map(len, part)), sum(map(count, part)))
-        return text[:before] + region + text[end:], len(region)
+        n = last - first + 1
+        share = -(-len(chunks) // n)
+        if share > 2 * leaf:
+            parts = [chunks[k : k + leaf] for k in range(0, len(chunks), leaf)]
+            tokens = self.of_leaves()
+            tokens[first : last + 1] = [sum(map(count, p)) for p in parts]
+            self.leaves[first : last + 1] = ["".join(p) for p in parts]
+            self.build(tokens)
+        else:
+            for k in range(n):
+                part = chunks[k * share : (k + 1) * share]
+                self.put(first + k, "".join(part), sum(map(count, part)))
+        return len(region)
 
 
-def counter(encode: Encoder):
+def counter(encode: Encoder) -> Callable[[str], int]:
     """The number of a chunk's ids, kept for the most recent chunks."""
     known: dict[str, int] = {}
 
@@ -94,60 +114,96 @@ def counter(encode: Encoder):
     return count
 
 
-def trees(encode: Encoder, buf: np.ndarray, offsets: np.ndarray, leaf: int = LEAF) -> list[Tree]:
-    """The trees of some texts, all their chunks counted together."""
+def leaves_of(encode: Encoder, buf: np.ndarray, offsets: np.ndarray, leaf: int = LEAF) -> tuple[pa.Array, pa.Array]:
+    """The leaves' texts and tokens of some texts, all their chunks encoded together."""
     hard = encode.hard(buf, offsets)
     entry, begins, words = encode.chunks(buf, offsets)
     size = np.concatenate([[0], np.cumsum(encode.size[entry])])
-    point = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    out = []
+    cuts, tokens, counts = [], [], []
     for i in range(len(offsets) - 1):
         a, b = int(words.first[i]), int(words.first[i + 1])
         if hard[i] or a == b:
             chunks = CHUNK.findall(buf[offsets[i] : offsets[i + 1]].tobytes().decode())
             parts = [chunks[k : k + leaf] for k in range(0, len(chunks), leaf)]
-            out.append(Tree([sum(map(len, p)) for p in parts], [sum(len(encode.chunk(c)) >> 2 for c in p) for p in parts]))
+            lengths = [len("".join(p).encode()) for p in parts]
+            cuts.append(offsets[i] + np.cumsum([0, *lengths[:-1]]) if parts else np.zeros(0, np.int64))
+            tokens.append(np.array([sum(len(encode.chunk(c)) >> 2 for c in p) for p in parts], np.int64))
         else:
-            cuts = np.arange(a, b, leaf)
-            chars = np.diff(np.append(point[begins[cuts]], point[offsets[i + 1]]))
-            out.append(Tree(chars.tolist(), np.diff(np.append(size[cuts], size[b])).tolist()))
-    return out
+            at = np.arange(a, b, leaf)
+            cuts.append(begins[at])
+            tokens.append(np.diff(np.append(size[at], size[b])))
+        counts.append(len(cuts[-1]))
+    rows = pa.array(np.cumsum([0, *counts]), pa.int32())
+    # The leaves of all texts lie one after another in `buf`, so each ends where the next one starts.
+    ends = np.concatenate([*cuts, [offsets[-1]]]).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(buf.tobytes())]).cast(pa.string())
+    return pa.ListArray.from_arrays(rows, texts), pa.ListArray.from_arrays(rows, pa.array(np.concatenate(tokens) if tokens else [], pa.int32()))
+
+
+def trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """The leaves of docs (doc_id, text): doc_id, leaves (their texts, in order: joined they are the text) and tokens (of each).
+
+    Null and empty texts have no leaf; repeated rows and rows of one doc_id are kept each; an empty
+    table gives no row; other columns are left out. Write the result as a table; edits read it.
+    """
+    path = path or vocabulary()
 
+    def cut_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in batches:
+            for i, j, part, at in slices(*utf8(batch.column("text"))):
+                texts, tokens = leaves_of(encode, part, at, leaf)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), texts, tokens], names=["doc_id", "leaves", "tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(cut_part, LEAVES)
 
-def edited_counts(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """Counts the tokens of docs (doc_id, text, edits) before and after their edits.
+
+def edited(rows: DataFrame, path: str | None = None, leaf: int = LEAF, with_leaves: bool = True) -> DataFrame:
+    """Applies edits to trees: rows (doc_id, leaves, tokens, edits) after them, with their counts.
 
     `edits` is an array of (start, removed, added) in code points, each applied to what the one before
-    it left. A null text is empty; null edits, and null fields as 0 or '', change nothing; positions
-    beyond the text mean its end. Returns doc_id, n_chars and n_tokens after the edits, n_tokens_before,
-    n_edits, n_leaves and n_reencoded (code points encoded again). Repeated rows are counted each; an
-    empty table gives no row; other columns are left out.
+    it left. Null edits, null leaves, and null fields as 0 or '', change nothing; positions
+    beyond the text mean its end, negative ones its start. Returns doc_id, n_chars and n_tokens after the edits, n_tokens_before,
+    n_edits, n_leaves, n_reencoded (code points encoded again) and, if wanted, the new leaves and tokens, from which the next edits
+    go on. Repeated rows are edited each; an empty table gives no row; other columns are left out.
     """
     path = path or vocabulary()
+    schema = f"{COUNTS}, leaves array<string>, tokens array<int>" if with_leaves else COUNTS
+    names = [c.split()[0] for c in COUNTS.split(", ")]
 
-    def count_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        count = counter(encode)
+    def edit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(encoder(path))
         for batch in batches:
-            buf, offsets = utf8(batch.column("text"))
-            doc_ids, edits = batch.column("doc_id").to_pylist(), batch.column("edits").to_pylist()
-            rows = []
-            for i, j, part, at in slices(buf, offsets):
-                for k, tree in zip(range(i, j), trees(encode, part, at, leaf), strict=True):
-                    text, tokens, again = part[at[k - i] : at[k - i + 1]].tobytes().decode(), tree.tokens[1], 0
-                    for e in edits[k] or []:
-                        text, n = tree.edit(text, e["start"] or 0, e["removed"] or 0, e["added"] or "", count) if e else (text, 0)
-                        again += n
-                    rows.append((doc_ids[k], len(text), tokens, tree.tokens[1], len(edits[k] or []), tree.leaves, again))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, names=[c.split()[0] for c in COUNTS.split(", ")])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast(EDITS).alias("edits"))
-    return rows.mapInArrow(count_part, COUNTS)
-
-
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with their rows of edits (doc_id, seq, start, removed, added) as the array that `edited_counts` takes, by seq."""
+            columns = [batch.column(c) for c in ("doc_id", "leaves", "tokens", "edits")]
+            out: list[list] = [[] for _ in range(len(names) + 2)]
+            for i in range(batch.num_rows):  # one document's leaves as Python objects at a time
+                doc, texts, tokens, edits = (c[i].as_py() for c in columns)
+                tree = Tree(texts or [], tokens or [])
+                before, again = tree.tokens[1], 0
+                for e in edits or []:
+                    if e:
+                        again += tree.edit(e["start"] or 0, e["removed"] or 0, e["added"] or "", count, leaf)
+                leaves = tree.leaves if tree.chars[1] else []
+                for column, value in zip(out, (doc, tree.chars[1], before, tree.tokens[1], len(edits or []), len(leaves), again, leaves, tree.of_leaves() if leaves else []), strict=True):
+                    column.append(value)
+            arrays = [pa.array(c, pa.int64()) for c in out[: len(names)]]
+            if with_leaves:
+                arrays += [pa.array(out[-2], pa.list_(pa.string())), pa.array(out[-1], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "leaves", "tokens"] if with_leaves else names)
+
+    taken = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "leaves", F.col("tokens").cast("array<int>").alias("tokens"), F.col("edits").cast(EDITS).alias("edits"))
+    return taken.mapInArrow(edit_part, schema)
+
+
+def with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """rows (doc_id and others, of trees say) with their rows of edits (doc_id, seq, start, removed, added) as the array that `edited` takes, by seq.
+
+    Rows without edits get null; edits without a row, and of a null doc_id, go nowhere; edits of equal seq follow
+    each other by start, removed and added (null first); null fields stay null; rows that share a doc_id get the same edits.
+    The edits of one document depend on each other, so they travel together. A column `edits` of rows gives way.
+    """
     one = F.struct(F.col("seq"), F.col("start"), F.col("removed"), F.col("added"))
-    lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_edits"))
+    lists = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_edits"))
     lists = lists.select("doc_id", F.transform("_edits", lambda e: F.struct(e["start"].alias("start"), e["removed"].alias("removed"), e["added"].alias("added"))).alias("edits"))
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    return rows.drop("edits").join(lists, "doc_id", "left")

@@ -2,9 +2,10 @@
 
 A byte-level BPE never merges across pre-tokens, and between a character that isn't white space
 and one that is there is always a pre-token boundary. So a text falls into chunks `\\s*\\S+`, each
-of which has the same ids alone as in its text. Texts repeat chunks a lot: a worker looks the chunks
-up by a 64-bit hash, encodes those that it doesn't know, and keeps a bounded number, the most used.
-(With 400,000 kept, a chunk takes another's ids by a clash of hashes with a chance of 2e-14.)
+of which has the same ids alone as in its text. (A special token's string holds no white space, so it's in
+one chunk, and the library gives it its id as it does in a whole text.) Texts repeat chunks a lot: a worker
+finds a slice's distinct chunks, looks them up by their bytes, encodes those that it doesn't know, and keeps
+a bounded number, the most used.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from array import array
 import numpy as np
 import pandas as pd
 
-from larkspan.llm.common import SPACE, Words, mixed, slices
+from larkspan.llm.common import SPACE, Words, slices
 
 #: Chunks of which a worker keeps the ids.
-KEPT = 400_000
+KEPT = 300_000
 #: Words of which it keeps the ids apart from the signs after them.
 HEADS = 150_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,12 +63,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.heads: dict[str, bytes] = {}
-        self.keys, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.index = pd.Index(self.keys)
+        self.entry: dict[bytes, int] = {}  # a chunk's place in the arrays, in their order
+        self.hits, self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def chunk(self, chunk: str) -> bytes:
         """A chunk's ids as unsigned 32-bit numbers. One word with signs after it, the usual case, goes to the model without the pre-tokenizer."""
@@ -87,20 +86,37 @@ class Encoder:
     def slowly(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.chunk, CHUNK.findall(text))), np.uint32)
 
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        if len(self.keys) + len(keys) > KEPT and len(self.keys):
-            stay = np.sort(np.argsort(-self.hits, kind="stable")[: max(0, KEPT // 2 - len(keys))])
-            size = self.size[stay]
-            at = np.cumsum(size) - size
-            self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[stay] - at, size)]
-            self.keys, self.hits, self.at, self.size = self.keys[stay], self.hits[stay] // 2, at, size
-        ids = [self.chunk(c) for c in chunks]
+    def forget(self, needed: np.ndarray, room: int) -> None:
+        """Keeps the entries that are needed now, and of the others the most used, so that `room` more may come."""
+        rank = self.hits.copy()
+        rank[needed] = np.iinfo(np.int64).max
+        count = min(len(rank), max(len(needed), KEPT // 2 - room))
+        stay = np.zeros(len(rank), bool)
+        stay[np.argsort(-rank, kind="stable")[:count]] = True
+        size = self.size[stay]
+        at = np.cumsum(size) - size
+        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[stay] - at, size)]
+        self.entry = {k: i for i, k in enumerate(k for k, s in zip(self.entry, stay.tolist(), strict=True) if s)}
+        self.hits, self.at, self.size = self.hits[stay] // 2, at, size
+
+    def places(self, chunks: list[bytes]) -> np.ndarray:
+        """The entries of distinct chunks, learned if they are new."""
+        found = np.fromiter((self.entry.get(c, -1) for c in chunks), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        if len(self.entry) + len(missing) > KEPT:
+            self.forget(found[found >= 0], len(missing))
+            found = np.fromiter((self.entry.get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = [chunks[i] for i in missing.tolist()]
+        ids = [self.chunk(c.decode()) for c in new]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        found[missing] = np.arange(len(self.entry), len(self.entry) + len(new))
+        self.entry.update(zip(new, found[missing].tolist(), strict=True))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        self.size, self.hits = np.concatenate([self.size, size]), np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
-        self.keys, self.hits = np.concatenate([self.keys, keys]), np.concatenate([self.hits, np.zeros(len(keys), np.int64)])
-        self.index = pd.Index(self.keys)
+        return found
 
     def chunks(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
         """For each word of the texts: the entry of the chunk that it ends, and where that chunk starts."""
@@ -111,24 +127,17 @@ class Encoder:
         heads = words.first[:-1][np.diff(words.first) > 0]
         begins[heads] = offsets[:-1][np.diff(words.first) > 0]
         gap = words.starts - begins
-        code = np.where(gap == 1, buf[np.minimum(begins, len(buf) - 1)], 0).astype(np.uint64)
-        for i in np.flatnonzero(gap > 1):
-            code[i] = hash(buf[begins[i] : words.starts[i]].tobytes()) & 0xFFFFFFFFFFFFFF | 1 << 60
-        keys = mixed(words.hashes() + code * np.uint64(0xA24BAED4963EE407))
-        found = self.index.get_indexer(keys)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            known = found[found >= 0]
-            self.hits += np.bincount(known, minlength=len(self.hits))
-            new, one = np.unique(keys[missing], return_index=True)
-            raw, where = buf.tobytes(), missing[one]
-            self.learn(new, [raw[a:b].decode() for a, b in zip(begins[where].tolist(), words.ends[where].tolist(), strict=True)])
-            found = self.index.get_indexer(keys)
-            if (found < 0).any():  # dropped to make room just now
-                return self.chunks(buf, offsets)
-        else:
-            self.hits += np.bincount(found, minlength=len(self.hits))
-        return found, begins, words
+        before = np.where(gap == 1, buf[np.minimum(begins, len(buf) - 1)], 0).astype(np.int64)
+        wide: dict[bytes, int] = {}
+        for i in np.flatnonzero(gap > 1).tolist():
+            before[i] = 256 + wide.setdefault(buf[begins[i] : words.starts[i]].tobytes(), len(wide))
+        codes, _ = pd.factorize(words.distinct()[0] * (256 + len(wide)) + before)
+        one = np.zeros(int(codes.max()) + 1, np.int64)
+        one[codes] = np.arange(len(codes))
+        raw = buf.tobytes()
+        entry = self.places([raw[a:b] for a, b in zip(begins[one].tolist(), words.ends[one].tolist(), strict=True)])
+        self.hits[entry] += np.bincount(codes, minlength=len(entry))
+        return entry[codes], begins, words
 
     def hard(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts end in white space or hold such beyond ASCII, so that chunks of bytes don't do."""
