@@ -1,9 +1,10 @@
 """Counting hashes of all documents exactly, with few bytes moved.
 
-Documents go to blocks by a hash of their id. A block sends each distinct hash of its documents once,
+Rows go to blocks by a hash of their id, their text and the partition they come from, so neither one id
+(or null) nor one text fills a block. A block sends each distinct hash of its documents once,
 to the bucket that owns the hash's leading bits; hashes of one block and bucket travel together, in
 ascending order, as planes of bytes (the leading planes compress well). A bucket answers each block
-with one bit for each hash. So a frequent hash costs one entry a block, not one a document, no task
+with a bit or two for each hash. So a frequent hash costs one entry a block, not one a document, no task
 gets more than its block or bucket, and the answer is nearly free to move.
 """
 
@@ -22,9 +23,9 @@ SENT = "_bucket int, _block long, _hashes binary, _again binary"
 ANSWER = "_bucket int, _block long, _marks binary"
 
 
-def blocked(docs: DataFrame, size: int) -> DataFrame:
-    """docs with their _block, of so many that each has about BLOCK_BYTES of `size`."""
-    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // BLOCK_BYTES)))))
+def blocked(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """docs (with doc_id and this column of text) and their _block, of so many that each has about BLOCK_BYTES of `size`."""
+    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id()), F.lit(max(1, -(-size // BLOCK_BYTES)))))
 
 
 def bucket_bits(hashes: int) -> int:
@@ -51,26 +52,45 @@ def opened(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def answered(bucket: int, marks: list[tuple[int, np.ndarray]]) -> pa.Table:
-    return pa.table({"_bucket": pa.array([bucket] * len(marks), pa.int32()), "_block": pa.array([b for b, _ in marks], pa.int64()), "_marks": pa.array([np.packbits(m).tobytes() for _, m in marks], pa.binary())})
+    """marks: for each block its answers, a row of bits for each question."""
+    return pa.table({"_bucket": pa.array([bucket] * len(marks), pa.int32()), "_block": pa.array([b for b, _ in marks], pa.int64()), "_marks": pa.array([np.packbits(m.ravel()).tobytes() for _, m in marks], pa.binary())})
 
 
-def marks_of(table: pa.Table, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The bits that the buckets gave for a block's distinct ascending hashes."""
-    out = np.zeros(len(hashes), bool)
+def marks_of(table: pa.Table, hashes: np.ndarray, bits: int, questions: int = 1) -> np.ndarray:
+    """The bits that the buckets gave for a block's distinct ascending hashes: a row for each question."""
+    out = np.zeros((questions, len(hashes)), bool)
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     for name, raw in zip(table.column("_bucket").to_pylist(), table.column("_marks").to_pylist(), strict=True):
-        a, b = np.searchsorted(bucket, [name, name + 1])
-        out[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(b - a)).astype(bool)
+        a, b = (int(x) for x in np.searchsorted(bucket, [name, name + 1]))
+        out[:, a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=questions * (b - a)).reshape(questions, b - a)
     return out
 
 
-def asked(blocks: DataFrame, hashes_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], judge: Callable[[list[tuple[int, np.ndarray, np.ndarray]]], list[tuple[int, np.ndarray]]], bits: int) -> DataFrame:
-    """Sends each block's hashes (hashes_of) to their buckets; the answers (judge) by block."""
+def hashes_in_several(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """A judge: marks hashes that more than one block has, or one block more than once."""
+    hashes = np.sort(np.concatenate([h for _, h, _ in rows]))
+    twice = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
+    return [(block, again | np.isin(h, twice, assume_unique=True)) for block, h, again in rows]
 
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        return sent(key[0].as_py(), *hashes_of(table), bits)
+
+def asked(blocks: DataFrame, hashes_of: Callable[..., tuple[np.ndarray, np.ndarray]], judge: Callable[[list[tuple[int, np.ndarray, np.ndarray]]], list[tuple[int, np.ndarray]]], bits: int, after: DataFrame | None = None) -> DataFrame:
+    """Sends each block's hashes to their buckets; the answers (judge) by block.
+
+    hashes_of takes a block's rows and, with `after` (the answers of a round before), the block's answers.
+    """
+
+    def send(key: tuple, *tables: pa.Table) -> pa.Table:
+        return sent(key[0].as_py(), *hashes_of(*tables), bits)
+
+    def send_one(key: tuple, table: pa.Table) -> pa.Table:
+        return send(key, table)
+
+    def send_two(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return send(key, table, answers)
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         return answered(key[0].as_py(), judge(opened(table)))
 
-    return blocks.groupBy("_block").applyInArrow(send, SENT).groupBy("_bucket").applyInArrow(answer, ANSWER)
+    grouped = blocks.groupBy("_block")
+    out = grouped.applyInArrow(send_one, SENT) if after is None else grouped.cogroup(after.groupBy("_block")).applyInArrow(send_two, SENT)
+    return out.groupBy("_bucket").applyInArrow(answer, ANSWER)

@@ -4,31 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.blocks import asked, blocked, bucket_bits, marks_of
-from larkspan.llm.common import Words, rolling, slices, total_bytes, utf8, with_columns
+from larkspan.llm.blocks import asked, blocked, bucket_bits, hashes_in_several, marks_of
+from larkspan.llm.common import OTHER_BASE, WORD_BASE, Words, mixed, rolling, settled, slices, total_bytes, utf8, with_columns
 
 #: Words in a window.
 WINDOW = 35
 ADDED = ["n_words", "n_removed", "kept_text", "removed_spans"]
 
 
-def _hashes(buf: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-    """The hashes of all windows, in the order of the texts."""
-    parts = []
+#: Low bits of a window's hash that the first round doesn't send: the second one settles what only looks repeated.
+UNSENT = np.uint64(16)
+
+
+def _hashes(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all windows, in the order of the texts: the first without its UNSENT bits, the second, from other hashes of the words, whole."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for _, _, part, at in slices(buf, offsets):
         words = Words(part, at)
-        parts.append(rolling(words.hashes(), k)[words.windows(k)] if len(words.starts) >= k else np.zeros(0, np.uint64))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        if len(words.starts) >= k:
+            one, two = words.hashes(1, 2)
+            starts = words.windows(k)
+            parts.append((rolling(one, k, WORD_BASE)[starts] >> UNSENT << UNSENT, mixed(rolling(two, k, OTHER_BASE)[starts])))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _judge(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
-    """Marks hashes that more than one block has, or one block more than once."""
-    hashes = np.sort(np.concatenate([h for _, h, _ in rows]))
-    twice = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
-    return [(block, again | np.isin(h, twice, assume_unique=True)) for block, h, again in rows]
+def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, counts = np.unique(hashes, return_counts=True)
+    return distinct, counts > 1
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -43,24 +49,35 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     '' as kept_text; texts shorter than a window stay whole; repeated rows repeat each other's windows;
     columns of docs with those names give way; an empty table stays empty. doc_id may be null.
 
-    Two windows with the same 64-bit hash count as the same: among 10**10 distinct windows about 3 pairs
-    would clash.
+    Windows are counted in two rounds: what looks repeated by 48 bits of a rolling hash of the words' XXH3 values
+    is confirmed by another, of 64 bits, from another seed and base. Different windows pass both by chance once in 10**13
+    windows or so.
     """
     rest = with_columns(docs, [*ADDED, "text"]).columns
     rows = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in rest])
     size = total_bytes(docs)[1]
     bits = bucket_bits(size // 6)
-    blocks = blocked(rows, size).select("_block", "_text", *[f"`{c}`" for c in rest])
+    blocks = blocked(rows, "_text", size).select("_block", "_text", *[f"`{c}`" for c in rest])
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in rest) + "n_words long, n_removed long, kept_text string, removed_spans array<array<int>>"
 
-    def hashes_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        hashes, counts = np.unique(_hashes(*utf8(table.column("_text")), window), return_counts=True)
-        return hashes, counts > 1
+    def first_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _counted(_hashes(*utf8(table.column("_text")), window)[0])
+
+    def suspected(one: np.ndarray, answers: pa.Table) -> np.ndarray:
+        distinct, place = np.unique(one, return_inverse=True)
+        return marks_of(answers, distinct, bits)[0][place]
+
+    def second_of(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        one, two = _hashes(*utf8(table.column("_text")), window)
+        return _counted(two[suspected(one, answers)])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         buf, offsets = utf8(left.column("_text"))
-        hashes, place = np.unique(_hashes(buf, offsets, window), return_inverse=True)
-        repeated = marks_of(right, hashes, bits)[place]
+        one, two = _hashes(buf, offsets, window)
+        first, second = (right.filter(pc.equal(right.column("_round"), k)) for k in (1, 2))
+        repeated = suspected(one, first)
+        distinct, place = np.unique(two[repeated], return_inverse=True)
+        repeated[repeated] = marks_of(second, distinct, bits)[0][place]
         n_words, n_removed, kept, spans, seen = [], [], [], [], 0
         for i, j, part, at in slices(buf, offsets):
             words = Words(part, at)
@@ -90,5 +107,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         out |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed_spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))}
         return pa.table(out)
 
-    answers = asked(blocks, hashes_of, _judge, bits)
+    first = settled(asked(blocks, first_of, hashes_in_several, bits), "suspected-windows")
+    second = asked(blocks, second_of, hashes_in_several, bits, first)
+    answers = first.withColumn("_round", F.lit(1)).unionByName(second.withColumn("_round", F.lit(2)))
     return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(remove, schema)
