@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import SPACE, Words, mixed, settled, slices, utf8, with_columns
+from larkspan.llm.common import SPACE, Words, settled, slices, utf8, with_columns
 
 #: Base rules: words of the shortest text, and the percentage of its words in repeated windows of three.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -42,14 +43,12 @@ def stats_of(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[3, i] = len(lines) - len(set(lines))
     starts = words.windows(3)
     if len(starts):
-        h = words.hashes()
-        owner = np.repeat(np.arange(rows), np.maximum(out[0] - 2, 0)).astype(np.uint64)
-        key = mixed(h[starts] + np.uint64(3) * mixed(h[starts + 1]) + mixed(np.uint64(5) * h[starts + 2] + mixed(owner + np.uint64(1))))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        word, _ = words.distinct()
+        n = int(word.max()) + 1
+        window = np.repeat(np.arange(rows), np.maximum(out[0] - 2, 0))
+        for k in range(3):  # a number for each text and its words so far: no hash, so no clash
+            window = pd.factorize(window * n + word[starts + k])[0]
+        twice = (np.bincount(window) > 1)[window]
         covered = np.zeros(len(words.starts), bool)
         for k in range(3):
             covered[starts[twice] + k] = True
@@ -122,8 +121,8 @@ def judged(stats: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.select(*[stats[f"`{c}`"] for c in names], failed.alias("base_failed"), (~failed & within).alias("kept"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs (with text, lang, source), the five counts of each text, base_failed and kept.
+def quality_rules(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """docs (with text, lang, source), the five counts of each text, base_failed and kept; without text if it isn't wanted.
 
     Words are `[^\\x20\\x09-\\x0D]+`. n_words and word_chars count words and their code points; n_symbols
     characters of `[#*$%&|<>]`; n_dup_lines lines with a word that equal an earlier line of the text;
@@ -133,9 +132,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     quartiles of its lang and source by more than FENCE times their distance.
 
     Null texts have no words; null langs and sources are groups of their own; repeated rows count each;
-    columns of docs with the names of the added ones give way; an empty table stays empty.
+    columns of docs with the names of the added ones give way; an empty table stays empty. Texts are measured
+    once: the counts are written to the shared folder, and thresholds and verdicts come from them.
     """
     docs = with_columns(docs, ADDED).withColumn("text", F.col("text").cast("string"))
-    seen = with_stats(docs.select("lang", "source", "text")).drop("text")
-    thresholds = settled(thresholds_of(seen), "thresholds")
-    return judged(with_stats(docs), thresholds)
+    seen = with_stats(docs)
+    seen = settled(seen if with_text else seen.drop("text"), "quality-counts")
+    return judged(seen, settled(thresholds_of(seen), "thresholds"))
