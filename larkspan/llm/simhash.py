@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from larkspan.llm.common import Words, settled, slices, utf8
 
 SHINGLE, BITS, ERRORS, SEED = 3, 64, 2, 42
-#: Fingerprints that one route may bring together before it is split, and how often routes are split.
-MOST_ON_ROUTE, SPLITS = 100_000, 3
+#: Fingerprints that one route may bring together before it is split.
+MOST_ON_ROUTE = 100_000
 #: Node pairs that the traversal holds at a time.
 FRONTIER = 200_000
+#: Splits of a route at most: its open bits are then so few that no segment of three is left.
+DEEPEST = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -162,31 +164,57 @@ def routed(rows: DataFrame) -> DataFrame:
 
 
 def links(distinct: DataFrame, most: int = MOST_ON_ROUTE) -> DataFrame:
-    """Links between distinct fingerprints (a column), enough to connect all that differ in at most ERRORS bits: low, high."""
+    """Links between distinct fingerprints (a column), enough to connect all that differ in at most ERRORS bits: low, high.
+
+    A route with more than `most` fingerprints is split by a segment of its open bits, again and again. A split
+    leaves two thirds of them open, so after five no route can hold 100,000 different fingerprints; with a
+    smaller `most` splitting ends where a route has too few open bits to be split.
+    """
     rows = routed(distinct.select("fingerprint", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("key")))
-    for _ in range(SPLITS - 1):
-        hot = rows.groupBy("path", "key").count().where(F.col("count") > most).select("path", "key")
-        hot = settled(hot, "hot-routes")
+    for _ in range(DEEPEST):
+        hot = settled(rows.groupBy("path", "key").count().where(F.col("count") > most).select("path", "key"), "hot-routes")
         if hot.isEmpty():
             break
         rows = rows.join(hot, ["path", "key"], "left_anti").select("fingerprint", "path", "key").unionByName(routed(rows.join(hot, ["path", "key"], "left_semi").select("fingerprint", "path", "key")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        table = pa.Table.from_batches(batches)
-        f, path, key = (table.column(c).to_numpy() for c in ("fingerprint", "path", "key"))
-        f = f.view(np.uint64)
-        order = np.lexsort((f, key, path))
-        f, path, key = f[order], path[order], key[order]
-        group = np.cumsum(np.concatenate([[0], (np.diff(path) != 0) | (np.diff(key) != 0)]))
-        root = joined_roots(len(f), trie_links(f, group))
-        far = np.flatnonzero(root != np.arange(len(f)))
-        a, b = f[root[far]].view(np.int64), f[far].view(np.int64)
-        yield pa.RecordBatch.from_pydict({"low": pa.array(np.minimum(a, b)), "high": pa.array(np.maximum(a, b))})
-
-    return rows.repartition("path", "key").mapInArrow(search, "low long, high long").distinct()
+        """Routes one after another, whole ones at a time: a task holds a route and a batch, not its partition."""
+        held: list[np.ndarray] = []
+
+        def close(f: np.ndarray, path: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum(np.concatenate([[0], (np.diff(path) != 0) | (np.diff(key) != 0)]))
+            order = np.lexsort((f, group))
+            f, group = f[order], group[order]
+            root = joined_roots(len(f), trie_links(f, group))
+            far = np.flatnonzero(root != np.arange(len(f)))
+            a, b = f[root[far]].view(np.int64), f[far].view(np.int64)
+            return pa.RecordBatch.from_pydict({"low": pa.array(np.minimum(a, b)), "high": pa.array(np.maximum(a, b))})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([batch.column(c).to_numpy() for c in ("fingerprint", "path", "key")]))
+            last = held[-1][1:]
+            cut = np.flatnonzero((last[:, 1:] != last[:, :-1]).any(axis=0))
+            start = int(cut[-1]) + 1 if len(cut) else 0  # of the last route, which may go on
+            before = held[-2][1:, -1] if len(held) > 1 else None
+            if not start and (before is None or (before == last[:, 0]).all()):
+                continue
+            whole = np.concatenate([*held[:-1], held[-1][:, :start]], axis=1)
+            held[:] = [held[-1][:, start:]]
+            if whole.shape[1]:
+                yield close(whole[0].view(np.uint64), whole[1], whole[2])
+        if held:
+            whole = np.concatenate(held, axis=1)
+            yield close(np.ascontiguousarray(whole[0]).view(np.uint64), whole[1], whole[2])
+
+    return rows.repartition("path", "key").sortWithinPartitions("path", "key").mapInArrow(search, "low long, high long").distinct()
+
+
+def _mark(edges: DataFrame, name: str) -> DataFrame:
+    """One row that two sets of edges share only if they are the same: their number, and the sum and xor of hashes."""
+    hashed = F.xxhash64("low", "high")
+    return edges.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.bit_xor(hashed).alias("x"), F.sum(hashed.cast("decimal(38,0)")).alias("s"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,9 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "high").select(F.col("least"), "low", "high")
         small = small.select(F.col("least").alias("low"), "high").unionByName(small.where("least < low").select(F.col("least").alias("low"), F.col("low").alias("high"))).distinct()
         small = settled(small, "small-star")
-        same = large.count() == small.count() and small.join(large, ["low", "high"], "left_anti").isEmpty() and edges.count() == small.count() and small.join(edges, ["low", "high"], "left_anti").isEmpty()
+        marks = _mark(edges, "edges").unionByName(_mark(large, "large")).unionByName(_mark(small, "small")).collect()
         edges = small
-        if same:
+        if len({(m.n, m.x, m.s) for m in marks}) == 1:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("root"))
 
 
