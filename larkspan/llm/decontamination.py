@@ -20,6 +20,8 @@ from larkspan.llm.common import settled
 SHINGLE, CONTAINED = 5, 0.8
 #: Sketch entries (a number and an id each) and bytes of items that may be broadcast.
 MOST_ENTRIES, MOST_ITEM_BYTES = 1_000_000, 32 << 20
+#: Groups over which documents are dealt where sketches aren't broadcast.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -48,6 +50,20 @@ def shingles(text: str) -> Column:
     return _each(text, lambda w: F.concat_ws(" ", *w))
 
 
+def _found_by_shuffle(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """doc_id, text and item_id where a document and an item's sketch share a hash, for sketches beyond what may be broadcast.
+
+    Only ids and hashes meet; the texts come after, for what was found. A hash may be in a third of all
+    documents, so those are dealt over SALTS groups, and each sketch entry goes to all of them.
+    """
+    named = docs.withColumn("_name", F.xxhash64("text"))
+    salt = F.pmod(F.xxhash64("doc_id", "_name"), F.lit(SALTS)).cast("int")
+    looked_up = named.select("doc_id", "_name", salt.alias("_salt"), F.explode(F.array_distinct(hashes("text"))).alias("hash"))
+    entries = sketches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = looked_up.join(entries.hint("shuffle_merge"), ["hash", "_salt"]).select(F.col("doc_id").alias("_doc"), F.col("_name").alias("_of"), "item_id").distinct()
+    return named.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_name") == F.col("_of"))).select("doc_id", "text", "item_id").distinct()
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles (of the item, distinct) and containment, for each document and item it contains.
 
@@ -63,9 +79,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -
     sketches = settled(items.select("item_id", F.explode(F.slice("h", 1, F.least(missing + 1, F.size("h")))).alias("hash")), "sketches")
     entries, held = sketches.count(), items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("item", " "))), F.lit(0))).first()[0]
     if entries <= MOST_ENTRIES:
-        sketches = F.broadcast(sketches)
-    looked_up = docs.select("doc_id", "text", F.explode(hashes("text")).alias("hash"))
-    found = looked_up.join(sketches, "hash").select("doc_id", "text", "item_id").distinct()
+        looked_up = docs.select("doc_id", "text", F.explode(hashes("text")).alias("hash"))
+        found = looked_up.join(F.broadcast(sketches), "hash").select("doc_id", "text", "item_id").distinct()
+    else:
+        found = _found_by_shuffle(docs.select("doc_id", "text"), sketches)
     exact = items.select(F.col("item_id").alias("_item_id"), "item")
     if held <= MOST_ITEM_BYTES:
         exact = F.broadcast(exact)
