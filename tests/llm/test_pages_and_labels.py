@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import decontamination, html_text, queries, toxicity
 from larkspan.llm.common import table
 from tests.llm import brute
+from tests.llm.test_near_copies import by_all_pairs
 
 
 def page(main, nav="Home News", foot="All rights"):
@@ -96,6 +97,48 @@ def test_decontamination(mixed):
     assert decontamination.contained(docs.limit(0), bench).count() == 0 and decontamination.contained(docs, bench.limit(0)).count() == 0
 
 
+def test_sketches_beyond_a_broadcast(mixed, monkeypatch):
+    docs, bench = mixed
+    want = sorted(map(tuple, decontamination.contained(docs, bench).collect()), key=repr)
+    monkeypatch.setattr(decontamination, "MOST_ENTRIES", 0)
+    monkeypatch.setattr(decontamination, "MOST_ITEM_BYTES", 0)
+    assert sorted(map(tuple, decontamination.contained(docs, bench).collect()), key=repr) == want
+
+
+def test_a_training_step_follows_the_gradient():
+    rng = np.random.default_rng(1)
+    features = [(np.sort(rng.choice(50, 12, replace=False)).astype(np.uint32), rng.integers(1, 5, 12)) for _ in range(6)] + [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    labels, rarity = np.array([0, 1, 1, 0, 0, 1, 1]), rng.random(60) + 0.5
+    vectors, weights, bias = rng.normal(size=(60, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+
+    def loss(vectors, weights, bias):
+        out = 0.0
+        for (ids, counts), label in zip(features, labels, strict=True):
+            mean = sum((n * rarity[i] * vectors[i] for i, n in zip(ids, counts, strict=True)), np.zeros(4)) / max(1, counts.sum())
+            logits = mean @ weights + bias
+            out -= logits[label] - np.log(np.exp(logits).sum())
+        return out / len(labels)
+
+    after = [x.copy() for x in (vectors, weights, bias)]
+    toxicity.step(*after, toxicity.Batch(features, labels, rarity), 0.01)
+    for which, rate in ((0, 0.01), (1, 0.001), (2, 0.001)):
+        for at in np.ndindex(after[which].shape):
+            moved = [[x.copy() for x in (vectors, weights, bias)] for _ in range(2)]
+            for m, d in zip(moved, (1e-5, -1e-5), strict=True):
+                m[which][at] += d
+            slope = (loss(*moved[0]) - loss(*moved[1])) / 2e-5
+            assert abs(after[which][at] - ((vectors, weights, bias)[which][at] - rate * slope)) < 1e-9
+
+
+def test_the_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"bad words {i}") for i in range(300)] + [(2, "good words"), (3, "good " * 90000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    few = toxicity.learned(docs, labels, sample=4)
+    assert abs(few[1] - np.log(1 / 2)) < 1.5  # one toxic of three or two: clean ids aren't crowded out
+    alone = toxicity.learned(docs, labels, sample_bytes=0)
+    assert not np.isfinite(alone[0]).all() or abs(alone[1] - np.log(1e-3 / (1 - 1e-3))) < 1e-6
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     plain = ["river", "stone", "green", "window", "table", "garden", "yellow", "paper"]
@@ -137,7 +180,7 @@ def test_pipeline(spark, data):
     got = after.collect()
     assert {r.doc_id: brute.sha(r.text) for r in got} == want and all(r.n_chars == len(r.text) for r in got)
     before, after = seen["near duplicates"]
-    assert {r.doc_id for r in after.collect()} == {d for d, _, c in brute.simhash([(r.doc_id, r.text) for r in before.collect()]) if d == c}
+    assert {r.doc_id for r in after.collect()} == set(by_all_pairs([(r.doc_id, r.text) for r in before.collect()]).values())
     before, after = seen["packing"]
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
     odd = spark.createDataFrame([(None, None, None, None, None, "k"), (1, "x y", "en", "s", 3, "k")], "doc_id long, text string, lang string, source string, n_chars long, kept string")

@@ -3,16 +3,23 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
-from larkspan.llm import lines, packing, quality, queries, simhash, substrings, token_counts, token_files
-from larkspan.llm.common import table
+from larkspan.llm import blocks, lines, packing, quality, queries, simhash, substrings, token_counts, token_files
+from larkspan.llm.common import Words, settled, table
 from larkspan.llm.tokens import Encoder, vocabulary
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string"
 
 
+def thue_morse(n):
+    """Two words of n letters a and b, each where the other has the other: polynomials modulo 2**64 can't tell them apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+
+
 @pytest.fixture(scope="module")
 def rows(data):
     """Some real texts, and nulls, empty and long texts, ties, repeated rows, odd white space."""
@@ -23,6 +30,8 @@ def rows(data):
     rng = random.Random(5)
     passage = " ".join(rng.choice("abcdefg") * rng.randint(1, 4) for _ in range(60))
     out += [(900, None, None, None), (901, "", "en", None), (902, " \n\t\n ", None, "s"), (None, "A line without an id here\nother", "en", "s"), (None, None, None, None)]
+    twins = thue_morse(2048)
+    out += [(920 + i, " ".join(["same"] * 34 + [w]), "en", "s") for i, w in enumerate(twins)] + [(922, " ".join(twins * 3), "en", "s"), (923, "hi <|endoftext|> you<|endoftext|>", "en", "s")]
     out += [(910, "A Line without an id HERE  \nx\nx\nx", "en", "s"), (911, f"x {passage} y", "en", "s"), (912, f"{passage} z {passage}", "en", "s"), (913, "w " * 5000, "de", "s")]
     out += [(914, "long" * 20000 + "\n" + passage, "de", "s"), (915, "don't  stop　 <|endoftext|> it's\x1c!a", "fr", "s")] * 2
     return out
@@ -60,6 +69,36 @@ def test_substring_dedup(docs, rows, empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
+def test_words_get_numbers_by_their_bytes():
+    text = " ".join([*thue_morse(1024), "a", "b", "a", *thue_morse(1024), "b"]).encode()
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    codes, first = words.distinct()
+    assert len(first) == 4 and len(set(zip(codes.tolist(), text.split(), strict=True))) == 4
+    one, two = words.hashes(1, 2)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == 4
+
+
+def hot_rows():
+    """A third of the rows without an id, a third of one id, one line in all of them, and one text very often."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    common, text = "This line is in every document", words(50)
+    return [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{common}\n{text if i % 5 == 0 else words(20)}") for i in range(300)]
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_hot_ids_and_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lines, "HOT", hot)
+    rows = hot_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    size = sum(len(t) for _, t in rows)
+    most = max(r["count"] for r in blocks.blocked(docs, "text", size).groupBy("_block").count().collect())
+    assert most < 60  # of 300 rows; one block would have 100 of one id
+    same([(r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.text)) for r in lines.deduped_lines(docs).collect()], brute.line_dedup(rows))
+    same([(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substrings.without_repeats(docs).collect()], brute.substring_dedup(rows))
+
+
 def test_line_dedup(docs, rows, empty):
     got = [(r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.text)) for r in lines.deduped_lines(docs).collect()]
     same(got, brute.line_dedup(pairs(rows)))
@@ -114,9 +153,9 @@ def test_components_of_a_chain(spark):
 
 @pytest.fixture(scope="module")
 def whole():
-    """The ids of a text by the library alone."""
-    encode = Encoder(vocabulary())
-    return lambda t: np.array([*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+    """The ids of a text by the library alone, as its file says."""
+    tokenizer = Tokenizer.from_file(vocabulary())
+    return lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_token_files(spark, docs, rows, empty, whole, tmp_path):
@@ -163,6 +202,29 @@ def test_packing(docs, rows, empty, whole):
     assert packing.packed(empty).count() == 0
 
 
+def by_plain_loops(sizes, length=1024):
+    """The assignment, one item and one sequence at a time."""
+    room = packing.rooms(sum(sizes), length).tolist()
+    full, spent, out = list(room), [0.0] * len(room), []
+    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        start, left = 0, sizes[item]
+        while left:
+            open_ = [q for q in range(len(room)) if room[q] >= left] or [q for q in range(len(room)) if room[q]]
+            best = min(open_, key=lambda q: (spent[q], q))
+            n = min(left, room[best])
+            out.append((item, start, n, best, full[best] - room[best]))
+            room[best] -= n
+            spent[best] += packing.cost(n)
+            start, left = start + n, left - n
+    return out
+
+
+def test_packing_equals_plain_loops():
+    for seed in range(5):
+        sizes = np.random.default_rng(seed).integers(1, 1024, 80)
+        assert packing.balanced(sizes) == by_plain_loops(sizes.tolist())
+
+
 def test_packing_balances_costs():
     sizes = np.random.default_rng(1).integers(1, 1024, 500)
     pieces = packing.balanced(sizes)
@@ -173,33 +235,55 @@ def test_packing_balances_costs():
     assert max(full) < 1.25 * min(full) and len(pieces) < 1.6 * len(sizes)
 
 
+def applied(text, edits):
+    for start, removed, added in edits:
+        start = max(0, min(start or 0, len(text)))
+        text = text[:start] + (added or "") + text[start + (removed or 0) :]
+    return text
+
+
 def test_edited_counts(docs, rows, empty, whole):
     rng = random.Random(2)
     texts = [t or "" for _, t in pairs(rows)]
 
     def edits(t):
-        return [(rng.randint(0, len(t) + 3), rng.choice([0, 0, 1, 7, 300]), rng.choice(["", " ", "x", "  ", "\n", " a b", "'s", " ", "zz! ?"])) for _ in range(8)]
-
-    for leaf in (1, 3, 8):
-        made = [edits(t) for t in texts]
-        df = docs.sparkSession.createDataFrame([(i, t, e) for i, (t, e) in enumerate(zip(texts, made, strict=True))], f"doc_id long, text string, edits {token_counts.EDITS}")
-        got = {r.doc_id: r for r in token_counts.edited_counts(df, leaf=leaf).collect()}
-        for i, t in enumerate(texts):
-            assert got[i].n_tokens_before == len(whole(t)) - 1
-            for start, removed, added in made[i]:
-                start = min(start, len(t))
-                t = t[:start] + added + t[start + removed :]
-            assert (got[i].n_tokens, got[i].n_chars) == (len(whole(t)) - 1, len(t)), (i, leaf)
-    none = docs.withColumn("edits", F.lit(None).cast(token_counts.EDITS))
-    assert all(r.n_tokens == r.n_tokens_before and r.n_reencoded == 0 for r in token_counts.edited_counts(none).collect())
-    assert token_counts.edited_counts(empty.withColumn("edits", F.lit(None))).count() == 0
+        return [(rng.randint(0, len(t) + 3), rng.choice([0, 0, 1, 7, 300]), rng.choice(["", " ", "x", "  ", "\n", " a b", "'s", " ", "zz! ?", "<|endoftext|>", "many words of a long piece " * 9])) for _ in range(8)]
+
+    spark = docs.sparkSession
+    for leaf in (1, 3, 16):
+        state = token_counts.trees(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), leaf=leaf)
+        now = list(texts)
+        for _ in range(2):  # the second batch of edits reads the first one's leaves, no text
+            made = [edits(t) for t in now]
+            lists = spark.createDataFrame(list(enumerate(made)), f"_doc long, edits {token_counts.EDITS}")
+            state = settled(token_counts.edited(state.join(lists, state["doc_id"] == lists["_doc"]), leaf=leaf), "test-trees")
+            got = {r.doc_id: r for r in state.collect()}
+            for i, t in enumerate(now):
+                assert got[i].n_tokens_before == len(whole(t)) - 1
+                now[i] = applied(t, made[i])
+                assert (got[i].n_tokens, got[i].n_chars) == (len(whole(now[i])) - 1, len(now[i])), (i, leaf)
+                assert "".join(got[i].leaves) == now[i] and sum(got[i].tokens) == got[i].n_tokens
+    assert max(r.n_reencoded for i, r in got.items() if now[i].count(" w w w w") > 500) < 5000  # of 10,000 code points, by eight edits
+    none = token_counts.trees(docs).withColumn("edits", F.lit(None).cast(token_counts.EDITS))
+    assert all(r.n_tokens == r.n_tokens_before and r.n_reencoded == 0 for r in token_counts.edited(none).collect())
+    assert token_counts.trees(empty).count() == 0 and token_counts.edited(token_counts.trees(empty).withColumn("edits", F.lit(None))).count() == 0
+
+
+def test_leaves_are_split(whole):
+    encode = Encoder(vocabulary())
+    tree = token_counts.Tree([], [])
+    for k in range(50):
+        tree.edit(5 * k, 0, f" w{k} and <more> of it" * 5, token_counts.counter(encode), 4)
+    assert max(len(x.split()) for x in tree.leaves) <= 9 and tree.tokens[1] == len(whole("".join(tree.leaves))) - 1
 
 
 def test_edits_as_rows(spark, whole):
-    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
-    edits = spark.createDataFrame([(1, 2, 0, 0, "B "), (1, 1, 0, 4, "A "), (2, 1, 5, 5, "new")], "doc_id long, seq int, start int, removed int, added string")
-    got = {r.doc_id: r.n_tokens for r in token_counts.edited_counts(token_counts.with_edits(docs, edits)).collect()}
-    assert got == {1: len(whole("B A two three")) - 1, 2: len(whole("new")) - 1}
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "left alone"), (None, "no id")], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 2, 0, 0, "B "), (1, 1, 0, 4, "A "), (2, 1, 5, 5, "new"), (2, 2, None, None, None), (2, 3, -4, 0, "x"), (None, 1, 0, 0, "y"), (9, 1, 0, 0, "z")], "doc_id long, seq int, start int, removed int, added string")
+    rows = token_counts.with_edits(token_counts.trees(docs).withColumn("edits", F.lit("old")), edits)
+    got = {r.doc_id: ("".join(r.leaves), r.n_tokens) for r in token_counts.edited(rows).collect()}
+    want = {1: "B A two three", 2: "xnew", 3: "left alone", None: "no id"}
+    assert got == {d: (t, len(whole(t)) - 1) for d, t in want.items()}
 
 
 def test_queries_over_whole_tables(spark, data):
