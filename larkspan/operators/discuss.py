@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import snippet
-from larkspan.llm.common import settled
+from larkspan.sources.scratch import settled
 
 
 def tags_of_posts(post_tags: DataFrame, tags: DataFrame, votes: DataFrame, user: int) -> DataFrame:

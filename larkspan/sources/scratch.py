@@ -5,10 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that isn't set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
+    """A new path under spark.checkpoint.dir; a temporary folder only where that isn't set, on one machine."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
     return f"{root.rstrip('/')}/larkspan-{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder and read again: later jobs neither repeat their work nor need their lineage."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
