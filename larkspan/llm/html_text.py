@@ -1,13 +1,17 @@
-"""Main text of web pages (operator 1): markup first, then each host's suffix array.
+"""Main text of web pages (operator 1): each host's suffix arrays find what its pages repeat; markup guards the article.
 
-Markup settles most pages: what an article (or main) holds is the text, without the parts marked as menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles. On the other pages repetition decides, among the blocks of containers named for
-content where there are any: of each host the token streams outside articles are put one after another and their suffixes sorted; runs of tokens that occur on two or more distinct pages of the
-host are boilerplate, and what they cover goes.
+A page is parsed once, into blocks. What stands in an article (or main) and isn't marked as a menu, header, footer,
+sidebar, notice, advert, form or comment is guarded: it's the text, however often the host repeats it. Of a
+page without such a part the candidates are the blocks of containers named for content or, without these, all
+that isn't marked. From candidates goes what the host repeats: the token streams of all that isn't guarded
+are put one after another by host and their suffixes sorted; runs of tokens found on PAGES or more
+pages of different content are boilerplate. A block mostly covered by them goes; from other blocks only long
+runs do, so a sentence that several stories share stays.
 
 A host may have a third of all pages, so no task gets a whole host. Tasks sort the suffixes of their
-own pages and pass on one entry for each run of RUN tokens, with the lowest and the highest page it is
-on; entries merge by host and run. That finds the same runs as one array of the whole host cut at depth RUN.
+own pages and pass on one entry for each run of RUN tokens with up to PAGES pages that it is on; entries merge by host and run.
+The tokens that runs of RUN tokens cover are those that any longer repeat covers, so this finds what one suffix array
+of the whole host finds.
 """
 
 from __future__ import annotations
@@ -24,126 +28,200 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import mixed, settled
 
-#: Tokens of the shortest run that counts as repeated (a power of two, for the sort doubles its depth).
-RUN = 8
+#: Tokens of the shortest run that counts as repeated (a power of two, for the sort doubles its depth), and pages of different content that it's on.
+RUN, PAGES = 8, 3
+#: Share of a block's tokens from which on it goes whole, and tokens of the runs that go from other blocks.
+MOSTLY, LONG = 0.75, 24
+#: Groups over which the pages that have a run are dealt.
+SALTS = 16
 
-# Names of HTML.
-SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "math", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "dialog", "menu", "audio", "video"}
+# Names of HTML, and names that sites give to parts of a page.
+SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "math", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "dialog", "menu", "audio", "video"}
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "header", "address", "body", "html", "center", "details", "summary", "fieldset", "hgroup", "search"} | SKIPPED - {"label", "button", "select", "option", "input", "object", "math", "svg", "audio", "video", "canvas"}
+BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "header", "address", "body", "html", "center", "details", "summary", "fieldset", "hgroup", "search"} | SKIPPED - {"button", "select", "option", "input", "object", "math", "svg", "audio", "video", "canvas"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th", "time", "tt", "u", "var"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 CLOSE_BY_THEMSELVES = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
+LISTED = {"li", "dd", "tr", "td", "th", "dt"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "status", "note"}
 NAMES = {"nav", "navbar", "navigation", "menu", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "promo", "promotion", "sponsor", "sponsored", "footer", "header", "masthead", "comment", "comments", "disqus", "replies", "respond", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "related", "recommended", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "toolbar", "pagination", "pager", "skip"}
+NOT_ARTICLES = {"comment", "comments", "reply", "replies", "related", "recommended", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "adverts", "advertisement", "teaser", "teasers"}
+LAST_PART = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "comments", "advert", "adverts", "advertisement", "ads", "breadcrumb", "breadcrumbs", "newsletter", "popup", "modal", "masthead"}
+FIRST_PART = {"ad", "ads", "advert", "cookie", "cookies", "comment", "comments", "nav", "menu", "sidebar", "footer", "newsletter", "breadcrumb", "social", "banner"}
+HOLDERS = {"slot", "box", "bar", "list", "area", "section", "banner", "block", "unit", "container", "wrap", "wrapper", "form", "links", "notice", "consent", "signup", "menu", "buttons", "thread", "panel"}
+SITE, OF_SITE = {"site", "page", "global", "top"}, {"header", "banner", "notice", "search", "login"}
+DENIED = {"has", "no", "with", "without", "is", "not", "hide", "show", "toggle"}
 HEADINGS, CONTAINERS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"div", "section", "aside", "ul"}
 CONTENT = {"article", "content", "post", "entry", "story", "main", "maincontent", "articlebody"}
-
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+CONTENT_OF, CONTENT_PART = CONTENT | {"page", "site", "blog", "text"}, {"content", "body", "text", "main"}
+IN_NAMED, IN_MAIN, IN_ARTICLE = 1, 2, 4
+GUARDED, CANDIDATE, OUTSIDE = 0, 1, 2
+
+# A tag ends at the first > outside a quoted value; a quote counts only after =, and a < outside one shows that this is no tag.
+# Pieces are bounded, so that no string of broken tags is read over and over: no real tag has hundreds of attributes.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|=|[^<>=]++){0,400}+)>""")
+_CUT_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*+)(\s[^<>=]*+=[^<>]*+|\s*+/?)\Z")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!|;|$)")
-_ENDS = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
+_ENDS = {t: re.compile(rf"</{t}\s*+>|\Z", re.I) for t in RAW}
+
+
+def names_boilerplate(name: str) -> bool:
+    """Whether a whole class or id, in lower case, is a name that sites give to boilerplate."""
+    if name in NAMES:
+        return True
+    parts = re.split(r"[-_]+", name)
+    if not 2 <= len(parts) <= 3 or parts[0] in DENIED:
+        return False
+    return parts[-1] in LAST_PART or parts[0] in FIRST_PART and parts[-1] in HOLDERS or parts[0] in SITE and parts[-1] in OF_SITE
+
 
+def names_content(name: str) -> bool:
+    parts = re.split(r"[-_]+", name)
+    return name in CONTENT or len(parts) == 2 and parts[0] in CONTENT_OF and parts[1] in CONTENT_PART
 
-def _named(tag: str, attributes: str, rank: int = 0) -> tuple[bool, bool]:
-    """Whether the attributes name boilerplate, and whether they name content; rank: of what is around the tag.
+
+def _named(tag: str, attributes: str, zone: int) -> tuple[bool, bool, bool]:
+    """Whether the attributes name boilerplate, content, and the main part; zone: what is around the tag.
 
     In an article or main part, a class or an id names boilerplate only as a whole on a container; a
     heading's names none in any content.
     """
-    boiler = content = False
+    boiler = content = main = False
     seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in seen:
             continue
         seen.add(kind)
-        parts = set(re.split(r"[^a-z0-9]+", value))
+        names = value.split()
         if kind == "role":
-            boiler |= bool(parts & ROLES)
-            content |= bool(parts & {"main", "article"})
+            boiler |= bool(ROLES & set(names))
+            main |= "main" in names
+            content |= bool({"main", "article"} & set(names))
         elif kind == "hidden" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _UNSEEN.search(value):
             boiler = True
         elif kind in ("class", "id", "itemprop"):
-            if rank < 2 and not (rank and tag in HEADINGS):
-                boiler |= bool(parts & NAMES)
-            elif tag in CONTAINERS or tag == "article":
-                boiler |= bool(set(value.split()) & NAMES)
-            content |= bool(parts & CONTENT)
-    return boiler, content and not boiler
+            if tag == "article":
+                boiler |= bool(NOT_ARTICLES & set(names))
+            elif zone >= IN_MAIN:
+                boiler |= tag in CONTAINERS and bool(NAMES & set(names))
+            elif not (zone and tag in HEADINGS):
+                boiler |= any(map(names_boilerplate, names))
+            content |= any(map(names_content, names))
+    return boiler, content and not boiler, main and not boiler
 
 
 def blocks_of(page: str) -> list[tuple[int, bool, str]]:
-    """(rank, boilerplate, text) of each block with text. Rank: 3 in an article, 2 in main, 1 in a container named for content, else 0."""
+    """(zone, boilerplate, text) of each block with text, in one pass over the page. Zone: bits for a container named for content, main, article."""
     out: list[tuple[int, bool, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, rank, boilerplate: of it and what is around it
+    stack: list[tuple[str, int, bool]] = []  # tag, zone, boilerplate: of it and what is around it
+    open_: dict[str, int] = {}  # how often a tag is on the stack
     text: list[str] = []
-    at = 0
+    at, end = 0, len(page)
 
     def flush() -> None:
         if text:
             if words := " ".join(html.unescape("".join(text)).split()):
-                _, rank, boiler = stack[-1] if stack else ("", 0, False)
-                out.append((rank, boiler, words))
+                _, zone, boiler = stack[-1] if stack else ("", 0, False)
+                out.append((zone, boiler, words))
             text.clear()
 
-    while at < len(page):
-        m = _PART.search(page, at)
-        if not m:
+    def close(depth: int) -> None:
+        for tag, _, _ in stack[depth:]:
+            open_[tag] -= 1
+        del stack[depth:]
+
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
             text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            text.append(page[at:start])
+        following = page[start + 1 : start + 2]
+        if following in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->", start + 4) if comment else page.find(">", start)
+            at = end if stop < 0 else stop + (3 if comment else 1)
+            continue
+        m = _TAG.match(page, start)
+        if not m:
+            cut = _CUT_TAG.match(page, start)
+            if cut and cut[1].lower() in BLOCKS | INLINE | VOID | SKIPPED:
+                break  # the page ends in a tag
+            text.append("<")
+            at = start + 1
             continue
+        at = m.end()
         tag = m[2].lower()
-        if tag in RAW and not m[1]:
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
             flush()
             at = _ENDS[tag].search(page, at).end()
             continue
         if tag == "br" or tag in ("td", "th"):
             text.append(" ")
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
+            if open_.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
                 if any(t in BLOCKS for t, _, _ in stack[depth:]) or stack[depth][2] != (stack[depth - 1][2] if depth else False):
                     flush()
-                del stack[depth:]
+                close(depth)
             elif tag in BLOCKS:
                 flush()
             continue
         if tag in BLOCKS:
             flush()
-            if stack and stack[-1][0] in CLOSE_BY_THEMSELVES and not (stack[-1][0] in ("li", "dd", "tr", "td", "th", "dt") and tag not in ("li", "dd", "dt", "tr")):
-                stack.pop()
+            if stack and stack[-1][0] in CLOSE_BY_THEMSELVES and not (stack[-1][0] in LISTED and tag not in LISTED):
+                close(len(stack) - 1)
         if tag in VOID or m[3].endswith("/"):
             continue
-        _, rank, boiler = stack[-1] if stack else ("", 0, False)
-        named, content = _named(tag, m[3], rank) if m[3].strip() else (False, False)
+        _, zone, boiler = stack[-1] if stack else ("", 0, False)
+        named, content, main = _named(tag, m[3], zone) if m[3].strip() else (False, False, False)
         if tag in BLOCKS or tag in SKIPPED or named and tag in ("span", "a", "td"):
-            if tag == "article" or tag == "main" or content and tag in ("div", "section", "article", "main"):
-                rank = max(rank, 3 if tag == "article" else 2 if tag == "main" or "main" in m[3].lower() and "role" in m[3].lower() else 1)
-            skip = tag in SKIPPED or named and tag not in ("html", "body", "article" if not re.search("comment|repl|related|promo|sponsor|ad", m[3], re.I) else "", "main") or tag == "header" and not rank
+            skip = tag in SKIPPED or named and tag not in ("html", "body", "main") or tag == "header" and not zone
+            if not skip:
+                if tag == "article":
+                    zone |= IN_ARTICLE
+                elif tag == "main" or main:
+                    zone |= IN_MAIN
+                elif content and tag in ("div", "section"):
+                    zone |= IN_NAMED
             if skip and not boiler:
                 flush()
-            stack.append((tag, rank, boiler or skip))
+            stack.append((tag, zone, boiler or skip))
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
-def host_of(url: str | None) -> str:
-    return re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*", r"\1", (url or "").strip().lower(), flags=re.S) if url and "://" in url else ""
+def roles_of(blocks: list[tuple[int, bool, str]]) -> tuple[list[int], bool]:
+    """What each block is: guarded (main text by markup), a candidate that repetition judges, or outside; and whether candidates stand in containers named for content.
+
+    Main holds the text if there's more in it than in articles beside it, and of main its articles if they have at
+    least half of it; else the articles do, unless a container named for content holds more than twice their text.
+    """
+    size = [0] * 8
+    for zone, boiler, t in blocks:
+        if not boiler:
+            size[zone] += len(t)
+    total = lambda bits, without=0: sum(n for z, n in enumerate(size) if z & bits == bits and not z & without)
+    main, both, beside = total(IN_MAIN), total(IN_MAIN | IN_ARTICLE), total(IN_ARTICLE, IN_MAIN)
+    if main and main >= beside:
+        wanted, role = (IN_MAIN | IN_ARTICLE if 2 * both >= main else IN_MAIN), GUARDED
+    elif beside and total(IN_NAMED) <= 2 * (beside + both):
+        wanted, role = IN_ARTICLE, GUARDED
+    elif total(IN_NAMED):
+        wanted, role = IN_NAMED, CANDIDATE
+    else:
+        wanted, role = 0, CANDIDATE
+    return [OUTSIDE if boiler or zone & wanted != wanted else GUARDED if zone & IN_ARTICLE else role for zone, boiler, _ in blocks], wanted == IN_NAMED
 
 
-def read_page(page: str | None) -> tuple[str | None, list[str], list[str]]:
-    """The text by markup, if any names it; the blocks that repetition is to judge (none: markup settles the page); and the texts outside articles (the judged ones too)."""
-    found = blocks_of(page or "")
-    best = max((r for r, boiler, _ in found if not boiler), default=0)
-    outside = [t for r, boiler, t in found if boiler or r < 2]
-    held = [t for r, boiler, t in found if r >= best and not boiler]
-    if best:
-        return "\n\n".join(held), held if best == 1 else [], outside
-    return (None, held, outside) if held else ("", [], outside)
+def host_of(url: str | None) -> str:
+    return re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*", r"\1", (url or "").strip().lower(), flags=re.S) if url and "://" in url else ""
 
 
 def suffix_ranks(tokens: np.ndarray, owner: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +245,9 @@ def suffix_ranks(tokens: np.ndarray, owner: np.ndarray, depth: int = RUN) -> tup
     return order, np.concatenate([[False], rank[order][1:] == rank[order][:-1]]) if len(order) else np.zeros(0, bool)
 
 
-def stream(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The tokens of a page's texts in one stream, and a 64-bit value of each."""
-    tokens = [w for t in texts for w in t.split()]
-    return tokens, np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+def stream(texts: list[str]) -> np.ndarray:
+    """A 64-bit value of each token of some blocks, in one stream."""
+    return np.array([xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split()], np.uint64)
 
 
 def run_hashes(values: np.ndarray) -> np.ndarray:
@@ -182,78 +259,99 @@ def run_hashes(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def finished(blocks: list[str], roles: list[int], marked: bool, at: list[int] | None) -> tuple[str, int]:
+    """A page's text, and the tokens that host repeats cover; at: where repeated runs start in the stream of what isn't guarded."""
+    judged = [b.split() if r != GUARDED else [] for b, r in zip(blocks, roles, strict=True)]
+    gone = np.zeros(sum(map(len, judged)), bool)
+    for a in at or []:
+        gone[a : a + RUN] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
+    long = np.zeros(len(gone), bool)
+    for a, b in edges[edges[:, 1] - edges[:, 0] >= LONG].tolist():
+        long[a:b] = True
+    kept, seen, lost = [], 0, False
+    for block, role, words in zip(blocks, roles, judged, strict=True):
+        here = slice(seen, seen + len(words))
+        seen += len(words)
+        if role == GUARDED:
+            kept.append(block)
+        elif role == CANDIDATE:
+            if gone[here].sum() >= MOSTLY * len(words):
+                lost = True
+            elif long[here].any():
+                kept.append(" ".join(w for w, g in zip(words, long[here].tolist(), strict=True) if not g))
+            else:
+                kept.append(block)
+    if marked and lost and not any(kept):  # a page that the host has several times, not boilerplate
+        kept = [b for b, r in zip(blocks, roles, strict=True) if r == CANDIDATE]
+    return "\n\n".join(k for k in kept if k), int(gone.sum())
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) and n_removed (tokens of open blocks removed as boilerplate of the host) of each page.
+    """page_id, url, text, n_chars (code points) and n_repeated (tokens outside guarded text that the host repeats) of each page.
 
     Character references are decoded; white space inside a block is one space; blocks stand in page order with two \\n
-    between. Null or empty html gives ''; a null url is a host of its own; pages cut short in the middle are read
-    as far as they go; repeated rows appear each; two rows of one page_id count as one page for
+    between. Null or empty html gives ''; a null url is a host of its own; a < that starts no tag is text; pages cut short
+    in the middle are read as far as they go; repeated rows appear each, and pages of the same content count as one for
     repetition; other columns are left out; an empty table stays empty.
     """
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
+    ids = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = [read_page(p) for p in batch.column("html").to_pylist()]
-            keep = pa.array([not r[1] for r in read], pa.bool_())
-            texts = pa.array([r[0] for r in read], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], names=["page_id", "url", "text"]).filter(keep)
-
-    def leave_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, u, host_of(u), r[1], r[0] is not None) for p, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) if (r := read_page(h))[1]]
-            uid = [xxhash.xxh3_64_intdigest(repr(r)) >> 1 for r in rows]
-            yield pa.RecordBatch.from_pydict({"page_id": pa.array([r[0] for r in rows], batch.column("page_id").type), "url": pa.array([r[1] for r in rows], pa.string()), "host": pa.array([r[2] for r in rows], pa.string()), "blocks": pa.array([r[3] for r in rows], pa.list_(pa.string())), "marked": pa.array([r[4] for r in rows], pa.bool_()), "uid": pa.array(uid, pa.int64())})
+            rows = []
+            for url, raw in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                found = blocks_of(raw or "")
+                roles, marked = roles_of(found)
+                texts = [t for _, _, t in found]
+                content = xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
+                rows.append((host_of(url), content, texts, bytes(roles), marked, "\n".join(t for t, r in zip(texts, roles, strict=True) if r != GUARDED)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.bool_(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.bool_(), pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "host", "content", "blocks", "roles", "marked", "judged"])
+
+    def by_host(batch: pa.RecordBatch) -> dict[str, list[tuple[int, np.ndarray]]]:
+        """Contents and their streams, each content once, by host."""
+        out: dict[str, dict[int, str]] = {}
+        for host, content, text in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "judged")), strict=True):
+            out.setdefault(host, {}).setdefault(content, text)
+        return {host: [(c, stream([t])) for c, t in found.items()] for host, found in out.items()}
 
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_host: dict[str, list[tuple[int, np.ndarray]]] = {}
-            for page, url, raw in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                by_host.setdefault(host_of(url), []).append((-1 if page is None else page, stream(read_page(raw)[2])[1]))
-            for host, streams in by_host.items():
+            for host, streams in by_host(batch).items():
                 values = np.concatenate([s for _, s in streams])
                 owner = np.repeat(np.arange(len(streams)), [len(s) for _, s in streams])
                 order, again = suffix_ranks(values, owner)
                 if not len(order):
                     continue
-                heads = np.flatnonzero(~again)
-                page = np.array([p for p, _ in streams], np.int64)[owner[order]]
-                hashes = run_hashes(values)[order[heads]]
-                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(heads), pa.string()), "run": pa.array(hashes.view(np.int64)), "low": pa.array(np.minimum.reduceat(page, heads)), "high": pa.array(np.maximum.reduceat(page, heads))})
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                pairs = np.unique((np.cumsum(~again) - 1) * len(streams) + owner[order])  # of a run and a page, each once
+                run, page = np.divmod(pairs, len(streams))
+                firsts = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
+                contents = np.array([c for c, _ in streams], np.int64)[page]
+                on = [contents[a : min(a + PAGES, b)].tolist() for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(pairs)], strict=True)]
+                hashes = run_hashes(values)[order[np.flatnonzero(~again)]]
+                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(on), pa.string()), "run": pa.array(hashes.view(np.int64)), "contents": pa.array(on, pa.list_(pa.int64()))})
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, host, blocks in zip(*(batch.column(c).to_pylist() for c in ("uid", "host", "blocks")), strict=True):
-                h = run_hashes(stream(blocks)[1]).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"uid": pa.array([uid] * len(h), pa.int64()), "host": pa.array([host] * len(h), pa.string()), "run": pa.array(h), "at": pa.array(np.arange(len(h)), pa.int32())})
+            for host, streams in by_host(batch).items():
+                for content, values in streams:
+                    h = run_hashes(values).view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"content": pa.array([content] * len(h), pa.int64()), "host": pa.array([host] * len(h), pa.string()), "run": pa.array(h), "at": pa.array(np.arange(len(h)), pa.int32())})
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
-            for blocks, marked, at in zip(*(batch.column(c).to_pylist() for c in ("blocks", "marked", "at")), strict=True):
-                tokens = stream(blocks)[0]
-                gone = np.zeros(len(tokens), bool)
-                for a in at or []:
-                    gone[a : a + RUN] = True
-                if marked and gone.all():  # a page that the host has twice, not boilerplate
-                    gone[:] = False
-                kept, seen = [], 0
-                for b in blocks:
-                    words = b.split()
-                    left = [w for w, g in zip(words, gone[seen : seen + len(words)].tolist(), strict=True) if not g]
-                    seen += len(words)
-                    if left:
-                        kept.append(" ".join(left))
-                texts.append("\n\n".join(kept))
-                removed.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_removed"])
-
-    ids = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
-    done = pages.mapInArrow(settle, f"{ids}, text string").withColumn("n_removed", F.lit(0).cast("long"))
-    undecided = settled(pages.mapInArrow(leave_open, f"{ids}, host string, blocks array<string>, marked boolean, uid long"), "open-pages")
-    runs = pages.mapInArrow(sort_suffixes, "host string, run long, low long, high long").groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = runs.where("low < high").select("host", "run")
-    distinct = undecided.dropDuplicates(["uid"])
-    covered = distinct.mapInArrow(windows, "uid long, host string, run long, at int").join(repeated, ["host", "run"]).groupBy("uid").agg(F.collect_list("at").alias("at"))
-    cleaned = undecided.join(covered, "uid", "left").select("page_id", "url", "blocks", "marked", "at").mapInArrow(remove, f"{ids}, text string, n_removed long")
-    return done.unionByName(cleaned).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed")
+            rows = [finished(b, list(r), m, at) for b, r, m, at in zip(*(batch.column(c).to_pylist() for c in ("blocks", "roles", "marked", "at")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_repeated"])
+
+    parsed = settled(pages.mapInArrow(parse, f"{ids}, host string, content long, blocks array<string>, roles binary, marked boolean, judged string"), "parsed-pages", "zstd")
+    unguarded = parsed.where("judged <> ''").select("host", "content", "judged")
+    runs = unguarded.mapInArrow(sort_suffixes, "host string, run long, contents array<long>").groupBy("host", "run").agg(F.array_distinct(F.flatten(F.collect_list("contents"))).alias("contents"))
+    repeated = runs.where(F.size("contents") >= PAGES).select("host", "run")
+    # A run that a third of all pages have is dealt over SALTS groups of pages.
+    placed = unguarded.mapInArrow(starts, "content long, host string, run long, at int").withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+    met = placed.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "run", "salt"])
+    covered = settled(met.groupBy("host", "content").agg(F.array_sort(F.collect_set("at")).alias("at")), "repeated-runs")
+    out = parsed.select("page_id", "url", "host", "content", "blocks", "roles", "marked").join(covered, ["host", "content"], "left").select("page_id", "url", "blocks", "roles", "marked", "at").mapInArrow(finish, f"{ids}, text string, n_repeated long")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")

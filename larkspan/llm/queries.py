@@ -16,7 +16,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_texts(table(spark, sf_dir, "pages"))
+    return html_text.main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
         block AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'),
             lambda x: trim(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS b FROM article),
         text AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM block)
-        SELECT page_id, url, text, length(text) AS n_chars, 0::BIGINT AS n_removed FROM text""",
+        SELECT page_id, url, text, length(text) AS n_chars FROM text""",
     "op4_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         i AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35),

@@ -1,3 +1,7 @@
+import random
+import time
+from collections import defaultdict
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -13,6 +17,12 @@ def page(main, nav="Home News", foot="All rights"):
     return f"<html><head><title>t</title><script>if (a<b) '</p>'</script></head><body><nav><a>{nav}</a></nav><div class='ad'>Buy</div>{main}<footer>{foot}</footer></body></html>"
 
 
+def by_markup(html):
+    found = html_text.blocks_of(html)
+    roles, marked = html_text.roles_of(found)
+    return html_text.finished([t for _, _, t in found], roles, marked, None)[0]
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
@@ -25,7 +35,7 @@ def page(main, nav="Home News", foot="All rights"):
     ],
 )
 def test_markup_settles_a_page(html, want):
-    assert html_text.read_page(page(html))[0] == want
+    assert by_markup(page(html)) == want
 
 
 @pytest.mark.parametrize(
@@ -38,7 +48,7 @@ def test_markup_settles_a_page(html, want):
     ],
 )
 def test_only_what_marks_boilerplate_goes(html, want):
-    assert html_text.read_page(page(html))[0] == want
+    assert by_markup(page(html)) == want
 
 
 def test_suffix_array_finds_repeated_runs():
@@ -53,27 +63,90 @@ def test_suffix_array_finds_repeated_runs():
     assert keys == sorted(keys) and again.tolist() == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
 
 
-def test_repetition_settles_the_rest(spark):
-    shared = "this host says the same nine words on every page"
-    rows = [(i, f"http://h.example/{i}", f"<p>{shared}</p><p>{i} own text {i} of page {i}</p>", "x") for i in range(4)]
-    rows += [(9, "http://other.example/", f"<p>{shared}</p>", "x"), (10, None, None, None), (None, "http://h.example/n", "", None), (11, "http://h.example/11", page("<article><p>kept</p></article>"), None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    got = {r.page_id: (r.text, r.n_chars, r.n_removed) for r in html_text.main_texts(pages).collect()}
-    for i in range(4):
-        assert got[i][0] == f"{i} own text {i} of page {i}" and got[i][2] == 10
-    assert got[9][0] == shared and got[10] == ("", 0, 0) and got[None] == ("", 0, 0) and got[11][0] == "kept"
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<main>the long story stands here</main><article>Teaser</article>", "the long story stands here"),
+        ("<main><p>intro</p><article>the whole long story</article></main>", "the whole long story"),
+        ("<article class='entry has-header'>x</article>", "x"),
+        ("<article class='post no-sidebar shadow'>x</article><article class='teaser'>y</article>", "x"),
+        ("<div class='content no-sidebar'>x</div><div>y</div>", "x"),
+        ("<div class='page-header'>h</div><div id='cookie-notice'>k</div><p>main</p><div class='site-footer'>f</div><div class='ad-slot'>a</div>", "main"),
+        ("<article><p>if a <b and c then d</p><p>e</p></article>", "if a <b and c then d\n\ne"),
+        ("<article><label>lab</label><div id='share-price'>p</div><div id=related-work>r</div></article>", "lab\n\np\n\nr"),
+        ("<article><p>a <a href='f'>b</a> <a href=\"cut", "a b"),
+        ("<article><p title=it's>x</p><p title=\"it's >\">z</p></article>", "x\n\nz"),
+    ],
+)
+def test_main_text_stays(html, want):
+    assert by_markup(f"<html><body>{html}") == want
+
+
+@pytest.mark.parametrize("html", ["<a " * 300000 + '"', '<a b="' * 160000, "<div>" * 100000 + "</section>" * 50000, '<a b="<a"' * 110000 + ">", "<" * 1000000, "<a b='" * 90000 + '<a b="' * 90000])
+def test_broken_tags_take_no_longer(html):
+    start = time.time()
+    html_text.blocks_of(html)
+    assert time.time() - start < 10
+
+
+def by_counting(rows):
+    """Texts and covered tokens, from sets of the contents that each run of tokens is on."""
+    read = []
+    for _, url, html in rows:
+        found = html_text.blocks_of(html or "")
+        roles, marked = html_text.roles_of(found)
+        texts = [t for _, _, t in found]
+        tokens = [(w, k) for k, (t, r) in enumerate(zip(texts, roles, strict=True)) if r != html_text.GUARDED for w in t.split()]
+        read.append((html_text.host_of(url), texts, roles, marked, tokens))
+    on = defaultdict(set)
+    run = lambda tokens, i: tuple(w for w, _ in tokens[i : i + 8])
+    for host, texts, _, _, tokens in read:
+        for i in range(len(tokens) - 7):
+            on[host, run(tokens, i)].add(tuple(texts))
+    out = []
+    for host, texts, roles, marked, tokens in read:
+        gone = {j for i in range(len(tokens) - 7) if len(on[host, run(tokens, i)]) >= 3 for j in range(i, i + 8)}
+        long = {j for j in gone if any(all(k in gone for k in range(a, a + 24)) for a in range(j - 23, j + 1))}
+        kept = []
+        for k, (t, r) in enumerate(zip(texts, roles, strict=True)):
+            own = [j for j, (_, b) in enumerate(tokens) if b == k]
+            if r == html_text.GUARDED:
+                kept.append(t)
+            elif r == html_text.CANDIDATE and len(gone & set(own)) < 0.75 * len(own):
+                kept.append(" ".join(tokens[j][0] for j in own if j not in long))
+        if marked and not any(kept):
+            kept = [t for t, r in zip(texts, roles, strict=True) if r == html_text.CANDIDATE]
+        out.append(("\n\n".join(x for x in kept if x), len(gone)))
+    return out
+
+
+def test_repetition_equals_counting(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [said(rng.choice([5, 9, 12, 40])) for _ in range(8)]
+
+    def one(k):
+        parts = [said(rng.randint(0, 30)) if rng.random() < 0.5 else rng.choice(shared) for _ in range(rng.randint(1, 6))]
+        parts += [f"{rng.choice(shared)} {said(9)} {rng.choice(shared)}"]
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        return rng.choice([body, f"<div class='content'>{body}</div><p>{rng.choice(shared)}</p>", f"<article>{body}</article><p>{rng.choice(shared)}</p>", f"<nav>{rng.choice(shared)}</nav>{body}<footer>{shared[0]}</footer>"])
+
+    rows = [(k, rng.choice(["http://a.example/x", "https://b.example/y", None]), one(k)) for k in range(120)]
+    rows += [(500 + k, "http://a.example/copy", rows[0][2]) for k in range(5)] + [(0, rows[0][1], rows[0][2]), (600, "http://a.example/", None), (None, "http://a.example/", ""), (601, "http://a.example/", "<p>" + "word " * 200000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string").repartition(5)
+    got = [(r.page_id, r.url, r.text, r.n_chars, r.n_repeated) for r in html_text.main_texts(pages).collect()]
+    want = [(p, u, t, len(t), n) for (p, u, _), (t, n) in zip(rows, by_counting(rows), strict=True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(n > 0 for *_, n in want) > 60 and sum(t != by_markup(h or "") for (_, _, h), (_, _, t, _, _) in zip(rows, want, strict=True)) > 20
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
-def test_repetition_judges_containers_named_for_content(spark):
-    shared = "this host says the same nine words on every page"
-    rows = [(i, f"http://h.example/{i}", f"<p>outside {i}</p><div class='content'><p>{shared}</p><p>{i} own text {i} of page {i}</p></div>") for i in range(3)]
-    twice = "one page that this host has under two addresses stays whole"
-    rows += [(i, f"http://h.example/{i}", f"<div id='main'><p>{twice}</p></div>") for i in (7, 8)]
-    rows += [(9, "http://h.example/9", f"<div class='content'><p>{shared}</p><article><p>{shared}</p></article></div>")]
-    got = {r.page_id: (r.text, r.n_removed) for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == (f"{i} own text {i} of page {i}", 10) for i in range(3))
-    assert got[7] == got[8] == (twice, 0) and got[9] == (shared, 0)
+def test_a_sentence_of_several_stories_stays(spark):
+    same = "the minister said on Monday that nothing of all this was true at all"
+    rows = [(i, f"http://h.example/{i}", f"<p>Home News Sport Weather Travel Money Jobs Shop Help</p><p>Story {i} begins with {i} lines of its own news{i}. {same}, and so{i} it goes on for {i} days more.</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith(f"Story {i} begins") and same in got[i] for i in range(4))
 
 
 @pytest.fixture(scope="module")
