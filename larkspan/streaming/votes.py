@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from larkspan.operators.votes import upserted
-from larkspan.sources.snapshots import Snapshots
+from larkspan.sources.snapshots import Snapshots, part_of
 
 VOTE_TABLE = "entity bigint, user_id bigint, vote smallint"
 SCORE_TABLE = "entity bigint, score bigint"
@@ -24,9 +24,9 @@ class VoteFold(StatefulProcessor):
         self.votes = handle.getMapState("votes", "user_id bigint", "vote int")
         self.score = handle.getValueState("score", "score bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+    def _fold(self, rows: pd.DataFrame) -> int:
         score = self.score.get()[0] if self.score.exists() else 0
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+        for row in rows.itertuples(index=False):
             user, vote = (int(row.user_id),), int(row.vote)
             old = self.votes.getValue(user)[0] if self.votes.containsKey(user) else 0
             if vote:
@@ -35,30 +35,60 @@ class VoteFold(StatefulProcessor):
                 self.votes.removeKey(user)
             score += vote - old
         self.score.update((score,))
-        yield pd.DataFrame({"entity": [key[0]], "score": [score]})
+        return score
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        yield pd.DataFrame({"entity": [key[0]], "score": [self._fold(pd.concat(list(rows)).sort_values("seq"))]})
 
     def handleInitialState(self, key: tuple, state: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
-        self.score.update((int(state["score"].iloc[0]),))
+        self._fold(state)
 
     def close(self) -> None:
         pass
 
 
 def stream_scores(votes: DataFrame, seed: DataFrame | None = None) -> DataFrame:
-    """Running scores of a stream of votes (entity, user_id, vote, seq); seed: scores (entity, score) to start from."""
-    initial = seed.groupBy("entity") if seed is not None else None
+    """Running scores of a stream of votes (entity, user_id, vote, seq); seed: the votes (entity, user_id, vote) to start from, so that who votes again counts once."""
+    initial = seed.select("entity", "user_id", F.col("vote").cast("int").alias("vote")).groupBy("entity") if seed is not None else None
     return votes.groupBy("entity").transformWithStateInPandas(VoteFold(), SCORE_TABLE, "update", "none", initialState=initial)
 
 
-def fold_batch(tables: Snapshots):
-    """A foreachBatch function: the votes and scores tables after a batch. Running a batch twice changes nothing."""
+def append_to(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each micro-batch in a folder of its own, which a second run of the batch writes anew."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return append
+
+
+def latest_scores(updates: DataFrame) -> DataFrame:
+    """The last score of each entity of updates (entity, score, batch)."""
+    return updates.groupBy("entity").agg(F.max_by("score", "batch").alias("score"))
+
+
+def fold_batch(tables: Snapshots) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the votes and scores tables after a batch, swapped in together. Running a batch twice changes nothing.
+
+    Both tables lie in parts by entity; a batch reads and writes the parts of its entities alone.
+    """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        votes = upserted(tables.read("votes", VOTE_TABLE), batch)
-        tables.write("votes", votes)
-        now = tables.read("votes", VOTE_TABLE).groupBy("entity").agg(F.sum("vote").cast("long").alias("score"))
-        touched = tables.read("scores", SCORE_TABLE).select("entity").unionByName(batch.select("entity")).distinct()
-        tables.write("scores", touched.join(now, "entity", "left").select("entity", F.coalesce("score", F.lit(0)).cast("long").alias("score")))
+        batch = batch.withColumn("_part", part_of("entity")).persist()
+        try:
+            parts = [r[0] for r in batch.select("_part").distinct().collect()]  # numbers below PARTS
+            if not parts:
+                return
+            votes = upserted(tables.read("votes", VOTE_TABLE, parts), batch).withColumn("_part", part_of("entity"))
+            staged = tables.stage_parts("votes", votes, parts)
+            folders = [f"{tables.root}/{f}" for f in staged.values() if f]
+            now = tables.spark.read.schema(VOTE_TABLE).parquet(*folders) if folders else tables.spark.createDataFrame([], VOTE_TABLE)
+            touched = tables.read("scores", SCORE_TABLE, parts).select("entity").unionByName(batch.select("entity")).distinct()
+            sums = now.groupBy("entity").agg(F.sum("vote").cast("long").alias("score"))
+            scores = touched.join(sums, "entity", "left").select("entity", F.coalesce("score", F.lit(0)).cast("long").alias("score"), part_of("entity").alias("_part"))
+            tables.swap({"votes": staged, "scores": tables.stage_parts("scores", scores, parts)})
+        finally:
+            batch.unpersist()
 
     return fold
 
