@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,41 +33,63 @@ def duplicates_of(hashes: DataFrame, words: list[int], near: int = NEAR, exclude
     return rows.withColumn("distance", d).where(F.col("distance") < near).orderBy("distance", "id")
 
 
+#: Pictures in a block where all pairs are compared.
+BLOCK = 20_000
+#: Chunks of a hash and bits in each, and the most bits that may differ in a chunk that serves as a key.
+CHUNKS, WIDTH, REACH = 16, 16, 3
+
+
 def near_duplicates(hashes: DataFrame, near: int = NEAR) -> DataFrame:
-    """All pairs (a_id < b_id) nearer than `near`, compared pair by pair in blocks: exact for every threshold, for tables of moderate size.
+    """All pairs (a_id < b_id) nearer than `near`: exact for every threshold.
 
-    Rows fall into blocks by id; each pair of blocks meets in one key, so no side is broadcast or held whole.
+    Up to 64 bits the chunk index finds them (`near_duplicates_banded`). Beyond, a key would have so many
+    neighbours that most pairs met anyhow: all pairs are compared in blocks. There are as many blocks as rows need, and each
+    pair of blocks meets in one key, so no side is broadcast or held whole.
     """
+    if (near - 1) // CHUNKS <= REACH:
+        return near_duplicates_banded(hashes, near)
+    n = max(1, -(-hashes.count() // BLOCK))
     a, b = _sides(hashes)
-    n = 16
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = F.array(*[F.lit(i) for i in range(n)])
-    left = a.withColumn("_a", block("a_id")).withColumn("_b", F.explode(every))
-    right = b.withColumn("_b", block("b_id")).withColumn("_a", F.explode(every))
-    return left.join(right, ["_a", "_b"]).where(F.col("a_id") < F.col("b_id")).withColumn("distance", _distance()).where(F.col("distance") < near).select("a_id", "b_id", "distance")
+    # A pair of blocks meets with the lower block left; rows of a block beside each other meet as both.
+    left = a.withColumn("_i", block("a_id")).withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
+    right = b.withColumn("_j", block("b_id")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+    met = left.join(right, ["_i", "_j"]).where((F.col("_i") < F.col("_j")) & (F.col("a_id") != F.col("b_id")) | (F.col("_i") == F.col("_j")) & (F.col("a_id") < F.col("b_id")))
+    pairs = met.withColumn("distance", _distance()).where(F.col("distance") < near)
+    return pairs.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "distance")
+
+
+def _chunk(prefix: str, k: Column) -> Column:
+    """Chunk k (from 0) of a hash: 16 bits, the lowest of the first word first."""
+    word = F.element_at(F.array(*[F.col(f"{prefix}_{i}") for i in range(4)]), F.floor(k / 4).cast("int") + 1)
+    return F.call_function("shiftrightunsigned", word, (k % 4 * WIDTH).cast("int")).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
 def near_duplicates_banded(hashes: DataFrame, near: int = NEAR) -> DataFrame:
-    """The same pairs through an equi-join.
+    """The same pairs through an equi-join, for thresholds of up to 64 bits.
 
-    Fewer than `near` differing bits over c chunks leave one chunk with at most (near - 1) // c of them.
-    With as many chunks as `near` (of five bits or so) that is none: some chunk is equal. Pairs that
-    share several chunks are kept once. It pays for small thresholds, where chunks are wide.
+    Fewer than `near` differing bits over 16 chunks leave one chunk with at most (near - 1) // 16 of them, three at
+    most. One side is keyed by each chunk and its neighbours at one bit, the other by each chunk and those at up to two, so chunks
+    up to three bits apart meet. Of a pair's meetings one counts: in its first near chunk, at the first chunk's value with the
+    lowest differing bit turned; so pairs come once, without a distinct.
     """
-    chunks = min(max(near, 1), 256)
-    cuts = [i * 256 // chunks for i in range(chunks + 1)]
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = np.stack([batch.column(w).to_numpy(zero_copy_only=False).astype("<i8") for w in WORDS], axis=1)
-            bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-            for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                packed = np.packbits(bits[:, x:y], axis=1)
-                value = pa.array([bytes(r) for r in packed], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *WORDS)), pa.array(np.full(len(words), k, np.int32)), value], names=["id", *WORDS, "_k", "_x"])
-
-    cut = hashes.select(F.col("id").cast("long").alias("id"), *WORDS).mapInArrow(cut_up, "id long, " + ", ".join(f"{w} long" for w in WORDS) + ", _k int, _x binary")
-    one = cut.select(F.col("id").alias("a_id"), *[F.col(w).alias(f"a_{i}") for i, w in enumerate(WORDS)], "_k", "_x")
-    two = cut.select(F.col("id").alias("b_id"), *[F.col(w).alias(f"b_{i}") for i, w in enumerate(WORDS)], "_k", "_x")
-    met = one.join(two, ["_k", "_x"]).where(F.col("a_id") < F.col("b_id"))
-    return met.withColumn("distance", _distance()).where(F.col("distance") < near).select("a_id", "b_id", "distance").dropDuplicates(["a_id", "b_id"])
+    reach = (near - 1) // CHUNKS
+    if reach > REACH:
+        raise ValueError("the chunk index serves up to 64 differing bits")
+    ones = [0, *(1 << i for i in range(WIDTH))] if reach else [0]
+    others = sorted({m for m in range(1 << WIDTH) if m.bit_count() <= max(reach - 1, 0)})  # 137 at most
+    a, b = _sides(hashes)
+
+    def keyed(rows: DataFrame, prefix: str, masks: list[int]) -> DataFrame:
+        cut = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+        near_ones = F.transform(F.lit(masks), lambda m: _chunk(prefix, F.col("_k")).bitwiseXOR(m.cast("int")))
+        return cut.withColumn("_x", F.explode(near_ones))
+
+    met = keyed(a, "a", ones).join(keyed(b, "b", others), ["_k", "_x"]).where(F.col("a_id") < F.col("b_id"))
+    apart = lambda k: _chunk("a", k).bitwiseXOR(_chunk("b", k))
+    differing = apart(F.col("_k"))
+    lowest = differing.bitwiseAND(-differing) if reach else F.lit(0)
+    place = F.col("_x") == _chunk("a", F.col("_k")).bitwiseXOR(lowest)
+    first = ~F.exists(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda k: (k < F.col("_k")) & (F.bit_count(apart(k)) <= reach))
+    pairs = met.withColumn("distance", _distance()).where(F.col("distance") < near)
+    return pairs.where((F.bit_count(differing) <= reach) & place & first).select("a_id", "b_id", "distance")
