@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def time_ago(then: Column, now: Column) -> Column:
-    s = F.expr("0") + F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
+    """Whole minutes, hours, days, months of 30 days or years of 12 such months; minutes are never in the plural. '' for null."""
+    s = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
 
-    def unit(n: Column, name: str) -> Column:
-        n = F.floor(n).cast("string")
-        return F.concat(n, F.lit(f" {name}"), F.when(n == "1", "").otherwise("s"), F.lit(" ago"))
+    def unit(seconds: int, name: str) -> Column:
+        n = F.floor(s / seconds)
+        return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
 
-    return F.when(s < 60, "just now").when(s < 3600, unit(s / 60, "minute")).when(s < 86400, unit(s / 3600, "hour")).when(s < 2592000, unit(s / 86400, "day")).when(s < 31104000, unit(s / 2592000, "month")).otherwise(unit(s / 31104000, "year"))
+    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago"))
+    return F.when(s.isNull(), "").when(s < 60, "just now").when(s < 3600, minutes).when(s < 86400, unit(3600, "hour")).when(s < 2592000, unit(86400, "day")).when(s < 31104000, unit(2592000, "month")).otherwise(unit(31104000, "year"))
 
 
 def format_bytes(n: Column) -> Column:
-    """Base 1024, one decimal."""
+    """Base 1024, one decimal; nothing is "0 B"."""
     step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).when(n < 1024**4, 3).otherwise(4)
     unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")]), step + 1)
-    return F.concat(F.format_string("%.1f", n / F.pow(F.lit(1024.0), step)), F.lit(" "), unit)
+    return F.when(n == 0, "0 B").otherwise(F.concat(F.format_string("%.1f", n / F.pow(F.lit(1024.0), step)), F.lit(" "), unit))
 
 
 def format_duration(seconds: Column) -> Column:
@@ -29,8 +34,12 @@ def format_duration(seconds: Column) -> Column:
 
 
 def snippet(text: Column, n: int = 120) -> Column:
-    """The first n characters, and an ellipsis if the text has more bytes than that."""
-    return F.when(F.octet_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
+    """A text of over n bytes of UTF-8: the whole characters within its first n bytes, and an ellipsis; a shorter one as it is."""
+    raw = text.cast("binary")
+    first = lambda k: F.substring(raw, 1, k).cast("string")
+    goes_on = lambda k: F.hex(F.substring(raw, k + 1, 1)).between("80", "BF")  # noqa: E731  the byte after k is inside a character
+    cut = F.when(~goes_on(n), first(n)).when(~goes_on(n - 1), first(n - 1)).when(~goes_on(n - 2), first(n - 2)).otherwise(first(n - 3))
+    return F.when(F.octet_length(text) > n, F.concat(cut, F.lit("…"))).otherwise(text)
 
 
 def extension(name: Column) -> Column:
@@ -62,6 +71,7 @@ def is_video(content_type: Column, name: Column) -> Column:
     return F.coalesce(content_type.startswith("video/"), F.lit(False)) | F.coalesce(name.rlike(r"(?i)\.(mp4|webm|mov|mkv|avi)$"), F.lit(False))
 
 
+# The pattern of links to media, of user names in a search box and of email addresses, here and below.
 def media_url(text: Column) -> Column:
     return text.rlike(r"(?i)^https?://\S+\.(jpe?g|png|gif|webp|avif|jxl|mp4|webm)(\?\S*)?$")
 
@@ -104,10 +114,14 @@ def dimensions(text: Column) -> Column:
 
 
 def scaled(width: Column, height: Column, most: Column) -> Column:
-    """Even dimensions of the same ratio with at most `most` wide."""
-    w = F.least(width, most)
-    h = F.round(height * w / width).cast("int")
-    return F.struct((w - w % 2).cast("int").alias("width"), (h - h % 2).cast("int").alias("height"))
+    """Even dimensions of the same ratio with at most `most` wide (0: any width); 0 and 0 if a side is unknown (0)."""
+    even = lambda c: c.cast("int").bitwiseAND(F.lit(-2))
+    as_is = (most == 0) | (width <= most)
+    known = (width != 0) & (height != 0)
+    high = F.round(height * (most / F.nullif(width, F.lit(0))))
+    w = F.when(~known, 0).when(as_is, even(width)).otherwise(even(most))
+    h = F.when(~known, 0).when(as_is, even(height)).otherwise(even(high))
+    return F.struct(w.alias("width"), h.alias("height"))
 
 
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
@@ -132,7 +146,36 @@ def grid_columns(width: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(width / 154).cast("int"))
 
 
-def redacted(json: Column, keys: list[str]) -> Column:
-    """A JSON object's text with the values of these keys hidden, at any depth of objects."""
-    names = "|".join(keys)
-    return F.regexp_replace(json, rf'(?i)("(?:{names})"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}}\]\s]+)', '$1"***"')
+# Fields whose values are never shown, what stands in their place, and the longest body that is shown.
+SENSITIVE = ["password", "token", "invite_token", "secret", "authorization", "session_id", "access_token", "refresh_token"]
+HIDDEN, TOO_LARGE, NOT_JSON = "[REDACTED]", "[body too large to log]", "[non-JSON body]"
+MOST_LOGGED = 2048
+
+
+def redacted(body: Column, keys: list[str] | None = None) -> Column:
+    """A JSON object with whole values of sensitive fields hidden, in objects within it too (not in arrays), its fields in order; null for no body.
+
+    A body that is too large or no JSON object is replaced by a remark. Bodies are short, so their nesting is
+    walked in Python, a batch at a time; Spark has no expression for any depth.
+    """
+    hidden = set(SENSITIVE if keys is None else keys)
+
+    @F.pandas_udf("string")
+    def mask(bodies: pd.Series) -> pd.Series:
+        def walk(found: dict) -> dict:
+            return {k: HIDDEN if k in hidden else walk(v) if isinstance(v, dict) else v for k, v in found.items()}
+
+        def refuse(name: str) -> None:
+            raise ValueError(name)
+
+        def one(raw: str | None) -> str | None:
+            try:
+                found = json.loads(raw, parse_constant=refuse)
+            except (ValueError, RecursionError):
+                return NOT_JSON
+            return json.dumps(walk(found), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if isinstance(found, dict) else NOT_JSON
+
+        return bodies.map(one, na_action="ignore")
+
+    size = F.octet_length(body)
+    return F.when(size > MOST_LOGGED, TOO_LARGE).when(size > 0, mask(F.when((size > 0) & (size <= MOST_LOGGED), body)))

@@ -48,7 +48,14 @@ def comment_tree(comments: DataFrame) -> DataFrame:
 
 
 def reply_notifications(comments: DataFrame) -> DataFrame:
-    """A row for each reply to somebody else's comment: whom it goes to, from whom, and a snippet."""
+    """A message for each reply to somebody else's comment (with an author): whom it goes to, from whom, its body, what it refers to."""
     parent = comments.select(F.col("id").alias("_id"), F.col("user").alias("to_user"))
-    replies = comments.join(parent, comments["parent_id"] == parent["_id"]).where(F.col("user") != F.col("to_user"))
-    return replies.select(F.col("id").alias("comment_id"), "post_id", F.col("user").alias("from_user"), "to_user", snippet(F.col("content")).alias("snippet"))
+    replies = comments.join(parent, comments["parent_id"] == parent["_id"]).where((F.col("to_user") != "") & (F.col("user") != F.col("to_user")))
+    said = F.coalesce(snippet(F.col("content")), F.lit(""))
+    body = F.concat(F.lit("@"), F.col("user"), F.lit(" replied to your comment"), F.when(said != "", F.concat(F.lit(": \u201c"), said, F.lit("\u201d"))).otherwise(""))
+    return replies.select(F.lit("notification").alias("kind"), F.col("user").alias("from_user"), "to_user", body.alias("body"), F.col("post_id").alias("ref_post_id"), F.col("id").alias("ref_comment_id"))
+
+
+def of_post(comments: DataFrame, post: int) -> DataFrame:
+    """A post's comments by id; deleted ones (deleted_at) are left out."""
+    return comments.where((F.col("post_id") == post) & F.col("deleted_at").isNull()).orderBy("id")

@@ -53,9 +53,15 @@ def queue_position(posts: DataFrame, post: int) -> DataFrame:
     return posts.where(F.col("dirty") & ~F.col("deleted") & (F.col("id") <= post)).agg(F.count(F.lit(1)).alias("position"))
 
 
-def eta(position: Column, rate: Column) -> Column:
-    """Seconds until a place in the queue is reached; -1 if no rate is known."""
-    return F.when(rate > 0, F.ceil(position / rate)).otherwise(-1).cast("int")
+def eta(position: Column, rate: Column, whole: Column) -> Column:
+    """Seconds until a place in the queue is reached; -1 if no rate is known; `whole`, the whole queue's, for what has no place."""
+    return F.when(rate <= 0, -1).when(position <= 0, whole).otherwise(F.ceil(position / rate)).cast("int")
+
+
+def known(candidates: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """candidates with `known`: whether the table has their key."""
+    there = existing.select(key).distinct().withColumn("known", F.lit(True))
+    return candidates.join(there, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def first_unfinished(posts: DataFrame, user: int) -> DataFrame:
@@ -71,6 +77,17 @@ def source_of(uploaded: Column, url: Column) -> Column:
     return F.when(F.coalesce(uploaded, F.lit("")) != "", "file").when(F.coalesce(url, F.lit("")) != "", "url").otherwise("invalid")
 
 
+def phases(log: DataFrame) -> DataFrame:
+    """The phase of each post from its events (id, seq, kind): queued, claimed, processed, done, failed or invalid, by the last that counts.
+
+    A failed or invalid post is gone and its status counts one failure more; nothing that comes after ending counts.
+    """
+    ends = F.min(F.when(F.col("kind").isin("done", "failed", "invalid"), F.col("seq"))).over(Window.partitionBy("id"))
+    live = log.withColumn("_ends", ends).where("_ends IS NULL OR seq <= _ends")
+    out = live.groupBy("id").agg(F.max_by("kind", "seq").alias("phase"))
+    return out.select("id", "phase", F.col("phase").isin("failed", "invalid").alias("deleted"), (F.col("phase").isin("failed", "invalid")).cast("int").alias("failures"))
+
+
 def processed(post: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Next state of unfinished posts: deleted if the source is invalid or the picture is there already, else finalized."""
     doubles = duplicates.select(F.col("id").alias("_d")).distinct()
