@@ -47,15 +47,20 @@ def has_more(posts: DataFrame, labels: list[str], than: int, limit: int = PAGE,
     return posts.where(visible(labels) & beyond).limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("has_more"))
 
 
-def full_page(rows: DataFrame, limit: int) -> DataFrame:
-    """The client's guess: there's more if the page is full."""
-    return rows.agg((F.count(F.lit(1)) == limit).alias("has_more"))
-
-
 def around(posts: DataFrame, labels: list[str], post: int, limit: int, mode: str = "compat") -> DataFrame:
-    """`limit` newer posts, the post itself and `limit` older ones, newest first."""
+    """`limit` newer posts, the post itself and `limit` older ones, newest first; and on each row whether there are more on either side (has_newer, has_older)."""
     me = posts.where(visible(labels) & (F.col("id") == post))
-    return newer(posts, labels, post, limit, mode).unionByName(me).unionByName(older(posts, labels, post, limit)).orderBy(F.desc("id"))
+    # One row more than asked for tells that there are more. Of the newer ones `compat` then drops the nearest, `contiguous` the farthest.
+    near = posts.where(visible(labels) & (F.col("id") > post)).orderBy("id").limit(limit + 1).withColumn("_side", F.lit(1))
+    far = older(posts, labels, post, limit + 1).withColumn("_side", F.lit(-1))
+    both = near.unionByName(far).unionByName(me.withColumn("_side", F.lit(0)))
+    side = Window.partitionBy("_side")  # a page and a few rows
+    found = both.withColumn("_n", F.count(F.lit(1)).over(side)).withColumn("_place", F.row_number().over(side.orderBy(F.col("id") * F.col("_side"))))
+    every = Window.partitionBy(F.lit(1))
+    first = F.when((F.col("_side") == 1) & (F.col("_n") > limit), 2).otherwise(1) if mode == "compat" else F.lit(1)
+    found = found.withColumns({"has_newer": F.coalesce(F.max(F.when(F.col("_side") == 1, F.col("_n") > limit)).over(every), F.lit(False)), "has_older": F.coalesce(F.max(F.when(F.col("_side") == -1, F.col("_n") > limit)).over(every), F.lit(False))})
+    kept = found.where((F.col("_place") >= first) & (F.col("_place") < first + limit))
+    return kept.drop("_side", "_n", "_place").orderBy(F.desc("id"))
 
 
 def position(posts: DataFrame, labels: list[str], post: int, limit: int = PAGE) -> DataFrame:
@@ -78,11 +83,17 @@ def ranked(rows: DataFrame, key: str = "id", descending: bool = True, name: str
 
 
 def neighbours(posts: DataFrame, labels: list[str]) -> DataFrame:
-    """id of each visible post, and of the next newer and the next older one."""
-    placed = ranked(posts.where(visible(labels)).select("id"))
-    newer_ = placed.select(F.col("id").alias("newer_id"), (F.col("position") + 1).alias("position"))
-    older_ = placed.select(F.col("id").alias("older_id"), (F.col("position") - 1).alias("position"))
-    return placed.join(newer_, "position", "left").join(older_, "position", "left").select("id", "newer_id", "older_id")
+    """id of each visible post, and of the next newer and the next older one.
+
+    Inside ranges of ids the neighbours are the rows before and after; at a range's edges they come from the
+    nearest ranges with posts, of which there's a small table with a row each.
+    """
+    split = posts.where(visible(labels)).select("id", F.floor(F.col("id") / RANGE).alias("_range"))
+    inside, ranges = Window.partitionBy("_range").orderBy("id"), Window.orderBy("_range")
+    ends = split.groupBy("_range").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    ends = ends.select("_range", F.lead("_low").over(ranges).alias("_above"), F.lag("_high").over(ranges).alias("_below"))
+    placed = split.select("id", "_range", F.lead("id").over(inside).alias("_newer"), F.lag("id").over(inside).alias("_older")).join(ends, "_range")
+    return placed.select("id", F.coalesce("_newer", "_above").alias("newer_id"), F.coalesce("_older", "_below").alias("older_id"))
 
 
 def grid_rows(posts: DataFrame, labels: list[str], columns: int, expanded: int | None = None) -> DataFrame:
@@ -98,3 +109,25 @@ def grid_rows(posts: DataFrame, labels: list[str], columns: int, expanded: int |
 def next_cursor(rows: DataFrame, key: str = "id") -> DataFrame:
     """The smallest and largest id of what is loaded; 0 for nothing."""
     return rows.agg(F.coalesce(F.min(key), F.lit(0)).alias("oldest"), F.coalesce(F.max(key), F.lit(0)).alias("newest"))
+
+
+#: Posts that a profile shows.
+SHOWN = 33
+
+
+def shown(posts: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """The first posts of a loaded list, as a profile shows them."""
+    return posts.orderBy(F.desc("id")).limit(limit)
+
+
+def without(rows: DataFrame, post: int) -> DataFrame:
+    """A loaded list without one post."""
+    return rows.where(F.col("id") != post)
+
+
+def appended(loaded: DataFrame, page: DataFrame) -> DataFrame:
+    """A loaded list (rows with their place) and the page after it. What is in both stays twice, as clients see it."""
+    last = loaded.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("_last"))  # one row
+    order = Window.orderBy(F.desc("id"))  # of one page
+    new = page.withColumn("_n", F.row_number().over(order)).crossJoin(last).withColumn("place", (F.col("_last") + F.col("_n")).cast(loaded.schema["place"].dataType))
+    return loaded.unionByName(new.select(loaded.columns))

@@ -45,6 +45,11 @@ def notifications(messages: DataFrame, posts: DataFrame, comments: DataFrame, me
     return mine.join(about, "ref_post_id", "left").join(said, "ref_comment_id", "left").select("id", "kind", "from_id", "created_at", "is_read", "ref_post_id", "ref_comment_id", "post_label", "comment_user").orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def unread_of(page: DataFrame) -> DataFrame:
+    """How many of a loaded page are unread."""
+    return page.agg(F.count_if(~F.col("is_read")).cast("int").alias("unread"))
+
+
 def broadcast(users: DataFrame, body: str, created_at: str) -> DataFrame:
     """One system message to every user."""
     return users.select(F.lit("system").alias("kind"), F.col("id").alias("to_id"), F.lit(body).alias("body"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"))

@@ -5,7 +5,7 @@ Plain Parquet has no UPDATE; `sources.snapshots` swaps the new table in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.labels import of_level
@@ -43,12 +43,17 @@ def flagged(rows: DataFrame, ids: DataFrame, column: str, value: bool = True) ->
     return rows.join(hit, rows["id"] == hit["_id"], "left").withColumn(column, F.when(F.col("_id").isNotNull(), F.lit(value)).otherwise(F.col(column))).drop("_id")
 
 
+#: What processing finds out about a post, beside its id.
+RESULT = ["filename", "thumbnail_filename", "uploaded_filename", "content_type", "p_hash_0", "p_hash_1", "p_hash_2", "p_hash_3", "width", "height"]
+
+
 def finalized(posts: DataFrame, results: DataFrame) -> DataFrame:
-    """Unfinished posts with a result (id, width, height) become finished, with its size."""
-    new = results.select(F.col("id").alias("_id"), F.col("width").alias("_w"), F.col("height").alias("_h"))
-    hit = F.col("_id").isNotNull() & F.col("dirty")
-    joined = posts.join(new, posts["id"] == new["_id"], "left").withColumn("_hit", hit)
-    return joined.withColumns({"dirty": F.col("dirty") & ~F.col("_hit"), "width": F.when(F.col("_hit"), F.col("_w")).otherwise(F.col("width")), "height": F.when(F.col("_hit"), F.col("_h")).otherwise(F.col("height"))}).drop("_id", "_w", "_h", "_hit")
+    """Posts with a result (id and the columns of RESULT that posts have) take it over and become finished."""
+    columns = [c for c in RESULT if c in posts.columns]
+    new = results.select(F.col("id").alias("_id"), F.struct(*columns).alias("_new"))
+    joined = posts.join(new, posts["id"] == new["_id"], "left")
+    hit = F.col("_id").isNotNull()
+    return joined.withColumns({"dirty": F.col("dirty") & ~hit, **{c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}}).drop("_id", "_new")
 
 
 def unfinished_deleted(posts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -67,8 +72,12 @@ def tag_deleted(tag: int, tags: DataFrame, post_tags: DataFrame, tag_votes: Data
     return {"tags": left_tags, "post_tags": links, "tag_votes": tag_votes.join(gone.select(F.col("id").alias("entity")), "entity", "left_anti"), "posts": others.unionByName(relabelled(touched, keyword_names(links, left_tags)).select(posts.columns))}
 
 
-def tag_removed(post_tags: DataFrame, post: int, tag: int) -> DataFrame:
-    return post_tags.where((F.col("post_id") != post) | (F.col("tag_id") != tag))
+def tag_removed(post: int, tag: int, post_tags: DataFrame, tag_votes: DataFrame, tags: DataFrame, posts: DataFrame) -> dict[str, DataFrame]:
+    """A tag taken off one post: its link and the votes on it go, and the post's label follows from the tags that are left."""
+    mine = (F.col("post_id") == post) & (F.col("tag_id") == tag)
+    gone, links = post_tags.where(mine).select(F.col("id").alias("entity")), post_tags.where(~mine)
+    touched = relabelled(posts.where(F.col("id") == post), keyword_names(links, tags))
+    return {"post_tags": links, "tag_votes": tag_votes.join(gone, "entity", "left_anti"), "posts": posts.where(F.col("id") != post).unionByName(touched.select(posts.columns))}
 
 
 def comments_cascaded(comments: DataFrame, posts: DataFrame) -> DataFrame:
@@ -78,6 +87,29 @@ def comments_cascaded(comments: DataFrame, posts: DataFrame) -> DataFrame:
     return kept.join(alive, kept["parent_id"] == alive["_parent"], "left").withColumn("parent_id", F.col("_parent")).drop("_parent").select(comments.columns)
 
 
+def cascaded(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables after rows of posts, comments, tags or users are gone: what belongs to them goes too.
+
+    tables: posts, comments, tags, users, post_tags (id, post_id, tag_id, user_id), post_votes, comment_votes and tag_votes (entity, user_id), messages
+    (ref_post_id, ref_comment_id: references to what is gone become null). A tag's user that is gone leaves the tag where it is.
+    """
+    ids = {k: tables[k].select("id") for k in ("posts", "comments", "tags", "users")}
+    of = lambda rows, key, parent: rows.join(ids[parent].select(F.col("id").alias(key)), key, "left_semi").select(rows.columns)
+    out = dict(tables)
+    out["comments"] = comments_cascaded(tables["comments"], tables["posts"])
+    ids["comments"] = out["comments"].select("id")
+    out["post_tags"] = of(of(tables["post_tags"], "post_id", "posts"), "tag_id", "tags")
+    ids["post_tags"] = out["post_tags"].select("id")
+    for votes, parent in (("post_votes", "posts"), ("comment_votes", "comments"), ("tag_votes", "post_tags")):
+        out[votes] = of(of(tables[votes], "entity", parent), "user_id", "users")
+    messages = tables["messages"]
+    for key, parent in (("ref_post_id", "posts"), ("ref_comment_id", "comments")):
+        alive = ids[parent].select(F.col("id").alias("_alive"))
+        messages = messages.join(alive, messages[key] == alive["_alive"], "left").withColumn(key, F.col("_alive").cast(messages.schema[key].dataType)).drop("_alive")
+    out["messages"] = messages.select(tables["messages"].columns)
+    return out
+
+
 def admin_ensured(users: DataFrame, name: str) -> DataFrame:
     """The named user gets level 10 at least; inserted if missing."""
     raised = set_where(users, F.col("name") == name, level=F.greatest("level", F.lit(10)))
@@ -100,14 +132,33 @@ def invitation_used(invitations: DataFrame, token: str, user: int, now: Column)
 def released(posts: DataFrame, requests: DataFrame) -> DataFrame:
     """What becomes of requests (id, user_id, tags) to release posts: status, and the tags that would be added, each once.
 
-    not_found (or deleted), forbidden (another's), unfinished, already, ok: all or nothing.
+    not_found (or deleted), forbidden (another's), unfinished, already, ok: all or nothing. Tags lose white space at both ends; empty ones don't count.
     """
     about = posts.select(F.col("id").alias("_id"), F.col("user_id").alias("_owner"), "dirty", "released", "deleted")
     joined = requests.join(about, requests["id"] == about["_id"], "left")
     status = F.when(F.col("_id").isNull() | F.col("deleted"), "not_found").when(F.col("_owner") != F.col("user_id"), "forbidden").when(F.col("dirty"), "unfinished").when(F.col("released"), "already").otherwise("ok")
-    return joined.withColumn("status", status).select("id", "user_id", "status", F.when(F.col("status") == "ok", F.array_distinct("tags")).otherwise(F.array().cast("array<string>")).alias("tags"))
+    names = F.array_distinct(F.array_remove(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.trim(t)), ""))
+    return joined.withColumn("status", status).select("id", "user_id", "status", F.when(F.col("status") == "ok", names).otherwise(F.array().cast("array<string>")).alias("tags"))
 
 
-def latest_rows(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+def release(requests: DataFrame, posts: DataFrame, tags: DataFrame, post_tags: DataFrame, comments: DataFrame) -> dict[str, DataFrame]:
+    """The tables after requests (id, user_id, tags, comment; one for each post) to release posts, and each one's status.
+
+    What `released` finds ok happens whole: missing tags are made, links from post to tag added where there are none, the label
+    follows from the keywords among the tags if the request has one, a comment that isn't empty is written, and the post counts as released. Nothing
+    happens for other requests.
+    """
+    asked = released(posts, requests)
+    fine = asked.where("status = 'ok'")
+    named = fine.select(F.col("id").alias("post_id"), "user_id", F.explode("tags").alias("name"))
+    new_tags = tags_upserted(tags, named.select("name", F.col("post_id").alias("_order")).groupBy("name").agg(F.min("_order").alias("_first")).select("name", F.xxhash64("name").alias("_order")), "_order")
+    links = named.join(new_tags.select(F.col("id").alias("tag_id"), "name"), "name").join(post_tags.select("post_id", "tag_id"), ["post_id", "tag_id"], "left_anti")
+    links = links.select("post_id", "tag_id", "user_id", F.lit(0).cast(post_tags.schema["score"].dataType).alias("score"), F.xxhash64("post_id", "tag_id").alias("_order"))
+    new_links = inserted(post_tags, links, "_order")
+    said = requests.join(fine.select("id"), "id", "left_semi").withColumn("content", F.trim("comment")).where("content <> ''")
+    new_comments = inserted(comments, said.select(F.col("id").alias("post_id"), "user_id", "content", F.xxhash64("id").alias("_order")), "_order")
+    keyed = named.where(F.col("name").isin("nsfp", "nsfw", "secret")).select(F.col("post_id").alias("id")).distinct()
+    ours = posts.join(fine.select("id"), "id", "left_semi").withColumn("released", F.lit(True))
+    relabel = relabelled(ours.join(keyed, "id", "left_semi"), keyword_names(new_links, new_tags)).select(posts.columns)
+    new_posts = posts.join(fine.select("id"), "id", "left_anti").unionByName(ours.join(keyed, "id", "left_anti")).unionByName(relabel)
+    return {"status": asked, "posts": new_posts.select(posts.columns), "tags": new_tags, "post_tags": new_links, "comments": new_comments}

@@ -13,6 +13,13 @@ def admin_counts(posts: DataFrame, comments: DataFrame, tags: DataFrame, users:
     return p.crossJoin(count(comments, "comments")).crossJoin(count(tags, "tags")).crossJoin(count(users, "users"))  # rows of one
 
 
+def admin_stats(counts: DataFrame, disk: DataFrame) -> DataFrame:
+    """One row: the counts, the bytes of all directories and the list of them (disk: label, bytes, files; a row for each directory)."""
+    entry = F.struct("label", "bytes", "files")
+    usage = disk.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("total_bytes"), F.array_sort(F.collect_list(entry)).alias("breakdown"))
+    return counts.select("posts", "comments", "tags", "users", F.col("dirty_posts").alias("pending_import")).crossJoin(usage)  # rows of one
+
+
 def user_profile(posts: DataFrame, user: int) -> DataFrame:
     """Number of posts, sum of scores and first post of a user; no row without posts."""
     mine = posts.where(F.col("user_id") == user)

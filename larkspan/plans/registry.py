@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import kernels, labels, text
-from larkspan.operators import discuss, feed, ingest, integrity, jobs, messages, mutate, search, similarity, stats, tagging, votes
+from larkspan.operators import discuss, feed, ingest, integrity, jobs, lookup, messages, mutate, search, similarity, stats, tagging, votes
 from larkspan.plans import views as v
 from larkspan.plans.views import with_views
 from larkspan.sources import feeds
@@ -54,10 +54,12 @@ def feed_voted(spark, d):
     return feed.with_vote(page, _latest(spark, d), USER).select("id", "label", "vote")
 
 
-@query("post_voted", f"SELECT id, label, CAST(coalesce(vote, 0) AS SMALLINT) AS vote FROM posts p LEFT JOIN (SELECT * FROM {LATEST} WHERE user_id = {USER}) l ON l.entity = p.id WHERE {SEEN} AND id = 57", "posts", "votes")
+@query("post_voted", f"SELECT id, label, CAST(coalesce((SELECT vote FROM {LATEST} l WHERE l.entity = p.id AND l.user_id = v.user_id), 0) AS SMALLINT) AS vote FROM posts p, (SELECT min(entity) AS entity FROM {LATEST} WHERE entity IN (SELECT id FROM posts WHERE {SEEN})) e, (SELECT min(user_id) AS user_id FROM {LATEST} l WHERE entity = (SELECT min(entity) FROM {LATEST} WHERE entity IN (SELECT id FROM posts WHERE {SEEN}))) v WHERE p.id = e.entity", "posts", "votes")
 def post_voted(spark, d):
-    one = v.posts(spark, d).where(labels.visible(LABELS) & (F.col("id") == 57))
-    return feed.with_vote(one, _latest(spark, d), USER).select("id", "label", "vote")
+    """The first visible post with a vote, for the first user who voted on it."""
+    last, seen = _latest(spark, d), v.posts(spark, d).where(labels.visible(LABELS))
+    voted = last.join(seen.select(F.col("id").alias("entity")), "entity", "left_semi").agg(F.min(F.struct("entity", "user_id")).alias("first")).first().first  # one row
+    return feed.with_vote(lookup.by_key(seen, "id", voted.entity), last, voted.user_id).select("id", "label", "vote")
 
 
 @query("posts_by_user", f"SELECT id, label, created_at FROM posts WHERE {SEEN} AND user_id = {USER}", "posts")
@@ -85,9 +87,10 @@ def posts_has_more(spark, d):
     return feed.has_more(v.posts(spark, d), LABELS, POST)
 
 
-@query("posts_around", f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS c FROM posts WHERE {SEEN} AND id > {POST}) WHERE CASE WHEN c > 10 THEN n BETWEEN 2 AND 11 ELSE true END UNION ALL SELECT id FROM posts WHERE {SEEN} AND id = {POST} UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS n FROM posts WHERE {SEEN} AND id < {POST}) WHERE n <= 10", "posts")
+@query("posts_around", f"SELECT * FROM (WITH w AS (SELECT id, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS c FROM posts WHERE {SEEN} AND id > {POST}), o AS (SELECT id, row_number() OVER (ORDER BY id DESC) AS n, count(*) OVER () AS c FROM posts WHERE {SEEN} AND id < {POST}), a AS (SELECT id FROM w WHERE CASE WHEN c > 10 THEN n BETWEEN 2 AND 11 ELSE true END UNION ALL SELECT id FROM posts WHERE {SEEN} AND id = {POST} UNION ALL SELECT id FROM o WHERE n <= 10) SELECT id, coalesce((SELECT max(c) FROM w) > 10, false) AS has_newer, coalesce((SELECT max(c) FROM o) > 10, false) AS has_older FROM a)", "posts")
 def posts_around(spark, d):
-    return feed.around(v.posts(spark, d), LABELS, POST, 10).select("id")
+    """A window around a post as clients see it: of the newer posts one more is read, and then the nearest is dropped."""
+    return feed.around(v.posts(spark, d), LABELS, POST, 10).select("id", "has_newer", "has_older")
 
 
 @query("post_position", f"SELECT position, position // 50 + 1 AS page FROM (SELECT count(*) AS position FROM posts WHERE {SEEN} AND id > {POST})", "posts")
@@ -115,7 +118,8 @@ def page_cursor(spark, d):
     return feed.next_cursor(feed.page(v.posts(spark, d), LABELS))
 
 
-@query("visibility_matrix", "SELECT level, requested, array_to_string(list_filter(CASE WHEN requested = '' THEN allowed ELSE list_transform(string_split(requested, ','), lambda x: trim(x)) END, lambda x: list_contains(allowed, x)), ',') AS labels FROM (SELECT level, CASE WHEN level >= 5 THEN ['sfw', 'nsfp', 'nsfw', 'secret'] WHEN level >= 1 THEN ['sfw', 'nsfp', 'nsfw'] ELSE ['sfw'] END AS allowed FROM (SELECT unnest([0, 1, 5, 10])::INT AS level)), (SELECT unnest(['', 'sfw', 'secret,sfw', ' nsfp , nsfp ,nsfw', 'bogus']) AS requested) WHERE requested <> ' nsfp , nsfp ,nsfw' UNION ALL SELECT level::INT, ' nsfp , nsfp ,nsfw', CASE WHEN level = 0 THEN '' ELSE 'nsfp,nsfw' END FROM (SELECT unnest([0, 1, 5, 10]) AS level)")
+@query("visibility_matrix", """SELECT level, requested, CASE WHEN requested = '' THEN array_to_string(allowed, ',') ELSE coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM (SELECT name, min(place) AS place FROM (SELECT trim(unnest(string_split(requested, ','))) AS name, unnest(generate_series(1, len(string_split(requested, ',')))) AS place) WHERE list_contains(allowed, name) GROUP BY name)), '') END AS labels
+    FROM (SELECT level, CASE WHEN level >= 5 THEN ['sfw', 'nsfp', 'nsfw', 'secret'] WHEN level >= 1 THEN ['sfw', 'nsfp', 'nsfw'] ELSE ['sfw'] END AS allowed FROM (SELECT unnest([0, 1, 5, 10])::INT AS level)), (SELECT unnest(['', 'sfw', 'secret,sfw', ' nsfp , nsfp ,nsfw', 'bogus']) AS requested)""")
 def visibility_matrix(spark, d):
     levels = spark.createDataFrame([(n,) for n in (0, 1, 5, 10)], "level int")
     asked = spark.createDataFrame([(x,) for x in ("", "sfw", "secret,sfw", " nsfp , nsfp ,nsfw", "bogus")], "requested string")
@@ -139,11 +143,11 @@ def posts_with_tag(spark, d):
     return search.ids_with_tag(v.post_tags(spark, d), 17)
 
 
-@query("tag_suggest", "SELECT id, name FROM named_tags t WHERE contains(lower(name), 'part1') AND NOT EXISTS (SELECT 1 FROM (SELECT name AS n FROM named_tags WHERE id IN (1, 10)) x WHERE lower(x.n) = lower(t.name)) ORDER BY id LIMIT 8", "named_tags")
+@query("tag_suggest", "SELECT id, name FROM named_tags t WHERE contains(lower(name), 'nvi') AND NOT EXISTS (SELECT 1 FROM (SELECT name AS n FROM named_tags WHERE id IN (1, 10)) x WHERE lower(x.n) = lower(t.name)) ORDER BY id LIMIT 8", "named_tags")
 def tag_suggest(spark, d):
     tags = v.named_tags(spark, d)
     existing = [r[0] for r in tags.where("id IN (1, 10)").select("name").collect()]  # the names that a post has, a few
-    return search.suggestions(tags, "Part1", existing).select("id", "name")
+    return search.suggestions(tags, "NVI", existing).select("id", "name")
 
 
 @query("tags_of_post_top5", f"SELECT x.post_id, x.id, t.name, x.score, CAST(coalesce(l.vote, 0) AS SMALLINT) AS vote, greatest(count(*) OVER (PARTITION BY x.post_id) - 5, 0) AS hidden FROM post_tags x LEFT JOIN tags t ON t.id = x.tag_id LEFT JOIN (SELECT * FROM {LATEST} WHERE user_id = {USER}) l ON l.entity = x.id QUALIFY row_number() OVER (PARTITION BY x.post_id ORDER BY x.score DESC, x.id, x.tag_id) <= 5", "post_tags", "tags", "votes")
@@ -169,7 +173,7 @@ QUERIES["comment_tree"] = comment_tree
 ORACLE_SQL["comment_tree"] = f"WITH RECURSIVE comments AS ({v.SQL['comments']}), {TREE} SELECT id, depth, root_id, path, least(depth, 8) * 16 AS indent FROM tree"
 
 
-@query("reply_notifications", "SELECT c.id AS comment_id, c.post_id, c.\"user\" AS from_user, p.\"user\" AS to_user, CASE WHEN strlen(c.content) > 120 THEN left(c.content, 120) || '…' ELSE c.content END AS snippet FROM comments c JOIN comments p ON p.id = c.parent_id WHERE p.\"user\" <> c.\"user\"", "comments")
+@query("reply_notifications", """SELECT 'notification' AS kind, c."user" AS from_user, p."user" AS to_user, '@' || c."user" || ' replied to your comment' || CASE WHEN coalesce(c.content, '') = '' THEN '' WHEN strlen(c.content) > 120 THEN ': “' || left(c.content, (SELECT max(n)::INT FROM (SELECT unnest(generate_series(0, 120)) AS n) WHERE strlen(left(c.content, n::INT)) <= 120)) || '…”' ELSE ': “' || c.content || '”' END AS body, c.post_id AS ref_post_id, c.id AS ref_comment_id FROM comments c JOIN comments p ON p.id = c.parent_id WHERE p."user" <> c."user" AND p."user" <> ''""", "comments")
 def reply_notifications(spark, d):
     return discuss.reply_notifications(v.comments(spark, d))
 
@@ -194,9 +198,12 @@ def private_messages(spark, d):
     return messages.private(v.messages(spark, d), USER).select("id", F.when(F.col("from_id") == USER, F.col("to_id")).otherwise(F.col("from_id")).alias("partner"))
 
 
-@query("thread", f"SELECT id, from_id, to_id, created_at FROM ({MINE}) WHERE partner = 5", "messages")
+@query("thread", f"SELECT id, from_id, to_id, created_at FROM ({MINE}) WHERE partner = (SELECT min(partner) FROM ({MINE}))", "messages")
 def thread(spark, d):
-    return messages.thread(v.messages(spark, d), USER, 5).select("id", "from_id", "to_id", "created_at")
+    """The thread with the first partner of the user's private messages."""
+    mine = v.messages(spark, d)
+    partner = messages.inbox(mine, USER).agg(F.min("partner")).first()[0]  # one value
+    return messages.thread(mine, USER, partner).select("id", "from_id", "to_id", "created_at")
 
 
 @query("unread_count", "SELECT CAST(sum(CASE WHEN to_id = 3 AND NOT is_read THEN 1 ELSE 0 END) AS INT) AS unread FROM messages", "messages")
@@ -246,24 +253,24 @@ def vote_upsert(spark, d):
 @query("vote_scores_stream", ORACLE_SQL["vote_scores"])
 def vote_scores_stream(spark, d):
     """The stream over the whole vote log, run to its end; the last score of each entity."""
-    from larkspan.streaming.votes import stream_scores
+    from larkspan.streaming.votes import append_to, latest_scores, stream_scores
 
     path = f"{d}/events.parquet"
     source = v.table(spark, d, "events")
-    name = f"scores_{abs(hash(d)) % 10**8}_{id(source)}"
+    out = folder(spark, "scores")
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf, None)
     spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(source.schema).parquet(path if _folder(spark, path) else f"{d}/events*.parquet")
-        running = stream_scores(v.votes_of(stream).drop("ts")).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", folder(spark, "votes")).trigger(availableNow=True).start()
+        running = stream_scores(v.votes_of(stream).drop("ts")).writeStream.foreachBatch(append_to(out)).outputMode("update").option("checkpointLocation", folder(spark, "votes")).trigger(availableNow=True).start()
         running.awaitTermination()
     finally:
         if before is not None:
             spark.conf.set(conf, before)
         else:
             spark.conf.unset(conf)
-    return spark.table(name)
+    return latest_scores(spark.read.schema("entity bigint, score bigint, batch bigint").parquet(out))
 
 
 def _folder(spark: SparkSession, path: str) -> bool:
@@ -293,13 +300,14 @@ def _items(spark, d):
     return v.table(spark, d, "pages").select("page_id", F.concat(F.lit("img"), F.col("page_id").cast("string"), ext).alias("image"), (F.col("page_id") % 5 == 1).alias("known"), (F.col("page_id") % 13 != 4).alias("ok"))
 
 
-@query("import_counters", f"WITH i AS ({NAMES}), o AS (SELECT *, regexp_matches(image, '(?i)\\.(jxl|avif|webp|jpg|gif)$') AS fits FROM i) SELECT count(*) AS total, count(*) FILTER (NOT fits) AS filtered_ext, count(*) FILTER (fits AND known) AS skipped_dedup, count(*) FILTER (fits AND NOT known AND NOT ok) AS insert_errors, count(*) FILTER (fits AND NOT known AND ok) AS inserted FROM o")
+@query("import_counters", f"WITH i AS ({NAMES}), o AS (SELECT *, lower(regexp_extract(image, '\\.[^./]*$')) IN ('.jxl', '.avif', '.webp', '.jpg', '.gif') AS fits, image IN (SELECT 'img' || doc_id || '.jpg' FROM documents WHERE doc_id % 5 = 0) AS there FROM i) SELECT count(*) AS total, count(*) FILTER (NOT fits) AS filtered_ext, count(*) FILTER (fits AND there) AS skipped_dedup, count(*) FILTER (fits AND NOT there AND NOT ok) AS insert_errors, count(*) FILTER (fits AND NOT there AND ok) AS inserted FROM o")
 def import_counters(spark, d):
-    items = _items(spark, d)
+    there = v.table(spark, d, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("img"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image"))
+    items = ingest.known(_items(spark, d).drop("known"), there, "image")
     return ingest.counters(items.withColumn("outcome", ingest.outcome(F.col("image"), F.col("known"), F.col("ok"))))
 
 
-@query("file_types", f"WITH i AS ({NAMES}) SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'video/mp4' WHEN 3 THEN 'unknown/' WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/png' ELSE 'unknown/bin' END AS type, page_id % 7 = 2 AS video FROM i")
+@query("file_types", f"WITH i AS ({NAMES}), e AS (SELECT page_id, lower(regexp_extract(image, '\\.([^./]*)$', 1)) AS x FROM i), k AS (SELECT * FROM (VALUES ('jpg', 'image/jpeg'), ('jpeg', 'image/jpeg'), ('png', 'image/png'), ('gif', 'image/gif'), ('webp', 'image/webp'), ('avif', 'image/avif'), ('jxl', 'image/jxl'), ('bmp', 'image/bmp'), ('tiff', 'image/tiff'), ('tif', 'image/tiff'), ('mp4', 'video/mp4'), ('webm', 'video/webm'), ('mov', 'video/quicktime'), ('mkv', 'video/x-matroska'), ('avi', 'video/x-msvideo')) t(x, type)) SELECT page_id, coalesce(k.type, 'unknown/' || e.x) AS type, coalesce(starts_with(k.type, 'video/'), false) AS video FROM e LEFT JOIN k ON k.x = e.x")
 def file_types(spark, d):
     return _items(spark, d).select("page_id", text.file_type(F.col("image")).alias("type"), text.is_video(F.lit(None).cast("string"), F.col("image")).alias("video"))
 
@@ -325,10 +333,11 @@ def queue_positions_all(spark, d):
     return ingest.queue_positions(v.posts(spark, d))
 
 
-@query("queue_eta", "SELECT id, CAST(ceil(n / 2.5) AS INT) AS eta_sec, -1 AS unknown FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM posts WHERE dirty AND NOT deleted)", "posts")
+@query("queue_eta", "SELECT id, CAST(CASE WHEN n <= 3 THEN 777 ELSE ceil((n - 3) / 2.5) END AS INT) AS eta_sec, -1 AS unknown FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM posts WHERE dirty AND NOT deleted)", "posts")
 def queue_eta(spark, d):
-    placed = ingest.queue_positions(v.posts(spark, d))
-    return placed.select("id", ingest.eta(F.col("position"), F.lit(2.5)).alias("eta_sec"), ingest.eta(F.col("position"), F.lit(0.0)).alias("unknown"))
+    """Three posts are done since the positions were taken: who has no place any more gets the whole queue's estimate."""
+    placed = ingest.queue_positions(v.posts(spark, d)).withColumn("position", F.col("position") - 3)
+    return placed.select("id", ingest.eta(F.col("position"), F.lit(2.5), F.lit(777)).alias("eta_sec"), ingest.eta(F.col("position"), F.lit(0.0), F.lit(777)).alias("unknown"))
 
 
 @query("dirty_posts", "SELECT id, user_id FROM posts WHERE NOT (NOT dirty OR deleted)", "posts")
@@ -346,16 +355,24 @@ def post_is_dirty(spark, d):
     return ingest.is_dirty(v.posts(spark, d), 1700)
 
 
-@query("url_exists", "SELECT doc_id, doc_id IN (SELECT page_id FROM pages) AS known FROM documents")
+@query("url_exists", "SELECT doc_id, count(page_id) > 0 AS known FROM documents LEFT JOIN pages ON page_id = doc_id GROUP BY doc_id")
 def url_exists(spark, d):
-    known = v.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(True).alias("k")).distinct()
-    return v.table(spark, d, "documents").select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("k", F.lit(False)).alias("known"))
+    urls = v.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"))
+    return ingest.known(v.table(spark, d, "documents").select("doc_id"), urls, "doc_id")
 
 
-@query("source_resolution", "SELECT id, CASE id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'url' ELSE 'invalid' END AS source FROM posts", "posts")
+SOURCES = "SELECT id, user_id, CASE WHEN id % 3 = 0 THEN 'up' || user_id || '.png' WHEN id % 5 = 0 THEN '' END AS uploaded, CASE WHEN id % 2 = 0 THEN 'http://x/' || id WHEN id % 7 = 0 THEN '' END AS url FROM posts"
+
+
+@query("source_resolution", f"SELECT id, CASE WHEN length(uploaded) > 0 THEN 'file' WHEN length(url) > 0 THEN 'url' ELSE 'invalid' END AS source FROM ({SOURCES})", "posts")
 def source_resolution(spark, d):
-    p = v.posts(spark, d)
-    return p.select("id", ingest.source_of(F.when(p["id"] % 3 == 0, "up.png"), F.when(p["id"] % 3 != 2, "http://x").otherwise("")).alias("source"))
+    return _sources(spark, d).select("id", ingest.source_of(F.col("uploaded"), F.col("url")).alias("source"))
+
+
+def _sources(spark, d):
+    key = F.col("id")
+    uploaded = F.when(key % 3 == 0, F.concat(F.lit("up"), F.col("user_id").cast("string"), F.lit(".png"))).when(key % 5 == 0, "")
+    return v.posts(spark, d).withColumns({"uploaded": uploaded, "url": F.when(key % 2 == 0, F.concat(F.lit("http://x/"), key.cast("string"))).when(key % 7 == 0, "")})
 
 
 @query("post_states", "SELECT id, CASE WHEN NOT dirty AND released THEN 'released' WHEN NOT dirty THEN 'finalized' WHEN id % 3 = 2 THEN 'deleted_invalid' WHEN id % 10 = 0 THEN 'deleted_duplicate' ELSE 'finalized' END AS state FROM posts", "posts")
@@ -370,10 +387,15 @@ def queue_counters(spark, d):
     return ingest.queue_counters(v.votes(spark, d).select(F.col("entity").alias("id"), "seq", status.alias("status")))
 
 
-@query("queue_snapshot", "SELECT CAST(n AS INT) AS pending, CAST(n AS INT) AS total, 0 AS processed, 0 AS imported, 0 AS failed, false AS running, 0.0::DOUBLE AS rate_per_sec, -1 AS eta_sec FROM (SELECT count(*) AS n FROM posts WHERE dirty AND NOT deleted)", "posts")
+@query("queue_snapshot", """SELECT coalesce(pending, n)::INT AS pending, coalesce(total, n)::INT AS total, coalesce(processed, 0)::INT AS processed, 0 AS imported, coalesce(failed, 0)::INT AS failed, coalesce(running, false) AS running, coalesce(rate, 0)::DOUBLE AS rate_per_sec, CASE WHEN rate > 0 THEN ceil(pending / rate) ELSE -1 END::INT AS eta_sec
+    FROM (SELECT count(*) AS n FROM posts WHERE dirty AND NOT deleted) LEFT JOIN (SELECT event_id % 50 + 1 AS pending, event_id % 90 + 60 AS total, event_id % 70 AS processed, event_id % 4 AS failed, event_id % 2 = 0 AS running, (event_id % 8)::DOUBLE / 4 AS rate FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 60 SECONDS ORDER BY ts DESC, event_id DESC LIMIT 1) ON true""", "posts")
 def queue_snapshot(spark, d):
-    none = spark.createDataFrame([], "ts timestamp_ntz, value string")
-    return feeds.queue_snapshot(none, v.posts(spark, d), NOW)
+    """The queue as its last status tells it, one of many in a log."""
+    e = v.table(spark, d, "events")
+    key, none = F.col("event_id"), F.lit(None)
+    value = feeds.status_row(key % 50 + 1, key % 90 + 60, key % 70, none.cast("int"), key % 4, key % 2 == 0, (key % 8).cast("double") / 4, none.cast("int"))
+    now = str(e.agg(F.max("ts")).first()[0])  # one value
+    return feeds.queue_snapshot(e.select("ts", value.alias("value")), v.posts(spark, d), now)
 
 
 # Labels
@@ -417,9 +439,23 @@ def near_duplicates(spark, d):
     return similarity.near_duplicates(v.hashes(spark, d), 90)
 
 
-@query("near_duplicates_banded", PAIRS)
+#: Each picture, and a copy of every third with up to 30 bits of its first two words turned.
+COPIES = f"bits AS ({v.SQL['bits']} UNION ALL SELECT vec_id + 10000000, list_transform(generate_series(0, 255), lambda i: (embedding[i % 64 + 1] > embedding[(i % 64 + i // 64 + 1) % 64 + 1]) <> (i < 128 AND (i * 7 + vec_id) % 128 < vec_id % 31)) FROM embeddings WHERE vec_id % 3 = 0)"
+
+
+@query("near_duplicates_banded", f"WITH {COPIES} SELECT a.id AS a_id, b.id AS b_id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM bits a JOIN bits b ON a.id < b.id WHERE distance < 50")
 def near_duplicates_banded(spark, d):
-    return similarity.near_duplicates_banded(v.hashes(spark, d), 90)
+    """Through the chunk index, with the threshold of production."""
+    def turned(k: int):
+        places = [(i % 64, F.pmod(F.lit(i * 7) + F.col("id"), F.lit(128)) < F.col("id") % 31) for i in range(64 * k, 64 * k + 64)]
+        mask = F.lit(0).cast("long")
+        for bit, hit in places:
+            mask = mask.bitwiseOR(F.when(hit, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(0))
+        return F.col(f"p_hash_{k}").bitwiseXOR(mask).alias(f"p_hash_{k}")
+
+    h = v.hashes(spark, d)
+    copies = h.where("id % 3 = 0").select((F.col("id") + 10000000).alias("id"), turned(0), turned(1), "p_hash_2", "p_hash_3")
+    return similarity.near_duplicates(h.unionByName(copies), 50)
 
 
 @query("possible_duplicates", f"WITH bits AS ({v.SQL['bits']}) SELECT a.id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM bits a, bits b WHERE b.id = 7 AND a.id <> 7 AND distance < 110")
@@ -463,10 +499,10 @@ def backfill_counters(spark, d):
     return stats.batch_counters(rows)
 
 
-@query("job_rate_eta", "SELECT id, CASE WHEN elapsed > 0 THEN round(progress / elapsed * 100) / 100 ELSE 0 END::DOUBLE AS rate, CAST(CASE WHEN progress >= total THEN 0 WHEN elapsed > 0 AND round(progress / elapsed * 100) / 100 > 0 THEN ceil((total - progress) / (round(progress / elapsed * 100) / 100)) ELSE -1 END AS INT) AS eta FROM jobs", "jobs")
+@query("job_rate_eta", "SELECT id, rate, CAST(CASE WHEN progress = 0 OR elapsed <= 0 THEN -1 WHEN total - progress > 0 AND rate > 0 THEN ceil((total - progress) / rate) WHEN total - progress <= 0 THEN 0 ELSE -1 END AS INT) AS eta FROM (SELECT *, CASE WHEN progress = 0 OR elapsed <= 0 THEN 0 ELSE round(progress / elapsed * 100) / 100 END::DOUBLE AS rate FROM jobs)", "jobs")
 def job_rate_eta(spark, d):
-    rows = v.jobs(spark, d).withColumn("rate", jobs.rate(F.col("progress"), F.col("elapsed")))
-    return rows.select("id", "rate", jobs.eta(F.col("progress"), F.col("total"), F.col("rate")).alias("eta"))
+    progress, total, elapsed = F.col("progress"), F.col("total"), F.col("elapsed")
+    return v.jobs(spark, d).select("id", jobs.rate(progress, elapsed).alias("rate"), jobs.eta(progress, total, elapsed).alias("eta"))
 
 
 @query("job_visibility", "SELECT id, visibility FROM jobs WHERE visibility = 'global' OR (visibility = 'user' AND owner_user_id = 3) OR (visibility = 'role' AND min_role_level <= 5)", "jobs")
@@ -486,21 +522,21 @@ def job_ttl(spark, d):
     return jobs.unexpired(rows.withColumn("finished_at", F.when(F.col("status").isin("done", "failed"), F.col("created_at"))), now).select("id")
 
 
-@query("format_time_ago", "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN u(s // 60, 'minute') WHEN s < 86400 THEN u(s // 3600, 'hour') WHEN s < 2592000 THEN u(s // 86400, 'day') WHEN s < 31104000 THEN u(s // 2592000, 'month') ELSE u(s // 31104000, 'year') END AS ago FROM x")
-def format_time_ago(spark, d):
-    return v.table(spark, d, "events").select("event_id", text.time_ago(F.col("ts"), F.expr("timestamp_ntz'2030-01-01 00:00:00'")).alias("ago"))
-
-
 def _unit(seconds: int, name: str) -> str:
-    return f"(s // {seconds}) || CASE WHEN s // {seconds} = 1 THEN ' {name} ago' ELSE ' {name}s ago' END"
+    return f"(s // {seconds}) || ' {name}' || CASE WHEN s // {seconds} <> 1 THEN 's' ELSE '' END || ' ago'"
 
 
-ORACLE_SQL["format_time_ago"] = f"SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN {_unit(60, 'minute')} WHEN s < 86400 THEN {_unit(3600, 'hour')} WHEN s < 2592000 THEN {_unit(86400, 'day')} WHEN s < 31104000 THEN {_unit(2592000, 'month')} ELSE {_unit(31104000, 'year')} END AS ago FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2030-01-01 00:00:00')) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)"
+@query("format_time_ago", f"SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s // 60 < 60 THEN (s // 60) || ' min ago' WHEN s // 3600 < 24 THEN {_unit(3600, 'hour')} WHEN s // 86400 < 30 THEN {_unit(86400, 'day')} WHEN s // 2592000 < 12 THEN {_unit(2592000, 'month')} ELSE {_unit(31104000, 'year')} END AS ago FROM (SELECT event_id, CAST(floor(epoch(ts + to_seconds(event_id * event_id * 37))) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)")
+def format_time_ago(spark, d):
+    """From seconds to years between two times."""
+    later = F.expr("ts + make_dt_interval(0, 0, 0, cast(event_id * event_id * 37 as bigint))")
+    return v.table(spark, d, "events").select("event_id", text.time_ago(F.col("ts"), later).alias("ago"))
 
 
-@query("format_bytes", "SELECT doc_id, CASE WHEN b < 1024 THEN printf('%.1f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576 * 10 + 0.5) / 10) END AS size FROM (SELECT doc_id, n_chars * 37 AS b FROM documents)")
+@query("format_bytes", "SELECT doc_id, CASE WHEN b = 0 THEN '0 B' ELSE printf('%.1f', floor(b / pow(1024, i) * 10 + 0.5) / 10) || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][i + 1] END AS size FROM (SELECT doc_id, b, CASE WHEN b >= pow(1024, 4) THEN 4 WHEN b >= pow(1024, 3) THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS i FROM (SELECT doc_id, n_chars * pow(37, doc_id % 8)::BIGINT * (doc_id % 9)::BIGINT AS b FROM documents))")
 def format_bytes(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", text.format_bytes(F.col("n_chars") * 37).alias("size"))
+    n = F.col("n_chars") * F.pow(F.lit(37), F.col("doc_id") % 8).cast("long") * (F.col("doc_id") % 9)
+    return v.table(spark, d, "documents").select("doc_id", text.format_bytes(n).alias("size"))
 
 
 @query("format_duration", "SELECT doc_id, CASE WHEN n_chars < 60 THEN n_chars || 's' WHEN n_chars < 3600 THEN (n_chars // 60) || 'm ' || (n_chars % 60) || 's' ELSE (n_chars // 3600) || 'h ' || (n_chars // 60 % 60) || 'm' END AS took FROM documents")
@@ -513,9 +549,11 @@ def role_name(spark, d):
     return v.users(spark, d).select("id", labels.role_name(F.col("level")).alias("role"), F.array_join(labels.filter_options(F.col("level")), ",").alias("options"))
 
 
-@query("scaled_dimensions", "SELECT id, (w - w % 2)::INT AS width, (h - h % 2)::INT AS height FROM (SELECT id, least(ow, 920) AS w, CAST(round(oh * least(ow, 920) / ow) AS INT) AS h FROM (SELECT id, (id % 1900 + 20)::INT AS ow, (id % 1300 + 31)::INT AS oh FROM posts))", "posts")
+@query("scaled_dimensions", "SELECT id, CASE WHEN w = 0 OR h = 0 THEN 0 WHEN m = 0 OR w <= m THEN w - w % 2 ELSE m - m % 2 END::INT AS width, CASE WHEN w = 0 OR h = 0 THEN 0 WHEN m = 0 OR w <= m THEN h - h % 2 ELSE round(h * (m / w))::INT - round(h * (m / w))::INT % 2 END::INT AS height FROM (SELECT id, (id % 1900)::INT AS w, (id % 1300)::INT AS h, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 920 ELSE 101 END AS m FROM posts)", "posts")
 def scaled_dimensions(spark, d):
-    s = text.scaled((F.col("id") % 1900 + 20).cast("int"), (F.col("id") % 1300 + 31).cast("int"), F.lit(920))
+    """Unknown sides, no limit, an even limit and an odd one."""
+    most = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, 920).otherwise(101)
+    s = text.scaled((F.col("id") % 1900).cast("int"), (F.col("id") % 1300).cast("int"), most)
     return v.posts(spark, d).select("id", s["width"].alias("width"), s["height"].alias("height"))
 
 
@@ -540,17 +578,17 @@ def integrity_check(spark, d):
 
 # Changes of tables
 
-@query("dml_insert", "SELECT id, name, level FROM users UNION ALL SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY o_orderkey), 'new' || o_orderkey, 1 FROM (SELECT * FROM orders WHERE o_orderkey < 100)", "users")
+@query("dml_insert", "SELECT id, name, level FROM users UNION ALL SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY o_orderkey), 'new' || o_orderkey, 1 FROM orders", "users")
 def dml_insert(spark, d):
-    new = v.table(spark, d, "orders").where("o_orderkey < 100").select(F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("name"), F.lit(1).alias("level"), F.col("o_orderkey").alias("_order"))
+    new = v.table(spark, d, "orders").select(F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("name"), F.lit(1).alias("level"), F.col("o_orderkey").alias("_order"))
     return mutate.inserted(v.users(spark, d), new, "_order")
 
 
-@query("dml_upsert_tag", "SELECT id, name FROM named_tags UNION ALL SELECT (SELECT max(id) FROM named_tags) + row_number() OVER (ORDER BY k), name FROM (SELECT 'tag' || o_orderkey % 7 AS name, min(o_orderkey) AS k FROM orders WHERE o_orderkey < 100 GROUP BY 1)", "named_tags")
+@query("dml_upsert_tag", "SELECT id, name FROM named_tags UNION ALL SELECT (SELECT max(id) FROM named_tags) + row_number() OVER (ORDER BY k), name FROM (SELECT 'tag' || o_orderkey % 1007 AS name, min(o_orderkey) AS k FROM orders GROUP BY 1)", "named_tags")
 def dml_upsert_tag(spark, d):
-    names = v.table(spark, d, "orders").where("o_orderkey < 100").select(F.concat(F.lit("tag"), (F.col("o_orderkey") % 7).cast("string")).alias("name"), F.col("o_orderkey").alias("k"))
+    names = v.table(spark, d, "orders").select(F.concat(F.lit("tag"), (F.col("o_orderkey") % 1007).cast("string")).alias("name"), F.col("o_orderkey").alias("k"))
     old = v.named_tags(spark, d)
-    return mutate.tags_upserted(old, names.unionByName(old.limit(3).select("name", F.lit(0).cast("long").alias("k"))), "k")
+    return mutate.tags_upserted(old, names.unionByName(old.select("name", F.lit(0).cast("long").alias("k"))), "k")
 
 
 @query("dml_soft_delete", "SELECT id, deleted OR id % 10 = 0 AS deleted FROM posts", "posts")
@@ -559,10 +597,13 @@ def dml_soft_delete(spark, d):
     return mutate.soft_deleted(p, p.where("id % 10 = 0").select("id")).select("id", "deleted")
 
 
-@query("dml_finalize", "SELECT id, CASE WHEN id % 2 = 0 THEN false ELSE dirty END AS dirty, CASE WHEN id % 2 = 0 AND dirty THEN 640 ELSE 0 END AS width FROM posts", "posts")
+@query("dml_finalize", "SELECT id, CASE WHEN id % 2 = 0 THEN false ELSE dirty END AS dirty, CASE WHEN id % 2 = 0 THEN 'f' || id || '.avif' END AS filename, CASE WHEN id % 2 = 0 THEN 't' || id || '.avif' END AS thumbnail_filename, CASE WHEN id % 2 = 0 THEN '' END AS uploaded_filename, CASE WHEN id % 2 = 0 THEN 'image' END AS content_type, CASE WHEN id % 2 = 0 THEN id * 3 END::BIGINT AS p_hash_0, CASE WHEN id % 2 = 0 THEN -id END::BIGINT AS p_hash_3, CASE WHEN id % 2 = 0 THEN 640 ELSE 0 END AS width, CASE WHEN id % 2 = 0 THEN 480 ELSE 0 END AS height FROM posts", "posts")
 def dml_finalize(spark, d):
-    p = v.posts(spark, d).withColumns({"width": F.lit(0), "height": F.lit(0)})
-    return mutate.finalized(p, p.where("id % 2 = 0").select("id", F.lit(640).alias("width"), F.lit(480).alias("height"))).select("id", "dirty", "width")
+    p = v.posts(spark, d)
+    none = {c: F.lit(None).cast("string") for c in ("filename", "thumbnail_filename", "uploaded_filename", "content_type")} | {f"p_hash_{k}": F.lit(None).cast("long") for k in range(4)}
+    key, text_key = F.col("id"), F.col("id").cast("string")
+    done = p.where("id % 2 = 0").select("id", F.concat(F.lit("f"), text_key, F.lit(".avif")).alias("filename"), F.concat(F.lit("t"), text_key, F.lit(".avif")).alias("thumbnail_filename"), F.lit("").alias("uploaded_filename"), F.lit("image").alias("content_type"), (key * 3).cast("long").alias("p_hash_0"), *[F.lit(0).cast("long").alias(f"p_hash_{k}") for k in (1, 2)], (-key).cast("long").alias("p_hash_3"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return mutate.finalized(p.withColumns(none | {"width": F.lit(0), "height": F.lit(0)}), done).select("id", "dirty", "filename", "thumbnail_filename", "uploaded_filename", "content_type", "p_hash_0", "p_hash_3", "width", "height")
 
 
 @query("dml_delete_dirty", "SELECT id FROM posts WHERE NOT (dirty AND id % 2 = 0)", "posts")
@@ -587,10 +628,16 @@ def dml_cascade(spark, d):
     return mutate.comments_cascaded(v.comments(spark, d), kept).select("id", "post_id", "parent_id")
 
 
-@query("dml_delete_tag", "SELECT id, post_id, tag_id FROM post_tags WHERE tag_id <> 17", "post_tags")
+@query("dml_delete_tag", """SELECT 'tags' AS tbl, id, name AS what FROM tags WHERE id <> 17 UNION ALL SELECT 'post_tags', id, CAST(tag_id AS VARCHAR) FROM post_tags WHERE tag_id <> 17
+    UNION ALL SELECT 'tag_votes', entity, CAST(user_id AS VARCHAR) FROM (SELECT id AS entity, post_id % 7 AS user_id FROM post_tags WHERE score > 25) WHERE entity NOT IN (SELECT id FROM post_tags WHERE tag_id = 17)
+    UNION ALL SELECT 'posts', id, CASE WHEN id IN (SELECT post_id FROM post_tags WHERE tag_id = 17) THEN 'sfw' ELSE label END FROM posts""", "tags", "post_tags", "posts")
 def dml_delete_tag(spark, d):
-    none = spark.createDataFrame([], "entity bigint, user_id bigint, vote smallint")
-    return mutate.tag_deleted(17, v.tags(spark, d), v.post_tags(spark, d), none, v.posts(spark, d))["post_tags"].select("id", "post_id", "tag_id")
+    """All four tables after a tag is gone. None of the tags is a keyword, so its posts fall back to sfw."""
+    links = v.post_tags(spark, d)
+    votes_ = links.where("score > 25").select(F.col("id").alias("entity"), (F.col("post_id") % 7).alias("user_id"))
+    out = mutate.tag_deleted(17, v.tags(spark, d), links, votes_, v.posts(spark, d))
+    part = lambda name, key, what: out[name].select(F.lit(name).alias("tbl"), F.col(key).cast("long").alias("id"), F.col(what).cast("string").alias("what"))
+    return part("tags", "id", "name").unionByName(part("post_tags", "id", "tag_id")).unionByName(part("tag_votes", "entity", "user_id")).unionByName(part("posts", "id", "label"))
 
 
 @query("dml_ensure_admin", "SELECT id, name, CASE WHEN id = 5 THEN greatest(level, 10) ELSE level END AS level FROM users", "users")
@@ -600,10 +647,17 @@ def dml_ensure_admin(spark, d):
     return mutate.admin_ensured(users, name)
 
 
-@query("dml_invitation", "SELECT id, CASE WHEN id = 12 THEN 3 WHEN id % 2 = 1 THEN 99 END AS used_by FROM users", "users")
+@query("dml_invitation", "SELECT id, CASE WHEN id = 12 THEN 3 WHEN id % 2 = 1 THEN 99 END AS used_by, CASE WHEN id = 12 THEN 'ok' WHEN id = 13 THEN 'used' END AS status FROM users UNION ALL SELECT -1, NULL, 'not_found'", "users")
 def dml_invitation(spark, d):
+    """The table after a free token was used, and what the same does for it, for a used one and for one that isn't there."""
     inv = v.users(spark, d).select("id", F.col("id").cast("string").alias("token"), F.when(F.col("id") % 2 == 1, F.lit(99)).alias("used_by"), F.lit(None).cast("timestamp_ntz").alias("used_at"))
-    return mutate.invitation_used(inv, "12", USER, F.lit(NOW).cast("timestamp_ntz"))[0].select("id", "used_by")
+    tried = [mutate.invitation_used(inv, token, USER, F.lit(NOW).cast("timestamp_ntz")) for token in ("12", "13", "none")]
+    after = tried[0][0].select("id", "used_by")
+    told = None
+    for key, (_, status) in zip((12, 13, -1), tried, strict=True):
+        one = status.select(F.lit(key).cast("long").alias("_id"), "status")
+        told = one if told is None else told.unionByName(one)
+    return after.join(told, after["id"] == told["_id"], "full").select(F.coalesce("id", "_id").alias("id"), "used_by", "status")
 
 
 @query("dml_release", "SELECT id, CASE WHEN deleted THEN 'not_found' WHEN user_id <> asker THEN 'forbidden' WHEN dirty THEN 'unfinished' WHEN released THEN 'already' ELSE 'ok' END AS status FROM (SELECT *, CASE WHEN id % 4 = 0 THEN -1 ELSE user_id END AS asker FROM posts)", "posts")
@@ -615,3 +669,6 @@ def dml_release(spark, d):
 @query("dml_rescore", "SELECT p.id, coalesce(s.score, p.score) AS score FROM posts p LEFT JOIN (SELECT entity, CAST(sum(vote) AS BIGINT) AS score FROM (SELECT entity, user_id, arg_max(vote, seq) AS vote FROM votes GROUP BY entity, user_id) GROUP BY entity) s ON s.entity = p.id", "posts", "votes")
 def dml_rescore(spark, d):
     return votes.rescored(v.posts(spark, d), votes.scores(v.votes(spark, d))).select("id", "score")
+
+
+from larkspan.plans import records  # noqa: E402, F401  registers the rest

@@ -119,7 +119,9 @@ class FeedReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o, cursor = self.options, int(self.options.get("older", "0"))
         key = o.get("cursor", "promoted")
-        for _ in range(int(o.get("pages", "10"))):
+        pages, taken = int(o["pages"]) if "pages" in o else None, 0
+        while pages is None or taken < pages:
+            taken += 1
             page = fetch_page(o["url"], {"tags": o.get("tags"), "flags": o.get("flags"), "older": cursor or None})
             items = page.get("items") or []
             for i in items:
@@ -130,7 +132,7 @@ class FeedReader(DataSourceReader):
 
 
 class FeedSource(DataSource):
-    """spark.read.format("paged_feed").option("url", ...): items of a feed; options tags, flags, older, pages, cursor (promoted or id)."""
+    """spark.read.format("paged_feed").option("url", ...): items of a feed; options tags, flags, older, cursor (promoted or id), and pages (without it, to the end)."""
 
     @classmethod
     def name(cls) -> str:
@@ -143,6 +145,12 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
-def status_row(pending: Column, total: Column, now: Column) -> Column:
-    """A status record as JSON, to be appended with its time and read while fresh."""
-    return F.to_json(F.struct(pending.alias("pending"), total.alias("total"), now.alias("at")))
+def status_row(pending: Column, total: Column, processed: Column, imported: Column, failed: Column, running: Column, rate: Column, eta: Column) -> Column:
+    """A status record of the queue as JSON, to be appended with its time and read while fresh (`queue_snapshot`)."""
+    names = [x.split()[0] for x in QUEUE_STATUS.split(", ")]
+    return F.to_json(F.struct(*[c.alias(n) for n, c in zip(names, (pending, total, processed, imported, failed, running, rate, eta), strict=True)]))
+
+
+def duplicates_row(post: Column, others: Column) -> Column:
+    """A record of the posts that look like one, as JSON, to be appended with its time and kept for jobs.DUPLICATES_TTL seconds."""
+    return F.to_json(F.struct(post.alias("post_id"), others.alias("duplicates")))

@@ -24,18 +24,24 @@ def test_text_functions(spark):
     lit = F.lit
     assert one(spark, text.file_type(lit("a/b.C.JPG")), text.file_type(lit("x.mov")), text.file_type(lit("x.tar")), text.file_type(lit("none"))) == ["image/jpeg", "video/quicktime", "unknown/tar", "unknown/"]
     assert one(spark, text.importable(lit("a.JPG")), text.importable(lit("a.png")), text.importable(lit(""))) == [True, False, False]
-    assert one(spark, text.format_bytes(lit(0)), text.format_bytes(lit(1536)), text.format_bytes(lit(3 * 1024**3))) == ["0.0 B", "1.5 KB", "3.0 GB"]
+    assert one(spark, text.format_bytes(lit(0)), text.format_bytes(lit(1536)), text.format_bytes(lit(3 * 1024**3))) == ["0 B", "1.5 KB", "3.0 GB"]
     assert one(spark, text.format_duration(lit(59)), text.format_duration(lit(61)), text.format_duration(lit(7260))) == ["59s", "1m 1s", "2h 1m"]
-    assert one(spark, text.snippet(lit("a" * 121)), text.snippet(lit("a" * 120))) == ["a" * 120 + "…", "a" * 120]
+    assert one(spark, text.snippet(lit("a" * 121)), text.snippet(lit("a" * 120)), text.snippet(lit("ä" * 70)), text.snippet(lit("ä" * 60)), text.snippet(lit("a" + "ä" * 60))) == ["a" * 120 + "…", "a" * 120, "ä" * 60 + "…", "ä" * 60, "a" + "ä" * 59 + "…"]
+    assert one(spark, text.snippet(lit("x" * 119 + "𝄞𝄞")), text.snippet(lit("x" * 118 + "€€"))) == ["x" * 119 + "…", "x" * 118 + "…"]
+    ago = lambda n: text.time_ago(F.expr("timestamp_ntz'2024-01-01'"), F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, {n})"))
+    assert one(spark, *[ago(n) for n in (59, 60, 179, 3600, 7200, 86400, 30 * 86400, 359 * 86400, 360 * 86400, 800 * 86400)]) == ["just now", "1 min ago", "2 min ago", "1 hour ago", "2 hours ago", "1 day ago", "1 month ago", "11 months ago", "1 year ago", "2 years ago"]
     assert one(spark, text.retry_delay(lit(0), lit(None).cast("int")), text.retry_delay(lit(9), lit(None).cast("int")), text.retry_delay(lit(2), lit(7))) == [2.0, 60.0, 7.0]
     assert one(spark, text.page_number(lit("x"), 1), text.page_number(lit("0"), 1), text.page_number(lit("7"), 1)) == [1, 1, 7]
     assert one(spark, text.valid_email(lit("a@b.de")), text.valid_email(lit("a b@c")), text.valid_name(lit("abc")), text.valid_name(lit("äb1"))) == [True, False, False, True]
     assert one(spark, text.dimensions(lit("640,480")), text.dimensions(lit("x"))) == [(640, 480), (0, 0)]
     assert one(spark, text.scaled(lit(1921), lit(1081), lit(920)), text.scaled(lit(101), lit(51), lit(920))) == [(920, 518), (100, 50)]
+    assert one(spark, text.scaled(lit(0), lit(9), lit(920)), text.scaled(lit(9), lit(0), lit(920)), text.scaled(lit(1921), lit(1081), lit(0)), text.scaled(lit(300), lit(200), lit(101))) == [(0, 0), (0, 0), (1920, 1080), (100, 66)]
     assert one(spark, text.search_user(lit("cat User:bob dog")), text.search_tags(lit("cat User:bob dog")), text.search_tags(lit("user:x"))) == ["bob", ["cat", "dog"], []]
     assert one(spark, text.toggled(lit(1), lit(1)), text.toggled(lit(1), lit(-1)), text.indent(lit(12)), text.grid_columns(lit(100)), text.grid_columns(lit(500))) == [0, -1, 128, 2, 3]
     assert one(spark, text.progress_percent(lit(1), lit(3), lit(True)), text.progress_percent(lit(0), lit(0), lit(True)), text.progress_percent(lit(0), lit(0), lit(False))) == [33, 0, 100]
-    assert one(spark, text.redacted(lit('{"password":"a\\"b","x":{"token": 5,"y":1}}'), ["password", "token"])) == ['{"password":"***","x":{"token": "***","y":1}}']
+    shown = lambda x: text.redacted(lit(x))
+    assert one(spark, shown('{"password":"a\\"b","x":{"token": 5,"y":1}}'), shown('{"password":[1,2],"b":2}'), shown('{"list":[{"secret":{"a":1}}],"secret":{"a":"}"}}'), shown("[1]"), shown("a=b"), shown("")) == ['{"password":"[REDACTED]","x":{"token":"[REDACTED]","y":1}}', '{"b":2,"password":"[REDACTED]"}', '{"list":[{"secret":{"a":1}}],"secret":"[REDACTED]"}', "[non-JSON body]", "[non-JSON body]", None]
+    assert one(spark, shown('{"a":"' + "x" * 2041 + '"}'), shown('{"a":"' + "ä" * 1020 + '"}'), shown('{"a":' * 400 + "1" + "}" * 400)) == ["[body too large to log]", '{"a":"' + "ä" * 1020 + '"}', "[body too large to log]"]
     assert one(spark, text.media_url(lit("https://a.b/c.webm?x=1")), text.media_url(lit("https://a.b/c")), text.search_terms(lit("a%20b c"))) == [True, False, ["a", "b c"]]
 
 

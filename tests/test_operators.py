@@ -81,10 +81,90 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
         spark.createDataFrame(log[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
         flush(stream, tables, f"{tmp_path}/checkpoint", None).awaitTermination()
     whole = spark.createDataFrame(log, schema)
-    assert sorted(tables.read("votes").collect()) == sorted(votes.latest(whole).collect())
+    assert sorted(tables.read("votes").select("entity", "user_id", "vote").collect()) == sorted(votes.latest(whole).collect())
     assert {r.entity: r.score for r in tables.read("scores").collect()} == {r.entity: r.score for r in votes.scores(whole).collect()}
 
 
+SCHEMA = "seq long, entity long, user_id long, vote int"
+
+
+@pytest.mark.parametrize("step", ["stage_votes", "stage_scores", "manifest", "swapped"])
+def test_a_crash_between_steps_loses_nothing(spark, tmp_path, monkeypatch, step):
+    from larkspan.sources.snapshots import Snapshots
+    from larkspan.streaming.votes import fold_batch
+
+    class Breaks(Snapshots):
+        broken = None
+
+        def stage_parts(self, table, rows, parts):
+            out = super().stage_parts(table, rows, parts)
+            if self.broken == f"stage_{table}":
+                raise OSError("gone")
+            return out
+
+        def swap(self, changes, replace=False):
+            if self.broken == "manifest":
+                raise OSError("gone")
+            super().swap(changes, replace)
+            if self.broken == "swapped":
+                raise OSError("gone")
+
+    rng = random.Random(3)
+    log = [(i, rng.randint(1, 40), rng.randint(1, 4), rng.choice([-1, 0, 1])) for i in range(90)]
+    tables = Breaks(spark, f"file://{tmp_path}/t")
+    fold = fold_batch(tables)
+    batches = [spark.createDataFrame(log[a : a + 30], SCHEMA) for a in (0, 30, 60)]
+    fold(batches[0], 0)
+    before = {t: sorted(tables.read(t).collect()) for t in ("votes", "scores")}
+    tables.broken = step
+    with pytest.raises(OSError, match="gone"):
+        fold(batches[1], 1)
+    again = Snapshots(spark, f"file://{tmp_path}/t")  # as after a restart
+    now = {t: sorted(again.read(t).collect()) for t in ("votes", "scores")}
+    assert (now == before) == (step != "swapped")
+    sums = {}
+    for e, _, v in now["votes"]:
+        sums[e] = sums.get(e, 0) + v
+    assert all(sums.get(e, 0) == s for e, s in now["scores"])  # both tables are of one moment
+    fold = fold_batch(again)
+    for k in (1, 1, 2):
+        fold(batches[k], k)
+    whole = spark.createDataFrame(log, SCHEMA)
+    assert sorted(again.read("votes").select("entity", "user_id", "vote").collect()) == sorted(votes.latest(whole).collect())
+    assert {r.entity: r.score for r in again.read("scores").collect()} == {r.entity: r.score for r in votes.scores(whole).collect()}
+
+
+def test_a_batch_writes_the_parts_of_its_entities(spark, tmp_path):
+    from larkspan.sources.snapshots import Snapshots
+    from larkspan.streaming.votes import fold_batch
+
+    tables = Snapshots(spark, f"file://{tmp_path}/t")
+    fold_batch(tables)(spark.createDataFrame([(i, i, 1, 1) for i in range(200)], SCHEMA), 0)
+    before = tables.current()
+    fold_batch(tables)(spark.createDataFrame([(300, 7, 2, 1), (301, 7, 1, 0)], SCHEMA), 1)
+    after = tables.current()
+    assert all(sum(before[t][p] != after[t][p] for p in before[t]) == 1 for t in ("votes", "scores"))
+    assert [r[:] for r in tables.read("votes").where("entity = 7").select("entity", "user_id", "vote").collect()] == [(7, 2, 1)] and tables.read("scores").count() == 200
+
+
+def test_a_seeded_stream_counts_each_voter_once(spark, tmp_path):
+    from larkspan.streaming.votes import append_to, latest_scores, stream_scores
+
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(1, 5, 1, -1), (2, 5, 2, 1), (3, 6, 1, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    seed = spark.createDataFrame([(5, 1, 1), (5, 3, 1), (6, 1, 1), (7, 1, -1)], "entity long, user_id long, vote int")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in")
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = stream_scores(stream, seed).writeStream.foreachBatch(append_to(f"file://{tmp_path}/out")).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        spark.conf.unset(conf)
+    got = {r.entity: r.score for r in latest_scores(spark.read.parquet(f"file://{tmp_path}/out")).collect()}
+    assert got[5] == 1 and got[6] == 0 and got.get(7, -1) == -1
+
+
 def test_comment_tree(spark):
     rows = [(1, 1, None), (2, 1, 1), (3, 1, 2), (4, 1, 99), (5, 2, None), (6, 1, 1)]
     c = spark.createDataFrame([(*r, "u", "t") for r in rows], "id long, post_id long, parent_id long, user string, content string")
@@ -140,13 +220,25 @@ def flip(word, n):
     return value - 2**64 if value >> 63 else value
 
 
-def test_hamming_bounds(spark):
+def test_hamming_bounds(spark, monkeypatch):
     base = [0x1234, -5, 2**63 - 1, -(2**63)]
     near = {i: [flip(base[0], min(n, 64)), *base[1:]] for i, n in ((2, 0), (3, 1), (4, 49), (5, 50), (6, 51))} | {7: [0, 0, 0, 0]}
     df = spark.createDataFrame([(1, *base)] + [(i, *w) for i, w in near.items()], "id long, " + ", ".join(f"{w} long" for w in similarity.WORDS))
     assert [(r.id, r.distance) for r in similarity.duplicates_of(df, base, exclude=1).collect()] == [(2, 0), (3, 1), (4, 49)]
     brute = sorted(tuple(r) for r in similarity.near_duplicates(df).collect())
     assert brute == sorted(tuple(r) for r in similarity.near_duplicates_banded(df).collect()) and (1, 4, 49) in brute and (1, 5, 50) not in brute
+    rng = random.Random(6)
+    rows = []
+    for i in range(90):
+        value = rng.getrandbits(256) if i % 3 == 0 else rows[-1 - i % 3 + 1][1] ^ sum(1 << b for b in set(rng.choices(range(256), k=rng.randint(0, 80))))
+        rows.append((i, value))
+    signed = lambda w: w - 2**64 if w >> 63 else w
+    many = spark.createDataFrame([(i, *[signed(x >> 64 * k & (2**64 - 1)) for k in range(4)]) for i, x in rows], df.schema)
+    for near in (1, 17, 33, 50, 64, 65, 120):
+        want = sorted((a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() < near)
+        assert sorted(tuple(r) for r in similarity.near_duplicates(many, near).collect()) == want, near
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    assert sorted(tuple(r) for r in similarity.near_duplicates(many, 120).collect()) == want
     assert similarity.duplicates_of(df, [0, 0, 0, 0], 1, exclude_zero=True).count() == 0
 
 
@@ -154,8 +246,26 @@ def test_jobs(spark):
     rows = [("a", 1, "start", 0), ("a", 2, "total", 10), ("a", 3, "add", 2), ("a", 4, "set", 5), ("a", 5, "add", 1), ("b", 1, "cancel", 0), ("b", 2, "start", 0), ("b", 3, "done", 0), ("c", 1, "total", 3), ("d", 1, "start", 0), ("d", 2, "done", 0), ("d", 3, "add", 9)]
     got = {r.job: (r.status, r.progress, r.total) for r in jobs.states(spark.createDataFrame(rows, "job string, seq long, kind string, n long")).collect()}
     assert got == {"a": ("running", 6, 10), "b": ("cancelled", 0, 0), "c": ("pending", 0, 3), "d": ("done", 0, 0)}
-    r = spark.range(1).select(jobs.rate(F.lit(50), F.lit(10)).alias("r"), jobs.eta(F.lit(50), F.lit(100), F.lit(5.0)).alias("e"), jobs.eta(F.lit(5), F.lit(5), F.lit(0.0)).alias("z"), jobs.eta(F.lit(1), F.lit(5), F.lit(0.0)).alias("u")).first()
-    assert r[:] == (5.0, 10, 0, -1)
+    eta = lambda *x: jobs.eta(*map(F.lit, x))
+    cases = [(50, 100, 10), (5, 5, 10), (0, 5, 10), (5, 5, 0), (0, 0, 10), (1, 5, 1000), (7, 5, 10)]
+    r = spark.range(1).select(jobs.rate(F.lit(50), F.lit(10)), *[eta(*c).alias(f"c{i}") for i, c in enumerate(cases)]).first()
+    assert r[:] == (5.0, 10, 0, -1, -1, -1, -1, 0)
+    place = [ingest.eta(F.lit(p), F.lit(r), F.lit(44)).alias(f"p{i}") for i, (p, r) in enumerate([(5, 2.0), (0, 2.0), (-1, 2.0), (5, 0.0), (0, 0.0)])]
+    assert spark.range(1).select(place).first()[:] == (3, 44, 44, -1, -1)
+
+
+def test_back_fill(spark):
+    def ended(*steps):
+        rows = [("j", t, kind, ok, n) for t, kind, ok, n in steps]
+        df = spark.createDataFrame(rows, "job string, t int, kind string, ok boolean, n int").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, t, 0)")).drop("t")
+        r = jobs.back_filled(df, F.lit(5)).first()
+        return r.updated, r.failed, r.lost, r.current, r.reason
+
+    item, lost = (lambda t, ok=True: (t, "item", ok, None)), (lambda t, n: (t, "poll", None, n))
+    assert ended((0, "start", None, None), *[item(t, t != 2) for t in range(1, 6)]) == (4, 1, 0, 5, "complete")
+    assert ended((0, "start", None, None), item(1), lost(2, 3), item(3), lost(4, 5)) == (2, 3, 3, 5, "complete")
+    assert ended((0, "start", None, None), item(1), lost(2, 1), lost(9, 1), item(14)) == (1, 0, 0, 1, "stalled")
+    assert ended(*[item(t) for t in range(1, 9)]) == (5, 0, 0, 5, "complete")
 
 
 def test_changes(spark, posts):

@@ -4,6 +4,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspan.sources import feeds
 from larkspan.sources.snapshots import Snapshots
@@ -23,7 +24,7 @@ class Feed(BaseHTTPRequestHandler):
             return
         first = int(query.get("older", "100"))
         items = [{"id": i, "promoted": i, "image": f"{i}.jpg", "user": "u"} for i in range(first - 1, first - 4, -1)]
-        body = json.dumps({"items": items, "atEnd": first <= 94, "atStart": first == 100}).encode()
+        body = json.dumps({"items": items, "atEnd": first <= (40 if query.get("tags") == "many" else 94), "atStart": first == 100}).encode()
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)
@@ -46,6 +47,12 @@ def test_paged_feed(spark, address):
     assert [r.promoted for r in rows] == list(range(99, 90, -1)) and SEEN[0] == {"tags": "cat"} and SEEN[1]["older"] == "97"
 
 
+def test_a_feed_is_read_to_its_end(spark, address):
+    spark.dataSource.register(feeds.FeedSource)
+    rows = lambda **o: spark.read.format("paged_feed").options(url=address, tags="many", **o).load().count()
+    assert rows() == 63 and rows(pages="2") == 6
+
+
 def test_retries(address):
     FAILS[:] = [503, 429]
     waits = []
@@ -71,6 +78,10 @@ def test_json_sources(spark, tmp_path):
     fresh = feeds.queue_snapshot(status, posts, "2024-01-01 00:01:00").first()
     stale = feeds.queue_snapshot(status, posts, "2024-01-01 00:02:00").first()
     assert (fresh.pending, fresh.total, fresh.running, fresh.eta_sec) == (10, 20, True, 3) and (stale.pending, stale.running, stale.eta_sec) == (2, False, -1)
+    lit = F.lit
+    told = spark.range(1).select(feeds.status_row(lit(3), lit(9), lit(6), lit(5), lit(1), lit(True), lit(2.0), lit(2)).alias("value"), F.expr("timestamp_ntz'2024-01-01 00:00:30'").alias("ts"))
+    assert feeds.queue_snapshot(told, posts, "2024-01-01 00:01:00").first()[:] == (3, 9, 6, 5, 1, True, 2.0, 2)
+    assert spark.range(1).select(feeds.duplicates_row(lit(7), F.array(lit(1), lit(2)))).first()[0] == '{"post_id":7,"duplicates":[1,2]}'
     (tmp_path / "d/skip").mkdir(parents=True)
     (tmp_path / "d/a.bin").write_bytes(b"12345")
     (tmp_path / "d/skip/b.bin").write_bytes(b"1")
@@ -84,3 +95,4 @@ def test_snapshots(spark, tmp_path):
         old = tables.read("x", "n int")
         tables.write("x", old.unionByName(spark.createDataFrame([(n,)], "n int")))
     assert sorted(r.n for r in tables.read("x").collect()) == [0, 1, 2]
+    assert len(tables._names("data")) == 3 and len(tables._names("manifests")) == 3
