@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,23 +58,19 @@ def phash(gray: np.ndarray) -> list[int]:
 
 
 def gradient_energy(gray: np.ndarray, step: int = 2) -> np.ndarray:
-    """Squared Sobel gradients of the inner pixels, every `step`-th in both directions."""
-    g = gray.astype(np.int64)
+    """Squared Sobel gradients of every `step`-th pixel in both directions, from the first one on; beyond the edge the edge goes on."""
+    g = np.pad(gray.astype(np.int64), 1, mode="edge")
     gx = (g[:-2, 2:] + 2 * g[1:-1, 2:] + g[2:, 2:]) - (g[:-2, :-2] + 2 * g[1:-1, :-2] + g[2:, :-2])
     gy = (g[2:, :-2] + 2 * g[2:, 1:-1] + g[2:, 2:]) - (g[:-2, :-2] + 2 * g[:-2, 1:-1] + g[:-2, 2:])
-    out = np.zeros(gray.shape, np.int64)
-    out[1:-1, 1:-1] = gx * gx + gy * gy
     mask = np.zeros(gray.shape, bool)
-    mask[1::step, 1::step] = True
-    return np.where(mask, out, 0)
+    mask[::step, ::step] = True
+    return np.where(mask, gx * gx + gy * gy, 0)
 
 
 def best_crop(gray: np.ndarray, width: int, height: int, step: int = 2) -> tuple[int, int]:
     """Left and top of the crop with the most gradient energy: the first one in rows of positions; the centre for a flat picture."""
     h, w = gray.shape
     width, height = min(width, w), min(height, h)
-    if h < 3 or w < 3:
-        return (w - width) // 2, (h - height) // 2
     table = np.zeros((h + 1, w + 1), np.int64)
     table[1:, 1:] = gradient_energy(gray, step).cumsum(0).cumsum(1)
     ys, xs = np.arange(0, h - height + 1, step), np.arange(0, w - width + 1, step)
@@ -85,12 +81,28 @@ def best_crop(gray: np.ndarray, width: int, height: int, step: int = 2) -> tuple
     return int(xs[x]), int(ys[y])
 
 
+def smart_crop(gray: np.ndarray, width: int, height: int, longest: int = 256) -> tuple[int, int, int, int]:
+    """Left, top, width and height of the best part of a picture with the ratio of width to height; all of a picture that isn't larger.
+
+    The part is searched on a copy of at most `longest` pixels a side.
+    """
+    h, w = gray.shape
+    if w <= width and h <= height:
+        return 0, 0, w, h
+    ratio = min(w / width, h / height)
+    crop_w, crop_h = (min(w, h),) * 2 if width == height else (int(width * ratio), int(height * ratio))
+    scale = min(1.0, longest / max(w, h))
+    near = lambda x: int(np.floor(x + 0.5))
+    small_w, small_h = max(1, near(w * scale)), max(1, near(h * scale))
+    small = np.round(resized(gray.astype(float), small_w, small_h)) if scale < 1 else gray
+    x, y = best_crop(small, min(max(1, near(crop_w * scale)), small_w), min(max(1, near(crop_h * scale)), small_h))
+    return min(near(x / scale), w - crop_w), min(near(y / scale), h - crop_h), crop_w, crop_h
+
+
 def thumbnail(rgb: np.ndarray, side: int = 150) -> np.ndarray:
-    """The best square crop at side x side."""
-    h, w = rgb.shape[:2]
-    n = min(h, w)
-    x, y = best_crop(luma(rgb), n, n)
-    return np.clip(np.round(resized(rgb[y : y + n, x : x + n].astype(float), side, side)), 0, 255).astype(np.uint8)
+    """The best square part at side x side."""
+    x, y, w, h = smart_crop(luma(rgb), side, side)
+    return np.clip(np.round(resized(rgb[y : y + h, x : x + w].astype(float), side, side)), 0, 255).astype(np.uint8)
 
 
 def pixels_of(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -109,8 +121,7 @@ def picture_facts(images: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for data, w, h, c in zip(batch["data"], batch["width"], batch["height"], batch["nChannels"], strict=True):
             gray = luma(pixels_of(data, w, h, c))
-            n = min(w, h)
-            x, y = best_crop(gray, n, n)
+            x, y, _, _ = smart_crop(gray, 150, 150)
             rows.append((phash(gray), x, y, w, h))
         yield pd.DataFrame(rows, columns=["words", "crop_x", "crop_y", "width", "height"])
 
@@ -119,3 +130,20 @@ def picture_facts(images: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def phash_of_gray(values: pd.Series) -> pd.Series:
     """Hash words of square gray pictures given as flat arrays."""
     return values.map(lambda v: phash(np.asarray(v, float).reshape(int(len(v) ** 0.5), -1)))
+
+
+CROP = T.StructType([T.StructField("energy", T.LongType()), T.StructField("crop_x", T.IntegerType()), T.StructField("crop_y", T.IntegerType())])
+
+
+def crop_of_gray(side: int) -> Callable[[Column], Column]:
+    """A function of square gray pictures as flat arrays: their gradient energy, and where their best part of side x side is."""
+
+    @F.pandas_udf(CROP)
+    def crop(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            gray = np.asarray(v, np.int64).reshape(int(len(v) ** 0.5), -1)
+            rows.append((int(gradient_energy(gray).sum()), *best_crop(gray, side, side)))
+        return pd.DataFrame(rows, columns=["energy", "crop_x", "crop_y"])
+
+    return crop

@@ -67,13 +67,19 @@ def file_type(name: Column) -> Column:
     return out
 
 
+# The patterns of video names, links to media, and (below) user names in a search box and email addresses.
 def is_video(content_type: Column, name: Column) -> Column:
-    return F.coalesce(content_type.startswith("video/"), F.lit(False)) | F.coalesce(name.rlike(r"(?i)\.(mp4|webm|mov|mkv|avi)$"), F.lit(False))
+    return F.coalesce(content_type.startswith("video/"), F.lit(False)) | F.coalesce(name.rlike(r"(?i)\.(mp4|webm|mov)$"), F.lit(False))
 
 
-# The pattern of links to media, of user names in a search box and of email addresses, here and below.
 def media_url(text: Column) -> Column:
-    return text.rlike(r"(?i)^https?://\S+\.(jpe?g|png|gif|webp|avif|jxl|mp4|webm)(\?\S*)?$")
+    return text.rlike(r"(?i)^https?://.+\.(?:jpe?g|png|gif|webp|avif|bmp|tiff?|svg|mp4|webm|mov|avi|mkv)(\?.*)?$")
+
+
+def thumbnail_url(thumbnail: Column, name: Column) -> Column:
+    """Where a post's small picture is: the thumbnail's file, else the post's own; null without either."""
+    file = F.coalesce(F.nullif(thumbnail, F.lit("")), F.nullif(name, F.lit("")))
+    return F.concat(F.lit("/images/thumbnails/"), file)
 
 
 def search_terms(query: Column) -> Column:
@@ -94,9 +100,9 @@ def search_tags(text: Column) -> Column:
 
 
 def page_number(text: Column, default: int) -> Column:
-    """A positive integer, or the default."""
-    n = text.try_cast("int")
-    return F.when(n >= 1, n).otherwise(default)
+    """A positive integer (digits, maybe a sign, nothing else), or the default."""
+    n = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(n >= 1, n).otherwise(default).cast("bigint")
 
 
 def valid_email(text: Column) -> Column:
@@ -108,8 +114,9 @@ def valid_name(text: Column) -> Column:
 
 
 def dimensions(text: Column) -> Column:
-    """width and height of a probe's `w,h`; 0 for what is no number."""
-    part = lambda i: F.coalesce(F.try_element_at(F.split(text, ","), F.lit(i)).try_cast("int"), F.lit(0))
+    """width and height of a probe's `w,h`; 0 for what is no number, and for both without a comma."""
+    parts = F.split(F.trim(text), ",")
+    part = lambda i: F.when(F.size(parts) >= 2, F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(0))).otherwise(0)
     return F.struct(part(1).alias("width"), part(2).alias("height"))
 
 
@@ -138,6 +145,11 @@ def toggled(old: Column, clicked: Column) -> Column:
     return F.when(old == clicked, 0).otherwise(clicked)
 
 
+def optimistic(score: Column, old: Column, new: Column, accepted: Column) -> Column:
+    """A score with a vote's change at once, and without it again if the vote isn't accepted."""
+    return F.when(accepted, score + new - old).otherwise(score)
+
+
 def indent(depth: Column) -> Column:
     return F.least(depth, F.lit(8)) * 16
 

@@ -47,6 +47,11 @@ def has_more(posts: DataFrame, labels: list[str], than: int, limit: int = PAGE,
     return posts.where(visible(labels) & beyond).limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("has_more"))
 
 
+def full_page(rows: DataFrame, limit: int = PAGE) -> DataFrame:
+    """The client's guess: there's more if the page is full."""
+    return rows.agg((F.count(F.lit(1)) == limit).alias("has_more"))
+
+
 def around(posts: DataFrame, labels: list[str], post: int, limit: int, mode: str = "compat") -> DataFrame:
     """`limit` newer posts, the post itself and `limit` older ones, newest first; and on each row whether there are more on either side (has_newer, has_older)."""
     me = posts.where(visible(labels) & (F.col("id") == post))

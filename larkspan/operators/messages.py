@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = 20
@@ -28,6 +28,19 @@ def private(messages: DataFrame, me: int) -> DataFrame:
     return messages.where((F.col("kind") == "private") & ((F.col("from_id") == me) | (F.col("to_id") == me))).orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def sent(conversations: DataFrame, message: DataFrame) -> DataFrame:
+    """Conversations (partner, last_at, last_body, unread) after a message (partner, created_at, body) of one's own: the partner's entry has it as its last, or is new."""
+    new = message.select(F.col("partner").alias("_partner"), F.col("created_at").alias("_at"), F.col("body").alias("_body"))
+    out = conversations.join(new, conversations["partner"] == new["_partner"], "full")
+    return out.select(F.coalesce("partner", "_partner").alias("partner"), F.coalesce("_at", "last_at").alias("last_at"), F.coalesce("_body", "last_body").alias("last_body"), F.coalesce("unread", F.lit(0)).alias("unread"))
+
+
+def opened(conversations: DataFrame, unread: Column, partner: int) -> DataFrame:
+    """Conversations after one was opened: its unread count is 0, and the total of all (unread) is less by it, not below 0."""
+    was = F.coalesce(F.max(F.when(F.col("partner") == partner, F.col("unread"))).over(Window.partitionBy(F.lit(1))), F.lit(0))  # a user's partners
+    return conversations.withColumn("total_unread", F.greatest(F.lit(0), unread - was)).withColumn("unread", F.when(F.col("partner") == partner, 0).otherwise(F.col("unread")))
+
+
 def thread(messages: DataFrame, a: int, b: int) -> DataFrame:
     between = (F.col("from_id") == a) & (F.col("to_id") == b) | (F.col("from_id") == b) & (F.col("to_id") == a)
     return messages.where((F.col("kind") == "private") & between).orderBy("created_at", "id")

@@ -25,9 +25,11 @@ def _distance() -> Column:
 
 
 def duplicates_of(hashes: DataFrame, words: list[int], near: int = NEAR, exclude: int | None = None, exclude_zero: bool = False) -> DataFrame:
-    """Rows of hashes nearer than `near` to one hash, nearest first; without the row itself and, if wanted, rows without a hash."""
+    """Rows of hashes nearer than `near` to one hash, nearest first; without the row itself, unfinished ones (dirty, if there's such a column) and, if wanted, rows without a hash."""
     d = distance([F.col(w) for w in WORDS], [F.lit(w).cast("long") for w in words])
     rows = hashes.where(F.col("id") != exclude) if exclude is not None else hashes
+    if "dirty" in hashes.columns:
+        rows = rows.where("NOT dirty")
     if exclude_zero:
         rows = rows.where(" OR ".join(f"{w} <> 0" for w in WORDS))
     return rows.withColumn("distance", d).where(F.col("distance") < near).orderBy("distance", "id")

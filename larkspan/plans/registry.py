@@ -458,9 +458,9 @@ def near_duplicates_banded(spark, d):
     return similarity.near_duplicates(h.unionByName(copies), 50)
 
 
-@query("possible_duplicates", f"WITH bits AS ({v.SQL['bits']}) SELECT a.id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM bits a, bits b WHERE b.id = 7 AND a.id <> 7 AND distance < 110")
+@query("possible_duplicates", f"WITH bits AS ({v.SQL['bits']}) SELECT a.id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM bits a, bits b WHERE b.id = 7 AND a.id <> 7 AND a.id % 17 <> 0 AND distance < 110")
 def possible_duplicates(spark, d):
-    h = v.hashes(spark, d)
+    h = v.hashes(spark, d).withColumn("dirty", F.col("id") % 17 == 0)
     words = h.where("id = 7").select(*similarity.WORDS).first()  # one row
     return similarity.duplicates_of(h, list(words), 110, exclude=7).select("id", "distance")
 
@@ -671,4 +671,4 @@ def dml_rescore(spark, d):
     return votes.rescored(v.posts(spark, d), votes.scores(v.votes(spark, d))).select("id", "score")
 
 
-from larkspan.plans import records  # noqa: E402, F401  registers the rest
+from larkspan.plans import records, values  # noqa: E402, F401  register the rest
