@@ -20,7 +20,7 @@ import pandas as pd
 from larkspan.llm.common import SPACE, Words, slices
 
 #: Chunks of which a worker keeps the ids.
-KEPT = 300_000
+KEPT = 400_000
 #: Words of which it keeps the ids apart from the signs after them.
 HEADS = 150_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +70,8 @@ class Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         """A chunk's ids as unsigned 32-bit numbers. One word with signs after it, the usual case, goes to the model without the pre-tokenizer."""
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return self.part(chunk)
         if (plain := PLAIN.match(chunk)) and plain[1].lstrip(" ").isalpha():
             head, tail = plain.groups()
             return self.part(head) + self.part(tail) if tail else self.part(head)
@@ -79,15 +81,18 @@ class Encoder:
         if (ids := self.heads.get(token)) is None:
             if len(self.heads) >= HEADS:
                 self.heads.clear()
-            shown = (SPACE_SHOWN + token[1:] if token[0] == " " else token) if token.isascii() else token.encode().decode("latin-1").translate(STAND_IN)
+            if token.isascii():
+                shown = SPACE_SHOWN + token[1:] if token[0] == " " else token
+            else:
+                shown = token.encode().decode("latin-1").translate(STAND_IN)
             ids = self.heads[token] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
     def slowly(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.chunk, CHUNK.findall(text))), np.uint32)
 
-    def forget(self, needed: np.ndarray, room: int) -> None:
-        """Keeps the entries that are needed now, and of the others the most used, so that `room` more may come."""
+    def forget(self, needed: np.ndarray, room: int) -> np.ndarray:
+        """Keeps the entries that are needed now, and of the others the most used, so that `room` more may come; where each one kept is now."""
         rank = self.hits.copy()
         rank[needed] = np.iinfo(np.int64).max
         count = min(len(rank), max(len(needed), KEPT // 2 - room))
@@ -98,16 +103,19 @@ class Encoder:
         self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.at[stay] - at, size)]
         self.entry = {k: i for i, k in enumerate(k for k, s in zip(self.entry, stay.tolist(), strict=True) if s)}
         self.hits, self.at, self.size = self.hits[stay] // 2, at, size
+        return np.cumsum(stay) - 1
 
     def places(self, chunks: list[bytes]) -> np.ndarray:
         """The entries of distinct chunks, learned if they are new."""
-        found = np.fromiter((self.entry.get(c, -1) for c in chunks), np.int64, len(chunks))
+        entry = self.entry
+        found = np.array([entry.get(c, -1) for c in chunks], np.int64)
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
         if len(self.entry) + len(missing) > KEPT:
-            self.forget(found[found >= 0], len(missing))
-            found = np.fromiter((self.entry.get(c, -1) for c in chunks), np.int64, len(chunks))
+            known = found >= 0
+            moved = self.forget(found[known], len(missing))
+            found[known] = moved[found[known]]
         new = [chunks[i] for i in missing.tolist()]
         ids = [self.chunk(c.decode()) for c in new]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
