@@ -122,7 +122,7 @@ class Words:
         edge = edge[(edge > 0) & (edge < len(buf))]
         opens[edge] = solid[edge]
         closes[edge - 1] = solid[edge - 1]
-        self.buf = buf
+        self.buf, self.solid = buf, solid
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
@@ -134,7 +134,7 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lengths = self.ends - self.starts
-        inside = np.flatnonzero(~SPACE[self.buf])
+        inside = np.flatnonzero(self.solid)
         begins = np.cumsum(lengths) - lengths
         place = np.arange(len(inside), dtype=np.int32) - np.repeat(begins.astype(np.int32), lengths)
         letters = self.buf[inside]
@@ -144,8 +144,8 @@ class Words:
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         model = first[codes]
         same = lengths == lengths[model]
-        at = np.where(np.repeat(same, lengths), np.repeat(self.starts[model], lengths) + place, inside)
-        differs = np.flatnonzero(self.buf[at] != letters)
+        inside += np.repeat(np.where(same, self.starts[model] - self.starts, 0), lengths)
+        differs = np.flatnonzero(self.buf[inside] != letters)
         same[np.searchsorted(begins, differs, "right") - 1] = False
         if not same.all():
             named: dict[bytes, int] = {}
@@ -159,13 +159,16 @@ class Words:
             first = np.concatenate([first, np.array(extra, np.int64)])
         return codes, first
 
-    def hashes(self, *seeds: int) -> np.ndarray | tuple[np.ndarray, ...]:
-        """XXH3 (64 bits) of each word's bytes, an array for each seed (one array, of seed 0, without any)."""
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: one half of the 128 bits."""
+        return self.wide_hashes()[0]
+
+    def wide_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """XXH3 (128 bits) of each word's bytes, in two halves."""
         codes, first = self.distinct()
-        raw = self.buf.tobytes()
-        words = [raw[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)]
-        out = [np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))[codes] for seed in seeds or (0,)]
-        return tuple(out) if seeds else out[0]
+        raw, digest = self.buf.tobytes(), xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)]), ">u8").astype(np.uint64).reshape(-1, 2)
+        return halves[codes, 1], halves[codes, 0]
 
     def windows(self, k: int) -> np.ndarray:
         """The first words of all windows of k consecutive words of one text."""
@@ -181,7 +184,7 @@ class Words:
         out = np.full(int(at[-1]), 0x20, np.uint8)
         inside = np.ones(int(at[-1]), bool)
         inside[at[1:] - 1] = False
-        out[inside] = self.buf[~SPACE[self.buf]]
+        out[inside] = self.buf[self.solid]
         return out, at
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.blocks import asked, blocked, bucket_bits, hashes_in_several, marks_of
-from larkspan.llm.common import OTHER_BASE, WORD_BASE, Words, mixed, rolling, settled, slices, total_bytes, utf8, with_columns
+from larkspan.llm.common import OTHER_BASE, WORD_BASE, Words, rolling, settled, slices, total_bytes, utf8, with_columns
 
 #: Words in a window.
 WINDOW = 35
@@ -20,15 +20,15 @@ ADDED = ["n_words", "n_removed", "kept_text", "removed_spans"]
 UNSENT = np.uint64(16)
 
 
-def _hashes(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of all windows, in the order of the texts: the first without its UNSENT bits, the second, from other hashes of the words, whole."""
+def _hashes(buf: np.ndarray, offsets: np.ndarray, k: int, second: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all windows, in the order of the texts: the first without its UNSENT bits, the second (if wanted) whole, from the other half of the words' hashes."""
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for _, _, part, at in slices(buf, offsets):
         words = Words(part, at)
         if len(words.starts) >= k:
-            one, two = words.hashes(1, 2)
+            one, two = words.wide_hashes()
             starts = words.windows(k)
-            parts.append((rolling(one, k, WORD_BASE)[starts] >> UNSENT << UNSENT, mixed(rolling(two, k, OTHER_BASE)[starts])))
+            parts.append((rolling(one, k, WORD_BASE)[starts] >> UNSENT << UNSENT, rolling(two, k, OTHER_BASE)[starts] if second else parts[0][1]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -49,8 +49,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     '' as kept_text; texts shorter than a window stay whole; repeated rows repeat each other's windows;
     columns of docs with those names give way; an empty table stays empty. doc_id may be null.
 
-    Windows are counted in two rounds: what looks repeated by 48 bits of a rolling hash of the words' XXH3 values
-    is confirmed by another, of 64 bits, from another seed and base. Different windows pass both by chance once in 10**13
+    Windows are counted in two rounds: what looks repeated by 48 bits of a rolling hash of half of the words' 128 bits of XXH3
+    is confirmed by another, of 64 bits, from the words' other 64 bits and another base. Different windows pass both by chance once in 10**13
     windows or so.
     """
     rest = with_columns(docs, [*ADDED, "text"]).columns
@@ -61,7 +61,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in rest) + "n_words long, n_removed long, kept_text string, removed_spans array<array<int>>"
 
     def first_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return _counted(_hashes(*utf8(table.column("_text")), window)[0])
+        return _counted(_hashes(*utf8(table.column("_text")), window, second=False)[0])
 
     def suspected(one: np.ndarray, answers: pa.Table) -> np.ndarray:
         distinct, place = np.unique(one, return_inverse=True)

@@ -74,7 +74,7 @@ def test_words_get_numbers_by_their_bytes():
     words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     codes, first = words.distinct()
     assert len(first) == 4 and len(set(zip(codes.tolist(), text.split(), strict=True))) == 4
-    one, two = words.hashes(1, 2)
+    one, two = words.wide_hashes()
     assert len(set(one.tolist())) == len(set(two.tolist())) == 4
 
 
