@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +31,33 @@ COUNTS = "doc_id long, n_chars long, n_tokens_before long, n_tokens long, n_edit
 
 
 class Tree:
-    """Sums of code points and tokens over a document's leaves."""
+    """Sums of code points and tokens over a document's leaves. A leaf is its text, or its place in `stored`, read when an edit needs it."""
 
-    def __init__(self, leaves: list[str], tokens: list[int]) -> None:
-        self.leaves = leaves or [""]
-        self.build(tokens or [0])
+    def __init__(self, leaves: list[str | int], chars: list[int], tokens: list[int], stored: pa.Array | None = None) -> None:
+        self.leaves, self.stored = leaves or [""], stored
+        self.build(chars if len(chars) else [0], tokens if len(tokens) else [0])
 
-    def build(self, tokens: list[int]) -> None:
+    def build(self, chars: list[int], tokens: list[int]) -> None:
         self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
-        pad = [0] * (self.width - len(self.leaves))
-        self.chars, self.tokens = [0] * self.width + [len(x) for x in self.leaves] + pad, [0] * self.width + tokens + pad
-        for i in range(self.width - 1, 0, -1):
-            self.add(i)
-
-    def add(self, i: int) -> None:
-        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-
-    def of_leaves(self) -> list[int]:
-        """The tokens of each leaf."""
-        return self.tokens[self.width : self.width + len(self.leaves)]
+        self.chars, self.tokens = self.sums(chars), self.sums(tokens)
+
+    def sums(self, values: list[int]) -> list[int]:
+        """An array of a binary tree: node i has the sum of nodes 2 i and 2 i + 1, leaves come last."""
+        out = np.zeros(2 * self.width, np.int64)
+        out[self.width : self.width + len(values)] = values
+        level = self.width
+        while level > 1:
+            out[level // 2 : level] = out[level : 2 * level : 2] + out[level + 1 : 2 * level : 2]
+            level //= 2
+        return out.tolist()
+
+    def of_leaves(self, sums: list[int]) -> list[int]:
+        """A sum's values for each leaf."""
+        return sums[self.width : self.width + len(self.leaves)]
+
+    def text(self, leaf: int) -> str:
+        found = self.leaves[leaf]
+        return found if isinstance(found, str) else self.stored[found].as_py()
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds code point `at` (the last one with text, if it's beyond), and the code points before that leaf."""
@@ -67,10 +75,11 @@ class Tree:
     def put(self, leaf: int, text: str, tokens: int) -> None:
         self.leaves[leaf] = text
         i = leaf + self.width
-        self.chars[i], self.tokens[i] = len(text), tokens
-        while i > 1:
+        more, count = len(text) - self.chars[i], tokens - self.tokens[i]
+        while i:
+            self.chars[i] += more
+            self.tokens[i] += count
             i >>= 1
-            self.add(i)
 
     def edit(self, start: int, removed: int, added: str, count: Callable[[str], int], leaf: int = LEAF) -> int:
         """Applies an edit; the code points that were encoded again."""
@@ -78,21 +87,22 @@ class Tree:
         stop = max(start, min(start + removed, self.chars[1]))
         first, before = self.find(start)
         last, _ = self.find(stop)
-        near = next((i for i in range(first - 1, -1, -1) if self.leaves[i]), None)
+        near = next((i for i in range(first - 1, -1, -1) if self.chars[i + self.width]), None)
         if near is not None:
-            first, before = near, before - len(self.leaves[near])
-        last = next((i for i in range(last + 1, len(self.leaves)) if self.leaves[i]), len(self.leaves) - 1)
-        old = "".join(self.leaves[first : last + 1])
+            first, before = near, before - self.chars[near + self.width]
+        last = next((i for i in range(last + 1, len(self.leaves)) if self.chars[i + self.width]), len(self.leaves) - 1)
+        old = "".join(map(self.text, range(first, last + 1)))
         region = old[: start - before] + added + old[stop - before :]
         chunks = CHUNK.findall(region)
         n = last - first + 1
         share = -(-len(chunks) // n)
         if share > 2 * leaf:
             parts = [chunks[k : k + leaf] for k in range(0, len(chunks), leaf)]
-            tokens = self.of_leaves()
-            tokens[first : last + 1] = [sum(map(count, p)) for p in parts]
+            chars, tokens = self.of_leaves(self.chars), self.of_leaves(self.tokens)
             self.leaves[first : last + 1] = ["".join(p) for p in parts]
-            self.build(tokens)
+            chars[first : last + 1] = [sum(map(len, p)) for p in parts]
+            tokens[first : last + 1] = [sum(map(count, p)) for p in parts]
+            self.build(chars, tokens)
         else:
             for k in range(n):
                 part = chunks[k * share : (k + 1) * share]
@@ -175,17 +185,23 @@ def edited(rows: DataFrame, path: str | None = None, leaf: int = LEAF, with_leav
     def edit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(encoder(path))
         for batch in batches:
-            columns = [batch.column(c) for c in ("doc_id", "leaves", "tokens", "edits")]
+            leaves, tokens = batch.column("leaves"), batch.column("tokens")
+            ends, numbers = np.cumsum([0, *(n or 0 for n in leaves.value_lengths().to_pylist())]), tokens.flatten().to_numpy(zero_copy_only=False)
+            stored = leaves.flatten()
+            if len(stored) != len(numbers):
+                raise ValueError("every leaf needs its number of tokens")
+            chars = pc.utf8_length(stored).to_numpy(zero_copy_only=False)
             out: list[list] = [[] for _ in range(len(names) + 2)]
-            for i in range(batch.num_rows):  # one document's leaves as Python objects at a time
-                doc, texts, tokens, edits = (c[i].as_py() for c in columns)
-                tree = Tree(texts or [], tokens or [])
+            for i, (doc, edits) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
+                a, b = int(ends[i]), int(ends[i + 1])
+                tree = Tree(list(range(a, b)), chars[a:b], numbers[a:b], stored)
                 before, again = tree.tokens[1], 0
                 for e in edits or []:
                     if e:
                         again += tree.edit(e["start"] or 0, e["removed"] or 0, e["added"] or "", count, leaf)
-                leaves = tree.leaves if tree.chars[1] else []
-                for column, value in zip(out, (doc, tree.chars[1], before, tree.tokens[1], len(edits or []), len(leaves), again, leaves, tree.of_leaves() if leaves else []), strict=True):
+                n = len(tree.leaves) if tree.chars[1] else 0
+                texts, sizes = ([tree.text(k) for k in range(n)], tree.of_leaves(tree.tokens)[:n]) if with_leaves else ([], [])
+                for column, value in zip(out, (doc, tree.chars[1], before, tree.tokens[1], len(edits or []), n, again, texts, sizes), strict=True):
                     column.append(value)
             arrays = [pa.array(c, pa.int64()) for c in out[: len(names)]]
             if with_leaves:

@@ -271,7 +271,7 @@ def test_edited_counts(docs, rows, empty, whole):
 
 def test_leaves_are_split(whole):
     encode = Encoder(vocabulary())
-    tree = token_counts.Tree([], [])
+    tree = token_counts.Tree([], [], [])
     for k in range(50):
         tree.edit(5 * k, 0, f" w{k} and <more> of it" * 5, token_counts.counter(encode), 4)
     assert max(len(x.split()) for x in tree.leaves) <= 9 and tree.tokens[1] == len(whole("".join(tree.leaves))) - 1
