@@ -226,6 +226,9 @@ def test_toxicity(spark):
     assert got[1000].score == got[None].score and not got[None].held_out
     assert got[1001].score > max(got[i].score for i in tested if i % 3)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    long = spark.createDataFrame([(1, "river stone " * 200000), (2, "river stone " * 200000 + "scumbag " * 200000)], "doc_id long, text string")
+    clean, toxic = toxicity.scored(long, toxicity.learned(docs, labels)).orderBy("doc_id").collect()
+    assert clean.score < toxic.score  # the end of a text counts too
     assert toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 

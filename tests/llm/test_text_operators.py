@@ -116,9 +116,31 @@ def test_quality_counts(docs, rows, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quantiles_of_large_groups(spark):
+    """Beyond a sketch's size the quartiles are off by a small part of the rows' ranks at most."""
+    rng = np.random.default_rng(8)
+    n = 30000
+    words = rng.integers(50, 5000, n)
+    rows = [("en", None if i % 2 else "s", int(w), int(w * rng.integers(3, 9)), int(rng.integers(0, 40)), 0, int(w // rng.integers(2, 90))) for i, w in enumerate(words)]
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").repartition(7)
+    own = {r._source: r for r in quality.thresholds_of(stats).where("NOT _all").collect()}
+    for source in ("s", None):
+        mine = [r for r in rows if r[1] == source]
+        values = np.sort([r[3] / r[2] for r in mine])
+        found = own[source]
+        gap = (found._high_word_length - found._low_word_length) / (2 * quality.FENCE + 1)  # the quartiles' distance
+        for value, share in ((found._low_word_length + quality.FENCE * gap, 0.25), (found._high_word_length - quality.FENCE * gap, 0.75)):
+            low, high = np.searchsorted(values, value - 1e-9) / len(values), np.searchsorted(values, value + 1e-9, "right") / len(values)
+            assert low - 0.005 <= share <= high + 0.005
+    kept = quality.judged(stats, quality.thresholds_of(stats))
+    assert kept.count() == n and kept.where("kept").count() > n / 2
+
+
 def test_simhash(docs, rows, empty):
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], brute.simhash(pairs(rows)))
     assert simhash.near_duplicates(empty).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "lang AS fingerprint", "source AS component_id", "n_words AS node")
+    same([tuple(r) for r in simhash.near_duplicates(clash).collect()], brute.simhash(pairs(rows)))
 
 
 def test_trie_finds_all_links():
@@ -200,6 +222,8 @@ def test_packing(docs, rows, empty, whole):
             assert b"".join(bytes(r.ids) for r in pieces) == whole(t).tobytes() and all(r.doc_tokens == len(whole(t)) for r in pieces)
     assert sum(r.length for r in got) == sum(len(whole(t)) for _, t in pairs(rows))
     assert packing.packed(empty).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "lang AS start", "source AS sequence_id", "n_words AS ids")
+    assert packing.packed(clash).count() == len(got) and packing.packed(clash).columns == [c.split()[0] for c in packing.PIECES.split(", ")]
 
 
 def by_plain_loops(sizes, length=1024):
