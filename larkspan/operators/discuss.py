@@ -27,24 +27,23 @@ def top_tags(post_tags: DataFrame, n: int = 5) -> DataFrame:
 def comment_tree(comments: DataFrame) -> DataFrame:
     """comments (id, post_id, parent_id) with depth, root_id and path. Comments whose parent is gone are roots; siblings go by id.
 
-    One join for each level, written to the shared folder: a round adds the children of the level before, until
-    there are none. Neither rows nor depth have a limit; comments in a circle have no root and don't appear.
+    Every comment knows the path from its farthest known ancestor; in each round, written to the shared folder, that ancestor's own
+    path goes in front, so known paths double and ten rounds do for a thousand levels. Neither rows nor depth
+    have a limit. Comments in a circle, or below one, have no root and don't appear: their paths repeat a comment and are dropped.
     """
     nodes = comments.select("id", "post_id", "parent_id")
-    parents = nodes.select(F.col("id").alias("_parent"))
-    known = nodes.join(parents, nodes["parent_id"] == parents["_parent"], "left")
-    step = known.where(F.col("_parent").isNull()).select("id", "post_id", "parent_id", F.lit(0).alias("depth"), F.col("id").alias("root_id"), F.array("id").alias("path"))
-    below = known.where(F.col("_parent").isNotNull()).drop("_parent")
-    below = settled(below, "comments-below")
-    level = settled(step, "comment-level")
-    levels = [level]
-    while not level.isEmpty():
-        up = level.select(F.col("id").alias("_up"), (F.col("depth") + 1).alias("depth"), "root_id", "path")
-        level = below.join(up, below["parent_id"] == up["_up"]).select("id", "post_id", "parent_id", "depth", "root_id", F.concat("path", F.array("id")).alias("path"))
-        level = settled(level, "comment-level")
-        levels.append(level)
-    paths = [file for one in levels for file in one.inputFiles()]
-    return comments.sparkSession.read.schema(level.schema).parquet(*paths) if paths else level
+    alive = nodes.select(F.col("id").alias("_parent"))
+    known = nodes.join(alive, nodes["parent_id"] == alive["_parent"], "left")
+    root = F.col("_parent").isNull()
+    state = known.select("id", "post_id", "parent_id", F.when(root, F.array("id")).otherwise(F.array("_parent", "id")).alias("path"), root.alias("whole"))
+    state = settled(state, "comment-paths")
+    while not state.where("NOT whole").isEmpty():
+        up = state.select(F.col("id").alias("_top"), F.col("path").alias("_above"), F.col("whole").alias("_whole"))
+        open_ = state.where("NOT whole")
+        longer = open_.join(up, F.element_at(open_["path"], 1) == up["_top"]).select("id", "post_id", "parent_id", F.concat("_above", F.slice("path", 2, F.size("path"))).alias("path"), F.col("_whole").alias("whole"))
+        longer = longer.where(F.col("whole") | (F.size(F.array_distinct("path")) == F.size("path")))
+        state = settled(state.where("whole").unionByName(longer), "comment-paths")
+    return state.select("id", "post_id", "parent_id", (F.size("path") - 1).alias("depth"), F.element_at("path", 1).alias("root_id"), "path")
 
 
 def reply_notifications(comments: DataFrame) -> DataFrame:

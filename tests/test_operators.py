@@ -172,6 +172,14 @@ def test_comment_tree(spark):
     assert got == {1: (0, 1, [1]), 2: (1, 1, [1, 2]), 3: (2, 1, [1, 2, 3]), 4: (0, 4, [4]), 5: (0, 5, [5]), 6: (1, 1, [1, 6])}
 
 
+def test_long_chains_and_circles(spark):
+    rows = [(1, 1, None)] + [(i, 1, i - 1) for i in range(2, 131)] + [(200, 1, 201), (201, 1, 202), (202, 1, 200), (203, 1, 200), (204, 1, 203), (210, 1, 210), (211, 1, 210)]
+    random.Random(2).shuffle(rows)
+    c = spark.createDataFrame(rows, "id long, post_id long, parent_id long")
+    got = {r.id: (r.depth, r.root_id, r.path) for r in discuss.comment_tree(c).collect()}
+    assert got == {i: (i - 1, 1, list(range(1, i + 1))) for i in range(1, 131)}
+
+
 def test_comment_tree_has_no_row_limit(spark):
     rows = [(1, 1, None), (2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 1, 3)]
     c = spark.createDataFrame(rows, "id long, post_id long, parent_id long")
