@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task hashes at a time.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a task hashes at a time; some dozen numbers a byte are held meanwhile.
+SLICE_BYTES = 1 << 20
 #: The separators of words: space and the controls 9 to 13. All are single bytes of UTF-8.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import slices, utf8
-from larkspan.llm.tokens import CHUNK, Encoder, encoder, vocabulary
+from larkspan.llm.tokens import CHUNK, TOKEN_BYTES, Encoder, encoder, vocabulary
 
 #: Chunks in a leaf at first (twice as many at most), and the chunks of which a worker keeps the number of ids for edits.
 LEAF, KNOWN = 16, 200_000
@@ -161,7 +161,7 @@ def trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFra
     def cut_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for i, j, part, at in slices(*utf8(batch.column("text"))):
+            for i, j, part, at in slices(*utf8(batch.column("text")), TOKEN_BYTES):
                 texts, tokens = leaves_of(encode, part, at, leaf)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), texts, tokens], names=["doc_id", "leaves", "tokens"])
 

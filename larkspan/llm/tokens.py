@@ -21,6 +21,8 @@ from larkspan.llm.common import SPACE, Words, slices
 
 #: Chunks of which a worker keeps the ids.
 KEPT = 400_000
+#: Bytes of text that a task encodes at a time: the more, the fewer chunks are looked up twice.
+TOKEN_BYTES = 2 << 20
 #: Words of which it keeps the ids apart from the signs after them.
 HEADS = 150_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -180,7 +182,7 @@ class Encoder:
 
     def batches(self, buf: np.ndarray, offsets: np.ndarray, end: int | None = None):
         """(first row, row after the last, ids, starts) of runs of rows."""
-        for i, j, part, at in slices(buf, offsets):
+        for i, j, part, at in slices(buf, offsets, TOKEN_BYTES):
             yield i, j, *self.encode(part, at, end)
 
 
