@@ -66,9 +66,10 @@ class Batch:
 
     def __init__(self, features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rarity: np.ndarray) -> None:
         self.labels = labels
-        self.buckets, self.place = np.unique(np.concatenate([ids for ids, _ in features]), return_inverse=True)
-        self.row = np.repeat(np.arange(len(features)), [len(ids) for ids, _ in features])
-        self.share = np.concatenate([n / max(1, n.sum()) for _, n in features]) * rarity[self.buckets][self.place]
+        self.buckets, place = np.unique(np.concatenate([ids for ids, _ in features]), return_inverse=True)
+        self.place = place.astype(np.int32)  # all batches are held at once
+        self.row = np.repeat(np.arange(len(features), dtype=np.int32), [len(ids) for ids, _ in features])
+        self.share = np.concatenate([n / max(1, n.sum()) for _, n in features]) * rarity[self.buckets][place]
 
 
 def step(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, batch: Batch, rate: float) -> None:
@@ -138,7 +139,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_byt
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
-        features = [(np.frombuffer(x, "<u4"), np.frombuffer(n, "<u4")) for b in rows for x, n in zip(b.column("ids").to_pylist(), b.column("counts").to_pylist(), strict=True)]
+        features = [(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4")) for b in rows for x, n in zip(b.column("ids"), b.column("counts"), strict=True)]
         known = np.concatenate([b.column("toxic").to_numpy() for b in rows]) if rows else np.zeros(0)
         weights, bias = trained(features, known.astype(np.int64))
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype("<f8").tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
