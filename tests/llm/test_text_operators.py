@@ -191,6 +191,21 @@ def test_token_files(spark, docs, rows, empty, whole, tmp_path):
     assert token_files.token_files(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_a_frequent_id_is_spread_over_files(spark, tmp_path):
+    rows = [(None if i % 3 else 7, f"{i * 7919 % 1000:03d} text of its own") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = token_files.write(docs, f"file://{tmp_path}", vocabulary()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) >= 3 and max(f.n_docs for f in files) < 600  # of null ids there are 600
+    got = sorted(token_files.read(spark.createDataFrame(files), f"file://{tmp_path}").collect(), key=lambda r: r.start)
+    encode = Encoder(vocabulary())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[1]))
+    assert [(r.doc_id, bytes(r.ids)) for r in got] == [(d, encode.ids(t).astype("<u4").tobytes() + bytes(4)) for d, t in want]
+
+
 def test_codes_give_random_access():
     rng = np.random.default_rng(0)
     ids = np.concatenate([rng.integers(0, 300, 3000), rng.integers(0, 60000, 3000), [0, 255, 256, 65535, 65536, 2**32 - 1], rng.integers(0, 200, 700)]).astype(np.uint32)
