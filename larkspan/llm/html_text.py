@@ -288,7 +288,7 @@ def finished(blocks: list[str], roles: list[int], marked: bool, at: list[int] |
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) and n_repeated (tokens outside guarded text that the host repeats) of each page.
+    """page_id, url, text, n_chars (code points) and n_repeated (tokens that the host repeats, of pages that repetition judges) of each page.
 
     Character references are decoded; white space inside a block is one space; blocks stand in page order with two \\n
     between. Null or empty html gives ''; a null url is a host of its own; a < that starts no tag is text; pages cut short
@@ -298,7 +298,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     ids = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
 
+    kept = [("host", pa.string()), ("content", pa.int64()), ("text", pa.string()), ("blocks", pa.list_(pa.string())), ("roles", pa.binary()), ("marked", pa.bool_()), ("judged", pa.string())]
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A page's text where markup decides, its blocks and their roles where repetition does; and all that isn't guarded in one text."""
         for batch in batches:
             rows = []
             for url, raw in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -306,9 +309,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 roles, marked = roles_of(found)
                 texts = [t for _, _, t in found]
                 content = xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
-                rows.append((host_of(url), content, texts, bytes(roles), marked, "\n".join(t for t, r in zip(texts, roles, strict=True) if r != GUARDED)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.bool_(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.bool_(), pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "host", "content", "blocks", "roles", "marked", "judged"])
+                judged = "\n".join(t for t, r in zip(texts, roles, strict=True) if r != GUARDED)
+                if CANDIDATE in roles:
+                    rows.append((host_of(url), content, None, texts, bytes(roles), marked, judged))
+                else:
+                    rows.append((host_of(url), content, finished(texts, roles, marked, None)[0], None, None, None, judged))
+            columns = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kept)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", *[c for c, _ in kept]])
 
     def by_host(batch: pa.RecordBatch) -> dict[str, list[tuple[int, np.ndarray]]]:
         """Contents and their streams, each content once, by host."""
@@ -345,13 +352,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
             rows = [finished(b, list(r), m, at) for b, r, m, at in zip(*(batch.column(c).to_pylist() for c in ("blocks", "roles", "marked", "at")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_repeated"])
 
-    parsed = settled(pages.mapInArrow(parse, f"{ids}, host string, content long, blocks array<string>, roles binary, marked boolean, judged string"), "parsed-pages", "zstd")
-    unguarded = parsed.where("judged <> ''").select("host", "content", "judged")
-    runs = unguarded.mapInArrow(sort_suffixes, "host string, run long, contents array<long>").groupBy("host", "run").agg(F.array_distinct(F.flatten(F.collect_list("contents"))).alias("contents"))
-    repeated = runs.where(F.size("contents") >= PAGES).select("host", "run")
-    # A run that a third of all pages have is dealt over SALTS groups of pages.
-    placed = unguarded.mapInArrow(starts, "content long, host string, run long, at int").withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
-    met = placed.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "run", "salt"])
-    covered = settled(met.groupBy("host", "content").agg(F.array_sort(F.collect_set("at")).alias("at")), "repeated-runs")
-    out = parsed.select("page_id", "url", "host", "content", "blocks", "roles", "marked").join(covered, ["host", "content"], "left").select("page_id", "url", "blocks", "roles", "marked", "at").mapInArrow(finish, f"{ids}, text string, n_repeated long")
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+    parsed = settled(pages.mapInArrow(parse, f"{ids}, host string, content long, text string, blocks array<string>, roles binary, marked boolean, judged string"), "parsed-pages", "zstd")
+    done = parsed.where("text IS NOT NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_repeated"))
+    open_ = parsed.where("text IS NULL")
+    if not open_.isEmpty():
+        judged = lambda rows: rows.where("judged <> ''").select("host", "content", "judged")
+        runs = judged(parsed).mapInArrow(sort_suffixes, "host string, run long, contents array<long>").groupBy("host", "run").agg(F.array_distinct(F.flatten(F.collect_list("contents"))).alias("contents"))
+        repeated = runs.where(F.size("contents") >= PAGES).select("host", "run")
+        # A run that a third of all pages have is dealt over SALTS groups of pages.
+        placed = judged(open_).mapInArrow(starts, "content long, host string, run long, at int").withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+        met = placed.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "run", "salt"])
+        covered = settled(met.groupBy("host", "content").agg(F.array_sort(F.collect_set("at")).alias("at")), "repeated-runs")
+        cleaned = open_.select("page_id", "url", "host", "content", "blocks", "roles", "marked").join(covered, ["host", "content"], "left")
+        done = done.unionByName(cleaned.select("page_id", "url", "blocks", "roles", "marked", "at").mapInArrow(finish, f"{ids}, text string, n_repeated long"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")

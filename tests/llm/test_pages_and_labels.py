@@ -116,7 +116,7 @@ def by_counting(rows):
                 kept.append(" ".join(tokens[j][0] for j in own if j not in long))
         if marked and not any(kept):
             kept = [t for t, r in zip(texts, roles, strict=True) if r == html_text.CANDIDATE]
-        out.append(("\n\n".join(x for x in kept if x), len(gone)))
+        out.append(("\n\n".join(x for x in kept if x), len(gone) if html_text.CANDIDATE in roles else 0))
     return out
 
 
