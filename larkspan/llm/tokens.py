@@ -60,12 +60,17 @@ def wide_space(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts; keeps the ids of frequent chunks for the next texts."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_specials: bool = False) -> None:
+        """plain_specials: strings of special tokens are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.model = self.tokenizer.model
+        self.start()
+
+    def start(self) -> None:
         self.heads: dict[str, bytes] = {}
         self.entry: dict[bytes, int] = {}  # a chunk's place in the arrays, in their order
         self.hits, self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -83,11 +88,14 @@ class Encoder:
         if (ids := self.heads.get(token)) is None:
             if len(self.heads) >= HEADS:
                 self.heads.clear()
-            if token.isascii():
+            if token.isascii() and token.isprintable():
                 shown = SPACE_SHOWN + token[1:] if token[0] == " " else token
             else:
                 shown = token.encode().decode("latin-1").translate(STAND_IN)
-            ids = self.heads[token] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.model.tokenize(shown)
+            if sum(len(t.value) for t in found) != len(shown):
+                raise ValueError(f"the vocabulary has no token for a byte of {token!r}")
+            ids = self.heads[token] = array("I", [t.id for t in found]).tobytes()
         return ids
 
     def slowly(self, text: str) -> np.ndarray:
@@ -186,11 +194,12 @@ class Encoder:
             yield i, j, *self.encode(part, at, end)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """One for each worker process, for a worker serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, plain_specials
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, plain_specials)
+    return _ENCODERS[key]

@@ -180,6 +180,29 @@ def whole():
     return lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
 
 
+def odd_texts(n, seed):
+    """Texts of words, signs and every code point up to U+00FF, with some of other scripts and planes."""
+    rng = random.Random(seed)
+    some = [chr(c) for c in range(256)]
+    scripts = [*"żłółćßñ", *"бвг", *"한국어", *"漢字", *"العربية", *"देवनागरी", "\u0301", "\u200b", "\ufeff", "\U0001f600", "\u2028", "\u3000", "_", "'s", "<|endoftext|>", "word", "Two", "12"]
+    return ["".join(rng.choice(some if rng.random() < 0.5 else scripts) if rng.random() < 0.6 else rng.choice([" ", "a", "the", "word", "."]) for _ in range(rng.randint(1, 40))) for _ in range(n)]
+
+
+def test_ids_of_every_character(spark, whole, tmp_path):
+    texts = [f"{a}{chr(c)}{b}" for c in range(256) for a, b in (("word", ""), ("", "word"), (" word.", " two"), ("é", "é"))] + odd_texts(4000, 3)
+    encode = Encoder(vocabulary())
+    for t in texts:
+        assert encode.ids(t).tolist() == whole(t)[:-1].tolist(), repr(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same([(r.doc_id, bytes(r.ids)) for r in token_files.token_files(docs, f"file://{tmp_path}").collect()], [(i, whole(t).tobytes()) for i, t in enumerate(texts)])
+    got = {}
+    for r in packing.packed(docs, with_ids=True).collect():
+        got.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    assert all(b"".join(x for _, x in sorted(got[i])) == whole(t).tobytes() for i, t in enumerate(texts))
+    trees = token_counts.edited(token_counts.trees(docs).withColumn("edits", F.lit(None).cast(token_counts.EDITS))).collect()
+    assert all(r.n_tokens == len(whole(texts[r.doc_id])) - 1 for r in trees)
+
+
 def test_token_files(spark, docs, rows, empty, whole, tmp_path):
     got = token_files.token_files(docs, f"file://{tmp_path}").collect()
     assert len(got) == len(rows)
