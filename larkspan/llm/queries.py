@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import best_fit, decontamination, html_text, lines, packing, quality, simhash, substrings, token_counts, token_files, toxicity, whitening
+from larkspan.llm import alignment, best_fit, decontamination, html_text, lines, packing, quality, simhash, substrings, token_counts, token_files, toxicity, whitening
 from larkspan.llm.common import settled, table
 
 
@@ -73,6 +73,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_texts(spark, sf_dir))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.best_fit(_texts(spark, sf_dir))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
     "op13_best_fit": op13_best_fit,
 }
 
