@@ -253,24 +253,15 @@ def vote_upsert(spark, d):
 @query("vote_scores_stream", ORACLE_SQL["vote_scores"])
 def vote_scores_stream(spark, d):
     """The stream over the whole vote log, run to its end; the last score of each entity."""
-    from larkspan.streaming.votes import append_to, latest_scores, stream_scores
+    from larkspan.streaming.runs import run_to_end, written
+    from larkspan.streaming.votes import latest_scores, stream_scores
 
     path = f"{d}/events.parquet"
     source = v.table(spark, d, "events")
     out = folder(spark, "scores")
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema(source.schema).parquet(path if _folder(spark, path) else f"{d}/events*.parquet")
-        running = stream_scores(v.votes_of(stream).drop("ts")).writeStream.foreachBatch(append_to(out)).outputMode("update").option("checkpointLocation", folder(spark, "votes")).trigger(availableNow=True).start()
-        running.awaitTermination()
-    finally:
-        if before is not None:
-            spark.conf.set(conf, before)
-        else:
-            spark.conf.unset(conf)
-    return latest_scores(spark.read.schema("entity bigint, score bigint, batch bigint").parquet(out))
+    stream = spark.readStream.schema(source.schema).parquet(path if _folder(spark, path) else f"{d}/events*.parquet")
+    run_to_end(stream_scores(v.votes_of(stream).drop("ts")), out, folder(spark, "votes"))
+    return latest_scores(written(spark, out, "entity bigint, score bigint"))
 
 
 def _folder(spark: SparkSession, path: str) -> bool:
@@ -672,3 +663,4 @@ def dml_rescore(spark, d):
 
 
 from larkspan.plans import records, values  # noqa: E402, F401  register the rest
+from larkspan.plans import streams  # noqa: E402, F401, I001  after what it streams

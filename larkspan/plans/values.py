@@ -199,8 +199,12 @@ def queue_items(spark, d):
     b AS (SELECT job, max(seq) FILTER (kind = 'set') AS since, arg_max(n, seq) FILTER (kind = 'set') AS base, arg_max(n, seq) FILTER (kind = 'total') AS total FROM v GROUP BY job)
     SELECT job, CASE WHEN final = 'cancel' THEN 'cancelled' WHEN final IS NOT NULL THEN final WHEN begun THEN 'running' ELSE 'pending' END AS status, (coalesce(base, 0) + coalesce((SELECT sum(n) FROM v WHERE v.job = f.job AND kind = 'add' AND (since IS NULL OR seq > since)), 0))::BIGINT AS progress, coalesce(total, 0)::BIGINT AS total FROM f LEFT JOIN b USING (job)""")
 def job_states(spark, d):
+    return jobs.states(job_log(v.table(spark, d, "events")).drop("ts"))
+
+
+def job_log(events):
+    """Six messages a job, some of them missing, some after its end."""
     key = F.col("event_id")
     job = F.floor(key / 6)
     kinds = ["start", "total", "add", F.when(job % 4 == 0, "set").otherwise("add"), F.when(job % 5 == 0, "done").when(job % 5 == 1, "failed").when(job % 5 == 2, "cancel").otherwise("add"), F.when(job % 3 == 0, "cancel").otherwise("add")]
-    log = v.table(spark, d, "events").where((key % 6 > 0) | (job % 7 > 0)).select(job.alias("job"), key.alias("seq"), _one_of(key, kinds).alias("kind"), (key % 50).cast("long").alias("n"))
-    return jobs.states(log)
+    return events.where((key % 6 > 0) | (job % 7 > 0)).select(job.alias("job"), key.alias("seq"), "ts", _one_of(key, kinds).alias("kind"), (key % 50).cast("long").alias("n"))

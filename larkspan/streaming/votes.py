@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from larkspan.operators.votes import upserted
 from larkspan.sources.snapshots import Snapshots, part_of
+from larkspan.streaming.runs import append_to  # noqa: F401  for callers of stream_scores
 
 VOTE_TABLE = "entity bigint, user_id bigint, vote smallint"
 SCORE_TABLE = "entity bigint, score bigint"
@@ -24,24 +25,31 @@ class VoteFold(StatefulProcessor):
         self.votes = handle.getMapState("votes", "user_id bigint", "vote int")
         self.score = handle.getValueState("score", "score bigint")
 
-    def _fold(self, rows: pd.DataFrame) -> int:
+    def _fold(self, frames: Iterator[pd.DataFrame]) -> int:
+        """The score after the frames: of each user only the last vote of the batch touches the state."""
+        last: dict[int, tuple[int, int]] = {}
+        for frame in frames:
+            ours = frame.sort_values("seq").drop_duplicates("user_id", keep="last")
+            for user, seq, vote in zip(ours["user_id"].tolist(), ours["seq"].tolist(), ours["vote"].tolist(), strict=True):
+                if user not in last or last[user][0] <= seq:
+                    last[user] = seq, vote
         score = self.score.get()[0] if self.score.exists() else 0
-        for row in rows.itertuples(index=False):
-            user, vote = (int(row.user_id),), int(row.vote)
-            old = self.votes.getValue(user)[0] if self.votes.containsKey(user) else 0
-            if vote:
-                self.votes.updateValue(user, (vote,))
-            elif old:
-                self.votes.removeKey(user)
+        for user, (_, vote) in last.items():
+            key = (user,)
+            old = self.votes.getValue(key)[0] if self.votes.containsKey(key) else 0
+            if vote and vote != old:
+                self.votes.updateValue(key, (vote,))
+            elif old and not vote:
+                self.votes.removeKey(key)
             score += vote - old
         self.score.update((score,))
         return score
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
-        yield pd.DataFrame({"entity": [key[0]], "score": [self._fold(pd.concat(list(rows)).sort_values("seq"))]})
+        yield pd.DataFrame({"entity": [key[0]], "score": [self._fold(rows)]})
 
     def handleInitialState(self, key: tuple, state: pd.DataFrame, timerValues: object) -> None:  # noqa: N802, N803
-        self._fold(state)
+        self._fold([state.assign(seq=0)])
 
     def close(self) -> None:
         pass
@@ -53,15 +61,6 @@ def stream_scores(votes: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     return votes.groupBy("entity").transformWithStateInPandas(VoteFold(), SCORE_TABLE, "update", "none", initialState=initial)
 
 
-def append_to(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each micro-batch in a folder of its own, which a second run of the batch writes anew."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return append
-
-
 def latest_scores(updates: DataFrame) -> DataFrame:
     """The last score of each entity of updates (entity, score, batch)."""
     return updates.groupBy("entity").agg(F.max_by("score", "batch").alias("score"))
