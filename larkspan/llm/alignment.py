@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ from larkspan.llm.tokens import TOKEN_BYTES, VOCABULARY, Encoder, vocabulary
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text whose pairs are counted together, and pairs in a row of them.
-BLOCK_BYTES, PAIR_ROWS = 16 << 20, 1 << 15
+BLOCK_BYTES, PAIR_ROWS = 8 << 20, 1 << 15
 #: The sign for a space in pieces; a token that isn't the bytes it comes from.
 SPACE_SIGN, OTHER = "▁", 0xFFFFFFFF
 RETURN = 0x0D
@@ -231,6 +230,12 @@ class Aligned:
         self.pairs = np.concatenate([x for x, _ in links] or [np.zeros(0, np.int64)]) << 32 | np.concatenate([y for _, y in links] or [np.zeros(0, np.int64)])
 
 
+def spaced(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts, each with a space in front unless it's empty."""
+    there = np.diff(offsets) > 0
+    return np.insert(buf, offsets[:-1][there], 0x20), offsets + np.concatenate([[0], np.cumsum(there)])
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as four planes of bytes, the lowest first: the upper ones are mostly zeros and compress to little."""
     return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -273,10 +278,8 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            spaced = pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
-            for i, j, part, at in slices(*utf8(spaced), TOKEN_BYTES):
-                held.append((ids[i:j], Aligned(part, at, tools)))
+            for i, j, part, at in slices(*utf8(batch.column("text")), TOKEN_BYTES):
+                held.append((ids[i:j], Aligned(*spaced(part, at), tools)))
                 size += len(part)
                 if size >= BLOCK_BYTES:
                     yield from flush()
