@@ -9,7 +9,9 @@ from larkspan.plans import records as batch
 from larkspan.plans import values
 from larkspan.plans import views as v
 from larkspan.plans.registry import ORACLE_SQL, _folder, query
+from larkspan.sources import changes
 from larkspan.sources.scratch import folder, settled
+from larkspan.sources.snapshots import Snapshots, part_of
 from larkspan.streaming import jobs, records
 from larkspan.streaming.runs import run_to_end, written
 
@@ -53,3 +55,16 @@ def back_fill_stream(spark, d):
     reason = F.when(F.col("status") == "done", "complete").otherwise(F.col("status"))
     return found.select("job", "total", "updated", (F.col("failed") + F.col("lost")).alias("failed"), "lost", "current", F.timestamp_micros("last_at").cast("timestamp_ntz").alias("last_at"), reason.alias("reason"))
 
+
+
+@query("change_feed", """SELECT 'insert' AS change, 2::BIGINT AS version, -id - 1 AS id, user_id, label, score FROM posts WHERE id % 25 = 0
+    UNION ALL SELECT 'delete', 2, id, user_id, label, score FROM posts WHERE id % 14 = 3
+    UNION ALL SELECT 'update', 2, id, user_id, label, score + 1 FROM posts WHERE id % 10 = 0 AND id % 14 <> 3""", "posts")
+def change_feed(spark, d):
+    """What a reader of posts gets that knows the state before a change of all kinds."""
+    tables, p = Snapshots(spark, folder(spark, "tables")), v.posts(spark, d).select("id", "user_id", "label", "score")
+    new = p.where("id % 25 = 0").withColumn("id", -F.col("id") - 1)
+    later = p.where("id % 14 <> 3").withColumn("score", F.when(F.col("id") % 10 == 0, F.col("score") + 1).otherwise(F.col("score"))).unionByName(new)
+    for rows in (p, later):
+        tables.swap({"posts": tables.stage_parts("posts", rows.withColumn("_part", part_of("id")), list(range(64)))})
+    return changes.feed(tables, "posts", ["id"], 1, p.schema)

@@ -10,7 +10,8 @@ from larkspan.functions import kernels, text
 from larkspan.operators import feed, jobs, messages, mutate, tagging
 from larkspan.plans import views as v
 from larkspan.plans.registry import USER, query
-from larkspan.sources import feeds
+from larkspan.sources import feeds, frames
+from larkspan.sources.scratch import folder
 
 
 def _one_of(key: F.Column, values: list) -> F.Column:
@@ -178,10 +179,14 @@ def picture_hashes(spark, d):
 
 @query("server_sent_events", "SELECT id, name FROM tags", "tags")
 def server_sent_events(spark, d):
-    """Tags as frames of an event stream, many to a text with heartbeats and a cut-off frame, and read again."""
-    frames = feeds.sse_frames(v.tags(spark, d)).withColumn("k", F.pmod(F.xxhash64("value"), F.lit(16)))
-    texts = frames.groupBy("k").agg(F.concat_ws(": heartbeat\n\n", F.collect_list("value")).alias("value")).select(F.concat("value", F.lit('data: {"id": 9')).alias("value"))
-    return feeds.sse_events(texts, "id long, name string")
+    """Tags as frames of an event stream with heartbeats, written by the committing sink and read again."""
+    spark.dataSource.register(frames.FrameSink)
+    path = folder(spark, "frames")
+    value = F.when(F.col("id") % 7 == 0, F.concat("value", F.lit(frames.HEARTBEAT))).otherwise(F.col("value"))
+    tags = v.tags(spark, d)
+    told = tags.select("id", F.struct(*tags.columns).alias("row")).select("id", feeds.sse_frame(F.col("row")).alias("value"))
+    told.select(value.alias("value")).write.format("event_frames").mode("append").save(path)
+    return frames.events(spark, path, "id long, name string")
 
 
 @query("queue_items", "SELECT event_id::INT AS post_id, 'f' || event_id AS filename, 't' AS thumbnail_filename, CASE WHEN event_id % 2 = 0 THEN 'job' ELSE '' END AS job_key FROM events WHERE event_id % 5 < 3")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from larkspan.schemas import FEED_PAGE, QUEUE_ITEM, QUEUE_STATUS
@@ -53,8 +53,13 @@ def sse_events(text: DataFrame, schema: str, column: str = "value") -> DataFrame
     return whole.where(F.col("frame").startswith("data:")).select(F.from_json(F.trim(F.substring("frame", 6, 1 << 30)), schema).alias("e")).where("e IS NOT NULL").select("e.*")
 
 
+def sse_frame(row: Column) -> Column:
+    """A frame with a struct as JSON, which has no line break in it."""
+    return F.concat(F.lit("data: "), F.to_json(row), F.lit("\n\n"))
+
+
 def sse_frames(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat(F.lit("data: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("value"))
+    return rows.select(sse_frame(F.struct("*")).alias("value"))
 
 
 def directory_usage(spark: SparkSession, folders: dict[str, str], excluded: list[str] | None = None) -> DataFrame:
@@ -131,8 +136,85 @@ class FeedReader(DataSourceReader):
                 return
 
 
+class Span(InputPartition):
+    """Items below `older` (0: from the newest on) down to `until`, none above `top`."""
+
+    def __init__(self, older: int, until: int, top: int) -> None:
+        self.older, self.until, self.top = older, until, top
+
+
+class FeedStreamReader(DataSourceStreamReader):
+    """Walks a feed from its newest items back, some pages a batch. The offset is the cursor: {older, top, pages, ended}.
+
+    `top` is the newest key when the stream began: what comes later isn't in it. A batch's offset says down to which key it goes, so a batch
+    that runs again gives the same items though the feed has grown and its pages have shifted; and a restart goes on where the last batch ended.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.options, self.key = options, options.get("cursor", "promoted")
+        self.pages = int(options.get("pages", "10"))
+        self.at: dict | None = None
+        self.spans: dict[int, Span] = {}  # of pages that latestOffset has seen, by the cursor before them
+
+    def _page(self, older: int) -> dict:
+        o = self.options
+        return fetch_page(o["url"], {"tags": o.get("tags"), "flags": o.get("flags"), "older": older or None})
+
+    def initialOffset(self) -> dict:  # noqa: N802  the interface's names
+        return {"older": int(self.options.get("older", "0")), "top": 0, "pages": 0, "ended": False}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        at = dict(self.at or self.initialOffset())
+        self.spans = {}
+        for _ in range(self.pages):
+            if at["ended"]:
+                break
+            page = self._page(at["older"])
+            items = page.get("items") or []
+            cursor = cursor_of(items, self.key)
+            if items and not at["top"]:
+                at["top"] = max(int(i.get(self.key) or 0) for i in items)
+            if items:
+                self.spans[at["older"]] = Span(at["older"], cursor, at["top"])
+            at = {"older": cursor or at["older"], "top": at["top"], "pages": at["pages"] + bool(items), "ended": bool(page.get("atEnd") or not items or not cursor)}
+        self.at = at
+        return at
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """A page each as far as they are known; after a restart the whole stretch is one, to be walked again."""
+        if start["pages"] == end["pages"]:
+            self.at = dict(end)  # a restart tells where it goes on
+            return []
+        found, older = [], start["older"]
+        while older in self.spans and (not found or older != end["older"]):
+            found.append(self.spans[older])
+            older = found[-1].until
+        if older == end["older"] and found:
+            return found
+        self.at = self.at or dict(end)
+        return [Span(start["older"], end["older"], end["top"])]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        older = partition.older
+        while True:
+            page = self._page(older)
+            items = page.get("items") or []
+            for i in items:
+                if partition.until <= int(i.get(self.key) or 0) <= partition.top:
+                    yield tuple(i.get(c) for c in ("id", "promoted", "image", "thumb", "fullsize", "audio", "mark", "user"))
+            older = cursor_of(items, self.key)
+            if not items or older <= partition.until or page.get("atEnd"):
+                return
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class FeedSource(DataSource):
-    """spark.read.format("paged_feed").option("url", ...): items of a feed; options tags, flags, older, cursor (promoted or id), and pages (without it, to the end)."""
+    """spark.read.format("paged_feed").option("url", ...): items of a feed; options tags, flags, older, cursor (promoted or id), and pages (without it, to the end).
+
+    spark.readStream does the same as a stream; pages are then those of a batch (10 without the option).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -144,6 +226,9 @@ class FeedSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return FeedReader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return FeedStreamReader(self.options)
+
 
 def status_row(pending: Column, total: Column, processed: Column, imported: Column, failed: Column, running: Column, rate: Column, eta: Column) -> Column:
     """A status record of the queue as JSON, to be appended with its time and read while fresh (`queue_snapshot`)."""

@@ -51,6 +51,22 @@ class Snapshots:
         numbers = self._numbers()
         return self._load(max(numbers)) if numbers else {}
 
+    def newest(self) -> int:
+        """The number of the current state; 0 before the first change."""
+        return max(self._numbers(), default=0)
+
+    def at(self, number: int) -> dict[str, dict[str, str]]:
+        """By table the folder of each part, as they were in a state that is still kept; of state 0 none."""
+        if number and number not in self._numbers():
+            raise LookupError(f"state {number} is not kept")
+        return self._load(number) if number else {}
+
+    def load(self, folders: list[str], schema: StructType | str) -> DataFrame:
+        """The rows of some folders."""
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in sorted(folders)])
+
     def read(self, table: str, schema: StructType | str | None = None, parts: list[int] | None = None) -> DataFrame:
         """A table as it is now, or some parts of it."""
         found = self.current().get(table, {})
