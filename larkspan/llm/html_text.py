@@ -36,9 +36,10 @@ MOSTLY, LONG = 0.75, 24
 SALTS = 16
 
 # Names of HTML, and names that sites give to parts of a page.
-SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "math", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "dialog", "menu", "audio", "video"}
+SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "dialog", "menu", "audio", "video"}
+IN_LINES = {"button", "select", "option", "input", "object", "svg", "audio", "video", "canvas"}
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "header", "address", "body", "html", "center", "details", "summary", "fieldset", "hgroup", "search"} | SKIPPED - {"button", "select", "option", "input", "object", "math", "svg", "audio", "video", "canvas"}
+BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "header", "address", "body", "html", "center", "details", "summary", "fieldset", "hgroup", "search"} | SKIPPED - IN_LINES - {"script", "style", "noscript", "template", "iframe", "textarea"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th", "time", "tt", "u", "var"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 CLOSE_BY_THEMSELVES = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -51,15 +52,16 @@ FIRST_PART = {"ad", "ads", "advert", "cookie", "cookies", "comment", "comments",
 HOLDERS = {"slot", "box", "bar", "list", "area", "section", "banner", "block", "unit", "container", "wrap", "wrapper", "form", "links", "notice", "consent", "signup", "menu", "buttons", "thread", "panel"}
 SITE, OF_SITE = {"site", "page", "global", "top"}, {"header", "banner", "notice", "search", "login"}
 DENIED = {"has", "no", "with", "without", "is", "not", "hide", "show", "toggle"}
-HEADINGS, CONTAINERS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"div", "section", "aside", "ul"}
+HEADINGS, CONTAINERS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"div", "section", "aside", "ul", "ol"}
+WRAPPERS = {"header", "masthead", "widget", "toolbar", "overlay", "form"}
 CONTENT = {"article", "content", "post", "entry", "story", "main", "maincontent", "articlebody"}
 CONTENT_OF, CONTENT_PART = CONTENT | {"page", "site", "blog", "text"}, {"content", "body", "text", "main"}
 IN_NAMED, IN_MAIN, IN_ARTICLE = 1, 2, 4
 GUARDED, CANDIDATE, OUTSIDE = 0, 1, 2
 
 # A tag ends at the first > outside a quoted value; a quote counts only after =, and a < outside one shows that this is no tag.
-# Pieces are bounded, so that no string of broken tags is read over and over: no real tag has hundreds of attributes.
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|=|[^<>=]++){0,400}+)>""")
+# What was read in vain is text as a whole, so no string of broken tags is read twice, and a tag may have any number of attributes.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|=|[^<>=]++)*+)(>?)""")
 _CUT_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*+)(\s[^<>=]*+=[^<>]*+|\s*+/?)\Z")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!|;|$)")
@@ -76,18 +78,25 @@ def names_boilerplate(name: str) -> bool:
     return parts[-1] in LAST_PART or parts[0] in FIRST_PART and parts[-1] in HOLDERS or parts[0] in SITE and parts[-1] in OF_SITE
 
 
+def names_wrapper(name: str) -> bool:
+    """Whether a name of boilerplate is one that sites also give to what is around a whole article."""
+    parts = re.split(r"[-_]+", name)
+    return name in WRAPPERS or parts[0] in SITE and parts[-1] == "header"
+
+
 def names_content(name: str) -> bool:
     parts = re.split(r"[-_]+", name)
     return name in CONTENT or len(parts) == 2 and parts[0] in CONTENT_OF and parts[1] in CONTENT_PART
 
 
-def _named(tag: str, attributes: str, zone: int) -> tuple[bool, bool, bool]:
-    """Whether the attributes name boilerplate, content, and the main part; zone: what is around the tag.
+def _named(tag: str, attributes: str, zone: int) -> tuple[bool, bool, bool, bool]:
+    """Whether the attributes name boilerplate, content, and the main part, and whether a name of boilerplate may be around an article; zone: what is around the tag.
 
-    In an article or main part, a class or an id names boilerplate only as a whole on a container; a
+    In an article or main part, a class or an id names boilerplate only on a container (of menus as a whole name); a
     heading's names none in any content.
     """
     boiler = content = main = False
+    soft = True
     seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -96,49 +105,59 @@ def _named(tag: str, attributes: str, zone: int) -> tuple[bool, bool, bool]:
         seen.add(kind)
         names = value.split()
         if kind == "role":
-            boiler |= bool(ROLES & set(names))
+            named = ROLES & set(names)
             main |= "main" in names
             content |= bool({"main", "article"} & set(names))
+            boiler, soft = boiler or bool(named), soft and named <= {"banner", "form"}
         elif kind == "hidden" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _UNSEEN.search(value):
-            boiler = True
+            boiler, soft = True, False
         elif kind in ("class", "id", "itemprop"):
             if tag == "article":
-                boiler |= bool(NOT_ARTICLES & set(names))
+                named = NOT_ARTICLES & set(names)
             elif zone >= IN_MAIN:
-                boiler |= tag in CONTAINERS and bool(NAMES & set(names))
-            elif not (zone and tag in HEADINGS):
-                boiler |= any(map(names_boilerplate, names))
+                named = {n for n in names if n in NAMES or names_boilerplate(n) and not n.endswith("menu")} if tag in CONTAINERS else set()
+            elif zone and tag in HEADINGS:
+                named = set()
+            else:
+                named = {n for n in names if names_boilerplate(n)}
+            boiler, soft = boiler or bool(named), soft and all(map(names_wrapper, named))
             content |= any(map(names_content, names))
-    return boiler, content and not boiler, main and not boiler
+    return boiler, content and not boiler, main and not boiler, boiler and soft
 
 
 def blocks_of(page: str) -> list[tuple[int, bool, str]]:
-    """(zone, boilerplate, text) of each block with text, in one pass over the page. Zone: bits for a container named for content, main, article."""
-    out: list[tuple[int, bool, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, zone, boilerplate: of it and what is around it
+    """(zone, boilerplate, text) of each block with text, in one pass over the page. Zone: bits for a container named for content, main, article.
+
+    A form, a header and what is named like one are boilerplate unless an article, a main part or a container named for content stands in them; a form
+    also isn't if it holds more than half of the page's text. Buttons, lists to choose from, drawings and the like go from a line without ending its block.
+    """
+    found: list[tuple[int, bool, int, str]] = []
+    wraps: list[list] = [[-1, False, 0, False]]  # of each form or header: the one around it, content in it, text in it, whether a form; the first: none
+    stack: list[tuple[str, int, bool, int, bool]] = []  # tag; zone, boilerplate, wrap, out of its line: of it and what is around it
     open_: dict[str, int] = {}  # how often a tag is on the stack
     text: list[str] = []
     at, end = 0, len(page)
+    nothing = ("", 0, False, 0, False)
 
     def flush() -> None:
-        if text:
+        _, zone, boiler, wrap, muted = stack[-1] if stack else nothing
+        if text and not muted:
             if words := " ".join(html.unescape("".join(text)).split()):
-                _, zone, boiler = stack[-1] if stack else ("", 0, False)
-                out.append((zone, boiler, words))
+                found.append((zone, boiler, wrap, words))
             text.clear()
 
     def close(depth: int) -> None:
-        for tag, _, _ in stack[depth:]:
+        for tag, *_ in stack[depth:]:
             open_[tag] -= 1
         del stack[depth:]
 
     while at < end:
         start = page.find("<", at)
+        muted = bool(stack) and stack[-1][4]
+        if not muted and start != at:
+            text.append(page[at:start] if start >= 0 else page[at:])
         if start < 0:
-            text.append(page[at:])
             break
-        if start > at:
-            text.append(page[at:start])
         following = page[start + 1 : start + 2]
         if following in ("!", "?"):
             comment = page.startswith("<!--", start)
@@ -146,29 +165,31 @@ def blocks_of(page: str) -> list[tuple[int, bool, str]]:
             at = end if stop < 0 else stop + (3 if comment else 1)
             continue
         m = _TAG.match(page, start)
-        if not m:
+        if not m or not m[4]:
             cut = _CUT_TAG.match(page, start)
             if cut and cut[1].lower() in BLOCKS | INLINE | VOID | SKIPPED:
                 break  # the page ends in a tag
-            text.append("<")
-            at = start + 1
+            at = m.end() if m else start + 1
+            if not muted:
+                text.append(page[start:at])
             continue
         at = m.end()
         tag = m[2].lower()
         if tag in RAW and not m[1] and not m[3].endswith("/"):
-            flush()
             at = _ENDS[tag].search(page, at).end()
             continue
-        if tag == "br" or tag in ("td", "th"):
+        if (tag == "br" or tag in ("td", "th")) and not muted:
             text.append(" ")
         if m[1]:
             if open_.get(tag):
                 depth = len(stack) - 1
                 while stack[depth][0] != tag:
                     depth -= 1
-                if any(t in BLOCKS for t, _, _ in stack[depth:]) or stack[depth][2] != (stack[depth - 1][2] if depth else False):
+                if any(t in BLOCKS for t, *_ in stack[depth:]) and not stack[depth][4]:
+                    while stack[-1][4]:
+                        close(len(stack) - 1)  # left open in a line
                     flush()
-                close(depth)
+                close(min(depth, len(stack)))
             elif tag in BLOCKS:
                 flush()
             continue
@@ -178,8 +199,8 @@ def blocks_of(page: str) -> list[tuple[int, bool, str]]:
                 close(len(stack) - 1)
         if tag in VOID or m[3].endswith("/"):
             continue
-        _, zone, boiler = stack[-1] if stack else ("", 0, False)
-        named, content, main = _named(tag, m[3], zone) if m[3].strip() else (False, False, False)
+        _, zone, boiler, wrap, muted = stack[-1] if stack else nothing
+        named, content, main, soft = _named(tag, m[3], zone) if m[3].strip() else (False, False, False, False)
         if tag in BLOCKS or tag in SKIPPED or named and tag in ("span", "a", "td"):
             skip = tag in SKIPPED or named and tag not in ("html", "body", "main") or tag == "header" and not zone
             if not skip:
@@ -189,12 +210,37 @@ def blocks_of(page: str) -> list[tuple[int, bool, str]]:
                     zone |= IN_MAIN
                 elif content and tag in ("div", "section"):
                     zone |= IN_NAMED
-            if skip and not boiler:
-                flush()
-            stack.append((tag, zone, boiler or skip))
+                else:
+                    content = False
+                if (content or tag in ("article", "main")) and not boiler:
+                    around = wrap
+                    while around and not wraps[around][1]:
+                        wraps[around][1] = True
+                        around = wraps[around][0]
+            elif tag not in BLOCKS:
+                muted = True
+            elif (soft if named else tag in ("form", "header")) and not boiler:
+                wraps.append([wrap, False, 0, tag == "form"])
+                wrap = len(wraps) - 1
+            else:
+                boiler = True
+            stack.append((tag, zone, boiler, wrap, muted))
             open_[tag] = open_.get(tag, 0) + 1
+    while stack and stack[-1][4]:
+        close(len(stack) - 1)
     flush()
-    return out
+    total = 0
+    for _, boiler, wrap, words in found:
+        if not boiler:
+            total += len(words)
+            wraps[wrap][2] += len(words)
+    for wrap, (around, _, size, _) in reversed(list(enumerate(wraps))):
+        if wrap and around:
+            wraps[around][2] += size
+    kept = [True]
+    for around, content, size, form in wraps[1:]:
+        kept.append(kept[around] and (content or form and 2 * size > total))
+    return [(zone, boiler or not kept[wrap], words) for zone, boiler, wrap, words in found]
 
 
 def roles_of(blocks: list[tuple[int, bool, str]]) -> tuple[list[int], bool]:

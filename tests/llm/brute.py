@@ -86,3 +86,36 @@ def simhash(rows, k=3):
         if d is not None:
             least[r] = min(d, least.get(r, d))
     return [(d, f"{p:016x}", least.get(r)) for (d, _), p, r in zip(rows, prints, top, strict=True)]
+
+
+def adaptive(rows, fence=None):
+    """The ids of (id, lang, source, stats) that base rules and fences around the quartiles of their language and source keep."""
+    from larkspan.llm import quality
+
+    def measures(s):
+        n, chars, symbols, lines, repeats = s
+        return {"word_length": chars / max(n, 1), "symbol_share": symbols / max(chars, 1), "dup_lines_per_word": lines / max(n, 1), "repeat_share": repeats / max(n, 1)}
+
+    def quartiles(group):
+        at = lambda v, q: sorted(v)[max(0, -(-q * len(v) // 4) - 1)]
+        return {k: (at([m[k] for m in group], 1), at([m[k] for m in group], 3)) for k in quality.MEASURES}
+
+    groups, every = defaultdict(list), [measures(s) for *_, s in rows]
+    for (_, lang, source, _), m in zip(rows, every, strict=True):
+        groups[lang, source].append(m)
+    fences = {g: quartiles(ms if len(ms) >= quality.LEAST_GROUP else every) for g, ms in groups.items()}
+    kept = set()
+    for (d, lang, source, s), m in zip(rows, every, strict=True):
+        q = fences[lang, source]
+        gap = {k: max(q[k][1] - q[k][0], quality.MEASURES[k]) * quality.FENCE for k in q}
+        if s[0] >= 50 and 2 * s[4] <= s[0] and all(m[k] <= q[k][1] + gap[k] for k in q) and m["word_length"] >= q["word_length"][0] - gap["word_length"]:
+            kept.add(d)
+    return kept
+
+
+def contains(text, item, k=5, share=0.8):
+    """Whether `share` of the item's distinct five-word shingles are in the text."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    shingles = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    own = shingles(words(item))
+    return bool(own) and len(own & shingles(words(text))) >= share * len(own) - 1e-9

@@ -6,9 +6,11 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from larkspan.llm import decontamination, html_text, queries, toxicity
 from larkspan.llm.common import table
+from larkspan.llm.tokens import vocabulary
 from tests.llm import brute
 from tests.llm.test_near_copies import by_all_pairs
 
@@ -51,6 +53,45 @@ def test_only_what_marks_boilerplate_goes(html, want):
     assert by_markup(page(html)) == want
 
 
+STORY = "The story goes on and on, as stories do. " * 8
+
+
+@pytest.mark.parametrize(
+    "around",
+    ["<form id='aspnetForm'><div class='content'>{}</div></form>", "<form><article>{}</article></form>", "<header><article>{}</article></header>", "<div class='page-header'><article>{}</article></div>", "<div class='widget'><article>{}</article></div>",
+     "<form method=post><input type=hidden name=x>{}<select><option>A<option>B</select></form><div>All rights</div>", "<header class='masthead'><form><main>{}</main></form></header>", "<div role='banner'><main>{}</main></div>"],
+)
+def test_forms_and_headers_around_an_article_are_no_boilerplate(around):
+    got = by_markup(around.format(f"<p>{STORY}</p><p>End.</p>")).split("\n\n")
+    assert got[:2] == [STORY.strip(), "End."] and len(got) <= 2 + ("All rights" in around)
+
+
+def test_forms_and_headers_beside_an_article_are():
+    html = f"<header><h1>Site</h1></header><form>Search <input></form><form class='comment-form'><article>{STORY}</article></form><div class='comments'><article>c</article></div><div><p>{STORY}</p></div>"
+    assert by_markup(html) == STORY.strip()
+
+
+@pytest.mark.parametrize("part", ["<section class='user-comments'><p>bad</p></section>", "<div class='comments-area'>bad</div>", "<div class='comment-list'><article>bad</article></div>", "<ol class='comment-list'><li>bad</ol>", "<div id='ad-slot'>bad</div>", "<div class='cookie-notice'>bad</div>", "<div class='newsletter-box'>bad</div>"])
+def test_comments_and_adverts_in_an_article_go(part):
+    assert by_markup(f"<article><p>{STORY}</p>{part}<p>End.</p></article>") == f"{STORY.strip()}\n\nEnd."
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [("Press <button>OK</button> now", "Press now"), ("Pick <select><option>a<option>b</select> it", "Pick it"), ("E is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here", "E is mc2 here"), ("a <span hidden>x</span> b<script>'<p>'</script> c <svg><text>t</text></svg>d", "a b c d"),
+     ("left <button>open", "left"), ("a <button><b>x</b> y</button>b", "a b"), ("<div " + " ".join(f"data-a{i}='x'" for i in range(2500)) + ">many</div>", "many"), ("1 <2 and a <b c='<i>q</i>' end", "1 <2 and a <b c='<i>q</i>' end")],
+)
+def test_parts_of_a_line(line, want):
+    assert by_markup(f"<article><p>{line}</p><p>next</p></article>") == f"{want}\n\nnext"
+
+
+def test_a_long_page_that_is_well_formed():
+    parts = [f"Part {i} of a page that goes on" for i in range(60000)]
+    start = time.time()
+    assert by_markup(page(f"<article>{''.join(f'<div class=x><p>{p}</p></div>' for p in parts)}</article>")) == "\n\n".join(parts)
+    assert time.time() - start < 20
+
+
 def test_suffix_array_finds_repeated_runs():
     rng = np.random.default_rng(0)
     streams = [rng.integers(0, 5, rng.integers(0, 40)) for _ in range(30)]
@@ -167,6 +208,8 @@ def test_decontamination(mixed):
     assert got == want
     kept = decontamination.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 9]
+    more = docs.unionByName(docs.sparkSession.createDataFrame([(None, "clean text without an id", "x"), (None, None, "x"), (1, "clean text of an id that leaks elsewhere", "x")], docs.schema))
+    assert sorted((r.doc_id is not None, r.text) for r in decontamination.decontaminated(more, bench).where("doc_id IS NULL OR doc_id = 1").collect() if r.text) == [(False, "clean text without an id"), (True, "clean text of an id that leaks elsewhere")]
     assert decontamination.contained(docs.limit(0), bench).count() == 0 and decontamination.contained(docs, bench.limit(0)).count() == 0
 
 
@@ -251,13 +294,23 @@ def test_pipeline(spark, data):
     before, after = seen["quality rules"]
     stats = {r.doc_id: brute.stats(r.text) for r in before.collect()}
     assert all(stats[r.doc_id][0] >= 50 and 2 * stats[r.doc_id][4] <= stats[r.doc_id][0] for r in after.collect())
+    assert {r.doc_id for r in after.collect()} == brute.adaptive([(r.doc_id, r.lang, r.source, stats[r.doc_id]) for r in before.collect()])
     before, after = seen["line dedup"]
     want = {d: s for d, _, _, s in brute.line_dedup([(r.doc_id, r.text) for r in before.collect()])}
     got = after.collect()
     assert {r.doc_id: brute.sha(r.text) for r in got} == want and all(r.n_chars == len(r.text) for r in got)
     before, after = seen["near duplicates"]
     assert {r.doc_id for r in after.collect()} == set(by_all_pairs([(r.doc_id, r.text) for r in before.collect()]).values())
+    before, after = seen["benchmark decontamination"]
+    items = [r.text for r in table(spark, sf, "benchmark").collect()]
+    want = {r.doc_id for r in before.collect() if not any(brute.contains(r.text, x) for x in items)}
+    assert {r.doc_id for r in after.collect()} == want and len(want) < before.count()
     before, after = seen["packing"]
+    pieces = {}
+    for r in after.collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    tokenizer = Tokenizer.from_file(vocabulary())
+    assert {d: b"".join(x for _, x in sorted(p)) for d, p in pieces.items()} == {r.doc_id: np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 0], "<u4").tobytes() for r in before.collect()}
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
     odd = spark.createDataFrame([(None, None, None, None, None, "k"), (1, "x y", "en", "s", 3, "k")], "doc_id long, text string, lang string, source string, n_chars long, kept string")
     for name, stage in corpus_pipeline.STAGES[:4]:
