@@ -64,14 +64,8 @@ def _found_by_shuffle(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     return named.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_name") == F.col("_of"))).select("doc_id", "text", "item_id").distinct()
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles (of the item, distinct) and containment, for each document and item it contains.
-
-    docs: doc_id, text; benchmark: item_id, text. Words are runs of letters and digits in lower case, so
-    case, punctuation and line breaks don't matter. Null or short texts (under five words) have no
-    shingle: such items are in no document. Rows of one doc_id are told apart by their text; repeated rows
-    and null ids give one pair; empty tables give none; other columns are left out.
-    """
+def _pairs(docs: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
+    """doc_id, text_hash (Spark's xxhash64), item_id, n_shared, n_shingles and containment for each row of docs and item it contains; repeated rows once or more."""
     items = benchmark.select("item_id", F.array_distinct(shingles("text")).alias("item"), F.array_sort(F.array_distinct(hashes("text"))).alias("h")).where("size(item) > 0").distinct()
     items = settled(items.withColumn("class", F.floor(F.log2(F.size("item")))), "items")
     # of a class's largest items, of 2 ** (class + 1) - 1 shingles, so many may be missing and one more
@@ -86,12 +80,28 @@ def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -
     exact = items.select(F.col("item_id").alias("_item_id"), "item")
     if held <= MOST_ITEM_BYTES:
         exact = F.broadcast(exact)
-    shared = found.join(exact, F.col("item_id").eqNullSafe(F.col("_item_id"))).select("doc_id", "item_id", F.size(F.array_intersect(shingles("text"), "item")).alias("n_shared"), F.size("item").alias("n_shingles"))
-    out = shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.col("n_shingles") * share - 1e-9)
+    shared = found.join(exact, F.col("item_id").eqNullSafe(F.col("_item_id"))).select("doc_id", F.xxhash64("text").alias("text_hash"), "item_id", F.size(F.array_intersect(shingles("text"), "item")).alias("n_shared"), F.size("item").alias("n_shingles"))
+    return shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.col("n_shingles") * share - 1e-9)
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles (of the item, distinct) and containment, for each document and item it contains.
+
+    docs: doc_id, text; benchmark: item_id, text. Words are runs of letters and digits in lower case, so
+    case, punctuation and line breaks don't matter. Null or short texts (under five words) have no
+    shingle: such items are in no document. Rows of one doc_id are told apart by their text; repeated rows
+    and null ids give one pair; empty tables give none; other columns are left out.
+    """
+    out = _pairs(docs, benchmark, share)
     return out.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment")).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -> DataFrame:
-    """docs without the documents that contain an item; rows of one doc_id (null too) stay or go together."""
-    found = settled(contained(docs, benchmark, share).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    """docs without the rows whose text contains an item.
+
+    Rows of one doc_id, and rows without one, are told apart by their texts, so a clean row stays beside one that goes; repeated rows go together.
+    """
+    found = _pairs(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, share)
+    gone = settled(found.select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_own"))
+    return rows.join(gone, F.col("_id").eqNullSafe(F.col("_leak")) & (F.col("_own") == F.col("_hash")), "left_anti").select("_row.*")
