@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import settled, slices, utf8
-from larkspan.llm.tokens import TOKEN_BYTES, VOCABULARY, Encoder, vocabulary
+from larkspan.llm.tokens import VOCABULARY, Encoder, vocabulary
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text whose pairs are counted together, and pairs in a row of them.
 BLOCK_BYTES, PAIR_ROWS = 8 << 20, 1 << 15
+#: Bytes of text that a task aligns at a time; some hundred bytes for each are held meanwhile.
+SLICE_BYTES = 1 << 19
 #: The sign for a space in pieces; a token that isn't the bytes it comes from.
 SPACE_SIGN, OTHER = "▁", 0xFFFFFFFF
 RETURN = 0x0D
@@ -278,7 +280,7 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for i, j, part, at in slices(*utf8(batch.column("text")), TOKEN_BYTES):
+            for i, j, part, at in slices(*utf8(batch.column("text")), SLICE_BYTES):
                 held.append((ids[i:j], Aligned(*spaced(part, at), tools)))
                 size += len(part)
                 if size >= BLOCK_BYTES:
