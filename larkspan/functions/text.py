@@ -33,13 +33,18 @@ def format_duration(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%ds", s)).when(seconds < 3600, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%dh %dm", h, m))
 
 
-def snippet(text: Column, n: int = 120) -> Column:
+def snippet(text: Column, n: int = 120, suffix: str = "…") -> Column:
     """A text of over n bytes of UTF-8: the whole characters within its first n bytes, and an ellipsis; a shorter one as it is."""
     raw = text.cast("binary")
     first = lambda k: F.substring(raw, 1, k).cast("string")
     goes_on = lambda k: F.hex(F.substring(raw, k + 1, 1)).between("80", "BF")  # noqa: E731  the byte after k is inside a character
     cut = F.when(~goes_on(n), first(n)).when(~goes_on(n - 1), first(n - 1)).when(~goes_on(n - 2), first(n - 2)).otherwise(first(n - 3))
-    return F.when(F.octet_length(text) > n, F.concat(cut, F.lit("…"))).otherwise(text)
+    return F.when(F.octet_length(text) > n, F.concat(cut, F.lit(suffix))).otherwise(text)
+
+
+def log_preview(text: Column, n: int) -> Column:
+    """The same for log lines, which mark the cut by [\u2026]."""
+    return snippet(text, n, "[…]")
 
 
 def extension(name: Column) -> Column:

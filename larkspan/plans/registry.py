@@ -48,10 +48,9 @@ def _latest(spark, d):
 LATEST = "(SELECT entity, user_id, vote FROM (SELECT *, row_number() OVER (PARTITION BY entity, user_id ORDER BY seq DESC) AS n FROM votes) WHERE n = 1 AND vote <> 0)"
 
 
-@query("feed_voted", f"SELECT id, label, CAST(coalesce((SELECT max(vote) FROM {LATEST} l WHERE l.entity = p.id AND l.user_id = {USER}), 0) AS SMALLINT) AS vote FROM posts p WHERE {SEEN} ORDER BY id LIMIT 50", "posts", "votes")
+@query("feed_voted", f"SELECT id, label, CAST(coalesce((SELECT max(vote) FROM {LATEST} l WHERE l.entity = p.id AND l.user_id = {USER}), 0) AS SMALLINT) AS vote FROM posts p WHERE {SEEN} ORDER BY id DESC LIMIT 50", "posts", "votes")
 def feed_voted(spark, d):
-    page = v.posts(spark, d).where(labels.visible(LABELS)).orderBy("id").limit(50)
-    return feed.with_vote(page, _latest(spark, d), USER).select("id", "label", "vote")
+    return feed.with_vote(feed.page(v.posts(spark, d), LABELS), _latest(spark, d), USER).select("id", "label", "vote")
 
 
 @query("post_voted", f"SELECT id, label, CAST(coalesce((SELECT vote FROM {LATEST} l WHERE l.entity = p.id AND l.user_id = v.user_id), 0) AS SMALLINT) AS vote FROM posts p, (SELECT min(entity) AS entity FROM {LATEST} WHERE entity IN (SELECT id FROM posts WHERE {SEEN})) e, (SELECT min(user_id) AS user_id FROM {LATEST} l WHERE entity = (SELECT min(entity) FROM {LATEST} WHERE entity IN (SELECT id FROM posts WHERE {SEEN}))) v WHERE p.id = e.entity", "posts", "votes")
@@ -118,12 +117,16 @@ def page_cursor(spark, d):
     return feed.next_cursor(feed.page(v.posts(spark, d), LABELS))
 
 
-@query("visibility_matrix", """SELECT level, requested, CASE WHEN requested = '' THEN array_to_string(allowed, ',') ELSE coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM (SELECT name, min(place) AS place FROM (SELECT trim(unnest(string_split(requested, ','))) AS name, unnest(generate_series(1, len(string_split(requested, ',')))) AS place) WHERE list_contains(allowed, name) GROUP BY name)), '') END AS labels
-    FROM (SELECT level, CASE WHEN level >= 5 THEN ['sfw', 'nsfp', 'nsfw', 'secret'] WHEN level >= 1 THEN ['sfw', 'nsfp', 'nsfw'] ELSE ['sfw'] END AS allowed FROM (SELECT unnest([0, 1, 5, 10])::INT AS level)), (SELECT unnest(['', 'sfw', 'secret,sfw', ' nsfp , nsfp ,nsfw', 'bogus']) AS requested)""")
-def visibility_matrix(spark, d):
-    levels = spark.createDataFrame([(n,) for n in (0, 1, 5, 10)], "level int")
-    asked = spark.createDataFrame([(x,) for x in ("", "sfw", "secret,sfw", " nsfp , nsfp ,nsfw", "bogus")], "requested string")
-    return levels.crossJoin(asked).withColumn("labels", F.array_join(labels.allowed_filters_column(F.col("requested"), F.col("level")), ","))
+ASKED = ["", "sfw", "secret,sfw", " nsfp , nsfp ,nsfw", "bogus"]
+
+
+@query("visible_labels", f"""SELECT event_id, level, CASE WHEN requested = '' THEN array_to_string(allowed, ',') ELSE coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM (SELECT name, min(place) AS place FROM (SELECT trim(unnest(string_split(requested, ','))) AS name, unnest(generate_series(1, len(string_split(requested, ',')))) AS place) WHERE list_contains(allowed, name) GROUP BY name)), '') END AS labels
+    FROM (SELECT event_id, {ASKED}[event_id % 5 + 1] AS requested, level, CASE WHEN level >= 5 THEN ['sfw', 'nsfp', 'nsfw', 'secret'] WHEN level >= 1 THEN ['sfw', 'nsfp', 'nsfw'] ELSE ['sfw'] END AS allowed FROM events JOIN users ON id = user_id)""", "users")
+def visible_labels(spark, d):
+    """What each request may show: the labels that it asks for, of those that its user's level may see."""
+    asked = v.table(spark, d, "events").select("event_id", "user_id", F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("event_id") % 5 + 1).cast("int")).alias("requested"))
+    both = asked.join(v.users(spark, d).select(F.col("id").alias("user_id"), "level"), "user_id")
+    return both.select("event_id", "level", F.array_join(labels.allowed_filters_column(F.col("requested"), F.col("level")), ",").alias("labels"))
 
 
 # Search, tags, comments
@@ -303,10 +306,10 @@ def file_types(spark, d):
     return _items(spark, d).select("page_id", text.file_type(F.col("image")).alias("type"), text.is_video(F.lit(None).cast("string"), F.col("image")).alias("video"))
 
 
-@query("load_until_500", "WITH p AS (SELECT page_id // 10 AS page, count(*) FILTER (page_id % 3 <> 0) AS inserted FROM pages GROUP BY 1), r AS (SELECT page, inserted, coalesce(sum(inserted) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT page, inserted, CAST(before AS BIGINT) AS before FROM r WHERE before < 100")
+@query("load_until_500", "WITH p AS (SELECT event_id // 10 AS page, count(*) FILTER (event_id % 3 <> 0) AS inserted FROM events GROUP BY 1), r AS (SELECT page, inserted, coalesce(sum(inserted) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT page, inserted, CAST(before AS BIGINT) AS before FROM r WHERE before < 500")
 def load_until_500(spark, d):
-    by_page = v.table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("page")).agg(F.count_if(F.col("page_id") % 3 != 0).alias("inserted"))
-    return ingest.until_enough(by_page, 100)
+    by_page = v.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 10).alias("page")).agg(F.count_if(F.col("event_id") % 3 != 0).alias("inserted"))
+    return ingest.until_enough(by_page, 500)
 
 
 @query("min_cursor", "SELECT min(page_id) AS cursor FROM pages WHERE page_id >= 40")

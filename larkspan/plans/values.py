@@ -86,6 +86,11 @@ def client_values(spark, d):
     )
 
 
+@query("log_previews", "SELECT doc_id, CASE WHEN strlen(text) > 200 THEN left(text, (SELECT max(n)::INT FROM (SELECT unnest(generate_series(0, 200)) AS n) WHERE strlen(left(text, n::INT)) <= 200)) || '[…]' ELSE text END AS preview FROM documents")
+def log_previews(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", text.log_preview(F.col("text"), 200).alias("preview"))
+
+
 PROBES = ["640,480", "x", "640", ",480", "640,x", "640,480,1", "", "-1,2"]
 
 
@@ -167,14 +172,46 @@ def picture_energy(spark, d):
     return v.table(spark, d, "embeddings").select("vec_id", kernels.crop_of_gray(4)(gray).alias("c")).select("vec_id", "c.*")
 
 
+def _gray(low: float = 0.0):
+    return F.transform("embedding", lambda x: F.least(F.greatest(x.cast("double") * 100 + 128, F.lit(low)), F.lit(255.0)))
+
+
 @query("picture_hashes")
 def picture_hashes(spark, d):
-    """Perceptual hashes of the same pictures; SQL can't resize. Tests hold the kernel against known properties."""
-    gray = F.transform("embedding", lambda x: F.least(F.greatest(x.cast("double") * 100 + 128, F.lit(0.0)), F.lit(255.0)))
-    rows = v.table(spark, d, "embeddings").select("vec_id", kernels.phash_of_gray(gray).alias("w"))
+    """Perceptual hashes of the same pictures; SQL can't resize. Tests hold them against plain loops over pixels."""
+    rows = v.table(spark, d, "embeddings").select("vec_id", kernels.phash_of_gray(_gray()).alias("w"))
     return rows.select("vec_id", *[F.element_at("w", k + 1).alias(f"p_hash_{k}") for k in range(4)])
 
 
+@query("picture_thumbnails")
+def picture_thumbnails(spark, d):
+    """The best 5 x 5 of each picture, shrunk to 3 x 3. Tests hold them against plain loops over pixels."""
+    gray = F.transform(_gray(), lambda x: F.floor(x).cast("int"))
+    return v.table(spark, d, "embeddings").select("vec_id", F.array_join(kernels.thumbnail_of_gray(8, 8, 3)(gray), ",").alias("pixels"))
+
+
+RGB = "SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT % 256) AS p FROM embeddings"
+
+
+def _yuv_sql(full: bool) -> str:
+    k = kernels.YUV[full]
+    term = lambda c, r, g, b: f"least(greatest({c[3]} + ((({c[0]}) * ({r}) + ({c[1]}) * ({g}) + ({c[2]}) * ({b}) + 128) >> 8), 0), 255)"
+    one = lambda c: f"p[3 * i + {c + 1}]"
+    four = lambda c: f"(({' + '.join(f'p[3 * (8 * (i // 2) + 2 * (i % 2) + {o}) + {c + 1}]' for o in (0, 1, 4, 5))}) // 4)"
+    luma = f"list_transform(generate_series(0, 15), lambda i: {term(k[0], one(0), one(1), one(2))})"
+    chroma = [f"list_transform(generate_series(0, 3), lambda i: {term(c, four(0), four(1), four(2))})" for c in k[1:]]
+    return f"SELECT vec_id, {full} AS full_range, " + ", ".join(f"array_to_string({x}, ',') AS {n}" for x, n in zip((luma, *chroma), "yuv", strict=True)) + " FROM p"
+
+
+@query("picture_yuv", f"WITH p AS ({RGB}) {_yuv_sql(True)} UNION ALL {_yuv_sql(False)}")
+def picture_yuv(spark, d):
+    """The first 48 numbers as 4 x 4 pixels of three colours, as planes of brightness and colour, in full and in limited range."""
+    rgb = F.transform("embedding", lambda x: (F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("int"))
+    rows = v.table(spark, d, "embeddings").select("vec_id", F.slice(rgb, 1, 48).alias("rgb"))
+    both = [rows.select("vec_id", F.lit(full).alias("full_range"), kernels.yuv420(4, 4, full)(F.col("rgb")).alias("p")) for full in (True, False)]
+    return both[0].unionByName(both[1]).select("vec_id", "full_range", *[F.array_join(f"p.{c}", ",").alias(c) for c in "yuv"])
+
+
 # Records as text
 
 @query("server_sent_events", "SELECT id, name FROM tags", "tags")
