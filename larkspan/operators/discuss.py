@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,17 @@ def comment_tree(comments: DataFrame) -> DataFrame:
     root = F.col("_parent").isNull()
     state = known.select("id", "post_id", "parent_id", F.when(root, F.array("id")).otherwise(F.array("_parent", "id")).alias("path"), root.alias("whole"))
     state = settled(state, "comment-paths")
-    while not state.where("NOT whole").isEmpty():
-        up = state.select(F.col("id").alias("_top"), F.col("path").alias("_above"), F.col("whole").alias("_whole"))
-        open_ = state.where("NOT whole")
+    done = [state.where("whole")]  # what is known stays where it was first written; rounds write the others alone
+    open_ = state.where("NOT whole")
+    known_ = state
+    while not open_.isEmpty():
+        up = known_.select(F.col("id").alias("_top"), F.col("path").alias("_above"), F.col("whole").alias("_whole"))
         longer = open_.join(up, F.element_at(open_["path"], 1) == up["_top"]).select("id", "post_id", "parent_id", F.concat("_above", F.slice("path", 2, F.size("path"))).alias("path"), F.col("_whole").alias("whole"))
-        longer = longer.where(F.col("whole") | (F.size(F.array_distinct("path")) == F.size("path")))
-        state = settled(state.where("whole").unionByName(longer), "comment-paths")
-    return state.select("id", "post_id", "parent_id", (F.size("path") - 1).alias("depth"), F.element_at("path", 1).alias("root_id"), "path")
+        longer = settled(longer.where(F.col("whole") | (F.size(F.array_distinct("path")) == F.size("path"))), "comment-paths")
+        done.append(longer.where("whole"))
+        open_ = longer.where("NOT whole")
+        known_ = reduce(DataFrame.unionByName, [*done, open_])
+    return reduce(DataFrame.unionByName, done).select("id", "post_id", "parent_id", (F.size("path") - 1).alias("depth"), F.element_at("path", 1).alias("root_id"), "path")
 
 
 def reply_notifications(comments: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.labels import visible
+from larkspan.sources.scratch import settled
 
 PAGE = 50
-#: Ids in one range of `ranked`.
-RANGE = 1 << 16
 
 
 def page(posts: DataFrame, labels: list[str], number: int = 1, limit: int = PAGE) -> DataFrame:
@@ -73,32 +74,38 @@ def position(posts: DataFrame, labels: list[str], post: int, limit: int = PAGE)
     return posts.where(visible(labels) & (F.col("id") > post)).agg(F.count(F.lit(1)).alias("position")).withColumn("page", (F.floor(F.col("position") / limit) + 1).cast("long"))
 
 
-def ranked(rows: DataFrame, key: str = "id", descending: bool = True, name: str = "position") -> DataFrame:
-    """rows and their place from 0 by an integer key, without one window over all rows.
+def sorted_parts(rows: DataFrame, order: Column) -> tuple[DataFrame, list[Row]]:
+    """rows sorted over all partitions, with _part and _place (from 0) in it, written once; and each partition's rows (n), smallest and largest `_key`, in order.
 
-    Ranges of keys are ranked apart; the rows of all ranges before (a small table, a row each) are added.
+    Spark cuts the partitions by a sample of the keys, so they are about even for dense, sparse and hashed keys alike.
     """
-    split = rows.withColumn("_range", F.floor(F.col(key) / RANGE))
-    order = F.desc if descending else F.asc
-    sizes = split.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order(key))) - 1
-    return split.withColumn("_inside", inside).join(offsets, "_range").withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).drop("_range", "_inside", "_before")
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    placed = settled(placed.select("*", F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")).drop("_at"), "sorted")
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+    return placed, sorted(parts.collect(), key=lambda r: r["_part"])  # a row for each partition, not for keys
+
+
+def ranked(rows: DataFrame, key: str = "id", descending: bool = True, name: str = "position") -> DataFrame:
+    """rows and their place from 0 by a key; equal keys in any order. No window: rows are numbered where the sort has put them, after the rows of the partitions before."""
+    keyed = rows.withColumn("_key", F.col(key))
+    placed, parts = sorted_parts(keyed, F.desc("_key") if descending else F.asc("_key"))
+    before = list(accumulate((p["n"] for p in parts), initial=0))
+    offsets = rows.sparkSession.createDataFrame([(p["_part"], b) for p, b in zip(parts, before, strict=False)], "_part int, _before bigint")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_place") + F.col("_before")).select(*rows.columns, name)
 
 
 def neighbours(posts: DataFrame, labels: list[str]) -> DataFrame:
     """id of each visible post, and of the next newer and the next older one.
 
-    Inside ranges of ids the neighbours are the rows before and after; at a range's edges they come from the
-    nearest ranges with posts, of which there's a small table with a row each.
+    Inside the partitions of a sort the neighbours are the rows before and after; at a partition's edges they come
+    from the partitions beside it.
     """
-    split = posts.where(visible(labels)).select("id", F.floor(F.col("id") / RANGE).alias("_range"))
-    inside, ranges = Window.partitionBy("_range").orderBy("id"), Window.orderBy("_range")
-    ends = split.groupBy("_range").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
-    ends = ends.select("_range", F.lead("_low").over(ranges).alias("_above"), F.lag("_high").over(ranges).alias("_below"))
-    placed = split.select("id", "_range", F.lead("id").over(inside).alias("_newer"), F.lag("id").over(inside).alias("_older")).join(ends, "_range")
-    return placed.select("id", F.coalesce("_newer", "_above").alias("newer_id"), F.coalesce("_older", "_below").alias("older_id"))
+    placed, parts = sorted_parts(posts.where(visible(labels)).select("id", F.col("id").alias("_key")), F.asc("_key"))
+    inside = Window.partitionBy("_part").orderBy("_place")
+    edges = [(p["_part"], b["low"] if b else None, a["high"] if a else None) for p, a, b in zip(parts, [None, *parts], [*parts[1:], None], strict=False)]
+    edges_ = posts.sparkSession.createDataFrame(edges, f"_part int, _above {placed.schema['id'].dataType.simpleString()}, _below {placed.schema['id'].dataType.simpleString()}")
+    found = placed.select("id", "_part", F.lead("id").over(inside).alias("_newer"), F.lag("id").over(inside).alias("_older")).join(F.broadcast(edges_), "_part")
+    return found.select("id", F.coalesce("_newer", "_above").alias("newer_id"), F.coalesce("_older", "_below").alias("older_id"))
 
 
 def grid_rows(posts: DataFrame, labels: list[str], columns: int, expanded: int | None = None) -> DataFrame:

@@ -225,29 +225,42 @@ def dml_remove_tag(spark, d):
 RELEASES = "r AS (SELECT *, CASE WHEN id % 4 = 0 THEN -1 ELSE user_id END AS asker FROM posts WHERE id % 2 = 0), ok AS (SELECT * FROM r WHERE NOT deleted AND user_id = asker AND NOT dirty AND NOT released)"
 
 
-@query("dml_release_all", f"""WITH posts AS ({v.SQL['posts']}), tags AS ({v.SQL['tags']}), {RELEASES},
-    names AS (SELECT DISTINCT id, user_id, unnest(['fresh' || id % 3, 'Brand#11', CASE WHEN id % 3 = 1 THEN 'nsfw' ELSE 'fresh' || id % 3 END]) AS name FROM ok)
+@query("dml_release_all", f"""WITH posts AS ({v.SQL['posts']}), tags AS ({v.SQL['named_tags']}), post_tags AS ({v.SQL['post_tags']}), comments AS ({v.SQL['comments']}), {RELEASES},
+    first AS (SELECT post_id, min(tag_id) AS tag_id FROM post_tags GROUP BY post_id),
+    names AS (SELECT DISTINCT id, user_id, unnest(['fresh' || id % 3, CASE WHEN id % 3 = 1 THEN 'nsfw' ELSE 'fresh' || id % 3 END]) AS name FROM ok UNION SELECT ok.id, ok.user_id, t.name FROM ok JOIN first ON first.post_id = ok.id JOIN tags t ON t.id = first.tag_id),
+    made AS (SELECT DISTINCT name FROM names WHERE name NOT IN (SELECT name FROM tags)),
+    new_links AS (SELECT n.id, n.user_id, n.name FROM names n WHERE n.name IN (SELECT name FROM made) UNION ALL SELECT n.id, n.user_id, n.name FROM names n JOIN tags t USING (name) WHERE NOT EXISTS (SELECT 1 FROM post_tags x WHERE x.post_id = n.id AND x.tag_id = t.id))
     SELECT 'status' AS tbl, id, CASE WHEN deleted THEN 'not_found' WHEN user_id <> asker THEN 'forbidden' WHEN dirty THEN 'unfinished' WHEN released THEN 'already' ELSE 'ok' END AS what FROM r
     UNION ALL SELECT 'posts', id, CASE WHEN id % 3 = 1 AND id IN (SELECT id FROM ok) THEN 'nsfw' ELSE label END || CASE WHEN released OR id IN (SELECT id FROM ok) THEN ' released' ELSE '' END FROM posts
-    UNION ALL SELECT 'tags', 0, name FROM tags UNION ALL SELECT DISTINCT 'tags', 0, name FROM names WHERE name NOT IN (SELECT name FROM tags)
-    UNION ALL SELECT 'links', id, name || ' ' || user_id FROM names WHERE name <> 'Brand#11'
-    UNION ALL SELECT 'comments', id, 'hello ' || id FROM ok WHERE id % 5 <> 0""")
+    UNION ALL SELECT 'tags', 0, name FROM tags UNION ALL SELECT 'tags', 0, name FROM made
+    UNION ALL SELECT 'links', post_id, id::VARCHAR || ' ' || tag_id FROM post_tags
+    UNION ALL SELECT 'new links', id, name || ' ' || user_id FROM new_links
+    UNION ALL SELECT 'new ids', (SELECT max(id) FROM post_tags) + row_number() OVER (), 'link' FROM new_links
+    UNION ALL SELECT 'comments', post_id, content FROM comments
+    UNION ALL SELECT 'new comments', id, 'hello ' || id FROM ok WHERE id % 5 <> 0
+    UNION ALL SELECT 'new ids', (SELECT max(id) FROM comments) + row_number() OVER (), 'comment' FROM ok WHERE id % 5 <> 0""")
 def dml_release_all(spark, d):
-    """Requests to release every second post, some of them another user's, with tags that are there, that are new and that are keywords."""
-    p, key = v.posts(spark, d), F.col("id")
+    """Requests to release every second post, some of them another user's, with a tag that the post has, some that are new and a keyword; links and comments that are there stay."""
+    p, key, tags, old = v.posts(spark, d), F.col("id"), v.named_tags(spark, d), v.post_tags(spark, d)
+    first = old.groupBy("post_id").agg(F.min("tag_id").alias("tag_id")).join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").select(F.col("post_id").alias("id"), "name")
     fresh = F.concat(F.lit("fresh"), (key % 3).cast("string"))
-    names = F.array(F.concat(F.lit(" "), fresh, F.lit(" ")), F.lit("Brand#11"), F.lit("  "), F.when(key % 3 == 1, "nsfw").otherwise(fresh))
-    asked = p.where("id % 2 = 0").select("id", F.when(key % 4 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"), names.alias("tags"), F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit(" hello "), key.cast("string"))).alias("comment"))
-    links = v.post_tags(spark, d).where("false").withColumn("user_id", F.lit(0).cast("long"))
-    said = spark.createDataFrame([], "id bigint, post_id bigint, user_id bigint, content string")
-    out = mutate.release(asked, p, v.tags(spark, d), links, said)
-    named = out["post_tags"].join(out["tags"].select(F.col("id").alias("tag_id"), "name"), "tag_id").where("name <> 'Brand#11'")  # many tags have that name
+    names = F.array(F.concat(F.lit(" "), fresh, F.lit(" ")), F.coalesce("name", F.lit("")), F.lit("  "), F.when(key % 3 == 1, "nsfw").otherwise(fresh))
+    asked = p.where("id % 2 = 0").join(first, "id", "left").select("id", F.when(key % 4 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"), names.alias("tags"), F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit(" hello "), key.cast("string"))).alias("comment"))
+    links = old.withColumn("user_id", F.lit(None).cast("long"))
+    said = v.comments(spark, d).select("id", "post_id", F.lit(None).cast("long").alias("user_id"), "content")
+    out = mutate.release(asked, p, tags, links, said)
+    named = out["post_tags"].where("user_id IS NOT NULL").join(out["tags"].select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    row = lambda rows, tbl, which, what: rows.select(F.lit(tbl).alias("tbl"), which.cast("long").alias("id"), what.alias("what"))
     parts = [
-        out["status"].select(F.lit("status").alias("tbl"), "id", F.col("status").alias("what")),
-        out["posts"].select(F.lit("posts").alias("tbl"), "id", F.concat("label", F.when(F.col("released"), " released").otherwise("")).alias("what")),
-        out["tags"].select(F.lit("tags").alias("tbl"), F.lit(0).cast("long").alias("id"), F.col("name").alias("what")),
-        named.select(F.lit("links").alias("tbl"), F.col("post_id").alias("id"), F.concat_ws(" ", "name", F.col("user_id").cast("string")).alias("what")),
-        out["comments"].select(F.lit("comments").alias("tbl"), F.col("post_id").alias("id"), F.col("content").alias("what")),
+        row(out["status"], "status", key, F.col("status")),
+        row(out["posts"], "posts", key, F.concat("label", F.when(F.col("released"), " released").otherwise(""))),
+        row(out["tags"], "tags", F.lit(0), F.col("name")),
+        row(out["post_tags"].where("user_id IS NULL"), "links", F.col("post_id"), F.concat_ws(" ", key.cast("string"), F.col("tag_id").cast("string"))),
+        row(named, "new links", F.col("post_id"), F.concat_ws(" ", "name", F.col("user_id").cast("string"))),
+        row(out["post_tags"].where("user_id IS NOT NULL"), "new ids", key, F.lit("link")),
+        row(out["comments"].where("user_id IS NULL"), "comments", F.col("post_id"), F.col("content")),
+        row(out["comments"].where("user_id IS NOT NULL"), "new comments", F.col("post_id"), F.col("content")),
+        row(out["comments"].where("user_id IS NOT NULL"), "new ids", key, F.lit("comment")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

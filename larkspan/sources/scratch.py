@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: dict[int, str] = {}
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that isn't set, on one machine."""
+
+def _root(spark: SparkSession) -> str:
+    """This session's folder under spark.checkpoint.dir; it's removed when the driver ends. A temporary folder only where that isn't set, on one machine."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
-    return f"{root.rstrip('/')}/larkspan-{name}-{uuid.uuid4().hex}"
+    if id(context) not in _ROOTS:
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
+        _ROOTS[id(context)] = f"{root.rstrip('/')}/larkspan-{uuid.uuid4().hex}"
+        atexit.register(_removed, spark, _ROOTS[id(context)])
+    return _ROOTS[id(context)]
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is scratch
+        pass
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the session's folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(rows: DataFrame, name: str) -> DataFrame:

@@ -42,15 +42,70 @@ def test_pages(posts):
     assert feed.position(posts, LABELS, 1000).first().position == 0 and feed.position(posts, LABELS, 30).first()[:] == (50, 2)
 
 
-def test_ranks(posts, monkeypatch):
-    monkeypatch.setattr(feed, "RANGE", 20)
+@pytest.fixture()
+def many_parts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranks(posts, many_parts):
     got = {r.id: r.position for r in feed.ranked(posts.where("id < 1000").select("id")).collect()}
     assert got == {x: i for i, x in enumerate(VISIBLE)}
-    assert {r.id: (r.newer_id, r.older_id) for r in feed.neighbours(posts, LABELS).collect()}[3] == (6, None)
+    near = {r.id: (r.newer_id, r.older_id) for r in feed.neighbours(posts, LABELS).collect()}
+    assert near == {x: (([None, *VISIBLE][i]), [*VISIBLE[1:], None][i]) for i, x in enumerate(VISIBLE)}
     rows = {(r.row, r.kind): r.ids for r in feed.grid_rows(posts, LABELS, 7, 90).collect()}
     assert rows[(0, "posts")] == VISIBLE[:7] and rows[(VISIBLE.index(90) // 7, "expanded")] == [90] and len(rows) == 10
 
 
+@pytest.mark.parametrize("key", ["id", "id * 1000000007", "xxhash64(id)"])
+def test_ranks_of_dense_sparse_and_hashed_keys(spark, many_parts, key):
+    rows = spark.range(5000).selectExpr("id", f"{key} AS k", "'x' AS _other")
+    ranked = feed.ranked(rows, key="k", descending=False)
+    assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString() and ranked.columns == ["id", "k", "_other", "position"]
+    got = [(r.position, r.k) for r in ranked.collect()]
+    assert [k for _, k in sorted(got)] == sorted(k for _, k in got) and sorted(p for p, _ in got) == list(range(5000))
+    _, parts = feed.sorted_parts(rows.withColumn("_key", F.col("k")), F.asc("_key"))
+    assert len(parts) == 4 and max(p["n"] for p in parts) < 3 * 5000 / 4
+    old = spark.createDataFrame([(7, "a")], "id bigint, name string")
+    made = mutate.inserted(old, rows.select(F.lit("n").alias("name"), "k"), "k")
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in made.collect()) == list(range(7, 5008))
+    assert feed.ranked(rows.limit(0), key="k").count() == 0
+
+
+def test_rank_directory(spark, tmp_path):
+    from larkspan.operators.ranks import RankDirectory
+
+    rng = random.Random(3)
+    held = {rng.randrange(1 << 50) for _ in range(3000)}
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "id bigint")
+    directory = RankDirectory(spark, f"file://{tmp_path}/d", most=400)
+    directory.build(frame(held))
+    for _ in range(3):
+        every = sorted(held, reverse=True)
+        for k in [*rng.sample(every, 3), every[0], every[-1], 0, 1 << 51]:
+            place = directory.position(k)
+            assert place.first().position == sum(x > k for x in held)
+            assert len(place.inputFiles()) == 1 if every[-1] <= k <= every[0] else True
+        for number in (1, 17, 40, 10_000):
+            page = directory.page(number)
+            assert [r.id for r in page.collect()] == every[(number - 1) * 50 : number * 50]
+            assert len({f.rsplit("/", 2)[1] for f in page.inputFiles()}) <= 2
+        before = directory.parts()
+        new, gone = {rng.randrange(every[-1], every[-1] + (1 << 40)) for _ in range(900)}, set(rng.sample(every[-200:], 20))
+        directory.change(frame(new - held), frame(gone))
+        held = (held | new) - gone
+        assert len(before.keys() & directory.parts().keys()) >= 4  # ranges without a change stay as they are
+        assert max(n for _, n in directory.parts().values()) <= 400
+    assert directory.total() == len(held)
+    empty = RankDirectory(spark, f"file://{tmp_path}/e")
+    empty.build(frame([]))
+    assert empty.total() == 0 and empty.page(1).count() == 0 and empty.position(5).first().position == 0
+    empty.change(frame([5, 9]), frame([]))
+    assert [r.id for r in empty.page(1).collect()] == [9, 5]
+
+
 def test_votes_by_brute_force(spark):
     rng = random.Random(0)
     log = [(i, rng.randint(1, 5), rng.randint(1, 4), rng.choice([-1, 0, 1])) for i in range(200)]
