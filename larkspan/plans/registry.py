@@ -666,4 +666,4 @@ def dml_rescore(spark, d):
 
 
 from larkspan.plans import records, values  # noqa: E402, F401  register the rest
-from larkspan.plans import streams  # noqa: E402, F401, I001  after what it streams
+from larkspan.plans import stores, streams  # noqa: E402, F401, I001  after what they take over

@@ -32,12 +32,12 @@ class Snapshots:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._system = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, folder: str) -> list[str]:
+    def names(self, folder: str) -> list[str]:
         path = self._path(f"{self.root}/{folder}")
         return sorted(s.getPath().getName() for s in self._system.listStatus(path)) if self._system.exists(path) else []
 
     def _numbers(self) -> list[int]:
-        return [int(n[2:-5]) for n in self._names("manifests") if n.startswith("m-") and n.endswith(".json")]
+        return [int(n[2:-5]) for n in self.names("manifests") if n.startswith("m-") and n.endswith(".json")]
 
     def _load(self, number: int) -> dict[str, dict[str, str]]:
         stream = self._system.open(self._path(f"{self.root}/manifests/m-{number:019d}.json"))
@@ -89,7 +89,7 @@ class Snapshots:
     def stage_parts(self, table: str, rows: DataFrame, parts: list[int]) -> dict[str, str | None]:
         """The same for rows with _part, of the given parts: each one's folder, None for those without a row."""
         folder = self.stage(table, rows)
-        made = self._names(folder)
+        made = self.names(folder)
         return {str(p): f"{folder}/_part={p}" if f"_part={p}" in made else None for p in parts}
 
     def swap(self, changes: dict[str, dict[str, str | None]], replace: bool = False) -> None:
@@ -112,6 +112,6 @@ class Snapshots:
         for n in numbers[:-KEPT]:
             self._system.delete(self._path(f"{self.root}/manifests/m-{n:019d}.json"), False)
         used = {f.split("/")[1] for n in numbers[-KEPT:] for parts in self._load(n).values() for f in parts.values()}
-        for name in self._names("data"):
+        for name in self.names("data"):
             if name not in used:
                 self._system.delete(self._path(f"{self.root}/data/{name}"), True)

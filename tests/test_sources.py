@@ -95,4 +95,4 @@ def test_snapshots(spark, tmp_path):
         old = tables.read("x", "n int")
         tables.write("x", old.unionByName(spark.createDataFrame([(n,)], "n int")))
     assert sorted(r.n for r in tables.read("x").collect()) == [0, 1, 2]
-    assert len(tables._names("data")) == 3 and len(tables._names("manifests")) == 3
+    assert len(tables.names("data")) == 3 and len(tables.names("manifests")) == 3
