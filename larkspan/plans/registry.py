@@ -440,6 +440,12 @@ COPIES = f"bits AS ({v.SQL['bits']} UNION ALL SELECT vec_id + 10000000, list_tra
 @query("near_duplicates_banded", f"WITH {COPIES} SELECT a.id AS a_id, b.id AS b_id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM bits a JOIN bits b ON a.id < b.id WHERE distance < 50")
 def near_duplicates_banded(spark, d):
     """Through the chunk index, with the threshold of production."""
+    h = v.hashes(spark, d)
+    return similarity.near_duplicates(h.unionByName(copies(h)), 50)
+
+
+def copies(hashes: DataFrame) -> DataFrame:
+    """A copy of every third picture with up to 30 bits of its first two words turned."""
     def turned(k: int):
         places = [(i % 64, F.pmod(F.lit(i * 7) + F.col("id"), F.lit(128)) < F.col("id") % 31) for i in range(64 * k, 64 * k + 64)]
         mask = F.lit(0).cast("long")
@@ -447,9 +453,7 @@ def near_duplicates_banded(spark, d):
             mask = mask.bitwiseOR(F.when(hit, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(0))
         return F.col(f"p_hash_{k}").bitwiseXOR(mask).alias(f"p_hash_{k}")
 
-    h = v.hashes(spark, d)
-    copies = h.where("id % 3 = 0").select((F.col("id") + 10000000).alias("id"), turned(0), turned(1), "p_hash_2", "p_hash_3")
-    return similarity.near_duplicates(h.unionByName(copies), 50)
+    return hashes.where("id % 3 = 0").select((F.col("id") + 10000000).alias("id"), turned(0), turned(1), "p_hash_2", "p_hash_3")
 
 
 @query("possible_duplicates", f"WITH bits AS ({v.SQL['bits']}) SELECT a.id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM bits a, bits b WHERE b.id = 7 AND a.id <> 7 AND a.id % 17 <> 0 AND distance < 110")

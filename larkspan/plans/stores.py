@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspan.functions import labels
+from larkspan.operators.chunk_index import ChunkIndex
 from larkspan.operators.postings import TagIndex, TagPostings
 from larkspan.operators.ranks import RankDirectory
 from larkspan.plans import views as v
-from larkspan.plans.registry import LABELS, ORACLE_SQL, POST, SEEN, query
+from larkspan.plans.registry import COPIES, LABELS, ORACLE_SQL, POST, SEEN, copies, query
 from larkspan.sources.scratch import folder
 
 
@@ -36,3 +37,16 @@ def tag_suggest_index(spark, d):
     index.build(tags)
     existing = [r[0] for r in tags.where("id IN (1, 10)").select("name").collect()]  # the names that a post has, a few
     return index.suggest("NVI", existing, tags)
+
+
+@query("near_duplicates_index", f"""WITH {COPIES}, classes AS (SELECT min(id) AS id, b FROM bits WHERE list_contains(b, true) GROUP BY b)
+    SELECT a.id AS a_id, b.id AS b_id, CAST(list_sum(list_transform(list_zip(a.b, b.b), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INT) AS distance FROM classes a JOIN classes b ON a.id < b.id WHERE b.id >= 10000000 AND distance < 50
+    UNION ALL SELECT c.id, bits.id, 0 FROM bits JOIN classes c ON c.b = bits.b WHERE bits.id >= 10000000""")
+def near_duplicates_index(spark, d):
+    """New pictures against a stored index with the threshold of production: pairs of classes, and of each new picture its class (distance 0)."""
+    index = ChunkIndex(spark, folder(spark, "chunks"))
+    pictures = v.hashes(spark, d)
+    index.add(pictures)
+    new = index.add(copies(pictures))
+    own = index.table("members").where("id >= 10000000")
+    return index.links(new).unionByName(own.select(F.col("class_id").alias("a_id"), F.col("id").alias("b_id"), F.lit(0).alias("distance")))
