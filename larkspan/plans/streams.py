@@ -9,11 +9,12 @@ from larkspan.plans import records as batch
 from larkspan.plans import values
 from larkspan.plans import views as v
 from larkspan.plans.registry import ORACLE_SQL, _folder, query
-from larkspan.sources import changes
+from larkspan.sources import changes, feeds
 from larkspan.sources.scratch import folder, settled
 from larkspan.sources.snapshots import Snapshots, part_of
 from larkspan.streaming import jobs, records
-from larkspan.streaming.runs import run_to_end, written
+from larkspan.streaming.runs import append_to, run_to_end, written
+from larkspan.streaming.votes import SCORE_TABLE, VOTE_TABLE, flush
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -68,3 +69,40 @@ def change_feed(spark, d):
     for rows in (p, later):
         tables.swap({"posts": tables.stage_parts("posts", rows.withColumn("_part", part_of("id")), list(range(64)))})
     return changes.feed(tables, "posts", ["id"], 1, p.schema)
+
+
+def _flushed(spark: SparkSession, d: str) -> Snapshots:
+    """The vote and score tables after the whole vote log went through the sink."""
+    tables = Snapshots(spark, folder(spark, "tables"))
+    flush(v.votes_of(_events(spark, d)), tables, folder(spark, "checkpoint"), None).awaitTermination()
+    return tables
+
+
+@query("vote_sink_scores", ORACLE_SQL["vote_scores"])
+def vote_sink_scores(spark, d):
+    return _flushed(spark, d).read("scores", SCORE_TABLE).select("entity", "score")
+
+
+@query("vote_sink_votes", ORACLE_SQL["user_vote_table"])
+def vote_sink_votes(spark, d):
+    return _flushed(spark, d).read("votes", VOTE_TABLE).select("entity", "user_id", "vote")
+
+
+@query("queue_items_stream", ORACLE_SQL["queue_items"])
+def queue_items_stream(spark, d):
+    """Queue records popped as a stream of text files, some at a time."""
+    path, out = folder(spark, "queue"), folder(spark, "popped")
+    values.queue_records(spark, d).write.text(path)
+    items = feeds.queue_items(spark.readStream.option("maxFilesPerTrigger", 500).text(path))
+    items.writeStream.foreachBatch(append_to(out)).option("checkpointLocation", folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return written(spark, out, "post_id int, filename string, thumbnail_filename string, job_key string").drop("batch")
+
+
+@query("folder_usage", "SELECT lang AS label, CAST(sum(strlen(doc_id::VARCHAR) + 1) AS BIGINT) AS bytes FROM documents WHERE doc_id % 3 <> 0 GROUP BY lang")
+def folder_usage(spark, d):
+    """Bytes below the folder of each language, without one of its subfolders."""
+    path = folder(spark, "files")
+    docs = v.table(spark, d, "documents").select("lang", F.when(F.col("doc_id") % 3 == 0, "cache").otherwise("kept").alias("sub"), F.col("doc_id").cast("string").alias("value"))
+    docs.write.partitionBy("lang", "sub").text(path)
+    labels = [r[0] for r in docs.select("lang").distinct().collect()]  # the languages, a few
+    return feeds.directory_usage(spark, {x: f"{path}/lang={x}" for x in labels}, ["sub=cache"]).select("label", "bytes")

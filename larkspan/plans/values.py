@@ -190,6 +190,15 @@ def picture_thumbnails(spark, d):
     return v.table(spark, d, "embeddings").select("vec_id", F.array_join(kernels.thumbnail_of_gray(8, 8, 3)(gray), ",").alias("pixels"))
 
 
+@query("picture_facts")
+def picture_facts(spark, d):
+    """All that an import needs to know of each picture, as rows of Spark's image source. Tests hold it against hashes of the same pixels."""
+    data = F.unhex(F.array_join(F.transform(_gray(), lambda x: F.lpad(F.hex(F.floor(x).cast("long")), 2, "0")), ""))
+    image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
+    rows = v.table(spark, d, "embeddings").select("vec_id", kernels.picture_facts(image).alias("f"))
+    return rows.select("vec_id", *[F.element_at("f.words", k + 1).alias(f"p_hash_{k}") for k in range(4)], "f.crop_x", "f.crop_y", "f.width", "f.height")
+
+
 RGB = "SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 1000)::BIGINT % 256) AS p FROM embeddings"
 
 
@@ -228,11 +237,15 @@ def server_sent_events(spark, d):
 
 @query("queue_items", "SELECT event_id::INT AS post_id, 'f' || event_id AS filename, 't' AS thumbnail_filename, CASE WHEN event_id % 2 = 0 THEN 'job' ELSE '' END AS job_key FROM events WHERE event_id % 5 < 3")
 def queue_items(spark, d):
+    return feeds.queue_items(queue_records(spark, d))
+
+
+def queue_records(spark, d):
     """Queue records of which some aren't JSON and some lack what they need."""
     key = F.col("event_id").cast("string")
     whole = F.concat(F.lit('{"post_id": '), key, F.lit(', "filename": "f'), key, F.lit('", "thumbnail_filename": "t"'), F.when(F.col("event_id") % 2 == 0, ', "job_key": "job"').otherwise(""), F.lit("}"))
     value = F.when(F.col("event_id") % 5 == 3, "nonsense").when(F.col("event_id") % 5 == 4, F.concat(F.lit('{"post_id": '), key, F.lit("}"))).otherwise(whole)
-    return feeds.queue_items(v.table(spark, d, "events").select(value.alias("value")))
+    return v.table(spark, d, "events").select(value.alias("value"))
 
 
 @query("job_states", """WITH l AS (SELECT event_id // 6 AS job, event_id AS seq, ['start', 'total', 'add', CASE WHEN event_id // 6 % 4 = 0 THEN 'set' ELSE 'add' END, CASE event_id // 6 % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancel' ELSE 'add' END, CASE WHEN event_id // 6 % 3 = 0 THEN 'cancel' ELSE 'add' END][event_id % 6 + 1] AS kind, (event_id % 50)::BIGINT AS n FROM events WHERE event_id % 6 > 0 OR event_id // 6 % 7 > 0),

@@ -53,6 +53,14 @@ def test_thumbnails_equal_plain_loops(spark, data, grays):
         assert all(abs(a - b) <= 0.5 + 1e-6 for a, b in zip(got[i], want, strict=True))
 
 
+def test_picture_facts_equal_hashes_of_the_same_pixels(spark, data, grays):
+    got = registry.QUERIES["picture_facts"](spark, f"{data}/sf0.001").collect()
+    assert {r.vec_id for r in got} == grays.keys()
+    for r in got:
+        gray = np.round(np.floor(np.array(grays[r.vec_id])).reshape(8, 8))
+        assert [r.p_hash_0, r.p_hash_1, r.p_hash_2, r.p_hash_3] == kernels.phash(kernels.luma(np.repeat(gray[:, :, None], 3, 2))) and (r.width, r.height, r.crop_x, r.crop_y) == (8, 8, 0, 0)
+
+
 def test_batches_equal_single_pictures(spark):
     rng = np.random.default_rng(1)
     pictures = [rng.integers(0, 256, (s, s)) for s in (4, 9, 16, 9, 4, 16, 16)] + [np.full((9, 9), 7)]
