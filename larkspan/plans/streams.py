@@ -14,7 +14,7 @@ from larkspan.sources.scratch import folder, settled
 from larkspan.sources.snapshots import Snapshots, part_of
 from larkspan.streaming import jobs, records
 from larkspan.streaming.runs import append_to, run_to_end, written
-from larkspan.streaming.votes import SCORE_TABLE, VOTE_TABLE, flush
+from larkspan.streaming.votes import SCORE_TABLE, VOTE_TABLE, flush, scores_now
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +88,14 @@ def vote_sink_votes(spark, d):
     return _flushed(spark, d).read("votes", VOTE_TABLE).select("entity", "user_id", "vote")
 
 
+@query("vote_log_scores", ORACLE_SQL["vote_scores"])
+def vote_log_scores(spark, d):
+    """The same scores from a sink that writes each batch beside the tables."""
+    tables = Snapshots(spark, folder(spark, "tables"))
+    flush(v.votes_of(_events(spark, d)), tables, folder(spark, "checkpoint"), None, logged=True).awaitTermination()
+    return scores_now(tables)
+
+
 @query("queue_items_stream", ORACLE_SQL["queue_items"])
 def queue_items_stream(spark, d):
     """Queue records popped as a stream of text files, some at a time."""

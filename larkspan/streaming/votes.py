@@ -92,7 +92,52 @@ def fold_batch(tables: Snapshots) -> Callable[[DataFrame, int], None]:
     return fold
 
 
-def flush(votes: DataFrame, tables: Snapshots, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
-    """Starts the sink: every few seconds, or once over all that is there."""
-    writer = votes.writeStream.foreachBatch(fold_batch(tables)).option("checkpointLocation", checkpoint)
+LOG_TABLE = "entity bigint, user_id bigint, vote smallint, batch bigint"
+#: Batches that lie beside the tables before they're merged into them.
+LOGGED = 64
+
+
+def log_batch(tables: Snapshots, merge_after: int = LOGGED) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes no more than the batch: its last votes lie beside the tables, and are merged into them once there are `merge_after` batches.
+
+    `votes_now` and `scores_now` read both. A batch that runs again replaces what it wrote; if it was merged already, the same votes count again, which changes nothing.
+    """
+
+    def log(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("entity", "user_id").agg(F.max_by("vote", "seq").alias("vote"))
+        valid = F.when(F.col("vote").between(-1, 1), F.col("vote")).otherwise(F.raise_error(F.lit("a vote is -1, 0 or 1")).cast("int"))
+        staged = tables.stage("votes_log", last.select("entity", "user_id", valid.cast("short").alias("vote"), F.lit(batch_id).cast("long").alias("batch")))
+        tables.swap({"votes_log": {f"{batch_id:019d}": staged}})
+        if len(tables.current()["votes_log"]) >= merge_after:
+            merge(tables)
+
+    return log
+
+
+def votes_now(tables: Snapshots) -> DataFrame:
+    """The vote table with all batches that lie beside it: entity, user_id, vote."""
+    base = tables.read("votes", VOTE_TABLE).select("entity", "user_id", "vote", F.lit(-1).cast("long").alias("batch"))
+    both = base.unionByName(tables.read("votes_log", LOG_TABLE).select(base.columns))
+    return both.groupBy("entity", "user_id").agg(F.max_by("vote", "batch").alias("vote")).where("vote <> 0")
+
+
+def scores_now(tables: Snapshots) -> DataFrame:
+    """The score of each entity that ever had a vote: those of the table, and anew for entities of batches that lie beside it."""
+    touched = tables.read("votes_log", LOG_TABLE).select("entity").distinct()
+    sums = votes_now(tables).join(touched, "entity", "left_semi").groupBy("entity").agg(F.sum("vote").cast("long").alias("score"))
+    anew = touched.join(sums, "entity", "left").select("entity", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+    return tables.read("scores", SCORE_TABLE).select("entity", "score").join(touched, "entity", "left_anti").unionByName(anew)
+
+
+def merge(tables: Snapshots) -> None:
+    """Makes the batches that lie beside the tables part of them, in one step. Reads and writes the parts of their entities."""
+    logs = tables.current().get("votes_log", {})
+    parts = [r[0] for r in tables.read("votes_log", LOG_TABLE).select(part_of("entity").alias("p")).distinct().collect()]  # numbers below PARTS
+    votes, scores = (rows.withColumn("_part", part_of("entity")).where(F.col("_part").isin(parts)) for rows in (votes_now(tables), scores_now(tables)))
+    tables.swap({"votes": tables.stage_parts("votes", votes, parts), "scores": tables.stage_parts("scores", scores, parts), "votes_log": dict.fromkeys(logs)})
+
+
+def flush(votes: DataFrame, tables: Snapshots, checkpoint: str, every: str | None = "3 seconds", logged: bool = False) -> StreamingQuery:
+    """Starts the sink: every few seconds, or once over all that is there. logged: by log_batch (read with votes_now and scores_now), else by fold_batch."""
+    writer = votes.writeStream.foreachBatch(log_batch(tables) if logged else fold_batch(tables)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -1,4 +1,5 @@
 import datetime
+import random
 import time
 
 import pandas as pd
@@ -115,6 +116,52 @@ def test_job_machine_equals_plain_loops_however_cut(spark, events, tmp_path, sta
         assert {r.job: (r.status, r.progress, r.total) for r in board} == plain_jobs(so_far, minutes(stall), minutes(keep), so_far.ts.max()), k
 
 
+@pytest.mark.parametrize("broken", [None, "stage_votes_log", "stage_votes", "stage_scores", "manifest", "swapped"])
+def test_a_log_of_votes_that_is_merged_now_and_then(spark, tmp_path, broken):
+    from larkspan.operators import votes as batch_votes
+    from larkspan.sources.snapshots import Snapshots
+    from larkspan.streaming import votes as stream_votes
+
+    class Breaks(Snapshots):
+        armed = False
+
+        def stage(self, table, rows):
+            out = super().stage(table, rows)
+            if self.armed and broken == f"stage_{table}":
+                raise OSError("gone")
+            return out
+
+        def swap(self, changes, replace=False):
+            if self.armed and broken == "manifest":
+                raise OSError("gone")
+            super().swap(changes, replace)
+            if self.armed and broken == "swapped":
+                raise OSError("gone")
+
+    rng = random.Random(3)
+    schema = "seq long, entity long, user_id long, vote int"
+    log = [(i, rng.randint(1, 30), rng.randint(1, 4), rng.choice([-1, 0, 1])) for i in range(150)]
+    tables = Breaks(spark, f"file://{tmp_path}/t")
+    fold = stream_votes.log_batch(tables, merge_after=3)
+    for k in range(5):
+        batch = spark.createDataFrame(log[30 * k : 30 * k + 30], schema)
+        before = {t: set(tables.current().get(t, {}).values()) for t in ("votes", "scores")}
+        tables.armed = k == 2  # the third batch is logged, then merged
+        if broken and tables.armed:
+            with pytest.raises(OSError, match="gone"):
+                fold(batch, k)
+            tables.armed = False
+        fold(batch, k)
+        if k != 2:  # nothing but the batch was written
+            assert {t: set(tables.current().get(t, {}).values()) for t in ("votes", "scores")} == before
+        so_far = spark.createDataFrame(log[: 30 * k + 30], schema)
+        assert sorted(stream_votes.votes_now(tables).collect()) == sorted(batch_votes.latest(so_far).collect())
+        assert sorted(stream_votes.scores_now(tables).collect()) == sorted(batch_votes.scores(so_far).collect())
+    assert len(tables.current()["votes_log"]) in (2, 3)
+    with pytest.raises(Exception, match="a vote is"):
+        fold(spark.createDataFrame([(999, 1, 1, 7)], schema), 9)
+
+
 def test_late_polls_items_and_totals(spark, tmp_path):
     at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
     rows = [(1, at(0), "start", None, None, 4), (1, at(1), "item", True, None, None), (1, at(2), "item", False, None, None), (1, at(3), "poll", None, 3, None), (1, at(4), "poll", None, 3, None), (1, at(5), "item", True, None, None),
