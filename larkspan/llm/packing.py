@@ -64,8 +64,8 @@ def balanced(sizes: np.ndarray, length: int = LENGTH, linear: float = LINEAR, qu
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False, block: int = BLOCK, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
     """A row for each piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids (binary) if asked for.
 
-    Null and empty texts are the end id alone; null doc_ids stay null; repeated rows are packed each; an
-    empty table gives no row; other columns are left out. `length` must be a power of two.
+    Null and empty texts are the end id alone; null doc_ids stay null; repeated rows are packed each; of rests of equal
+    length the one that comes first in its task goes first; an empty table gives no row; other columns are left out. `length` must be a power of two.
     """
     path = path or vocabulary()
 

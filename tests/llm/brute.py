@@ -119,3 +119,20 @@ def contains(text, item, k=5, share=0.8):
     shingles = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
     own = shingles(words(item))
     return bool(own) and len(own & shingles(words(text))) >= share * len(own) - 1e-9
+
+
+def subword_buckets(text):
+    """The bucket of each subword of a text: its words and their n-grams of 3 to 5 bytes with the spaces around them."""
+    m32, out = (1 << 32) - 1, []
+    for word in WORD.findall((text or "").translate(LOWERED)):
+        raw = word.encode()
+        out.append((xxhash.xxh3_128_intdigest(raw) & ((1 << 64) - 1)) >> 48)
+        spaced = b" " + raw + b" "
+        for n in (3, 4, 5):
+            for i in range(len(spaced) - n + 1):
+                h = 0
+                for b in spaced[i : i + n]:
+                    h = (h * 0x01000193 + b) & m32
+                h = ((h ^ (h >> 15)) * (0x85EBCA6B + 2 * n)) & m32
+                out.append((((h ^ (h >> 13)) * 0xC2B2AE35) & m32) >> 16)
+    return out

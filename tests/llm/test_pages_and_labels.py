@@ -275,6 +275,17 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_scores_equal_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    weights, bias = rng.normal(0, 1, 1 << toxicity.BUCKET_BITS), -0.7
+    texts = [None, "", " \n", "a", "Some Words\tof a text, some words", "ÄÖ über 漢字 x", "zz " * 500, "long" * 3000]
+    docs = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "doc_id long, text string, other double").coalesce(1)
+    for r in toxicity.scored(docs, (weights, bias)).collect():
+        buckets = brute.subword_buckets(texts[r.doc_id])
+        odds = bias + (sum(float(np.float32(weights[b])) for b in buckets) / len(buckets) if buckets else 0.0)
+        assert abs(r.score - 1 / (1 + np.exp(-odds))) < 1e-9 and r.predicted == int(r.score >= 0.3) and r.other == 9.0
+
+
 def test_toxicity_of_the_held_out_fold(spark, data):
     out = queries.QUERIES["op5_toxicity"](spark, f"{data}/sf0.1").join(table(spark, f"{data}/sf0.1", "labels"), "doc_id").where("held_out")
     r = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right"), F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("caught")).first()
