@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def duplicates_of(hashes: DataFrame, words: list[int], near: int = NEAR, exclude
 
 
 #: Pictures in a block where all pairs are compared.
-BLOCK = 20_000
+BLOCK = 8_000
 #: Chunks of a hash and bits in each, and the most bits that may differ in a chunk that serves as a key.
 CHUNKS, WIDTH, REACH = 16, 16, 3
 
@@ -45,12 +47,12 @@ def near_duplicates(hashes: DataFrame, near: int = NEAR) -> DataFrame:
     """All pairs (a_id < b_id) nearer than `near`: exact for every threshold.
 
     Up to 64 bits the chunk index finds them (`near_duplicates_banded`). Beyond, a key would have so many
-    neighbours that most pairs met anyhow: all pairs are compared in blocks. There are as many blocks as rows need, and each
-    pair of blocks meets in one key, so no side is broadcast or held whole.
+    neighbours that most pairs met anyhow: all pairs are compared in blocks. There are as many blocks as rows need, and so many
+    that their pairs keep all cores busy; each pair of blocks meets in one key, so no side is broadcast or held whole.
     """
     if (near - 1) // CHUNKS <= REACH:
         return near_duplicates_banded(hashes, near)
-    n = max(1, -(-hashes.count() // BLOCK))
+    n = max(isqrt(2 * hashes.sparkSession.sparkContext.defaultParallelism) + 1, -(-hashes.count() // BLOCK))
     a, b = _sides(hashes)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     # A pair of blocks meets with the lower block left; rows of a block beside each other meet as both.
