@@ -42,6 +42,7 @@ def address():
 
 
 def test_paged_feed(spark, address):
+    SEEN.clear()
     spark.dataSource.register(feeds.FeedSource)
     rows = spark.read.format("paged_feed").option("url", address).option("tags", "cat").load().collect()
     assert [r.promoted for r in rows] == list(range(99, 90, -1)) and SEEN[0] == {"tags": "cat"} and SEEN[1]["older"] == "97"
