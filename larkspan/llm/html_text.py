@@ -5,13 +5,14 @@ sidebar, notice, advert, form or comment is guarded: it's the text, however ofte
 page without such a part the candidates are the blocks of containers named for content or, without these, all
 that isn't marked. From candidates goes what the host repeats: the token streams of all that isn't guarded
 are put one after another by host and their suffixes sorted; runs of tokens found on PAGES or more
-pages of different content are boilerplate. A block mostly covered by them goes; from other blocks only long
-runs do, so a sentence that several stories share stays.
-
-A host may have a third of all pages, so no task gets a whole host. Tasks sort the suffixes of their
-own pages and pass on one entry for each run of RUN tokens with up to PAGES pages that it is on; entries merge by host and run.
-The tokens that runs of RUN tokens cover are those that any longer repeat covers, so this finds what one suffix array
-of the whole host finds.
+pages of different content are boilerplate. A block mostly covered by runs of RUN tokens or more goes; from other blocks
+only runs of LONG tokens or more do, so a sentence that several stories share stays.
+
+A host may have a third of all pages, so no task gets a whole host. Tasks sort the suffixes of their own pages. Suffixes that
+begin alike are neighbours, however long what they share: so one array gives the runs of RUN tokens and those of LONG, and
+for each the task passes on one entry with up to PAGES pages that it is on; entries merge by host and run. A maximal
+repeat of any length from RUN (LONG) on covers the tokens that its runs of RUN (LONG) tokens cover, and these are on all of its
+pages, so this finds what one suffix array of the whole host finds.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import mixed, settled
 
-#: Tokens of the shortest run that counts as repeated (a power of two, for the sort doubles its depth), and pages of different content that it's on.
-RUN, PAGES = 8, 3
-#: Share of a block's tokens from which on it goes whole, and tokens of the runs that go from other blocks.
-MOSTLY, LONG = 0.75, 24
+#: Tokens of the shortest run that counts as repeated and of the shortest that goes from any block, and pages of different content that it's on.
+RUN, LONG, PAGES = 8, 24, 3
+#: Share of a block's tokens from which on it goes whole.
+MOSTLY = 0.75
 #: Groups over which the pages that have a run are dealt.
 SALTS = 16
 
@@ -270,24 +271,36 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*).*", r"\1", (url or "").strip().lower(), flags=re.S) if url and "://" in url else ""
 
 
-def suffix_ranks(tokens: np.ndarray, owner: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of the streams to a depth: positions with `depth` tokens left in their stream, sorted; and which start like the one before.
+def suffix_array(tokens: np.ndarray, owner: np.ndarray, depths: tuple[int, ...] = (RUN, LONG)) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All suffixes of the streams, sorted by their first tokens (the greatest depth; a stream's end comes first), and their ranks at each depth.
 
-    Prefix doubling: suffixes sorted by 1, 2, 4, ... tokens, each round from the ranks of the one before.
+    Prefix doubling: suffixes sorted by 1, 2, 4, ... tokens, each round from the ranks of the one before; a depth between two
+    powers takes the ranks of the lower one twice, overlapping. At each depth equal suffixes are neighbours.
     """
     n = len(tokens)
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64) + 1
-    step = 1
-    while step < depth:
-        ahead = np.zeros(n, np.int64)
-        if n > step:
-            ahead[:-step] = np.where(owner[step:] == owner[:-step], rank[step:], 0)
-        _, rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-        step *= 2
-    whole = np.flatnonzero(np.append(owner[depth - 1 :] == owner[: n - depth + 1], np.zeros(min(n, depth - 1), bool))) if n >= depth else np.zeros(0, np.int64)
-    order = whole[np.argsort(rank[whole], kind="stable")]
+    deep, found = 1, []
+    for depth in sorted(depths):
+        while deep < depth:
+            step = min(deep, depth - deep)
+            ahead = np.zeros(n, np.int64)
+            if n > step:
+                ahead[:-step] = np.where(owner[step:] == owner[:-step], rank[step:], 0)
+            _, rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)
+            rank = rank.astype(np.int64) + 1
+            deep += step
+        found.append(rank)
+    return np.argsort(rank, kind="stable"), found
+
+
+def repeats(order: np.ndarray, rank: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """From a suffix array: the places where `depth` tokens are left in their stream, in its order; and which start like the one before."""
+    n = len(owner)
+    whole = np.zeros(n, bool)
+    if n >= depth:
+        whole[: n - depth + 1] = owner[depth - 1 :] == owner[: n - depth + 1]
+    order = order[whole[order]]
     return order, np.concatenate([[False], rank[order][1:] == rank[order][:-1]]) if len(order) else np.zeros(0, bool)
 
 
@@ -296,25 +309,24 @@ def stream(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split()], np.uint64)
 
 
-def run_hashes(values: np.ndarray) -> np.ndarray:
-    """A hash of each run of RUN tokens."""
-    n = max(0, len(values) - RUN + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(RUN):
+def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of so many tokens."""
+    n = max(0, len(values) - length + 1)
+    out = np.full(n, length, np.uint64)
+    for k in range(length):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n])
     return out
 
 
-def finished(blocks: list[str], roles: list[int], marked: bool, at: list[int] | None) -> tuple[str, int]:
-    """A page's text, and the tokens that host repeats cover; at: where repeated runs start in the stream of what isn't guarded."""
+def finished(blocks: list[str], roles: list[int], marked: bool, at: list[int] | None = None, long_at: list[int] | None = None) -> tuple[str, int]:
+    """A page's text, and the tokens that host repeats cover; at, long_at: where repeated runs of RUN and of LONG tokens start in the stream of what isn't guarded."""
     judged = [b.split() if r != GUARDED else [] for b, r in zip(blocks, roles, strict=True)]
     gone = np.zeros(sum(map(len, judged)), bool)
     for a in at or []:
         gone[a : a + RUN] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
     long = np.zeros(len(gone), bool)
-    for a, b in edges[edges[:, 1] - edges[:, 0] >= LONG].tolist():
-        long[a:b] = True
+    for a in long_at or []:
+        long[a : a + LONG] = True
     kept, seen, lost = [], 0, False
     for block, role, words in zip(blocks, roles, judged, strict=True):
         here = slice(seen, seen + len(words))
@@ -359,7 +371,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 if CANDIDATE in roles:
                     rows.append((host_of(url), content, None, texts, bytes(roles), marked, judged))
                 else:
-                    rows.append((host_of(url), content, finished(texts, roles, marked, None)[0], None, None, None, judged))
+                    rows.append((host_of(url), content, finished(texts, roles, marked)[0], None, None, None, judged))
             columns = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kept)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", *[c for c, _ in kept]])
 
@@ -375,27 +387,30 @@ def main_texts(pages: DataFrame) -> DataFrame:
             for host, streams in by_host(batch).items():
                 values = np.concatenate([s for _, s in streams])
                 owner = np.repeat(np.arange(len(streams)), [len(s) for _, s in streams])
-                order, again = suffix_ranks(values, owner)
-                if not len(order):
-                    continue
-                pairs = np.unique((np.cumsum(~again) - 1) * len(streams) + owner[order])  # of a run and a page, each once
-                run, page = np.divmod(pairs, len(streams))
-                firsts = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
-                contents = np.array([c for c, _ in streams], np.int64)[page]
-                on = [contents[a : min(a + PAGES, b)].tolist() for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(pairs)], strict=True)]
-                hashes = run_hashes(values)[order[np.flatnonzero(~again)]]
-                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(on), pa.string()), "run": pa.array(hashes.view(np.int64)), "contents": pa.array(on, pa.list_(pa.int64()))})
+                suffixes, ranks = suffix_array(values, owner)
+                for length, rank in zip((RUN, LONG), ranks, strict=True):
+                    order, again = repeats(suffixes, rank, owner, length)
+                    if not len(order):
+                        continue
+                    pairs = np.unique((np.cumsum(~again) - 1) * len(streams) + owner[order])  # of a run and a page, each once
+                    run, page = np.divmod(pairs, len(streams))
+                    firsts = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
+                    contents = np.array([c for c, _ in streams], np.int64)[page]
+                    on = [contents[a : min(a + PAGES, b)].tolist() for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(pairs)], strict=True)]
+                    hashes = run_hashes(values, length)[order[np.flatnonzero(~again)]]
+                    yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(on), pa.string()), "run": pa.array(hashes.view(np.int64)), "contents": pa.array(on, pa.list_(pa.int64()))})
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for host, streams in by_host(batch).items():
                 for content, values in streams:
-                    h = run_hashes(values).view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"content": pa.array([content] * len(h), pa.int64()), "host": pa.array([host] * len(h), pa.string()), "run": pa.array(h), "at": pa.array(np.arange(len(h)), pa.int32())})
+                    for length in (RUN, LONG):
+                        h = run_hashes(values, length).view(np.int64)
+                        yield pa.RecordBatch.from_pydict({"content": pa.array([content] * len(h), pa.int64()), "host": pa.array([host] * len(h), pa.string()), "run": pa.array(h), "at": pa.array(np.arange(len(h)), pa.int32()), "long": pa.array(np.full(len(h), length == LONG))})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [finished(b, list(r), m, at) for b, r, m, at in zip(*(batch.column(c).to_pylist() for c in ("blocks", "roles", "marked", "at")), strict=True)]
+            rows = [finished(b, list(r), m, at, long_at) for b, r, m, at, long_at in zip(*(batch.column(c).to_pylist() for c in ("blocks", "roles", "marked", "at", "long_at")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_repeated"])
 
     parsed = settled(pages.mapInArrow(parse, f"{ids}, host string, content long, text string, blocks array<string>, roles binary, marked boolean, judged string"), "parsed-pages", "zstd")
@@ -406,9 +421,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
         runs = judged(parsed).mapInArrow(sort_suffixes, "host string, run long, contents array<long>").groupBy("host", "run").agg(F.array_distinct(F.flatten(F.collect_list("contents"))).alias("contents"))
         repeated = runs.where(F.size("contents") >= PAGES).select("host", "run")
         # A run that a third of all pages have is dealt over SALTS groups of pages.
-        placed = judged(open_).mapInArrow(starts, "content long, host string, run long, at int").withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+        placed = judged(open_).mapInArrow(starts, "content long, host string, run long, at int, long boolean").withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
         met = placed.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "run", "salt"])
-        covered = settled(met.groupBy("host", "content").agg(F.array_sort(F.collect_set("at")).alias("at")), "repeated-runs")
+        places = lambda long: F.array_sort(F.collect_set(F.when(long, F.col("at"))))
+        covered = settled(met.groupBy("host", "content").agg(places(~F.col("long")).alias("at"), places(F.col("long")).alias("long_at")), "repeated-runs")
         cleaned = open_.select("page_id", "url", "host", "content", "blocks", "roles", "marked").join(covered, ["host", "content"], "left")
-        done = done.unionByName(cleaned.select("page_id", "url", "blocks", "roles", "marked", "at").mapInArrow(finish, f"{ids}, text string, n_repeated long"))
+        done = done.unionByName(cleaned.select("page_id", "url", "blocks", "roles", "marked", "at", "long_at").mapInArrow(finish, f"{ids}, text string, n_repeated long"))
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")

@@ -22,7 +22,7 @@ def page(main, nav="Home News", foot="All rights"):
 def by_markup(html):
     found = html_text.blocks_of(html)
     roles, marked = html_text.roles_of(found)
-    return html_text.finished([t for _, _, t in found], roles, marked, None)[0]
+    return html_text.finished([t for _, _, t in found], roles, marked)[0]
 
 
 @pytest.mark.parametrize(
@@ -97,11 +97,16 @@ def test_suffix_array_finds_repeated_runs():
     streams = [rng.integers(0, 5, rng.integers(0, 40)) for _ in range(30)]
     tokens = np.concatenate(streams).astype(np.uint64)
     owner = np.repeat(np.arange(30), [len(s) for s in streams])
-    order, again = html_text.suffix_ranks(tokens, owner, 4)
-    starts = [i for i in range(len(tokens) - 3) if owner[i] == owner[i + 3]]
-    assert sorted(order.tolist()) == starts
-    keys = [tuple(tokens[i : i + 4]) for i in order]
-    assert keys == sorted(keys) and again.tolist() == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
+    suffixes, ranks = html_text.suffix_array(tokens, owner, (2, 4, 7))
+    ends = np.cumsum([len(s) for s in streams])[owner]
+    keys = [tuple(tokens[i : min(i + 7, ends[i])]) for i in suffixes]
+    assert sorted(suffixes.tolist()) == list(range(len(tokens))) and keys == sorted(keys)
+    for depth, rank in zip((2, 4, 7), ranks, strict=True):
+        order, again = html_text.repeats(suffixes, rank, owner, depth)
+        assert sorted(order.tolist()) == [i for i in range(len(tokens)) if i + depth <= ends[i]]
+        keys = [tuple(tokens[i : i + depth]) for i in order]
+        assert keys == sorted(keys) and again.tolist() == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
+        assert depth > 2 or again.any()
 
 
 @pytest.mark.parametrize(
@@ -140,14 +145,14 @@ def by_counting(rows):
         tokens = [(w, k) for k, (t, r) in enumerate(zip(texts, roles, strict=True)) if r != html_text.GUARDED for w in t.split()]
         read.append((html_text.host_of(url), texts, roles, marked, tokens))
     on = defaultdict(set)
-    run = lambda tokens, i: tuple(w for w, _ in tokens[i : i + 8])
+    run = lambda tokens, i, n: tuple(w for w, _ in tokens[i : i + n])
     for host, texts, _, _, tokens in read:
-        for i in range(len(tokens) - 7):
-            on[host, run(tokens, i)].add(tuple(texts))
+        for n in (8, 24):
+            for i in range(len(tokens) - n + 1):
+                on[host, run(tokens, i, n)].add(tuple(texts))
     out = []
     for host, texts, roles, marked, tokens in read:
-        gone = {j for i in range(len(tokens) - 7) if len(on[host, run(tokens, i)]) >= 3 for j in range(i, i + 8)}
-        long = {j for j in gone if any(all(k in gone for k in range(a, a + 24)) for a in range(j - 23, j + 1))}
+        gone, long = ({j for i in range(len(tokens) - n + 1) if len(on[host, run(tokens, i, n)]) >= 3 for j in range(i, i + n)} for n in (8, 24))
         kept = []
         for k, (t, r) in enumerate(zip(texts, roles, strict=True)):
             own = [j for j, (_, b) in enumerate(tokens) if b == k]
@@ -190,6 +195,19 @@ def test_a_sentence_of_several_stories_stays(spark):
     assert all(got[i].startswith(f"Story {i} begins") and same in got[i] for i in range(4))
 
 
+def test_short_repeats_one_after_another_are_no_long_one(spark):
+    """Three sentences that each stand on three pages, but together on one, stay in a block with more beside them; a paragraph that three pages have goes from it."""
+    said = lambda k: " ".join(f"{k}{i}" for i in range(10))
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(40))
+    paragraph = " ".join(f"all{i}" for i in range(30))
+    texts = [f"{own(0)} {said('a')} {said('b')} {said('c')}"] + [f"{own(10 + k)} {said(s)}" for k, s in enumerate("aabbcc")] + [f"{own(20 + k)} {paragraph} {own(30 + k)}" for k in range(3)]
+    rows = [(k, f"http://h.example/{k}", f"<p>{t}</p>") for k, t in enumerate(texts)]
+    got = {r.page_id: r for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got[0].text == texts[0] and got[0].n_repeated == 30
+    assert all(got[k].text == texts[k] for k in range(7))
+    assert all(got[7 + k].text == f"{own(20 + k)} {own(30 + k)}" and got[7 + k].n_repeated == 30 for k in range(3))
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     item = " ".join(f"word{i}" for i in range(20))
