@@ -46,7 +46,7 @@ class TagPostings:
         key = F.col("post_id")
         found = post_tags.select("post_id", "tag_id").join(seen, "post_id").groupBy(F.col("tag_id").cast("bigint").alias("tag_id"), "label", F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
         folder = self.tables.stage("bitmaps", found.withColumn("_part", F.floor(F.col("bucket") / TOGETHER)))
-        parts = {n.removeprefix("_part="): f"{folder}/{n}" for n in self.tables.names(folder) if n.startswith("_part=")}
+        parts = self.tables.parts(folder)
         whole = self.tables.load(list(parts.values()), self.BITMAPS)
         counts = self.tables.stage("counts", whole.select("tag_id", "label", "bucket", F.bitmap_count("bits").alias("n")))
         self.tables.swap({"bitmaps": parts, "counts": {"all": counts}}, replace=True)
@@ -94,7 +94,7 @@ class TagIndex:
         """From tags (id, name)."""
         rows = tags.select(F.col("id").cast("bigint").alias("id"), "name").select(F.explode(grams(F.col("name"))).alias("gram"), "id", "name")
         folder = self.tables.stage("grams", rows.withColumn("_part", self._part(F.col("gram"))))
-        self.tables.swap({"grams": {n.removeprefix("_part="): f"{folder}/{n}" for n in self.tables.names(folder) if n.startswith("_part=")}}, replace=True)
+        self.tables.swap({"grams": self.tables.parts(folder)}, replace=True)
 
     def suggest(self, token: str, existing: list[str], tags: DataFrame, limit: int = 8) -> DataFrame:
         """What search.suggestions gives (id, name): tags that contain the token in any case and aren't there already, the first by id.

@@ -79,18 +79,22 @@ class Snapshots:
         """A whole table anew."""
         self.swap({table: {WHOLE: self.stage(table, rows)}}, replace=True)
 
-    def stage(self, table: str, rows: DataFrame) -> str:
-        """Writes rows to a new folder, which no manifest names yet; a column _part makes folders of parts in it."""
+    def stage(self, table: str, rows: DataFrame, dealt: bool = False) -> str:
+        """Writes rows to a new folder, which no manifest names yet; a column _part makes folders of parts in it. dealt: no part is in two tasks already."""
         folder = f"data/{table}-{uuid.uuid4().hex}"
-        writer = rows.repartition("_part").write.partitionBy("_part") if "_part" in rows.columns else rows.write
+        writer = (rows if dealt else rows.repartition("_part")).write.partitionBy("_part") if "_part" in rows.columns else rows.write
         writer.parquet(f"{self.root}/{folder}")
         return folder
 
     def stage_parts(self, table: str, rows: DataFrame, parts: list[int]) -> dict[str, str | None]:
         """The same for rows with _part, of the given parts: each one's folder, None for those without a row."""
         folder = self.stage(table, rows)
-        made = self.names(folder)
-        return {str(p): f"{folder}/_part={p}" if f"_part={p}" in made else None for p in parts}
+        made = self.parts(folder)
+        return {str(p): made.get(str(p)) for p in parts}
+
+    def parts(self, folder: str) -> dict[str, str]:
+        """The folder of each part in a staged one."""
+        return {n.removeprefix("_part="): f"{folder}/{n}" for n in self.names(folder) if n.startswith("_part=")}
 
     def swap(self, changes: dict[str, dict[str, str | None]], replace: bool = False) -> None:
         """Makes staged folders current, of all tables in one step: a manifest with the next number is renamed into place."""

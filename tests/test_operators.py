@@ -99,6 +99,15 @@ def test_rank_directory(spark, tmp_path):
         assert len(before.keys() & directory.parts().keys()) >= 4  # ranges without a change stay as they are
         assert max(n for _, n in directory.parts().values()) <= 400
     assert directory.total() == len(held)
+    new = {rng.randrange(1 << 50) for _ in range(9000)} - held  # every range grows beyond its size
+    directory.change(frame(new), frame([]))
+    held |= new
+    every = sorted(held, reverse=True)
+    assert directory.total() == len(held) and max(n for _, n in directory.parts().values()) <= 400
+    assert all(directory.position(k).first().position == sum(x > k for x in held) for k in rng.sample(every, 3))
+    assert [r.id for r in directory.page(100).collect()] == every[4950:5000]
+    directory.change(frame([]), frame(held - {every[7]}))
+    assert directory.total() == 1 and [r.id for r in directory.page(1).collect()] == [every[7]]
     empty = RankDirectory(spark, f"file://{tmp_path}/e")
     empty.build(frame([]))
     assert empty.total() == 0 and empty.page(1).count() == 0 and empty.position(5).first().position == 0
