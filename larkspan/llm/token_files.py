@@ -107,7 +107,7 @@ class Reader:
 def write(docs: DataFrame, folder: str, path: str, end: int = END, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the ids of docs (doc_id, text; null text: empty) into files under `folder`, in ascending doc_id order.
 
-    Null doc_ids come first; rows of one doc_id follow each other by text. Returns a row for each file:
+    Null doc_ids come first; rows of one doc_id follow each other by the first 32 characters of their texts, then by a hash of these. Returns a row for each file:
     ordinal (its place in that order), file, n_docs, n_tokens. A task that runs twice writes under
     another name, and only the name of the one that succeeded is in the result. `folder` is a URI that
     pyarrow.fs opens (file, s3, gs, hdfs, abfs).
@@ -145,8 +145,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, file_tokens:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # An id, or no id, may have a third of all rows: ranges are cut between the beginnings of its texts too.
-    ordered = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    # An id, or no id, may have a third of all rows: ranges are cut between its texts too, by keys that are short however long these are.
+    keys = [F.col("doc_id"), F.substring("text", 1, 32), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
     return settled(ordered.mapInArrow(write_part, "ordinal long, file string, n_docs long, n_tokens long"), "token-files")
 
 
