@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 
 def time_ago(then: Column, now: Column) -> Column:
     """Whole minutes, hours, days, months of 30 days or years of 12 such months; minutes are never in the plural. '' for null."""
-    s = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
+    return seconds_ago(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp")))
+
+
+def seconds_ago(s: Column) -> Column:
+    """The same for a number of whole seconds, which may be more than timestamps and intervals hold."""
+
+    def whole(seconds: int) -> Column:
+        return F.call_function("div", s, F.lit(seconds))
 
     def unit(seconds: int, name: str) -> Column:
-        n = F.floor(s / seconds)
+        n = whole(seconds)
         return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
 
-    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago"))
+    minutes = F.concat(whole(60).cast("string"), F.lit(" min ago"))
     return F.when(s.isNull(), "").when(s < 60, "just now").when(s < 3600, minutes).when(s < 86400, unit(3600, "hour")).when(s < 2592000, unit(86400, "day")).when(s < 31104000, unit(2592000, "month")).otherwise(unit(31104000, "year"))
 
 
