@@ -214,12 +214,13 @@ def redacted_bodies(spark, d):
     UNION ALL SELECT 'tag_votes', id, CAST(post_id % 7 AS VARCHAR) FROM post_tags WHERE NOT (post_id = 7 AND tag_id = (SELECT min(tag_id) FROM post_tags WHERE post_id = 7))
     UNION ALL SELECT 'posts', id, CASE WHEN id = 7 THEN 'sfw' ELSE label END FROM posts""", "post_tags", "posts")
 def dml_remove_tag(spark, d):
-    links = v.post_tags(spark, d)
+    # Numbers of the stand-in's links repeat, within a post and over posts; a vote belongs to one link, so links go by all that tells them apart.
+    links = v.post_tags(spark, d).withColumn("id", F.struct("post_id", "id", "tag_id"))
     tag = links.where("post_id = 7").agg(F.min("tag_id")).first()[0]  # one value
     tag_votes = links.select(F.col("id").alias("entity"), (F.col("post_id") % 7).alias("user_id"))
     out = mutate.tag_removed(7, tag, links, tag_votes, v.tags(spark, d), v.posts(spark, d))
     part = lambda name, key, what: out[name].select(F.lit(name).alias("tbl"), F.col(key).cast("long").alias("id"), F.col(what).cast("string").alias("what"))
-    return part("post_tags", "id", "tag_id").unionByName(part("tag_votes", "entity", "user_id")).unionByName(part("posts", "id", "label"))
+    return part("post_tags", "id.id", "tag_id").unionByName(part("tag_votes", "entity.id", "user_id")).unionByName(part("posts", "id", "label"))
 
 
 RELEASES = "r AS (SELECT *, CASE WHEN id % 4 = 0 THEN -1 ELSE user_id END AS asker FROM posts WHERE id % 2 = 0), ok AS (SELECT * FROM r WHERE NOT deleted AND user_id = asker AND NOT dirty AND NOT released)"

@@ -38,3 +38,11 @@ def test_times_beyond_what_timestamps_hold(spark, grown):
     folder, con = grown(events="SELECT * FROM events WHERE event_id < 3 UNION ALL SELECT * REPLACE (event_id * 1000000 AS event_id) FROM events WHERE event_id IN (1, 6)")
     got = {r.event_id: r.ago for r in registry.QUERIES["format_time_ago"](spark, folder).collect()}
     assert got == {0: "just now", 1: "just now", 2: "2 min ago", 1_000_000: f"{37 * 10**12 // 31104000} years ago", 6_000_000: f"{37 * 36 * 10**12 // 31104000} years ago"}
+
+
+def test_a_tag_taken_off_where_link_numbers_repeat(spark, grown):
+    """Two links of the post with one number, and one of another post with it: only the votes on the removed link go."""
+    extra = "SELECT * REPLACE (7 AS l_orderkey, 3 AS l_linenumber, 1 AS l_partkey) FROM lineitem LIMIT 1"
+    folder, con = grown(lineitem=f"SELECT * FROM lineitem WHERE l_orderkey <> 7 UNION ALL ({extra}) UNION ALL ({extra.replace('1 AS l_partkey', '9 AS l_partkey')}) UNION ALL ({extra.replace('7 AS l_orderkey, 3 AS', '6 AS l_orderkey, 13 AS')})")
+    got, want = rows_and_sql(spark, "dml_remove_tag", folder, con)
+    assert got == want
