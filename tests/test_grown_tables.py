@@ -46,3 +46,10 @@ def test_a_tag_taken_off_where_link_numbers_repeat(spark, grown):
     folder, con = grown(lineitem=f"SELECT * FROM lineitem WHERE l_orderkey <> 7 UNION ALL ({extra}) UNION ALL ({extra.replace('1 AS l_partkey', '9 AS l_partkey')}) UNION ALL ({extra.replace('7 AS l_orderkey, 3 AS', '6 AS l_orderkey, 13 AS')})")
     got, want = rows_and_sql(spark, "dml_remove_tag", folder, con)
     assert got == want
+
+
+def test_energy_of_numbers_next_to_a_whole_one(spark, grown):
+    """Hundredths whose float lies below them in double precision: 100 * 0.18 is 18 in float."""
+    folder, con = grown(embeddings="SELECT vec_id, list_transform(range(64), lambda i: (((i * 7 + vec_id) % 100) / 100)::FLOAT) AS embedding FROM embeddings WHERE vec_id < 20")
+    got, want = rows_and_sql(spark, "picture_energy", folder, con)
+    assert got == want
