@@ -1,8 +1,8 @@
 """A stored index of perceptual hashes: new pictures against all there are, without reading or moving the index whole.
 
 Hashes are classes: pictures with the same 256 bits are one row and its members. A class has 16 rows, one for each chunk of 16 bits, in a
-table bucketed by place and value of the chunk. Fewer than 65 differing bits leave one chunk with at most four of them, so new
-classes are looked up by all their chunks and those chunks' neighbours, and only these lookups are shuffled; the index is read where its buckets lie.
+table bucketed by place and value of the chunk. A pair has one chunk that differs in no more bits than the chunk's reach, if the reaches and one more for each
+chunk come to the threshold; so new classes are looked up by their chunks and those chunks' neighbours, and only these lookups are shuffled; the index is read where its buckets lie.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ class ChunkIndex:
 
     def __init__(self, spark: SparkSession, root: str, near: int = NEAR, buckets: int = BUCKETS) -> None:
         self.spark, self.root, self.near, self.buckets = spark, root.rstrip("/"), near, buckets
-        self.reach = (near - 1) // CHUNKS
-        if self.reach > 4:
+        #: Bits that may differ in each chunk: together, and one more for each chunk, they come to the threshold.
+        self.reaches = [r for k in range(CHUNKS) if (r := (near + CHUNKS - 1 - k) // CHUNKS - 1) >= 0]
+        if near > 5 * CHUNKS:
             raise ValueError("the chunk index serves up to 80 differing bits")
         self.name = f"chunks_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {self.name} (class_id bigint, k int, x int, {', '.join(f'{w} bigint' for w in WORDS)}) USING parquet CLUSTERED BY (k, x) SORTED BY (k, x) INTO {buckets} BUCKETS LOCATION '{self.root}/chunks'")
@@ -67,12 +68,19 @@ class ChunkIndex:
         """Pairs of classes nearer than the threshold of which one at least is of `classes` (class_id, words; in the index): a_id < b_id, distance. Each pair once."""
         ours = classes.select(F.col("class_id").alias("_a"), *[F.col(w).alias(f"a_{i}") for i, w in enumerate(WORDS)])
         words_a = [F.col(f"a_{i}") for i in range(4)]
-        asked = ours.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1)))).withColumn("_own", chunk_at(words_a, F.col("k")))
-        asked = asked.withColumn("x", F.explode(F.transform(F.lit(masks(self.reach)), lambda m: F.col("_own").bitwiseXOR(m.cast("int"))))).drop("_own")
-        met = asked.join(self.table(), ["k", "x"]).where("_a <> class_id")
+        if not self.reaches:
+            return ours.limit(0).select(F.col("_a").alias("a_id"), F.col("_a").alias("b_id"), F.lit(0).alias("distance"))
+        # The first chunks reach one bit farther than the others.
+        reach = lambda k: F.when(k < self.reaches.count(self.reaches[0]), self.reaches[0]).otherwise(self.reaches[-1])
+        near_masks = F.when(reach(F.col("k")) == self.reaches[0], F.lit(masks(self.reaches[0]))).otherwise(F.lit(masks(self.reaches[-1])))
+        dealt = ours.repartition(self.buckets, "_a")  # few rows in, thousands of lookups out of each
+        asked = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(self.reaches) - 1)))).withColumn("_own", chunk_at(words_a, F.col("k")))
+        asked = asked.withColumn("x", F.explode(F.transform(near_masks, lambda m: F.col("_own").bitwiseXOR(m.cast("int"))))).drop("_own")
+        # Spark takes what an explode makes for as small as what it was made of, and would broadcast thousands of lookups for each class.
+        met = asked.hint("merge").join(self.table(), ["k", "x"]).where("_a <> class_id")
         words_b = [F.col(w) for w in WORDS]
         apart = lambda k: F.bit_count(chunk_at(words_a, k).bitwiseXOR(chunk_at(words_b, k)))
-        first = ~F.exists(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda k: (k < F.col("k")) & (apart(k) <= self.reach))  # of the chunks in which a pair meets
+        first = ~F.exists(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda k: (k < F.col("k")) & (apart(k) <= reach(k)))  # of the chunks in which a pair meets
         pairs = met.withColumn("distance", distance(words_a, words_b)).where((F.col("distance") < self.near) & first)
         # Of two of `classes` each finds the other: one of both counts.
         both = classes.select(F.col("class_id").alias("_b"))

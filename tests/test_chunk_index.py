@@ -72,3 +72,20 @@ def test_batches_against_the_index(spark, tmp_path, pictures, batches):
 
 def test_masks():
     assert len(masks(3)) == 697 and len(set(masks(3))) == 697 and max(m.bit_count() for m in masks(3)) == 3
+
+
+def test_lookups_are_not_broadcast(spark, tmp_path, pictures):
+    """Thousands of lookups for each class must not pass through the driver, however small the classes are."""
+    index = ChunkIndex(spark, f"file://{tmp_path}/i", buckets=4)
+    links = index.links(index.add(spark.createDataFrame([(i, *signed(h)) for i, h in pictures], SCHEMA)))
+    assert "SortMergeJoin" in above_scan(links._jdf.queryExecution().executedPlan().toString())[-1]
+    index.drop()
+
+
+@pytest.mark.parametrize("near", [1, 5, 16, 17, 49, 50, 64, 80])
+def test_reaches_leave_no_pair_out(near):
+    """However differing bits lie over the chunks, one chunk has no more than its reach."""
+    from larkspan.operators.similarity import CHUNKS
+
+    reaches = [r for k in range(CHUNKS) if (r := (near + CHUNKS - 1 - k) // CHUNKS - 1) >= 0]
+    assert sum(r + 1 for r in reaches) == near
