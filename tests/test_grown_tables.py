@@ -53,3 +53,10 @@ def test_energy_of_numbers_next_to_a_whole_one(spark, grown):
     folder, con = grown(embeddings="SELECT vec_id, list_transform(range(64), lambda i: (((i * 7 + vec_id) % 100) / 100)::FLOAT) AS embedding FROM embeddings WHERE vec_id < 20")
     got, want = rows_and_sql(spark, "picture_energy", folder, con)
     assert got == want
+
+
+def test_pictures_meet_in_blocks_without_keys(spark, data):
+    """No join that makes a row of every twentieth pair."""
+    found = registry.QUERIES["near_duplicates_banded"](spark, f"{data}/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
