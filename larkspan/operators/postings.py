@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from larkspan.functions.labels import LABELS, visible
 from larkspan.operators.feed import PAGE
 from larkspan.operators.search import suggestions
+from larkspan.sources.scratch import settled
 from larkspan.sources.snapshots import Snapshots
 
 #: Ids that a bitmap covers (Spark's), and bitmaps of successive ids whose rows lie in one folder.
 BITS, TOGETHER = 32_768, 16
+#: Ids from which on a bitmap takes less room than their places in it.
+DENSE = 2_048
 #: Folders over which three-letter lists are dealt.
 PARTS = 64
 
@@ -33,9 +36,10 @@ class TagPostings:
     """For each tag and label, bitmaps of the visible posts that have the tag, by ranges of ids; and how many posts each bitmap has.
 
     Tables: counts (tag_id, label, bucket, n), read to choose the ranges of a page; bitmaps (with bits), of which a page reads its ranges alone.
+    A bitmap of fewer than DENSE ids is kept as their places, so that a rare tag takes room for its posts and not for a whole range.
     """
 
-    COUNTS, BITMAPS = "tag_id bigint, label string, bucket bigint, n bigint", "tag_id bigint, label string, bucket bigint, bits binary"
+    COUNTS, BITMAPS = "tag_id bigint, label string, bucket bigint, n bigint", "tag_id bigint, label string, bucket bigint, places array<smallint>, bits binary"
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.tables = spark, Snapshots(spark, root)
@@ -44,18 +48,25 @@ class TagPostings:
         """From all posts and links. Building again swaps both tables at once."""
         seen = posts.where(visible(LABELS)).select(F.col("id").alias("post_id"), "label")
         key = F.col("post_id")
-        found = post_tags.select("post_id", "tag_id").join(seen, "post_id").groupBy(F.col("tag_id").cast("bigint").alias("tag_id"), "label", F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+        own = [F.col("tag_id").cast("bigint").alias("tag_id"), "label", F.bitmap_bucket_number(key).alias("bucket")]
+        met = post_tags.select("post_id", "tag_id").join(seen, "post_id").select(*own, F.bitmap_bit_position(key).cast("smallint").alias("place"))
+        names = ["tag_id", "label", "bucket"]
+        lists = settled(met.groupBy(*names).agg(F.collect_set("place").alias("places")), "places")
+        full = F.size("places") >= DENSE
+        dense = lists.where(full).select(*names, F.explode("places").alias("place")).groupBy(*names).agg(F.bitmap_construct_agg(F.col("place").cast("bigint")).alias("bits"))
+        found = lists.where(~full).unionByName(dense, allowMissingColumns=True)
         folder = self.tables.stage("bitmaps", found.withColumn("_part", F.floor(F.col("bucket") / TOGETHER)))
         parts = self.tables.parts(folder)
         whole = self.tables.load(list(parts.values()), self.BITMAPS)
-        counts = self.tables.stage("counts", whole.select("tag_id", "label", "bucket", F.bitmap_count("bits").alias("n")))
+        counts = self.tables.stage("counts", whole.select("tag_id", "label", "bucket", F.coalesce(F.bitmap_count("bits"), F.size("places").cast("long")).alias("n")))
         self.tables.swap({"bitmaps": parts, "counts": {"all": counts}}, replace=True)
 
-    def page(self, tags: list[int], labels: list[str], older: int | None = None, limit: int = PAGE) -> DataFrame:
-        """id of the newest posts that have any of the tags and one of the labels, below `older`; newest first."""
-        wanted = F.col("tag_id").isin(tags) & F.col("label").isin(labels)
+    def page(self, tags: list[int] | DataFrame, labels: list[str], older: int | None = None, limit: int = PAGE) -> DataFrame:
+        """id of the newest posts that have any of the tags (a few, or rows with an id) and one of the labels, below `older`; newest first."""
+        ours = lambda rows: rows.where(F.col("tag_id").isin(tags)) if isinstance(tags, list) else rows.join(tags.select(F.col("id").cast("bigint").alias("tag_id")), "tag_id", "left_semi")
+        wanted = F.col("label").isin(labels)
         below = F.lit(True) if older is None else F.col("bucket") <= F.bitmap_bucket_number(F.lit(older - 1).cast("bigint"))
-        counts = self.tables.read("counts", self.COUNTS).where(wanted & below)
+        counts = ours(self.tables.read("counts", self.COUNTS).where(wanted & below))
         # A range has at least as many posts as its fullest bitmap; the topmost one may be cut by `older`.
         least = counts.groupBy("bucket").agg(F.max("n").alias("n")).orderBy(F.desc("bucket"))
         buckets, held = [], 0
@@ -67,8 +78,9 @@ class TagPostings:
                 break
         files = self.tables.current().get("bitmaps", {})
         folders = [f for p, f in files.items() if int(p) in {b // TOGETHER for b in buckets}]
-        rows = self.tables.load(folders, self.BITMAPS).where(wanted & F.col("bucket").isin(buckets))
-        ids = ids_of(rows.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+        rows = ours(self.tables.load(folders, self.BITMAPS).where(wanted & F.col("bucket").isin(buckets)))
+        dense = ids_of(rows.where("bits IS NOT NULL").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+        ids = dense.unionByName(rows.select("bucket", F.explode("places").alias("place")).select(_id(F.col("bucket"), F.col("place").cast("int")).alias("id"))).distinct()
         return (ids if older is None else ids.where(F.col("id") < older)).orderBy(F.desc("id")).limit(limit)
 
 

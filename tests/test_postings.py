@@ -60,3 +60,15 @@ def test_grams(spark):
 def test_queries_equal_what_they_take_over(spark, data):
     sf = f"{data}/sf0.01"
     assert registry.QUERIES["directory_page"](spark, sf).count() == 50 and registry.QUERIES["search_tags_postings"](spark, sf).count() == 50
+
+
+def test_rare_tags_take_the_room_of_their_posts(spark, tmp_path):
+    """A tag of one post in a range has a place there and no bitmap of the range; a frequent one has the bitmap. Pages mix both."""
+    posts = spark.range(-100, 70_000, 1).select("id", F.lit("sfw").alias("label"), F.lit(False).alias("dirty"), F.lit(True).alias("released"), F.lit(False).alias("deleted"))
+    links = spark.range(-100, 70_000, 1).select(F.col("id").alias("post_id"), F.when(F.col("id") % 9 == 0, 1).otherwise(F.col("id") + 1000).alias("tag_id"))
+    index = TagPostings(spark, f"file://{tmp_path}/p")
+    index.build(posts, links)
+    rows = index.tables.read("bitmaps", index.BITMAPS)
+    assert rows.where("tag_id > 1 AND (bits IS NOT NULL OR size(places) <> 1)").isEmpty() and rows.where("tag_id = 1 AND bits IS NOT NULL").count() == 2
+    assert [r.id for r in index.page([1, 68_000, 69_001, -50 + 1000], ["sfw"], older=68_002, limit=5).collect()] == [68_001, 67_995, 67_986, 67_977, 67_968]
+    assert [r.id for r in index.page([950, 980], ["sfw"]).collect()] == [-20, -50]
