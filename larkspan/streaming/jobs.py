@@ -12,10 +12,9 @@ Both are decided by the times of messages, whether a timer or the next message f
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,8 +23,7 @@ from larkspan.streaming.runs import last_of
 MINUTE = 60_000_000
 FINAL = {"done": "done", "failed": "failed", "cancel": "cancelled"}
 ENDED = (*FINAL.values(), "stalled")
-LIFE = "status string, last_at bigint, ended_at bigint, version bigint"
-COUNTS = "progress bigint, total bigint, updated bigint, failed bigint, lost bigint, top bigint"
+STATE = "status string, last_at bigint, ended_at bigint, version bigint, progress bigint, total bigint, updated bigint, failed bigint, lost bigint, top bigint"
 UPDATE = "job bigint, status string, progress bigint, total bigint, updated bigint, failed bigint, lost bigint, current bigint, last_at bigint, ended_at bigint, version bigint"
 
 
@@ -99,19 +97,23 @@ class Job:
 
 
 class JobMachine(StatefulProcessor):
-    """Folds each job's messages into its state; emits the job after every batch that has some, when it stalls and when it goes."""
+    """Folds each job's messages into its state; emits the job after every batch that has some, when it stalls and when it goes.
+
+    Jobs are many and their messages few: messages come as rows, not as a frame for each job, and a job's state is one value.
+    """
 
     def __init__(self, stall: int | None, keep: int | None, order: list[str]) -> None:
         self.stall, self.keep, self.order = stall, keep, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.life, self.counts = handle.getValueState("life", LIFE), handle.getValueState("counts", COUNTS)
+        self.state = handle.getValueState("job", STATE)
 
-    def _load(self) -> Job:
-        return Job(*self.life.get(), *self.counts.get()) if self.life.exists() else Job()
+    def _load(self) -> Job | None:
+        found = self.state.get()
+        return None if found is None else Job(*found)
 
-    def _save(self, key: tuple, job: Job, timer: int | None) -> pd.DataFrame:
+    def _save(self, key: tuple, job: Job, timer: int | None) -> Row:
         job.version += 1
         due = job.timer(self.stall, self.keep)
         if due != timer:
@@ -119,36 +121,34 @@ class JobMachine(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        self.life.update((job.status, job.last_at, job.ended_at, job.version))
-        self.counts.update((job.progress, job.total, job.updated, job.failed, job.lost, job.top))
+        self.state.update((job.status, job.last_at, job.ended_at, job.version, job.progress, job.total, job.updated, job.failed, job.lost, job.top))
         return self._row(key, job, job.status)
 
-    def _row(self, key: tuple, job: Job, status: str) -> pd.DataFrame:
-        found = asdict(job) | {"job": key[0], "status": status, "current": job.current}
-        numbers = [c.split()[0] for c in UPDATE.split(", ")]
-        return pd.DataFrame({c: pd.array([found[c]], "Int64" if c != "status" else object) for c in numbers})
+    def _row(self, key: tuple, job: Job, status: str) -> Row:
+        return Row(job=key[0], status=status, progress=job.progress, total=job.total, updated=job.updated, failed=job.failed, lost=job.lost, current=job.current, last_at=job.last_at, ended_at=job.ended_at, version=job.version)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
-        job = self._load()
+    def _place(self, message: Row) -> tuple:
+        """By what a message is put in order: nulls after all others."""
+        return tuple((x is None, x) for x in (message[c] for c in self.order))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803  the interface's names
+        job = self._load() or Job()
         timer = job.timer(self.stall, self.keep)
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        whole = lambda x: None if pd.isna(x) else int(x)
-        for m in batch.itertuples(index=False):
-            job = job.take(int(m.at), m.kind, None if pd.isna(m.ok) else bool(m.ok), whole(m.n), whole(m.total), self.stall, self.keep)
+        for m in sorted(rows, key=self._place):
+            job = job.take(m["at"], m["kind"], m["ok"], m["n"], m["total"], self.stall, self.keep)
         yield self._save(key, job, timer)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.life.exists():
-            return
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
         job = self._load()
+        if job is None:
+            return
         if job.ended_at is None:
             job.stalled(self.stall)
             due = job.timer(self.stall, self.keep)
             if due is None or due > timerValues.getCurrentWatermarkInMs():
                 yield self._save(key, job, None)  # the timer that fired is gone
                 return
-        self.life.clear()
-        self.counts.clear()
+        self.state.clear()
         job.version += 1
         yield self._row(key, job, "removed")
 
@@ -168,7 +168,7 @@ def job_updates(messages: DataFrame, stall_minutes: int | None = 10, keep_minute
     extra = [c for c in order if c not in ("at", "kind", "n")]
     rows = rows.select(F.col("job").cast("bigint").alias("job"), "ts", F.unix_micros("ts").alias("at"), "kind", "ok", F.col("n").cast("bigint").alias("n"), F.col("total").cast("bigint").alias("total"), *extra)
     minutes = lambda m: None if m is None else m * MINUTE
-    return rows.groupBy("job").transformWithStateInPandas(JobMachine(minutes(stall_minutes), minutes(keep_minutes), list(order)), UPDATE, "update", "eventTime")
+    return rows.groupBy("job").transformWithState(JobMachine(minutes(stall_minutes), minutes(keep_minutes), list(order)), UPDATE, "update", "eventTime")
 
 
 def job_board(updates: DataFrame) -> DataFrame:

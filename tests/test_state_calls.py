@@ -1,7 +1,9 @@
 """How often stream processors call their state: each call is a round trip to Spark, so calls must not grow with votes or columns."""
 
 import pandas as pd
+from pyspark.sql import Row
 
+from larkspan.streaming.jobs import JobMachine
 from larkspan.streaming.votes import VoteFold
 
 
@@ -62,3 +64,12 @@ def test_votes_of_many_users_take_few_calls():
     assert handle.stores["votes"].calls <= 3 * 5  # five blocks of 256 users
     assert score([(-100, -1, 1), (5, 0, 2), (6, 1, 3), (6, -1, 4), (2000, 0, 5), (3000, 1, 6)]) == 1100 - 2 - 1 - 2 + 1
     assert score([(3000, 0, 1)]) == 1095 and (3000 >> 8,) not in handle.stores["votes"].rows
+
+
+def test_a_job_is_one_value():
+    handle, machine = Handle(), JobMachine(None, None, ["at", "n"])
+    machine.init(handle)
+    message = lambda at, kind, n=None: Row(at=at, kind=kind, ok=None, n=n, total=None)
+    out = list(machine.handleInputRows((4,), iter([message(3, "done"), message(1, "start"), message(2, "add", 5)]), None))
+    assert [(r["job"], r["status"], r["progress"], r["ended_at"]) for r in out] == [(4, "done", 5, 3)]
+    assert list(handle.stores) == ["job"] and handle.stores["job"].calls == 2
