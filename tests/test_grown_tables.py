@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
+from larkspan.operators import feed, mutate
 from larkspan.plans import registry
+from larkspan.sources import scratch
 from tests.test_oracles import TABLES, rows_of
 
 
@@ -60,3 +62,25 @@ def test_pictures_meet_in_blocks_without_keys(spark, data):
     found = registry.QUERIES["near_duplicates_banded"](spark, f"{data}/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("tags,posts", [(4096, 4096), (16, 3)])
+def test_links_to_all_tags_of_a_name_are_not_written(spark, grown, monkeypatch, tags, posts):
+    """Two hundred tags of four names: what is written meanwhile has fewer rows than the links, and posts keep the links that they have."""
+    folder, con = grown(part="SELECT * REPLACE ('n' || p_partkey % 4 AS p_name) FROM part", lineitem="SELECT * FROM lineitem UNION ALL SELECT * REPLACE (l_partkey // 2 AS l_partkey) FROM lineitem")
+    if hasattr(mutate, "TAGS_AT_ONCE"):
+        monkeypatch.setattr(mutate, "TAGS_AT_ONCE", tags)
+        monkeypatch.setattr(mutate, "POSTS_AT_ONCE", posts)
+    written = []
+
+    def noted(rows, name):
+        out = scratch.settled(rows, name)
+        written.append(0 if name == "released" else out.count())  # a row for each request
+        return out
+
+    for module in (feed, mutate):
+        monkeypatch.setattr(module, "settled", noted, raising=False)
+    got, want = rows_and_sql(spark, "dml_release_all", folder, con)
+    assert got == want
+    new = con.sql(f"SELECT count(*) FROM ({registry.ORACLE_SQL['dml_release_all']}) WHERE tbl = 'new links'").fetchall()[0][0]
+    assert new > 1000 and max(written) < new / 2
