@@ -51,7 +51,8 @@ def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def by_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8): the smallest doc_id, null after all others.
 
-    Rows of one doc_id, and rows without one, are told apart by their texts (ties: the smaller hash of
+    Operator 7's SimHash search (fingerprints, trie self-join, components) brings texts together, MinHash bands do where more bits
+    differ, and sets of shingles confirm both. Rows of one doc_id, and rows without one, are told apart by their texts (ties: the smaller hash of
     the text); of repeated rows one stays. Null and empty texts are copies of each other.
     """
     return _as_before(near_copies.without_copies(docs), docs)

@@ -1,9 +1,9 @@
-"""Near copies for the pipeline: sets of word shingles of Jaccard similarity 0.8 or more, found by MinHash bands, confirmed exactly, connected components.
+"""Near copies for the pipeline: sets of word shingles of Jaccard similarity 0.8 or more, found by SimHash and by MinHash bands, confirmed exactly, connected components.
 
-A pair of similarity 0.8 differs in ten of 64 SimHash bits on average, so no bit budget that an index
-can serve reaches it. Bands of MinHash values bring texts together instead. What shares a band is
-compared as whole sets, so no link is a guess; a pair of similarity 0.8 misses all BANDS bands with
-probability (1 - 0.8**ROWS)**BANDS, 5 in 100,000, and one of higher similarity more seldom.
+SimHash brings together what operator 7's trie self-join links: fingerprints of the shingles within two bits, and what such links chain.
+A pair of similarity 0.8 differs in ten of 64 bits on average, so no bit budget that an index can serve reaches all pairs; bands
+of MinHash values bring the rest together. What shares a SimHash component or a band is compared as whole sets, so no link is a guess; a pair of
+similarity 0.8 misses all BANDS bands with probability (1 - 0.8**ROWS)**BANDS, 5 in 100,000, and one of higher similarity more seldom.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import Words, mixed, rolling, settled, slices, utf8
-from larkspan.llm.simhash import _LOWER, components
+from larkspan.llm.simhash import _LOWER, components, fingerprints_of, links as linked_prints
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -109,6 +109,13 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("key", "part", "node", "shingles").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(search, "low long, high long").distinct()
 
 
+def simhash_components(texts: DataFrame) -> DataFrame:
+    """node and key of texts (node, fingerprint): texts share a key if SimHash links lead from one's fingerprint to the other's."""
+    distinct = settled(texts.select("fingerprint").distinct(), "distinct-fingerprints")
+    roots = components(linked_prints(distinct)).select(F.col("node").alias("fingerprint"), "root")
+    return settled(texts.join(roots, "fingerprint", "left").select("node", F.coalesce("root", "fingerprint").alias("key")), "simhash-components")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_hash (Spark's xxhash64 of the text), component_id and first of each row of docs (doc_id, text).
 
@@ -118,7 +125,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     component's one document: the smallest doc_id (null after all others), of rows with that id the smallest
     text_hash; repeated rows are marked alike. Null and empty texts are copies of each other; an empty table stays empty.
 
-    Exact copies meet once. Bands with the same texts are compared once. A band of over `chunk` texts
+    Exact copies meet once. SimHash components are bands beside those of MinHash. Bands with the same texts are compared once. A band of over `chunk` texts
     is first compared in parts; then, where components still differ, what isn't in its largest
     component is compared with all of it, in blocks.
     """
@@ -134,7 +141,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
                 if some:
                     for k, row in zip(some, bands_of([sets[k] for k in some]).view(np.int64).tolist(), strict=True):
                         found[k] = row
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "text_hash": batch.column("text_hash").slice(i, j - i), "words": pa.array(names, pa.binary()), "keys": pa.array(found, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "text_hash": batch.column("text_hash").slice(i, j - i), "words": pa.array(names, pa.binary()), "fingerprint": pa.array(fingerprints_of(part, at, shingle).view(np.int64)), "keys": pa.array(found, pa.list_(pa.int64()))})
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +155,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))})
 
-    prints = settled(docs.mapInArrow(keys, "doc_id long, text_hash long, words binary, keys array<long>"), "shingle-keys")
+    prints = settled(docs.mapInArrow(keys, "doc_id long, text_hash long, words binary, fingerprint long, keys array<long>"), "shingle-keys")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    texts = prints.groupBy("words").agg(F.first("keys").alias("keys"), F.min(order).alias("first"))
+    texts = prints.groupBy("words").agg(F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.min(order).alias("first"))
     texts = settled(texts.select(F.monotonically_increasing_id().alias("node"), "*"), "distinct-texts")  # numbered once, as written
-    rows = texts.select("node", F.explode("keys").alias("key"))
+    worded = texts.where(F.size("keys") > 0)
+    rows = worded.select("node", F.explode("keys").alias("key")).unionByName(simhash_components(worded.select("node", "fingerprint")))
     bands = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("b")).where("n > 1")
     bands = settled(bands.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("ways")), "bands")
     members = settled(rows.join(bands, "key").select("node", "key", "ways", F.pmod(F.xxhash64("node", "key"), F.col("ways")).cast("int").alias("part")), "members")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from larkspan.llm import near_copies
@@ -72,3 +73,17 @@ def test_rows_of_one_id_are_told_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, first string")
     left = corpus_pipeline.by_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in left) == [(0, "c"), (3, "a"), (5, "b"), (8, "d"), (9, "")]
+
+
+def test_simhash_brings_texts_together(spark, monkeypatch):
+    """Without any band in common, copies within two bits are found; equal fingerprints of different texts don't make them copies."""
+    monkeypatch.setattr(near_copies, "bands_of", lambda sets: np.array([[s.sum(dtype=np.uint64) + np.uint64(k) for k in range(3)] for s in sets]))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    copies = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in (3, 700, 1500)]
+    drill = "a b c d e " * 200
+    rows = list(enumerate([" ".join(base), *copies, drill + " ".join(base[:60]), drill + " ".join(base[100:160]), "", None]))
+    prints = [brute.fingerprint(t, 5) for _, t in rows]
+    assert prints[4] == prints[5] and all((prints[0] ^ p).bit_count() <= 2 for p in prints[1:4]) and len(set(prints[:4])) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == by_all_pairs(rows) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 6, 7: 6}
