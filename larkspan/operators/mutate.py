@@ -5,6 +5,8 @@ Plain Parquet has no UPDATE; `sources.snapshots` swaps the new table in.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +83,22 @@ def tag_removed(post: int, tag: int, post_tags: DataFrame, tag_votes: DataFrame,
     return {"post_tags": links, "tag_votes": tag_votes.join(gone, "entity", "left_anti"), "posts": posts.where(F.col("id") != post).unionByName(touched.select(posts.columns))}
 
 
-def comments_cascaded(comments: DataFrame, posts: DataFrame) -> DataFrame:
-    """Comments of posts that exist; parents that don't become null."""
-    kept = comments.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi").select(comments.columns)
-    alive = kept.select(F.col("id").alias("_parent"))
-    return kept.join(alive, kept["parent_id"] == alive["_parent"], "left").withColumn("parent_id", F.col("_parent")).drop("_parent").select(comments.columns)
+#: Rows of the larger table that a task of a join takes, about.
+ROWS_A_TASK = 1 << 20
+
+
+def met(rows: DataFrame, key: str, ids: DataFrame, how: str, tasks: int) -> DataFrame:
+    """rows joined by a key with the ids of a table (as `_id`). In more than one task, each hashes its ids; rows pass by unsorted, so their number and frequent keys take no memory."""
+    ids = ids.select(F.col("id").alias("_id"))
+    if tasks > 1:
+        rows, ids = rows.repartition(tasks, key), ids.repartition(tasks, "_id").hint("shuffle_hash")
+    return rows.join(ids, rows[key] == ids["_id"], how)
+
+
+def comments_cascaded(comments: DataFrame, posts: DataFrame, tasks: int = 1, own_tasks: int = 1) -> DataFrame:
+    """Comments of posts that exist; parents that don't become null. Comments meet posts in `tasks` tasks, and each other in own_tasks."""
+    kept = met(comments, "post_id", posts, "left_semi", tasks)
+    return met(kept, "parent_id", kept, "left", own_tasks).withColumn("parent_id", F.col("_id")).select(comments.columns)
 
 
 def cascaded(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -94,19 +107,21 @@ def cascaded(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     tables: posts, comments, tags, users, post_tags (id, post_id, tag_id, user_id), post_votes, comment_votes and tag_votes (entity, user_id), messages
     (ref_post_id, ref_comment_id: references to what is gone become null). A tag's user that is gone leaves the tag where it is.
     """
+    counts = reduce(DataFrame.unionByName, [t.agg(F.lit(k).alias("name"), F.count(F.lit(1)).alias("n")) for k, t in tables.items()])
+    sizes = {r["name"]: r["n"] for r in counts.collect()}  # a row for each table
+    tasks = lambda *names: max(sizes[k] for k in names) // ROWS_A_TASK + 1
     ids = {k: tables[k].select("id") for k in ("posts", "comments", "tags", "users")}
-    of = lambda rows, key, parent: rows.join(ids[parent].select(F.col("id").alias(key)), key, "left_semi").select(rows.columns)
+    of = lambda name, rows, key, parent: met(rows, key, ids[parent], "left_semi", tasks(name, parent))
     out = dict(tables)
-    out["comments"] = comments_cascaded(tables["comments"], tables["posts"])
+    out["comments"] = comments_cascaded(tables["comments"], tables["posts"], tasks("comments", "posts"), tasks("comments"))
     ids["comments"] = out["comments"].select("id")
-    out["post_tags"] = of(of(tables["post_tags"], "post_id", "posts"), "tag_id", "tags")
+    out["post_tags"] = of("post_tags", of("post_tags", tables["post_tags"], "post_id", "posts"), "tag_id", "tags")
     ids["post_tags"] = out["post_tags"].select("id")
     for votes, parent in (("post_votes", "posts"), ("comment_votes", "comments"), ("tag_votes", "post_tags")):
-        out[votes] = of(of(tables[votes], "entity", parent), "user_id", "users")
+        out[votes] = of(votes, of(votes, tables[votes], "entity", parent), "user_id", "users")
     messages = tables["messages"]
     for key, parent in (("ref_post_id", "posts"), ("ref_comment_id", "comments")):
-        alive = ids[parent].select(F.col("id").alias("_alive"))
-        messages = messages.join(alive, messages[key] == alive["_alive"], "left").withColumn(key, F.col("_alive").cast(messages.schema[key].dataType)).drop("_alive")
+        messages = met(messages, key, ids[parent], "left", tasks("messages", parent)).withColumn(key, F.col("_id").cast(messages.schema[key].dataType)).drop("_id")
     out["messages"] = messages.select(tables["messages"].columns)
     return out
 

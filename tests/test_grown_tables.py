@@ -84,3 +84,13 @@ def test_links_to_all_tags_of_a_name_are_not_written(spark, grown, monkeypatch,
     assert got == want
     new = con.sql(f"SELECT count(*) FROM ({registry.ORACLE_SQL['dml_release_all']}) WHERE tbl = 'new links'").fetchall()[0][0]
     assert new > 1000 and max(written) < new / 2
+
+
+def test_rows_of_a_cascade_are_not_sorted(spark, grown, monkeypatch):
+    """Votes of two posts, one of them gone, in many tasks: each hashes its ids, and no task sorts its rows."""
+    monkeypatch.setattr(mutate, "ROWS_A_TASK", 100, raising=False)
+    folder, con = grown(events="SELECT * REPLACE ('{\"k\": ' || 4 + event_id % 2 || '}' AS props) FROM events")
+    got, want = rows_and_sql(spark, "dml_cascade_all", folder, con)
+    assert got == want
+    plan = registry.QUERIES["dml_cascade_all"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
