@@ -86,6 +86,16 @@ def test_links_to_all_tags_of_a_name_are_not_written(spark, grown, monkeypatch,
     assert new > 1000 and max(written) < new / 2
 
 
+def test_what_links_say_is_worked_out_before_they_are_made(spark, grown):
+    """Two hundred tags of two names: text of a post and a name is put together once, and copied into the links to all tags of the name."""
+    folder, con = grown(part="SELECT * REPLACE ('n' || p_partkey % 2 AS p_name) FROM part")
+    got, want = rows_and_sql(spark, "dml_release_all", folder, con)
+    assert got == want
+    plan = registry.QUERIES["dml_release_all"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "new links AS tbl" in line]
+    assert made and not any("concat" in line for line in made)
+
+
 def test_rows_of_a_cascade_are_not_sorted(spark, grown, monkeypatch):
     """Votes of two posts, one of them gone, in many tasks: each hashes its ids, and no task sorts its rows."""
     monkeypatch.setattr(mutate, "ROWS_A_TASK", 100, raising=False)
